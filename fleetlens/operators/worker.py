@@ -5,21 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Worker = Callable[[Iterator[pd.DataFrame], dict], Iterable[pd.DataFrame]]
+Worker = Callable[[Iterator[pd.DataFrame], dict], Iterable[pd.DataFrame | dict[str, list]]]
+
+
+FLUSH_ROWS = 10_000
 
 
 def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Consecutive rows of one key, piece by piece; the frames arrive sorted by key."""
     for frame in frames:
-        if len(frame):
-            codes = frame.groupby(keys, sort=False, dropna=False).ngroup()
-            for _, piece in frame.groupby(codes, sort=False):
-                yield tuple(piece[keys].iloc[0]), piece.reset_index(drop=True)
+        if not len(frame):
+            continue
+        head = frame[keys]
+        moved = (head != head.shift()) & ~(head.isna() & head.shift().isna())
+        starts = np.flatnonzero(moved.any(axis=1).to_numpy() | (np.arange(len(frame)) == 0))
+        for a, b in zip(starts, [*starts[1:], len(frame)]):
+            key = tuple(None if pd.isna(v) else v for v in (frame[k].iat[a] for k in keys))
+            yield key, frame.iloc[a:b]
+
+
+class _Out:
+    """Rows of many small calls gathered into frames of a useful size."""
+
+    def __init__(self, keys: list[str], names: list[str]) -> None:
+        self.keys, self.names, self.clear = keys, names, lambda: {c: [] for c in (*keys, *names, "message")}
+        self.columns = self.clear()
+
+    def add(self, key: tuple, given: dict[str, list], n: int, message: str | None = None) -> None:
+        for name, value in zip(self.keys, key):
+            self.columns[name] += [value] * n
+        for name in self.names:
+            self.columns[name] += given.get(name, [None] * n)
+        self.columns["message"] += [message] * n
+
+    def full(self) -> bool:
+        return len(self.columns["message"]) >= FLUSH_ROWS
+
+    def flush(self) -> pd.DataFrame:
+        frame, self.columns = pd.DataFrame(self.columns), self.clear()
+        return frame
 
 
 def worker_map(
@@ -27,7 +57,8 @@ def worker_map(
 ) -> DataFrame:
     """Run a worker over the ordered readings of every (key, bucket).
 
-    The worker gets an iterator of frames and the parameters and yields frames in `schema`. Output rows carry
+    The worker gets an iterator of frames and the parameters and yields frames, or lists by
+    column name, in `schema`. Output rows carry
     the key, the bucket, and `message`: NULL on the worker's rows, and on one closing row per (key, bucket) either
     'Completed: <n>' or 'ERROR: <text>'. A worker that raises keeps the rows it gave before; the job goes on.
 
@@ -35,7 +66,9 @@ def worker_map(
     what one call sees, so a key with very many readings is spread over many tasks.
     """
     keys = [*by, "bucket"]
-    placed = df.withColumn("bucket", bucket).repartition(*keys).sortWithinPartitions(*keys, *order)
+    # A number is given so that the partitions are not merged by size: the worker's time is not in the bytes.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("bucket", bucket).repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
     given = T._parse_datatype_string(schema)
     out = T.StructType([
         *[placed.schema[k] for k in keys], *[T.StructField(f.name, f.dataType) for f in given.fields],
@@ -44,8 +77,8 @@ def worker_map(
     names = [f.name for f in given.fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        result = _Out(keys, names)
         for key, pieces in groupby(_runs(frames, keys), key=lambda kv: kv[0]):
-            head = dict(zip(keys, key))
             seen = 0
 
             def readings() -> Iterator[pd.DataFrame]:
@@ -57,13 +90,19 @@ def worker_map(
             stream = readings()
             try:
                 for rows in fn(stream, params):
-                    yield rows.assign(**head, message=None)[[*keys, *names, "message"]]
+                    lists = rows if isinstance(rows, dict) else rows.to_dict("list")
+                    result.add(key, lists, len(lists[names[0]]))
+                    if result.full():
+                        yield result.flush()
                 for _ in stream:
                     pass
                 message = f"Completed: {seen}"
             except Exception as error:  # a worker's failure is a result, not a failure of the job
                 message = f"ERROR: {error}"
-            yield pd.DataFrame([{**head, **dict.fromkeys(names), "message": message}])
+            result.add(key, {}, 1, message)
+            if result.full():
+                yield result.flush()
+        yield result.flush()
 
     return placed.mapInPandas(run, out)
 

@@ -185,14 +185,14 @@ def runs(t: Tables) -> DataFrame:
     return telemetry.plugin_runs(readings, ["user_id"], ["ts", "event_id"], kind == "signup", kind == "error", hour_bucket("ts"), "k")
 
 
-def last_and_count(readings: Iterator[pd.DataFrame], params: dict) -> Iterator[pd.DataFrame]:
+def last_and_count(readings: Iterator[pd.DataFrame], params: dict) -> Iterator[dict[str, list]]:
     """A worker that counts readings and keeps the last value; a reading at the limit makes it fail."""
     n, last = 0, None
     for frame in readings:
-        if (frame["k"] >= params["limit"]).any():
+        if frame["k"].to_numpy().max() >= params["limit"]:
             raise ValueError("reading at the limit")
-        n, last = n + len(frame), frame["value"].iloc[-1]
-    yield pd.DataFrame({"n": [n], "last": [last]})
+        n, last = n + len(frame), float(frame["value"].iat[-1])
+    yield {"n": [n], "last": [last]}
 
 
 @query("F1_worker_map", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.keyed import hour_bucket
 from fleetlens.plans.registry import Tables, query
 from fleetlens.streaming import jobs
-from fleetlens.streaming.sinks import on_clock, read_stream, run_append, run_update
+from fleetlens.streaming.sinks import append_table, on_clock, read_stream, run_append, run_update
 
 
 def plain_time(df: DataFrame, *cols: str) -> DataFrame:
@@ -43,10 +43,23 @@ def drift(t: Tables) -> DataFrame:
     return jobs.drift_stream(observed, desired, "c_custkey", ["o_orderdate", "o_orderkey"], ["tier"]).drop("batch")
 
 
-@query("R3_presence")
+@query("R3_presence", """
+WITH closed AS (
+  SELECT user_id, ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS slot FROM events
+  WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+p AS (SELECT user_id, ts, lag(ts) OVER w AS prev, lead(ts) OVER w AS next FROM closed WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, 'online' AS state, ts AS at FROM p WHERE prev IS NULL OR ts > prev + INTERVAL 6 HOUR
+UNION ALL
+SELECT user_id, 'offline', ts + INTERVAL 6 HOUR FROM p
+WHERE next > ts + INTERVAL 6 HOUR OR (next IS NULL AND ts + INTERVAL 6 HOUR < (SELECT max(slot) FROM closed) - INTERVAL 1 MILLISECOND)
+""")
 def presence(t: Tables) -> DataFrame:
+    """Presence over the slots the watermark has closed: one stream compacts the events, a second follows the boards."""
     stream = on_clock(read_stream(t.spark, t.path("events")).select("user_id", "ts"), "ts", "10 minutes")
-    return plain_time(run_append(jobs.presence(stream, "user_id", "ts", 6 * 3600, 3600), "presence"), "at")
+    compacted = jobs.activity_slots(stream, "user_id", "ts", 3600)
+    path = append_table(compacted, "slots")
+    slots = t.spark.readStream.schema(compacted.schema).parquet(path).withWatermark("slot", "0 seconds")
+    return plain_time(run_append(jobs.presence(slots, "user_id", 6 * 3600), "presence"), "at")
 
 
 @query("R4_telemetry_windows", """
@@ -94,8 +107,15 @@ def dedup(t: Tables) -> DataFrame:
     return plain_time(run_append(jobs.event_dedup(doubled, ["event_id"]), "dedup"), "ts")
 
 
-@query("R7_request_result_stream")
+@query("R7_request_result_stream", """
+WITH wm AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 1 DAY AS w),
+j AS (SELECT o.o_orderkey, o.o_orderdate, l.l_linenumber, l.l_shipdate FROM orders o LEFT JOIN lineitem l
+  ON l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY)
+SELECT o_orderkey, o_orderdate, l_linenumber, l_shipdate FROM j
+WHERE l_shipdate IS NOT NULL OR o_orderdate + INTERVAL 30 DAY < (SELECT w FROM wm)
+""")
 def request_results(t: Tables) -> DataFrame:
+    """All answers within 30 days, and the unanswered requests that the watermark has given up on."""
     requests = on_clock(read_stream(t.spark, t.path("orders")).select("o_orderkey", "o_orderdate"), "o_orderdate", "1 day")
     results = on_clock(
         read_stream(t.spark, t.path("lineitem")).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate"), "l_shipdate", "1 day"

@@ -82,21 +82,19 @@ def never_observed(plan: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     return desired.select(key).join(plan.select(key).distinct(), key, "left_anti").withColumn("action", F.lit("create"))
 
 
-def presence(stream: DataFrame, key: str, ts: str, timeout_s: int, slot_s: int | None = None) -> DataFrame:
+def activity_slots(stream: DataFrame, key: str, ts: str, slot_s: int) -> DataFrame:
+    """(key, first, last) activity per time slot: the compacted form of a session stream, by partial sums."""
+    return stream.groupBy(key, F.window(ts, f"{slot_s} seconds").alias("_w")).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last")
+    ).select(key, F.window_time("_w").alias("slot"), "first", "last")
+
+
+def presence(slots: DataFrame, key: str, timeout_s: int) -> DataFrame:
     """(key, state, at): online when a board is first heard, offline once it has been silent for the timeout.
 
-    The events of a key are first reduced to one row per time slot, no longer than the timeout, by a windowed
-    aggregation with partial sums; the stateful step sees only these rows, so a very busy board costs no more
-    than one row per slot. The stream needs a watermark on `ts`.
+    Works on a stream of activity slots no longer than the timeout, so a very busy board costs one row per slot
+    and nothing unbounded meets in one task. The stream needs a watermark on `slot`.
     """
-    slot_s = slot_s or timeout_s
-    if slot_s > timeout_s:
-        raise ValueError("a slot must not be longer than the timeout")
-    slots = stream.groupBy(key, F.window(ts, f"{slot_s} seconds")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
-    timed = slots.select(
-        key, F.col("window.end").alias("slot_end"), F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"),
-        F.window_time("window").alias("slot_time"),
-    )
     silence = timeout_s * 1_000_000
 
     def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -114,13 +112,13 @@ def presence(stream: DataFrame, key: str, ts: str, timeout_s: int, slot_s: int |
                     out += [("offline", last + silence), ("online", first)]
                 last = end if last is None else max(last, end)
             state.update((last,))
-            wake = max((last + silence) // 1000 + 1, state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(wake)
+            state.setTimeoutTimestamp(max((last + silence) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame({key: [name[0]] * len(out), "state": [s for s, _ in out], "at_us": [a for _, a in out]})
 
-    key_type = stream.schema[key].dataType.simpleString()
-    changes = timed.groupBy(key).applyInPandasWithState(
+    micros = slots.select(key, "slot", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
+    key_type = slots.schema[key].dataType.simpleString()
+    changes = micros.groupBy(key).applyInPandasWithState(
         follow, f"`{key}` {key_type}, state string, at_us bigint", "last bigint", "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -38,16 +38,20 @@ def on_clock(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream over the available data and return its output table."""
-    spark = stream.sparkSession
-    path = fresh_path(spark, name)
+def append_table(stream: DataFrame, name: str) -> str:
+    """Run an append-mode stream over the available data; gives the folder its output was written to."""
+    path = fresh_path(stream.sparkSession, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", path + "-progress").start(path)
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return path
+
+
+def run_append(stream: DataFrame, name: str) -> DataFrame:
+    """Run an append-mode stream over the available data and return its output table."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(append_table(stream, name))
 
 
 def run_batches(stream: DataFrame, name: str, work: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
