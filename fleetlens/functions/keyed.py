@@ -1,9 +1,9 @@
 """Per-key primitives that hold when one key owns a large share of all rows.
 
-Picking one row per key is an aggregate, so it is reduced before the shuffle. Looking at the previous row of
-a key is done in two levels: the caller's bucket (a value that grows with the order, such as the hour of the
-event) splits every key, the window runs inside (key, bucket), and one summary row per (key, bucket) carries
-values across bucket borders.
+Picking one row per key is an aggregate, so it is reduced before the shuffle. Looking at earlier rows of a key
+needs order. Where no key has more rows than `split`, that is a plain window. Where one has, its rows are cut
+into slices of the order column, the window runs inside (key, slice), and one summary row per (key, slice)
+carries values across the cuts; the rows themselves are still shuffled only once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SPLIT_ROWS = 2_000_000
 
 
 def one_row_per(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True) -> DataFrame:
@@ -19,56 +22,76 @@ def one_row_per(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    pick = F.max_by if last else F.min_by
-    row = pick(F.struct(*rest), F.struct(*(order or rest))).alias("_row")
-    return df.groupBy(*keys).agg(row).select(*[c if c in keys else f"_row.{c}" for c in df.columns])
-
-
-def hour_bucket(ts: str) -> Column:
-    return F.date_trunc("hour", F.col(ts))
+    if order is None:
+        row = (F.max if last else F.min)(F.struct(*rest))
+    else:
+        row = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*order))
+    picked = df.groupBy(*keys).agg(row.alias("_row"))
+    return picked.select(*[c if c in keys else f"_row.{c}" for c in df.columns])
 
 
 def day_bucket(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
-def number_bucket(col: str, width: int = 100_000) -> Column:
-    return F.floor(F.col(col) / width)
+def slices(df: DataFrame, keys: Sequence[str], order: str, split: int | Column) -> Column | None:
+    """The column that cuts hot keys, or None where no key has more than `split` rows.
+
+    Counts rows per key (partial counts, two columns read) and brings one number back: the slice width at which
+    every hot key falls into about four times as many slices as it needs, to allow for uneven spread.
+    A column given instead of a number is used as it is; it must not fall as the order rises.
+    """
+    if isinstance(split, Column):
+        return split
+    kind = df.schema[order].dataType
+    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+    at = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(at) - F.min(at)).alias("_span"))
+    needed = F.ceil(F.col("_n") / split) * 4
+    width = per_key.where(F.col("_n") > split).agg(F.min(F.col("_span") / needed)).first()[0]
+    if width is None or width == 0:
+        return None
+    return F.floor(at / F.lit(float(width)))
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], split: int | Column = SPLIT_ROWS
 ) -> DataFrame:
     """Add, under new names, column values of the previous row of the same key."""
     keys, order = list(keys), list(order)
     taken = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    parts = df.withColumn("_bucket", bucket)
-    tails = parts.groupBy(*keys, "_bucket").agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = tails.select(*keys, "_bucket", F.lag("_tail").over(across).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    seen = parts.withColumn("_previous", F.lag(taken).over(inside)).join(carried, [*keys, "_bucket"], "left")
-    previous = F.coalesce("_previous", "_carried")
-    return seen.withColumn("_previous", previous).select(
-        *df.columns, *[F.col(f"_previous.{new}").alias(new) for new in values]
-    )
+    slice_ = slices(df, keys, order[0], split)
+    if slice_ is None:
+        seen = df.withColumn("_previous", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        parts = df.withColumn("_slice", slice_)
+        tails = parts.groupBy(*keys, "_slice").agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
+        across = Window.partitionBy(*keys).orderBy("_slice")
+        carried = tails.select(*keys, "_slice", F.lag("_tail").over(across).alias("_carried"))
+        inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        seen = parts.withColumn("_inside", F.lag(taken).over(inside)).join(carried, [*keys, "_slice"], "left")
+        seen = seen.withColumn("_previous", F.coalesce("_inside", "_carried"))
+    return seen.select(*df.columns, *[F.col(f"_previous.{new}").alias(new) for new in values])
 
 
 def with_running_counts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flags: dict[str, Column], bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flags: dict[str, Column], split: int | Column = SPLIT_ROWS
 ) -> DataFrame:
     """Add, for each flag, how many rows of the same key up to and including this one raise it."""
     keys, order = list(keys), list(order)
-    parts = df.select("*", bucket.alias("_bucket"), *[
-        F.when(flag, 1).otherwise(0).alias(f"_flag_{n}") for n, flag in flags.items()
-    ])
-    totals = parts.groupBy(*keys, "_bucket").agg(*[F.sum(f"_flag_{n}").alias(f"_sum_{n}") for n in flags])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_bucket", *[
+    ones = {n: F.when(flag, 1).otherwise(0) for n, flag in flags.items()}
+    slice_ = slices(df, keys, order[0], split)
+    if slice_ is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(one).over(upto).alias(n) for n, one in ones.items()])
+    parts = df.select("*", slice_.alias("_slice"), *[one.alias(f"_one_{n}") for n, one in ones.items()])
+    totals = parts.groupBy(*keys, "_slice").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_slice", *[
         F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carried_{n}") for n in flags
     ])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = parts.select("*", *[F.sum(f"_flag_{n}").over(inside).alias(f"_in_{n}") for n in flags])
-    return counted.join(carried, [*keys, "_bucket"], "left").select(
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = parts.select("*", *[F.sum(f"_one_{n}").over(inside).alias(f"_in_{n}") for n in flags])
+    return counted.join(carried, [*keys, "_slice"], "left").select(
         *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_carried_{n}")).alias(n) for n in flags]
     )

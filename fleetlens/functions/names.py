@@ -11,7 +11,7 @@ def slug(text: Column) -> Column:
     step = F.translate(F.lower(F.trim(text)), "@._:", "----")
     step = F.regexp_replace(step, "[^a-z0-9-]", "")
     step = F.trim(F.regexp_replace(step, "-+", "-"), F.lit("-"))
-    return F.when(step == "", F.lit("x")).otherwise(step)
+    return F.coalesce(F.nullif(step, F.lit("")), F.lit("x"))
 
 
 def user_of_subject(subject: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import number_bucket, with_running_counts
+from fleetlens.functions.keyed import SPLIT_ROWS, with_running_counts
 from fleetlens.functions.names import reference_repo, reference_tag, url_host, url_scheme
 from fleetlens.operators.ranking import first_per_key
 
@@ -32,9 +32,13 @@ def plain(line: Column) -> Column:
     return F.regexp_replace(line, ANSI, "")
 
 
+def _clean(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("line", plain(F.col("line")))
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Strip colours and tag each line with its level; lines without a tag are 'plain'."""
-    clean = lines.withColumn("line", plain(F.col("line")))
+    clean = _clean(lines)
     tag = F.regexp_extract("line", LEVEL, 1)
     level = (
         F.when(tag != "", tag).when(F.col("line").rlike("^\\s*ERROR\\b"), "ERROR").otherwise("plain")
@@ -42,20 +46,21 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     return clean.withColumn("level", level)
 
 
-def step_outcomes(lines: DataFrame, start: str = STEP_START, done: str = STEP_DONE) -> DataFrame:
+def step_outcomes(
+    lines: DataFrame, start: str = STEP_START, done: str = STEP_DONE, split: int | Column = SPLIT_ROWS
+) -> DataFrame:
     """(run_id, title, occurrence, start_line, end_line, finished) for every started step.
 
     A start is paired with the first end of the same title before the next start of that title.
     """
-    text = plain(F.col("line"))
-    marks = lines.select(
-        "run_id", "line_no", F.regexp_extract(text, start, 1).alias("_opens"), F.regexp_extract(text, done, 1).alias("_ends")
+    marks = _clean(lines).select(
+        "run_id", "line_no", F.regexp_extract("line", start, 1).alias("_opens"), F.regexp_extract("line", done, 1).alias("_ends")
     ).where((F.col("_opens") != "") | (F.col("_ends") != "")).select(
         "run_id", "line_no", F.when(F.col("_opens") != "", F.col("_opens")).otherwise(F.col("_ends")).alias("title"),
         (F.col("_opens") != "").alias("_is_open"),
     )
     numbered = with_running_counts(
-        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, number_bucket("line_no")
+        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, split
     )
     return numbered.where(F.col("occurrence") > 0).groupBy("run_id", "title", "occurrence").agg(
         F.min(F.when(F.col("_is_open"), F.col("line_no"))).alias("start_line"),
@@ -65,30 +70,34 @@ def step_outcomes(lines: DataFrame, start: str = STEP_START, done: str = STEP_DO
 
 def run_summary(lines: DataFrame) -> DataFrame:
     """Per run: steps started and finished, boards total and online, settings compiled, suite completed."""
-    text = plain(F.col("line"))
-
     def reported(pattern: str) -> Column:
-        return F.max(F.regexp_extract(text, pattern, 1).try_cast("int"))
+        return F.regexp_extract("line", pattern, 1).try_cast("int")
 
-    return lines.groupBy("run_id").agg(
-        F.count_if(text.rlike(STEP_START)).alias("started"),
-        F.count_if(text.rlike(STEP_DONE)).alias("finished"),
+    read = _clean(lines).select(
+        "run_id",
+        F.col("line").rlike(STEP_START).alias("started"),
+        F.col("line").rlike(STEP_DONE).alias("finished"),
         reported(BOARDS_TOTAL).alias("boards_total"),
         reported(BOARDS_ONLINE).alias("boards_online"),
         reported(SETTINGS_COMPILED).alias("compiled"),
-        F.bool_or(text.rlike(SUITE_DONE)).alias("completed"),
+        F.col("line").rlike(SUITE_DONE).alias("completed"),
+    )
+    return read.groupBy("run_id").agg(
+        F.count_if("started").alias("started"), F.count_if("finished").alias("finished"),
+        F.max("boards_total").alias("boards_total"), F.max("boards_online").alias("boards_online"),
+        F.max("compiled").alias("compiled"), F.bool_or("completed").alias("completed"),
     )
 
 
 def poll_attempts(lines: DataFrame) -> DataFrame:
     """(run_id, line_no, attempt, attempts, ready, synced) out of the polling lines."""
-    text = plain(F.col("line"))
-    return lines.where(text.rlike(POLL)).select(
+    polls = _clean(lines).where(F.col("line").rlike(POLL))
+    return polls.select(
         "run_id", "line_no",
-        F.regexp_extract(text, POLL, 1).cast("int").alias("attempt"),
-        F.regexp_extract(text, POLL, 2).cast("int").alias("attempts"),
-        (F.regexp_extract(text, POLL, 3) == "True").alias("ready"),
-        (F.regexp_extract(text, POLL, 4) == "True").alias("synced"),
+        F.regexp_extract("line", POLL, 1).cast("int").alias("attempt"),
+        F.regexp_extract("line", POLL, 2).cast("int").alias("attempts"),
+        (F.regexp_extract("line", POLL, 3) == "True").alias("ready"),
+        (F.regexp_extract("line", POLL, 4) == "True").alias("synced"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,9 @@ def role_rules(spark: SparkSession, api_group: str, config_group: str) -> DataFr
         for role, rules in SITE_ROLES.items() for resource, verbs in rules.items()
     ]
     rows += [(role, *rule) for role, rules in PROJECT_ROLES.items() for rule in rules]
-    return spark.createDataFrame(
-        rows, "role string, api_groups array<string>, resources array<string>, verbs array<string>"
-    )
+    names = pa.list_(pa.string())
+    schema = pa.schema([("role", pa.string()), ("api_groups", names), ("resources", names), ("verbs", names)])
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row)) for row in rows], schema))
 
 
 def group_claims(users: DataFrame, whitelist: str, catch_all: str = CATCH_ALL) -> DataFrame:
@@ -77,32 +78,46 @@ def group_claims(users: DataFrame, whitelist: str, catch_all: str = CATCH_ALL) -
     return parsed.unionByName(everyone)
 
 
-def effective_permissions(bindings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (subject, namespace, api_group, resource, verb); a binding without namespace holds in all ('*')."""
-    granted = bindings.select("subject", F.coalesce("namespace", F.lit("*")).alias("namespace"), "role").distinct()
-    flat = rules.withColumn("api_group", F.explode("api_groups")).withColumn(
+def _granted(bindings: DataFrame) -> DataFrame:
+    """Distinct (subject, namespace, role); a binding without namespace holds in all of them ('*')."""
+    return bindings.select("subject", F.coalesce("namespace", F.lit("*")).alias("namespace"), "role").distinct()
+
+
+def _flat(rules: DataFrame) -> DataFrame:
+    """Distinct (role, api_group, resource, verb)."""
+    return rules.withColumn("api_group", F.explode("api_groups")).withColumn(
         "resource", F.explode("resources")
     ).withColumn("verb", F.explode("verbs")).select("role", "api_group", "resource", "verb").distinct()
-    return granted.join(flat, "role").select("subject", "namespace", "api_group", "resource", "verb").distinct()
 
 
-def can_i(asks: DataFrame, permissions: DataFrame) -> DataFrame:
+def effective_permissions(bindings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct (subject, namespace, api_group, resource, verb) that the bindings grant."""
+    held = _granted(bindings).join(_flat(rules), "role")
+    return held.select("subject", "namespace", "api_group", "resource", "verb").distinct()
+
+
+def can_i(asks: DataFrame, bindings: DataFrame, rules: DataFrame) -> DataFrame:
     """Add `allowed` to asks (subject, namespace, api_group, resource, verb).
 
-    A wildcard may stand on any axis of a permission. Each distinct ask is looked up under its 16 possible
-    spellings, exact or '*' per axis, so the match is an equi-join and no side has to be broadcast.
+    A rule may hold '*' on any axis. The few distinct (api_group, resource, verb) asked for are looked up under
+    their eight spellings to learn which roles cover them; each distinct ask is then looked up among the
+    bindings of its subject, in its namespace or in all. Every match is an equi-join, so no side has to be
+    broadcast, and the granted permissions are never spelled out.
     """
-    axes = ["namespace", "api_group", "resource", "verb"]
-    distinct = asks.select("subject", *axes).distinct()
+    axes = ["api_group", "resource", "verb"]
     spellings = F.array(*[
         F.struct(*[(F.lit("*") if wild else F.col(axis)).alias(f"_{axis}") for axis, wild in zip(axes, mask)])
         for mask in product((False, True), repeat=len(axes))
     ])
-    spelled = distinct.select("subject", *axes, F.explode(spellings).alias("_s")).select("subject", *axes, "_s.*")
-    held = permissions.select("subject", *[F.col(axis).alias(f"_{axis}") for axis in axes])
-    hits = spelled.join(held, ["subject", *[f"_{axis}" for axis in axes]], "left_semi")
-    yes = hits.select("subject", *axes).distinct().withColumn("allowed", F.lit(True))
-    return asks.join(yes, ["subject", *axes], "left").select(
+    shapes = asks.select(*axes).distinct().select(*axes, F.explode(spellings).alias("_s")).select(*axes, "_s.*")
+    renamed = _flat(rules).select("role", *[F.col(axis).alias(f"_{axis}") for axis in axes])
+    covers = shapes.join(renamed, [f"_{axis}" for axis in axes]).select("role", *axes).distinct()
+    distinct = asks.select("subject", "namespace", *axes).distinct()
+    scoped = distinct.withColumn("_in", F.explode(F.array(F.col("namespace"), F.lit("*"))))
+    held = _granted(bindings).withColumnRenamed("namespace", "_in")
+    yes = scoped.join(held, ["subject", "_in"]).join(covers, ["role", *axes], "left_semi")
+    yes = yes.select("subject", "namespace", *axes).distinct().withColumn("allowed", F.lit(True))
+    return asks.join(yes, ["subject", "namespace", *axes], "left").select(
         *asks.columns, F.coalesce("allowed", F.lit(False)).alias("allowed")
     )
 

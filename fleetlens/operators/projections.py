@@ -56,8 +56,8 @@ def assign_agent(
 
 
 def code_filter(df: DataFrame, col: str, pattern: str) -> DataFrame:
-    """Rows whose code matches a LIKE pattern, in code order."""
-    return df.where(F.col(col).like(pattern)).orderBy(col)
+    """Rows whose code matches a LIKE pattern, in code order, ties settled by the other columns."""
+    return df.where(F.col(col).like(pattern)).orderBy(col, *[c for c in df.columns if c != col])
 
 
 def selector_filter(

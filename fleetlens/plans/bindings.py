@@ -65,7 +65,7 @@ agents AS (
 
 def run_lines(t: Tables) -> DataFrame:
     """Every event as a log line: the board is the run, the event id the line number."""
-    k, value, kind = reading_k(), F.col("value"), F.col("event_type")
+    k, value, kind = F.col("k"), F.col("value"), F.col("event_type")
     step = F.concat(F.lit("step "), F.floor(k / 10).cast("string"))
     line = (
         F.when(kind == "signup", F.concat(F.lit("\x1b[0;34m[INFO]\x1b[0m === "), step, F.lit(" ===")))
@@ -79,7 +79,9 @@ def run_lines(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("ERROR "), k, F.lit(" at line "), F.col("event_id"), F.lit(": table of tier "),
                             F.when(value > 10, "high").otherwise("low"), F.lit(" is missing")))
     )
-    return t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return t.events.withColumn("k", reading_k()).select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"), line.alias("line")
+    )
 
 
 LINES_SQL = f"""

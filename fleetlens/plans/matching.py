@@ -358,13 +358,9 @@ def bindings(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_name").alias("subject"), role.alias("role"), scope.alias("namespace"))
 
 
-def permissions(t: Tables) -> DataFrame:
-    return perm.effective_permissions(bindings(t), perm.role_rules(t.spark, GROUP, CONFIG))
-
-
 @query("J9_effective_permissions", f"WITH {_rules_sql()} SELECT subject, namespace, api_group, resource, verb FROM permissions")
 def effective_permissions(t: Tables) -> DataFrame:
-    return permissions(t)
+    return perm.effective_permissions(bindings(t), perm.role_rules(t.spark, GROUP, CONFIG))
 
 
 @query("J9_can_i", f"""
@@ -389,7 +385,7 @@ def can_i(t: Tables) -> DataFrame:
         "o_orderkey", "subject", F.when(status == "F", "ns-0").otherwise(own).alias("namespace"),
         F.when(status == "P", CONFIG).otherwise(GROUP).alias("api_group"), resource.alias("resource"), verb.alias("verb"),
     )
-    return perm.can_i(asks, permissions(t))
+    return perm.can_i(asks, bindings(t), perm.role_rules(t.spark, GROUP, CONFIG))
 
 
 @query("P10_group_claims", """

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import day_bucket, hour_bucket
+from fleetlens.functions.keyed import day_bucket
 from fleetlens.operators import logs, telemetry
 from fleetlens.operators.worker import worker_map
 from fleetlens.plans.bindings import K_SQL, LINES_SQL, reading_k, run_lines
@@ -150,7 +150,7 @@ SELECT user_id, prev AS gap_from, ts AS gap_to, (epoch_us(ts) - epoch_us(prev))
 WHERE epoch_us(ts) - epoch_us(prev) > CAST(12 AS BIGINT) * 3600 * 1000000
 """)
 def gaps(t: Tables) -> DataFrame:
-    return telemetry.gap_report(t.events, ["user_id"], "ts", "event_id", 3600, 12, hour_bucket("ts"))
+    return telemetry.gap_report(t.events, ["user_id"], "ts", "event_id", 3600, 12)
 
 
 @query("M4_gap_counts", """
@@ -182,7 +182,7 @@ FROM r GROUP BY user_id, run_no
 def runs(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     readings = t.events.select("user_id", "ts", "event_id", "event_type", reading_k().cast("bigint").alias("k"))
-    return telemetry.plugin_runs(readings, ["user_id"], ["ts", "event_id"], kind == "signup", kind == "error", hour_bucket("ts"), "k")
+    return telemetry.plugin_runs(readings, ["user_id"], ["ts", "event_id"], kind == "signup", kind == "error", "k")
 
 
 def last_and_count(readings: Iterator[pd.DataFrame], params: dict) -> Iterator[dict[str, list]]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import hour_bucket
 from fleetlens.plans.registry import Tables, query
 from fleetlens.streaming import jobs
 from fleetlens.streaming.sinks import append_table, on_clock, read_stream, run_append, run_update
@@ -22,7 +21,7 @@ WHERE prev IS NULL OR event_type IS DISTINCT FROM was
 """)
 def desired_changes(t: Tables) -> DataFrame:
     stream = read_stream(t.spark, t.path("events")).select("event_id", "user_id", "ts", "event_type")
-    return jobs.desired_changes(stream, "user_id", ["ts", "event_id"], ["event_type"], hour_bucket("ts"))
+    return jobs.desired_changes(stream, "user_id", ["ts", "event_id"], ["event_type"])
 
 
 @query("R2_drift_stream", """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import hour_bucket
 from fleetlens.operators import aggregates as op
 from fleetlens.operators import ranking, sets
 from fleetlens.operators.logs import poll_attempts
@@ -153,7 +152,7 @@ SELECT user_id, event_id, ts, was AS from_state, event_type AS to_state, (epoch_
 FROM c WHERE prev IS NOT NULL
 """)
 def transitions(t: Tables) -> DataFrame:
-    return ranking.transitions(t.events, ["user_id"], "ts", "event_type", "event_id", hour_bucket("ts"))
+    return ranking.transitions(t.events, ["user_id"], "ts", "event_type", "event_id")
 
 
 @query("W7_poll_until", f"""

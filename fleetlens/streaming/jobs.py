@@ -9,42 +9,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetlens.functions.keyed import one_row_per, with_previous
+from fleetlens.functions.keyed import SPLIT_ROWS, one_row_per, with_previous
 from fleetlens.functions.values import changed_columns
 from fleetlens.streaming.sinks import read_batches, run_batches, write_batch
 
 
 def desired_changes(
-    stream: DataFrame, key: str, order: Sequence[str], watched: Sequence[str], bucket: Column, name: str = "changes"
+    stream: DataFrame, key: str, order: Sequence[str], watched: Sequence[str], split: int | Column = SPLIT_ROWS,
+    merge_every: int = 20, name: str = "changes",
 ) -> DataFrame:
     """Events whose watched fields differ from the key's event before; the first event of a key counts.
 
-    Inside a micro-batch events are compared in two levels, so a key owning most of a batch is spread over
-    tasks; across batches the last fingerprint of each key is looked up in a table of what earlier batches left.
+    Inside a micro-batch events are compared with `with_previous`, so a key owning most of a batch is cut over
+    tasks. Across batches the last fingerprint of each key is looked up in the marks: every batch leaves those
+    of the keys it touched, and every `merge_every` batches all are merged, so a lookup never reads a long past.
     """
     spark = stream.sparkSession
     order = list(order)
-    mark = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in watched]), 256)
-    key_type = stream.schema[key].dataType.simpleString()
-    kept = f"`{key}` {key_type}, mark string"
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in watched]
+    mark = F.sha2(F.concat_ws("\x1f", *fields), 256)
+    kept = f"`{key}` {stream.schema[key].dataType.simpleString()}, mark string"
 
     def work(rows: DataFrame, batch: int, path: str) -> None:
-        spark_ = rows.sparkSession
+        here = rows.sparkSession
         marked = rows.withColumn("mark", mark)
-        seen = with_previous(marked, [key], order, {"_was": "mark"}, bucket)
+        seen = with_previous(marked, [key], order, {"_was": "mark"}, split)
+        touched = one_row_per(marked, [key], order).select(key, "mark")
         if batch > 0:
-            # Every batch leaves only the keys it touched; the newest entry of a key is its last fingerprint.
-            left = read_batches(spark_, f"{path}/marks", kept).where(F.col("batch") < batch)
-            left = left.join(rows.select(key).distinct(), key, "left_semi")
-            last = one_row_per(left, [key], ["batch"]).select(key, F.col("mark").alias("_left"))
+            base = (batch - 1) // merge_every * merge_every
+            recent = read_batches(here, f"{path}/marks", kept).where((F.col("batch") < batch) & (F.col("batch") > base))
+            left = recent.unionByName(read_batches(here, f"{path}/merged", kept).where(F.col("batch") == base))
+            asked = left.join(rows.select(key).distinct(), key, "left_semi")
+            last = one_row_per(asked, [key], ["batch"]).select(key, F.col("mark").alias("_left"))
             seen = seen.join(last, key, "left").withColumn("_was", F.coalesce("_was", "_left")).drop("_left")
         changed = seen.where(F.col("_was").isNull() | (F.col("_was") != F.col("mark")))
         write_batch(changed.drop("_was", "mark"), batch, f"{path}/events")
-        write_batch(one_row_per(marked, [key], order).select(key, "mark"), batch, f"{path}/marks")
+        write_batch(touched, batch, f"{path}/marks")
+        if batch % merge_every == 0:
+            everything = touched.withColumn("batch", F.lit(batch))
+            if batch > 0:
+                everything = everything.unionByName(left)
+            write_batch(one_row_per(everything, [key], ["batch"]).drop("batch"), batch, f"{path}/merged")
 
     path = run_batches(stream, name, work)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return read_batches(spark, f"{path}/events", fields).drop("batch")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return read_batches(spark, f"{path}/events", schema).drop("batch")
 
 
 def drift_stream(
