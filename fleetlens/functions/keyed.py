@@ -54,6 +54,11 @@ def slices(df: DataFrame, keys: Sequence[str], order: str, split: int | Column)
     return F.floor(at / F.lit(float(width)))
 
 
+def _cut(keys: Sequence[str], slice_: Column) -> list[Column]:
+    """Key and slice to group and join on; neither is ever NULL, so rows without a key keep together too."""
+    return [F.struct(*keys).alias("_key"), F.struct(slice_.alias("at")).alias("_slice")]
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], split: int | Column = SPLIT_ROWS
 ) -> DataFrame:
@@ -64,12 +69,12 @@ def with_previous(
     if slice_ is None:
         seen = df.withColumn("_previous", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order)))
     else:
-        parts = df.withColumn("_slice", slice_)
-        tails = parts.groupBy(*keys, "_slice").agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
-        across = Window.partitionBy(*keys).orderBy("_slice")
-        carried = tails.select(*keys, "_slice", F.lag("_tail").over(across).alias("_carried"))
-        inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        seen = parts.withColumn("_inside", F.lag(taken).over(inside)).join(carried, [*keys, "_slice"], "left")
+        parts = df.select("*", *_cut(keys, slice_))
+        tails = parts.groupBy("_key", "_slice").agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
+        across = Window.partitionBy("_key").orderBy("_slice")
+        carried = tails.select("_key", "_slice", F.lag("_tail").over(across).alias("_carried"))
+        inside = Window.partitionBy("_key", "_slice").orderBy(*order)
+        seen = parts.withColumn("_inside", F.lag(taken).over(inside)).join(carried, ["_key", "_slice"], "left")
         seen = seen.withColumn("_previous", F.coalesce("_inside", "_carried"))
     return seen.select(*df.columns, *[F.col(f"_previous.{new}").alias(new) for new in values])
 
@@ -84,14 +89,14 @@ def with_running_counts(
     if slice_ is None:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(one).over(upto).alias(n) for n, one in ones.items()])
-    parts = df.select("*", slice_.alias("_slice"), *[one.alias(f"_one_{n}") for n, one in ones.items()])
-    totals = parts.groupBy(*keys, "_slice").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags])
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_slice", *[
+    parts = df.select("*", *_cut(keys, slice_), *[one.alias(f"_one_{n}") for n, one in ones.items()])
+    totals = parts.groupBy("_key", "_slice").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags])
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_key", "_slice", *[
         F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carried_{n}") for n in flags
     ])
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = parts.select("*", *[F.sum(f"_one_{n}").over(inside).alias(f"_in_{n}") for n in flags])
-    return counted.join(carried, [*keys, "_slice"], "left").select(
+    return counted.join(carried, ["_key", "_slice"], "left").select(
         *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_carried_{n}")).alias(n) for n in flags]
     )

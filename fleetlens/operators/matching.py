@@ -53,26 +53,23 @@ def reconcile_plan(
     """(keys, action, changed) for every resource wanted or seen.
 
     action: create, update (or replace), noop, and for resources nobody wants delete, or orphan when the
-    deletion policy is not 'Delete'. Repeated keys on a side are reduced before the join, their largest row counts.
+    deletion policy is not 'Delete'. Both sides go through one aggregate by key instead of an outer join: it takes
+    one shuffle, shrinks repeated keys before it (their largest row counts), and treats a NULL key as a key.
     """
     keys, compare = list(keys), list(compare)
-    want = one_row_per(desired.select(*keys, *compare), keys).select(
-        *keys, *[F.col(c).alias(f"_want_{c}") for c in compare], F.lit(True).alias("_wanted")
-    )
-    have = one_row_per(observed.select(*keys, *compare), keys).select(
-        *keys, *[F.col(c).alias(f"_have_{c}") for c in compare], F.lit(True).alias("_seen")
-    )
-    changed = changed_columns(
-        {c: F.col(f"_want_{c}") for c in compare}, {c: F.col(f"_have_{c}") for c in compare}
-    )
-    both = want.join(have, keys, "full_outer").withColumn("_changed", changed)
+    row = F.struct(F.lit(True).alias("_is"), *compare)
+    nothing = F.lit(None)
+    sides = desired.select(*keys, row.alias("_want"), nothing.alias("_have")).unionByName(
+        observed.select(*keys, nothing.alias("_want"), row.alias("_have"))
+    ).groupBy(*keys).agg(F.max("_want").alias("_want"), F.max("_have").alias("_have"))
+    changed = changed_columns({c: F.col(f"_want.{c}") for c in compare}, {c: F.col(f"_have.{c}") for c in compare})
     action = (
-        F.when(F.col("_seen").isNull(), "create")
-        .when(F.col("_wanted").isNull(), "delete" if deletion_policy == "Delete" else "orphan")
+        F.when(F.col("_have").isNull(), "create")
+        .when(F.col("_want").isNull(), "delete" if deletion_policy == "Delete" else "orphan")
         .when(F.size("_changed") > 0, "replace" if replace else "update")
         .otherwise("noop")
     )
-    return both.withColumn("action", action).select(
+    return sides.withColumn("_changed", changed).withColumn("action", action).select(
         *keys, "action",
         F.when(F.col("action").isin("update", "replace"), F.array_join("_changed", ",")).otherwise("").alias("changed"),
     )

@@ -1,4 +1,4 @@
-"""Set differences and unions of key lists. Sides are made distinct first: hot keys shrink before the shuffle."""
+"""Set differences and unions of key lists. Hot keys shrink to one row per task before any shuffle."""
 
 from __future__ import annotations
 
@@ -22,8 +22,10 @@ def union_inventory(*lists: DataFrame, col: str = "line") -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every key of two snapshots as added, removed or kept."""
-    old = before.select(*keys).distinct().withColumn("_old", F.lit(True))
-    new = after.select(*keys).distinct().withColumn("_new", F.lit(True))
-    state = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("kept")
-    return old.join(new, list(keys), "full_outer").select(*keys, state.alias("state"))
+    """Every key of two snapshots as added, removed or kept; one aggregate over both instead of a join."""
+    tagged = before.select(*keys, F.lit(True).alias("_old"), F.lit(False).alias("_new")).unionByName(
+        after.select(*keys, F.lit(False).alias("_old"), F.lit(True).alias("_new"))
+    )
+    sides = tagged.groupBy(*keys).agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
+    state = F.when(~F.col("_old"), "added").when(~F.col("_new"), "removed").otherwise("kept")
+    return sides.select(*keys, state.alias("state"))

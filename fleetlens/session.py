@@ -35,11 +35,13 @@ def build_session(app: str = "fleetlens", **overrides: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
     global _LOCAL_FOLDER
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_FOLDER is None:
         _LOCAL_FOLDER = tempfile.mkdtemp(prefix="fleetlens-")
     return _LOCAL_FOLDER

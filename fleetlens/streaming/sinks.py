@@ -28,9 +28,9 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
-    """Whether the table is a folder of files, told by the files Spark lists for it."""
-    files = spark.read.parquet(path).inputFiles()
-    return not (len(files) == 1 and files[0].endswith(path.rsplit("/", 1)[1]))
+    """Whether a table is a folder of files: then the first file listed for it has another name than the table."""
+    first = spark.read.format("binaryFile").load(path).select("path").first()
+    return first is None or first["path"].rsplit("/", 1)[1] != path.rsplit("/", 1)[1]
 
 
 def on_clock(stream: DataFrame, ts: str, delay: str) -> DataFrame:
