@@ -1,8 +1,8 @@
 """Per-key primitives that hold when one key owns a large share of all rows.
 
 Picking one row per key is an aggregate, so it is reduced before the shuffle. Looking at earlier rows of a key
-needs order. Where no key has more rows than `split`, that is a plain window. Where one has, its rows are cut
-into slices of the order column, the window runs inside (key, slice), and one summary row per (key, slice)
+needs order. Where `slices` finds no key with more than `split` rows, that is a plain window. Where it finds one, rows
+are cut into slices of the order column, the window runs inside (key, slice), and one summary row per (key, slice)
 carries values across the cuts; the rows themselves are still shuffled only once.
 """
 
@@ -54,22 +54,21 @@ def slices(df: DataFrame, keys: Sequence[str], order: str, split: int | Column)
     return F.floor(at / F.lit(float(width)))
 
 
-def _cut(keys: Sequence[str], slice_: Column) -> list[Column]:
+def _cut(keys: Sequence[str], cut: Column) -> list[Column]:
     """Key and slice to group and join on; neither is ever NULL, so rows without a key keep together too."""
-    return [F.struct(*keys).alias("_key"), F.struct(slice_.alias("at")).alias("_slice")]
+    return [F.struct(*keys).alias("_key"), F.struct(cut.alias("at")).alias("_slice")]
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], split: int | Column = SPLIT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], cut: Column | None = None
 ) -> DataFrame:
-    """Add, under new names, column values of the previous row of the same key."""
+    """Add, under new names, column values of the previous row of the same key. `cut` comes from `slices`."""
     keys, order = list(keys), list(order)
     taken = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    slice_ = slices(df, keys, order[0], split)
-    if slice_ is None:
+    if cut is None:
         seen = df.withColumn("_previous", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order)))
     else:
-        parts = df.select("*", *_cut(keys, slice_))
+        parts = df.select("*", *_cut(keys, cut))
         tails = parts.groupBy("_key", "_slice").agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
         across = Window.partitionBy("_key").orderBy("_slice")
         carried = tails.select("_key", "_slice", F.lag("_tail").over(across).alias("_carried"))
@@ -80,16 +79,15 @@ def with_previous(
 
 
 def with_running_counts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flags: dict[str, Column], split: int | Column = SPLIT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flags: dict[str, Column], cut: Column | None = None
 ) -> DataFrame:
-    """Add, for each flag, how many rows of the same key up to and including this one raise it."""
+    """Add, for each flag, how many rows of the same key up to and including this one raise it. `cut` as above."""
     keys, order = list(keys), list(order)
     ones = {n: F.when(flag, 1).otherwise(0) for n, flag in flags.items()}
-    slice_ = slices(df, keys, order[0], split)
-    if slice_ is None:
+    if cut is None:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(one).over(upto).alias(n) for n, one in ones.items()])
-    parts = df.select("*", *_cut(keys, slice_), *[one.alias(f"_one_{n}") for n, one in ones.items()])
+    parts = df.select("*", *_cut(keys, cut), *[one.alias(f"_one_{n}") for n, one in ones.items()])
     totals = parts.groupBy("_key", "_slice").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags])
     before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("_key", "_slice", *[

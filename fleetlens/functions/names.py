@@ -61,14 +61,14 @@ def url_host(url: Column) -> Column:
 def code_epoch(code: Column) -> Column:
     """Creation time carried in a code like NAME-1700000000-3."""
     digits = F.regexp_extract(code, "-([0-9]{9,})-[0-9]+$", 1)
-    return F.when(digits != "", F.timestamp_seconds(digits.cast("bigint")))
+    return F.when(digits != "", F.timestamp_seconds(digits.try_cast("bigint")))
 
 
 def age_seconds(text: Column) -> Column:
     """Seconds in an age like 2d3h, 3m19s or 26s."""
     def part(unit: str, seconds: int) -> Column:
         digits = F.regexp_extract(text, f"([0-9]+){unit}", 1)
-        return F.when(digits != "", digits.cast("bigint") * seconds).otherwise(F.lit(0))
+        return F.when(digits != "", digits.try_cast("bigint") * seconds).otherwise(F.lit(0))
 
     total = part("d", 86400) + part("h", 3600) + part("m", 60) + part("s", 1)
     return F.when(text.rlike("^([0-9]+[dhms])+$"), total)

@@ -37,6 +37,11 @@ def least_loaded(nodes: DataFrame, functions: DataFrame, by: Sequence[str] = (),
     return loaded.where(F.col("functions") == fewest.scalar())
 
 
+def pick_one(nodes: DataFrame, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """One of the tied nodes per group, chosen by a seeded hash so that a rerun chooses the same."""
+    return nodes.groupBy(*by).agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(seed)), "node")).alias("node"))
+
+
 def probe_status(http_status: str = "http_status", error: str = "error") -> Column:
     """unreachable when the probe failed, healthy on 200, else unhealthy."""
     return (

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import SPLIT_ROWS, with_running_counts
+from fleetlens.functions.keyed import SPLIT_ROWS, slices, with_running_counts
 from fleetlens.functions.names import reference_repo, reference_tag, url_host, url_scheme
 from fleetlens.operators.ranking import first_per_key
+from fleetlens.session import stage
 
 # The texts the run logs use.
 ANSI = "\\x1b\\[[0-9;]*m"
@@ -51,7 +52,8 @@ def step_outcomes(
 ) -> DataFrame:
     """(run_id, title, occurrence, start_line, end_line, finished) for every started step.
 
-    A start is paired with the first end of the same title before the next start of that title.
+    A start is paired with the first end of the same title before the next start of that title. The few marking
+    lines are written out first, so the logs themselves are read and searched once.
     """
     marks = _clean(lines).select(
         "run_id", "line_no", F.regexp_extract("line", start, 1).alias("_opens"), F.regexp_extract("line", done, 1).alias("_ends")
@@ -59,8 +61,9 @@ def step_outcomes(
         "run_id", "line_no", F.when(F.col("_opens") != "", F.col("_opens")).otherwise(F.col("_ends")).alias("title"),
         (F.col("_opens") != "").alias("_is_open"),
     )
+    marks = stage(marks, "marks")
     numbered = with_running_counts(
-        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, split
+        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, slices(marks, ["run_id", "title"], "line_no", split)
     )
     return numbered.where(F.col("occurrence") > 0).groupBy("run_id", "title", "occurrence").agg(
         F.min(F.when(F.col("_is_open"), F.col("line_no"))).alias("start_line"),
@@ -71,7 +74,7 @@ def step_outcomes(
 def run_summary(lines: DataFrame) -> DataFrame:
     """Per run: steps started and finished, boards total and online, settings compiled, suite completed."""
     def reported(pattern: str) -> Column:
-        return F.regexp_extract("line", pattern, 1).try_cast("int")
+        return F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")).try_cast("int")
 
     read = _clean(lines).select(
         "run_id",
@@ -94,8 +97,8 @@ def poll_attempts(lines: DataFrame) -> DataFrame:
     polls = _clean(lines).where(F.col("line").rlike(POLL))
     return polls.select(
         "run_id", "line_no",
-        F.regexp_extract("line", POLL, 1).cast("int").alias("attempt"),
-        F.regexp_extract("line", POLL, 2).cast("int").alias("attempts"),
+        F.regexp_extract("line", POLL, 1).try_cast("int").alias("attempt"),
+        F.regexp_extract("line", POLL, 2).try_cast("int").alias("attempts"),
         (F.regexp_extract("line", POLL, 3) == "True").alias("ready"),
         (F.regexp_extract("line", POLL, 4) == "True").alias("synced"),
     )

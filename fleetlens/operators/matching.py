@@ -75,6 +75,13 @@ def reconcile_plan(
     )
 
 
+def reconcile_resources(
+    desired: DataFrame, observed: DataFrame, kind: str, keys: Sequence[str] = ("uuid",), deletion_policy: str = "Delete"
+) -> DataFrame:
+    """The plan for a resource kind, comparing what the kind's controller compares and nothing else."""
+    return reconcile_plan(desired, observed, keys, COMPARED.get(kind, ()), deletion_policy, kind in REPLACED)
+
+
 def membership_probe(desired: DataFrame, observed: DataFrame, board: str, item: str, items: str) -> DataFrame:
     """Is each wanted (board, item) in the board's observed list: present, absent, or unknown without a list."""
     listed = observed.where(F.col(items).isNotNull())

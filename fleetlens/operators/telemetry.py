@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import SPLIT_ROWS, with_previous, with_running_counts
+from fleetlens.functions.keyed import SPLIT_ROWS, slices, with_previous, with_running_counts
 from fleetlens.sources.schemas import TELEMETRY
 
 # The range each metric is declared to stay in, and the shape of a reading's log line.
@@ -25,7 +25,7 @@ def telemetry_extract(lines: DataFrame, keep: Sequence[str] = ("run_id", "line_n
     """Typed readings with their sequence number out of log lines; broken JSON gives NULL fields."""
     return lines.where(F.col(col).rlike(READING)).select(
         *keep,
-        F.regexp_extract(col, READING, 1).cast("bigint").alias("seq"),
+        F.regexp_extract(col, READING, 1).try_cast("bigint").alias("seq"),
         F.from_json(F.regexp_extract(col, READING, 2), TELEMETRY).alias("_r"),
     ).select(*keep, "seq", "_r.*")
 
@@ -70,7 +70,7 @@ def gap_report(
     t: DataFrame, keys: Sequence[str], ts: str, tie: str, interval_s: int, k: float, split: int | Column = SPLIT_ROWS
 ) -> DataFrame:
     """(keys, gap_from, gap_to, gap_seconds) where a key was silent for more than k intervals."""
-    seen = with_previous(t.select(*keys, ts, tie), keys, [ts, tie], {"gap_from": ts}, split)
+    seen = with_previous(t.select(*keys, ts, tie), keys, [ts, tie], {"gap_from": ts}, slices(t, keys, ts, split))
     gap = _micros(ts) - _micros("gap_from")
     return seen.where(gap > F.lit(int(k * interval_s * 1_000_000))).select(
         *keys, "gap_from", F.col(ts).alias("gap_to"), F.floor(gap / 1_000_000).alias("gap_seconds")
@@ -115,7 +115,7 @@ def plugin_runs(
     claim = F.col(reported) if reported else F.lit(None).cast("bigint")
     marked = t.select(*keys, *order, starts.alias("_start"), stops.alias("_stop"), claim.alias("_claim"))
     numbered = with_running_counts(
-        marked, keys, order, {"run_no": F.col("_start"), "_part": F.col("_start") | F.col("_stop")}, split
+        marked, keys, order, {"run_no": F.col("_start"), "_part": F.col("_start") | F.col("_stop")}, slices(t, keys, order[0], split)
     ).where(F.col("run_no") > 0)
     # A part runs from one start or stop to the next; the first part of a run is the one its start opened.
     parts = numbered.groupBy(*keys, "run_no", "_part").agg(

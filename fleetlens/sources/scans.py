@@ -70,6 +70,16 @@ def registry_scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(REGISTRY[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def registry_query(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """The same table read from the live database over JDBC.
+
+    Pass partitionColumn, lowerBound, upperBound and numPartitions to read a large table in parallel.
+    """
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    wanted = T._parse_datatype_string(REGISTRY[table])
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields])
+
+
 def api_capture_scan(df: DataFrame, body: str, item: str, envelope: str | None = None) -> DataFrame:
     """Rows out of saved payloads: an object, an array, or an array wrapped in an envelope key.
 
