@@ -35,6 +35,16 @@ def changed_columns(left: dict[str, Column], right: dict[str, Column]) -> Column
     return F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
 
 
+def parsed_rows(df: DataFrame, keep: list[str], parsed: Column) -> DataFrame:
+    """The kept columns and the fields of `parsed`, for the rows where that struct is not NULL.
+
+    A filter on parsed text would be pushed below the expression and evaluate it a second time for every row; a
+    generator holds it above, so each text is searched once.
+    """
+    held = df.select(*keep, F.explode_outer(F.array(parsed)).alias("_parsed"))
+    return held.where(F.col("_parsed").isNotNull()).select(*keep, "_parsed.*")
+
+
 def condition_status(conditions: Column | str, kind: str) -> Column:
     """Status of the first condition of one type, 'Unknown' where there is none."""
     conditions = F.col(conditions) if isinstance(conditions, str) else conditions

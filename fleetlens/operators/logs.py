@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import SPLIT_ROWS, slices, with_running_counts
 from fleetlens.functions.names import reference_repo, reference_tag, url_host, url_scheme
+from fleetlens.functions.values import parsed_rows
 from fleetlens.operators.ranking import first_per_key
 from fleetlens.session import stage
 
@@ -39,12 +40,12 @@ def _clean(lines: DataFrame) -> DataFrame:
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Strip colours and tag each line with its level; lines without a tag are 'plain'."""
-    clean = _clean(lines)
-    tag = F.regexp_extract("line", LEVEL, 1)
-    level = (
-        F.when(tag != "", tag).when(F.col("line").rlike("^\\s*ERROR\\b"), "ERROR").otherwise("plain")
-    )
-    return clean.withColumn("level", level)
+    return _clean(lines).withColumn("level", _level(F.col("line")))
+
+
+def _level(line: Column) -> Column:
+    tag = F.regexp_extract(line, LEVEL, 1)
+    return F.coalesce(F.nullif(tag, F.lit("")), F.when(line.rlike("^\\s*ERROR\\b"), "ERROR"), F.lit("plain"))
 
 
 def step_outcomes(
@@ -55,12 +56,12 @@ def step_outcomes(
     A start is paired with the first end of the same title before the next start of that title. The few marking
     lines are written out first, so the logs themselves are read and searched once.
     """
-    marks = _clean(lines).select(
-        "run_id", "line_no", F.regexp_extract("line", start, 1).alias("_opens"), F.regexp_extract("line", done, 1).alias("_ends")
-    ).where((F.col("_opens") != "") | (F.col("_ends") != "")).select(
-        "run_id", "line_no", F.when(F.col("_opens") != "", F.col("_opens")).otherwise(F.col("_ends")).alias("title"),
-        (F.col("_opens") != "").alias("_is_open"),
-    )
+    def mark(pattern: str, is_open: bool) -> Column:
+        return F.when(F.col("line").rlike(pattern), F.struct(
+            F.lit(is_open).alias("_is_open"), F.regexp_extract("line", pattern, 1).alias("title")
+        ))
+
+    marks = parsed_rows(_clean(lines), ["run_id", "line_no"], F.coalesce(mark(start, True), mark(done, False)))
     marks = stage(marks, "marks")
     numbered = with_running_counts(
         marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, slices(marks, ["run_id", "title"], "line_no", split)
@@ -94,14 +95,13 @@ def run_summary(lines: DataFrame) -> DataFrame:
 
 def poll_attempts(lines: DataFrame) -> DataFrame:
     """(run_id, line_no, attempt, attempts, ready, synced) out of the polling lines."""
-    polls = _clean(lines).where(F.col("line").rlike(POLL))
-    return polls.select(
-        "run_id", "line_no",
+    poll = F.when(F.col("line").rlike(POLL), F.struct(
         F.regexp_extract("line", POLL, 1).try_cast("int").alias("attempt"),
         F.regexp_extract("line", POLL, 2).try_cast("int").alias("attempts"),
         (F.regexp_extract("line", POLL, 3) == "True").alias("ready"),
         (F.regexp_extract("line", POLL, 4) == "True").alias("synced"),
-    )
+    ))
+    return parsed_rows(_clean(lines), ["run_id", "line_no"], poll)
 
 
 def signature(text: Column) -> Column:
@@ -112,12 +112,18 @@ def signature(text: Column) -> Column:
 
 def error_signatures(lines: DataFrame) -> DataFrame:
     """Error lines by masked text: how many lines, in how many runs."""
-    errors = classify_lines(lines).where(F.col("level").isin("ERR", "ERROR"))
-    return signature_counts(errors, "line", "run_id")
+    clean = _clean(lines)
+    masked = F.when(_level(F.col("line")).isin("ERR", "ERROR"), F.struct(signature(F.trim("line")).alias("signature")))
+    return _signatures(parsed_rows(clean, ["run_id"], masked), "run_id")
 
 
 def signature_counts(df: DataFrame, text: str, run: str) -> DataFrame:
-    per_run = df.groupBy(signature(F.trim(F.col(text))).alias("signature"), run).agg(F.count(F.lit(1)).alias("_n"))
+    """All lines by masked text: how many lines, in how many runs."""
+    return _signatures(df.select(signature(F.trim(F.col(text))).alias("signature"), run), run)
+
+
+def _signatures(masked: DataFrame, run: str) -> DataFrame:
+    per_run = masked.groupBy("signature", run).agg(F.count(F.lit(1)).alias("_n"))
     return per_run.groupBy("signature").agg(F.sum("_n").alias("lines"), F.count(F.lit(1)).alias("runs"))
 
 

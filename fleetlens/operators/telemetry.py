@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import SPLIT_ROWS, slices, with_previous, with_running_counts
+from fleetlens.functions.values import parsed_rows
 from fleetlens.sources.schemas import TELEMETRY
 
 # The range each metric is declared to stay in, and the shape of a reading's log line.
@@ -23,11 +24,11 @@ READING = "#([0-9]+): (\\{.*\\})"
 
 def telemetry_extract(lines: DataFrame, keep: Sequence[str] = ("run_id", "line_no"), col: str = "line") -> DataFrame:
     """Typed readings with their sequence number out of log lines; broken JSON gives NULL fields."""
-    return lines.where(F.col(col).rlike(READING)).select(
-        *keep,
+    reading = F.when(F.col(col).rlike(READING), F.struct(
         F.regexp_extract(col, READING, 1).try_cast("bigint").alias("seq"),
         F.from_json(F.regexp_extract(col, READING, 2), TELEMETRY).alias("_r"),
-    ).select(*keep, "seq", "_r.*")
+    ))
+    return parsed_rows(lines, list(keep), reading).select(*keep, "seq", "_r.*")
 
 
 def sensor_rollup(t: DataFrame, by: Sequence[str], metrics: Sequence[str], ts: str, width: str) -> DataFrame:
