@@ -1,9 +1,9 @@
 """Per-key primitives that hold when one key owns a large share of all rows.
 
 Picking one row per key is an aggregate, so it is reduced before the shuffle. Looking at earlier rows of a key
-needs order. Where `slices` finds no key with more than `split` rows, that is a plain window. Where it finds one, rows
-are cut into slices of the order column, the window runs inside (key, slice), and one summary row per (key, slice)
-carries values across the cuts; the rows themselves are still shuffled only once.
+needs order. `hot_keys` counts rows per key first. Without a hot key that is a plain window. Otherwise the rows of
+the hot keys, and only these, are cut into slices of the order column: the window runs inside (key, slice), and one
+summary row per (hot key, slice) carries values across the cuts. The rows are shuffled once either way.
 """
 
 from __future__ import annotations
@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.session import stage
+
+# Above this many rows a key is cut; of so many keys only the largest this many are. Both only move work between
+# tasks: the result is the same for any values.
 SPLIT_ROWS = 2_000_000
+MOST_HOT_KEYS = 20_000
 
 
 def one_row_per(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True) -> DataFrame:
@@ -34,67 +39,84 @@ def day_bucket(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
-def slices(df: DataFrame, keys: Sequence[str], order: str, split: int | Column) -> Column | None:
-    """The column that cuts hot keys, or None where no key has more than `split` rows.
+def _place(df: DataFrame, order: str) -> Column:
+    """The order column as a number."""
+    timed = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType))
+    return F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: int = SPLIT_ROWS) -> DataFrame | None:
+    """(keys, _width): the keys with more than `split` rows and the width of their slices, or None without any.
 
-    Counts rows per key (partial counts, two columns read) and brings one number back: the slice width at which
-    every hot key falls into about four times as many slices as it needs, to allow for uneven spread.
-    A column given instead of a number is used as it is; it must not fall as the order rises.
+    Reads the key and order columns once, with partial counts. A hot key gets about four times as many slices as it
+    needs, to allow for uneven spread.
     """
-    if isinstance(split, Column):
-        return split
-    kind = df.schema[order].dataType
-    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
-    at = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(at) - F.min(at)).alias("_span"))
-    needed = F.ceil(F.col("_n") / split) * 4
-    width = per_key.where(F.col("_n") > split).agg(F.min(F.col("_span") / needed)).first()[0]
-    if width is None or width == 0:
-        return None
-    return F.floor(at / F.lit(float(width)))
+    at = _place(df, order)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(at) - F.min(at)).alias("_span"))
+    width = F.col("_span") / (F.ceil(F.col("_n") / split) * 4)
+    largest = counted.where((F.col("_n") > split) & (F.col("_span") > 0)).orderBy(F.desc("_n")).limit(MOST_HOT_KEYS)
+    hot = stage(largest.select(*keys, width.cast("double").alias("_width")), "hot")
+    return None if hot.isEmpty() else hot
 
 
-def _cut(keys: Sequence[str], cut: Column) -> list[Column]:
-    """Key and slice to group and join on; neither is ever NULL, so rows without a key keep together too."""
-    return [F.struct(*keys).alias("_key"), F.struct(cut.alias("at")).alias("_slice")]
+def _cut(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with their slice (`_width` is NULL on keys that are not hot), and the columns to group and join on.
+
+    Those columns are never NULL, so rows without a key keep together too, and they are plain values, which sort
+    and hash faster than a struct of the keys. The hot keys are few by `MOST_HOT_KEYS`, so they are broadcast.
+    """
+    named: dict[str, Column] = {}
+    for i, key in enumerate(keys):
+        numeric = isinstance(df.schema[key].dataType, T.NumericType)
+        value = F.coalesce(F.col(key), F.lit(0)) if numeric else F.coalesce(F.col(key).cast("string"), F.lit(""))
+        named |= {f"_key{i}": value, f"_none{i}": F.col(key).isNull()}
+    by = [*named]
+    widths = hot.select(*[c.alias(n) for n, c in named.items()], "_width")
+    parts = df.select("*", *[c.alias(n) for n, c in named.items()]).join(F.broadcast(widths), by, "left")
+    return parts.withColumn("_slice", F.coalesce(F.floor(_place(df, order) / F.col("_width")), F.lit(0))), by
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], cut: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], hot: DataFrame | None = None
 ) -> DataFrame:
-    """Add, under new names, column values of the previous row of the same key. `cut` comes from `slices`."""
+    """Add, under new names, column values of the previous row of the same key. `hot` comes from `hot_keys`."""
     keys, order = list(keys), list(order)
     taken = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    if cut is None:
+    if hot is None:
         seen = df.withColumn("_previous", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order)))
     else:
-        parts = df.select("*", *_cut(keys, cut))
-        tails = parts.groupBy("_key", "_slice").agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
-        across = Window.partitionBy("_key").orderBy("_slice")
-        carried = tails.select("_key", "_slice", F.lag("_tail").over(across).alias("_carried"))
-        inside = Window.partitionBy("_key", "_slice").orderBy(*order)
-        seen = parts.withColumn("_inside", F.lag(taken).over(inside)).join(carried, ["_key", "_slice"], "left")
+        parts, by = _cut(df, keys, order[0], hot)
+        tails = parts.where(F.col("_width").isNotNull()).groupBy(*by, "_slice").agg(
+            F.max_by(taken, F.struct(*order)).alias("_tail")
+        )
+        across = Window.partitionBy(*by).orderBy("_slice")
+        carried = tails.select(*by, "_slice", F.lag("_tail").over(across).alias("_carried"))
+        inside = Window.partitionBy(*by, "_slice").orderBy(*order)
+        seen = parts.withColumn("_inside", F.lag(taken).over(inside)).join(carried, [*by, "_slice"], "left")
         seen = seen.withColumn("_previous", F.coalesce("_inside", "_carried"))
     return seen.select(*df.columns, *[F.col(f"_previous.{new}").alias(new) for new in values])
 
 
 def with_running_counts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flags: dict[str, Column], cut: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flags: dict[str, Column], hot: DataFrame | None = None
 ) -> DataFrame:
-    """Add, for each flag, how many rows of the same key up to and including this one raise it. `cut` as above."""
+    """Add, for each flag, how many rows of the same key up to and including this one raise it. `hot` as above."""
     keys, order = list(keys), list(order)
     ones = {n: F.when(flag, 1).otherwise(0) for n, flag in flags.items()}
-    if cut is None:
+    if hot is None:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(one).over(upto).alias(n) for n, one in ones.items()])
-    parts = df.select("*", *_cut(keys, cut), *[one.alias(f"_one_{n}") for n, one in ones.items()])
-    totals = parts.groupBy("_key", "_slice").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags])
-    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("_key", "_slice", *[
+    parts, by = _cut(df, keys, order[0], hot)
+    parts = parts.select("*", *[one.alias(f"_one_{n}") for n, one in ones.items()])
+    totals = parts.where(F.col("_width").isNotNull()).groupBy(*by, "_slice").agg(
+        *[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags]
+    )
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, "_slice", *[
         F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carried_{n}") for n in flags
     ])
-    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = parts.select("*", *[F.sum(f"_one_{n}").over(inside).alias(f"_in_{n}") for n in flags])
-    return counted.join(carried, ["_key", "_slice"], "left").select(
-        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_carried_{n}")).alias(n) for n in flags]
+    return counted.join(carried, [*by, "_slice"], "left").select(
+        *df.columns, *[(F.col(f"_in_{n}") + F.coalesce(f"_carried_{n}", F.lit(0))).alias(n) for n in flags]
     )

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import SPLIT_ROWS, slices, with_running_counts
+from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, with_running_counts
 from fleetlens.functions.names import reference_repo, reference_tag, url_host, url_scheme
 from fleetlens.functions.values import parsed_rows
 from fleetlens.operators.ranking import first_per_key
@@ -49,7 +49,7 @@ def _level(line: Column) -> Column:
 
 
 def step_outcomes(
-    lines: DataFrame, start: str = STEP_START, done: str = STEP_DONE, split: int | Column = SPLIT_ROWS
+    lines: DataFrame, start: str = STEP_START, done: str = STEP_DONE, split: int = SPLIT_ROWS
 ) -> DataFrame:
     """(run_id, title, occurrence, start_line, end_line, finished) for every started step.
 
@@ -64,7 +64,7 @@ def step_outcomes(
     marks = parsed_rows(_clean(lines), ["run_id", "line_no"], F.coalesce(mark(start, True), mark(done, False)))
     marks = stage(marks, "marks")
     numbered = with_running_counts(
-        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, slices(marks, ["run_id", "title"], "line_no", split)
+        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, hot_keys(marks, ["run_id", "title"], "line_no", split)
     )
     return numbered.where(F.col("occurrence") > 0).groupBy("run_id", "title", "occurrence").agg(
         F.min(F.when(F.col("_is_open"), F.col("line_no"))).alias("start_line"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import SPLIT_ROWS, one_row_per, slices, with_previous
+from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, one_row_per, with_previous
 
 
 def latest_row(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("created_at",)) -> DataFrame:
@@ -59,19 +59,19 @@ def bounded_listing(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame
 
 
 def transitions(
-    df: DataFrame, keys: Sequence[str], ts: str, state: str, tie: str, split: int | Column = SPLIT_ROWS
+    df: DataFrame, keys: Sequence[str], ts: str, state: str, tie: str, split: int = SPLIT_ROWS
 ) -> DataFrame:
     """Rows whose state differs from the key's previous row, with the seconds spent in the state before.
 
     The first row of a key starts its first state and is no transition. Keys above `split` rows are cut by time.
     """
     keys = list(keys)
-    cut = slices(df, keys, ts, split)
-    seen = with_previous(df.select(*keys, ts, tie, state), keys, [ts, tie], {"_was": state, "_before": tie}, cut)
+    hot = hot_keys(df, keys, ts, split)
+    seen = with_previous(df.select(*keys, ts, tie, state), keys, [ts, tie], {"_was": state, "_before": tie}, hot)
     changes = seen.where(F.col("_before").isNull() | ~F.col(state).eqNullSafe(F.col("_was"))).withColumn(
         "_initial", F.col("_before").isNull()
     ).drop("_before")
-    timed = with_previous(changes, keys, [ts, tie], {"_since": ts}, cut)
+    timed = with_previous(changes, keys, [ts, tie], {"_since": ts}, hot)
     spent = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp"))
     return timed.where(~F.col("_initial")).select(
         *keys, tie, ts, F.col("_was").alias("from_state"), F.col(state).alias("to_state"),

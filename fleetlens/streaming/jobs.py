@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetlens.functions.keyed import SPLIT_ROWS, one_row_per, slices, with_previous
+from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, one_row_per, with_previous
 from fleetlens.functions.values import changed_columns
 from fleetlens.streaming.sinks import read_batches, run_batches, write_batch
 
 
 def desired_changes(
-    stream: DataFrame, key: str, order: Sequence[str], watched: Sequence[str], split: int | Column = SPLIT_ROWS,
+    stream: DataFrame, key: str, order: Sequence[str], watched: Sequence[str], split: int = SPLIT_ROWS,
     merge_every: int = 20, name: str = "changes",
 ) -> DataFrame:
     """Events whose watched fields differ from the key's event before; the first event of a key counts.
@@ -33,7 +33,7 @@ def desired_changes(
     def work(rows: DataFrame, batch: int, path: str) -> None:
         here = rows.sparkSession
         marked = rows.withColumn("mark", mark)
-        seen = with_previous(marked, [key], order, {"_was": "mark"}, slices(rows, [key], order[0], split))
+        seen = with_previous(marked, [key], order, {"_was": "mark"}, hot_keys(rows, [key], order[0], split))
         touched = one_row_per(marked, [key], order).select(key, "mark")
         if batch > 0:
             base = (batch - 1) // merge_every * merge_every

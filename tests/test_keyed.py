@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import one_row_per, slices, with_previous, with_running_counts
+from fleetlens.functions.keyed import _cut, hot_keys, one_row_per, with_previous, with_running_counts
 from fleetlens.operators.ranking import transitions
 from fleetlens.operators.telemetry import gap_report, plugin_runs
 
@@ -25,33 +25,29 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_slices_only_where_a_key_is_hot(skewed):
-    assert slices(skewed, ["key"], "ts", 10_000_000) is None
-    cut = slices(skewed, ["key"], "ts", 200)
-    counts = skewed.groupBy("key", cut.alias("s")).count()
-    assert counts.count() > 20
-    assert counts.agg(F.max("count")).first()[0] < 1000
+def test_only_hot_keys_are_cut(skewed):
+    assert hot_keys(skewed, ["key"], "ts", 10_000_000) is None
+    hot = hot_keys(skewed, ["key"], "ts", 2000)
+    assert [r.key for r in hot.collect()] == ["hot"]
+    parts, by = _cut(skewed, ["key"], "ts", hot_keys(skewed, ["key"], "ts", 200))
+    sizes = parts.groupBy(*by, "_slice").count()
+    assert sizes.count() > 20
+    assert sizes.agg(F.max("count")).first()[0] < 1000
 
 
 @pytest.mark.parametrize("split", [10_000_000, 500, 7])
 def test_previous_equals_plain_lag(skewed, split):
     w = Window.partitionBy("key").orderBy("ts", "id")
     want = skewed.select("*", F.lag("state").over(w).alias("was"), F.lag("ts").over(w).alias("before"))
-    got = with_previous(skewed, ["key"], ["ts", "id"], {"was": "state", "before": "ts"}, slices(skewed, ["key"], "ts", split))
+    got = with_previous(skewed, ["key"], ["ts", "id"], {"was": "state", "before": "ts"}, hot_keys(skewed, ["key"], "ts", split))
     assert rows(got) == rows(want)
 
 
-def test_previous_with_a_given_column(skewed):
-    w = Window.partitionBy("key").orderBy("id")
-    want = skewed.select("*", F.lag("id").over(w).alias("was"))
-    assert rows(with_previous(skewed, ["key"], ["id"], {"was": "id"}, F.floor(F.col("id") / 100))) == rows(want)
-
-
 @pytest.mark.parametrize("split", [10_000_000, 300])
 def test_running_counts_equal_plain_sums(skewed, split):
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.select("*", F.sum(F.when(F.col("state") == "1", 1).otherwise(0)).over(w).alias("n"))
-    assert rows(with_running_counts(skewed, ["key"], ["ts", "id"], {"n": F.col("state") == "1"}, slices(skewed, ["key"], "ts", split))) == rows(want)
+    assert rows(with_running_counts(skewed, ["key"], ["ts", "id"], {"n": F.col("state") == "1"}, hot_keys(skewed, ["key"], "ts", split))) == rows(want)
 
 
 def test_operators_give_the_same_when_cut(skewed):
@@ -66,7 +62,7 @@ def test_operators_give_the_same_when_cut(skewed):
 
 def test_null_state_is_a_value(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 3, "x"), ("a", 4, None)], "key string, n bigint, state string")
-    got = with_previous(df, ["key"], ["n"], {"was": "state", "at": "n"}, F.col("n"))
+    got = with_previous(df, ["key"], ["n"], {"was": "state", "at": "n"}, hot_keys(df, ["key"], "n", 1))
     assert rows(got.select("n", "was", "at")) == [(1, None, None), (2, None, 1), (3, None, 2), (4, "x", 3)]
 
 
@@ -80,7 +76,7 @@ def test_one_row_per_keeps_whole_rows(spark):
 def test_rows_without_a_key_keep_together(spark):
     df = spark.createDataFrame([(None, i, i % 2 == 0) for i in range(20)], "key string, n bigint, even boolean")
     for split in (100, 3):
-        got = with_previous(df, ["key"], ["n"], {"was": "n"}, slices(df, ["key"], "n", split))
+        got = with_previous(df, ["key"], ["n"], {"was": "n"}, hot_keys(df, ["key"], "n", split))
         assert rows(got.select("n", "was")) == sorted([(i, i - 1 if i else None) for i in range(20)], key=repr)
-        counted = with_running_counts(df, ["key"], ["n"], {"c": F.col("even")}, slices(df, ["key"], "n", split))
+        counted = with_running_counts(df, ["key"], ["n"], {"c": F.col("even")}, hot_keys(df, ["key"], "n", split))
         assert sorted(map(tuple, counted.select("n", "c").collect())) == [(i, i // 2 + 1) for i in range(20)]
