@@ -41,8 +41,14 @@ def day_bucket(ts: str) -> Column:
 
 def _place(df: DataFrame, order: str) -> Column:
     """The order column as a number."""
-    timed = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType))
-    return F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(order)
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"keys can only be cut along a number, date or timestamp, and {order} is {kind.simpleString()}")
+    return F.col(order)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: int = SPLIT_ROWS) -> DataFrame | None:

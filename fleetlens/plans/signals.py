@@ -204,4 +204,5 @@ UNION ALL SELECT user_id, bucket, NULL, NULL, 'ERROR: reading at the limit' FROM
 """)
 def worker(t: Tables) -> DataFrame:
     readings = t.events.select("user_id", "ts", "event_id", "value", reading_k().alias("k"))
-    return worker_map(readings, ["user_id"], ["ts", "event_id"], last_and_count, {"limit": 99}, "n bigint, last double", day_bucket("ts"))
+    out = worker_map(readings, ["user_id"], ["ts", "event_id"], last_and_count, {"limit": 99}, "n bigint, last double", day_bucket("ts"))
+    return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))

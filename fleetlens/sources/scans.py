@@ -36,7 +36,7 @@ def _typed(docs: DataFrame, kind: str) -> DataFrame:
         meta["creationTimestamp"].alias("created"),
         meta["labels"].alias("labels"),
         meta["annotations"].alias("annotations"),
-        F.get_json_object(F.to_json(meta["annotations"]), f"$['{EXTERNAL_NAME}']").alias("external_name"),
+        F.try_element_at(meta["annotations"], F.lit(EXTERNAL_NAME)).alias("external_name"),
         spec.alias("spec"),
         policy.alias("deletion_policy"),
         F.col("doc.status.atProvider").alias("observed"),

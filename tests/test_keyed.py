@@ -80,3 +80,9 @@ def test_rows_without_a_key_keep_together(spark):
         assert rows(got.select("n", "was")) == sorted([(i, i - 1 if i else None) for i in range(20)], key=repr)
         counted = with_running_counts(df, ["key"], ["n"], {"c": F.col("even")}, hot_keys(df, ["key"], "n", split))
         assert sorted(map(tuple, counted.select("n", "c").collect())) == [(i, i // 2 + 1) for i in range(20)]
+
+
+def test_text_cannot_be_cut(spark):
+    df = spark.createDataFrame([("a", "x")], "key string, at string")
+    with pytest.raises(ValueError, match="cut along"):
+        hot_keys(df, ["key"], "at")
