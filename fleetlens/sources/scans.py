@@ -18,10 +18,12 @@ EXTERNAL_NAME = "crossplane.io/external-name"
 def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for frame in frames:
         docs = []
         for text in frame["value"]:
-            docs += [json.dumps(doc, default=str) for doc in yaml.safe_load_all(text) if isinstance(doc, dict)]
+            found = yaml.load_all(text, Loader=loader)
+            docs += [json.dumps(doc, default=str) for doc in found if isinstance(doc, dict)]
         yield pd.DataFrame({"body": pd.Series(docs, dtype="object")})
 
 
