@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, packing, quality, simhash, spans
+from fleetlens.llm import html_text, mixing, neighbours, packing, quality, simhash, spans, toxicity, warc
 from fleetlens.plans.registry import Query, Tables
 from fleetlens.session import tune
 
@@ -106,3 +106,41 @@ def op9(t: Tables) -> DataFrame:
 @query("op10_sum_of_squares_packing")
 def op10(t: Tables) -> DataFrame:
     return packing.packed(t.documents, public_tokenizers.path(TOKENIZER))
+
+
+@query("op1_warc", sql="""
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+letters AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31) + 1, 1)), '') AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM letters)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified
+FROM firsts
+""")
+def op1(t: Tables) -> DataFrame:
+    found = warc.round_trip(t.pages)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+@query("op3_html_extraction")
+def op3(t: Tables) -> DataFrame:
+    texts = html_text.extracted(t.pages.select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_nearest_neighbours")
+def op2(t: Tables) -> DataFrame:
+    return neighbours.nearest(t.embeddings, F.col("vec_id") % 20 == 0, top=20)
+
+
+@query("op8_toxicity")
+def op8(t: Tables) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = t.labels.where(part != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = t.documents.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    rows = toxicity.scored(t.documents.select("doc_id", "text"), labelled)
+    held_out = F.coalesce(part == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
