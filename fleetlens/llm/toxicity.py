@@ -23,13 +23,17 @@ from fleetlens.llm.shared import WORD, written
 
 #: The lexicon takes the best so many terms, and the fit so many labelled texts, drawn by a hash of the text.
 TERMS, FITTED = 5_000, 50_000
+#: One fold of so many of the labelled texts is kept from the lexicon to fit the weights of hits on.
+FOLDS = 3
 #: What a term needs: log odds, and different words before it in toxic texts; a stem also needs different words with it.
 LOG_ODDS, SURROUNDINGS, ENDINGS = 3.0, 6, 8
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Letters of a word from which one, and two, misspellings are allowed.
 ONE_ERROR, TWO_ERRORS = 5, 9
 #: Words of context on either side.
 WINDOW = 6
+#: Words without a hit that a task remembers.
+REMEMBERED = 400_000
 QUOTED, ADDRESSED = 0.3, 1.5
 
 #: Marks of quotation, words of reporting, words of address.
@@ -52,13 +56,18 @@ def allowed(term: str) -> int:
     return 2 if len(term) >= TWO_ERRORS else 1 if len(term) >= ONE_ERROR else 0
 
 
+WHOLE, BEGINNING, MISSPELLED = range(3)
+KINDS = ("whole", "beginning", "misspelled")
+
+
 class Automaton:
     """The trie of a lexicon intersected with the Levenshtein automata of its terms, made deterministic as it is read.
 
     A state is the set of trie nodes that the letters so far may have led to, each with its fewest errors.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: Iterable[str] = ()) -> None:
+        self.ordinary = frozenset(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, tuple[float, int]] = {}
         self.stem: dict[int, float] = {}
@@ -91,7 +100,7 @@ class Automaton:
         queue = list(nodes)
         while queue:
             node = queue.pop()
-            for child in self.children[node].values():
+            for child in self.children[node].values() if node else ():  # a misspelled word keeps its first letter
                 if nodes[node] + 1 <= self.most[child] and nodes[node] + 1 < nodes.get(child, 99):
                     nodes[child] = nodes[node] + 1
                     queue.append(child)
@@ -111,53 +120,55 @@ class Automaton:
     def _step(self, state: int, letter: str) -> int:
         nodes: dict[int, int] = {}
         for node, errors in self.sets[state]:
-            if errors < self.most[node]:  # a letter too many
+            if node and errors < self.most[node]:  # a letter too many
                 nodes[node] = min(nodes.get(node, 99), errors + 1)
             for c, child in self.children[node].items():
-                cost = errors + (c != letter)
+                cost = errors + (c != letter) * (1 if node else 99)
                 if cost <= self.most[child] or cost == 0:
                     nodes[child] = min(nodes.get(child, 99), cost)
         self.steps[state][letter] = to = self._state(nodes)
         return to
 
     def hit(self, word: str) -> tuple[float, int] | None:
-        """(weight, errors) of the nearest term, or of a stem that the word begins with."""
-        state = self.start
+        """(weight, kind) of the nearest term, or of a stem that the word begins with; an ordinary word is no misspelling."""
+        state, stem = self.start, None
         for letter in word:
             to = self.steps[state].get(letter)
             state = self._step(state, letter) if to is None else to
             if state < 0:
-                return None
+                break
             if self.starts[state] is not None:
-                return self.starts[state], 0
-        return self.ends[state]
-
-
-def features(text: str | None, automaton: Automaton, clean: set[str], hits: dict[str, tuple[float, int]]) -> tuple[float, float]:
-    """Summed weights of exact and of misspelled hits, each scaled by its window. `clean` and `hits` remember words."""
+                stem = self.starts[state]
+        if state >= 0 and self.ends[state] is not None and not self.ends[state][1]:
+            return self.ends[state][0], WHOLE
+        if stem is not None:
+            return stem, BEGINNING
+        if state < 0 or self.ends[state] is None or word in self.ordinary:
+            return None
+        return self.ends[state][0], MISSPELLED
+
+
+def features(text: str | None, automaton: Automaton, clean: set[str], hits: dict[str, tuple[float, int]]) -> list[float]:
+    """Summed weights of hits by kind, each scaled by its window. `clean` and `hits` remember words."""
     words = WORD.findall(text or "")
-    exact = misspelled = 0.0
+    sums = [0.0, 0.0, 0.0]
     quotes = 0  # quotation marks so far
     for at, word in enumerate(words):
-        found = None
         if word not in clean:
             found = hits.get(word)
             if found is None:
                 found = automaton.hit(letters_of(word))
-                if found is None:
-                    if len(clean) < 400_000:
-                        clean.add(word)
-                else:
+                if found is not None:
                     hits[word] = found
-        if found is not None:
-            weight = found[0] * _context(words, at, quotes)
-            if found[1]:
-                misspelled += weight
-            else:
-                exact += weight
+                elif len(clean) < REMEMBERED:
+                    clean.add(word)
+            if found is not None:
+                sums[found[1]] += found[0] * _context(words, at, quotes)
         if not word.isalnum():
-            quotes += sum(word.count(q) for q in QUOTES)
-    return exact, misspelled
+            for q in QUOTES:
+                if q in word:
+                    quotes += word.count(q)
+    return sums
 
 
 def _context(words: list[str], at: int, quotes: int) -> float:
@@ -204,11 +215,11 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """(words, stems) with their log odds, from rows of (text, toxic); at most `TERMS`, the best first."""
-    totals = labelled.agg(F.count_if("toxic = 1"), F.count_if("toxic = 0")).first()
+    totals = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     odds = F.log((F.col("pos") + 0.5) / (totals[0] + 1)) - F.log((F.col("neg") + 0.5) / (totals[1] + 1))
     counts = labelled.select("text", (F.col("toxic") == 1).alias("toxic")).mapInPandas(
         _counted, "key string, pos long, neg long, before long, endings long")
-    terms = counts.where("true").groupBy("key").agg(
+    terms = counts.groupBy("key").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("before").alias("before"), F.bit_or("endings").alias("endings"))
     good = terms.withColumn("odds", odds).where(
         (F.col("odds") >= LOG_ODDS) & (F.bit_count("before") >= SURROUNDINGS)
@@ -218,6 +229,29 @@ def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     return words, {r["key"]: r["odds"] for r in found if not r["key"].endswith("$")}
 
 
+def ordinary_words(labelled: DataFrame, words: dict[str, float], stems: dict[str, float]) -> list[str]:
+    """Words near a term that other texts hold nearly as often as toxic ones; at most `TERMS`, the most frequent first."""
+    shared = labelled.sparkSession.sparkContext.broadcast((words, stems))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, clean = Automaton(*shared.value), set()
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                for word in {letters_of(w) for w in WORD.findall(text or "")} - clean:
+                    hit = automaton.hit(word)
+                    if hit is not None and hit[1] == MISSPELLED:
+                        rows.append((word, int(toxic), 1 - int(toxic)))
+                    elif len(clean) < REMEMBERED:
+                        clean.add(word)
+            yield pd.DataFrame(rows, columns=["word", "pos", "neg"])
+
+    found = labelled.select("text", "toxic").mapInPandas(near, "word string, pos long, neg long")
+    counts = found.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows = counts.where("neg > 0 and pos < 4 * neg").orderBy(F.desc("neg"), "word").limit(TERMS).select("word").collect()
+    return [r["word"] for r in rows]
+
+
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton's steps; the weights of the features are kept small by a unit normal prior."""
     x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
@@ -240,21 +274,30 @@ def scored(docs: DataFrame, labelled: DataFrame, text: str = "text", into: str =
     score alike, an empty table stays empty. A column named `into` is replaced.
     """
     spark = docs.sparkSession
-    known = written(labelled.where("toxic in (0, 1)").select("text", "toxic"), "labelled")
-    words, stems = lexicon(known)
-    shared = spark.sparkContext.broadcast((words, stems))
+    known = written(labelled.where("toxic in (0, 1)").select("text", "toxic").distinct(), "labelled")
+    apart = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+
+    def measured(rows: DataFrame):
+        """A function of a text column, from the lexicon of labelled rows."""
+        words, stems = lexicon(rows)
+        shared = spark.sparkContext.broadcast((words, stems, ordinary_words(rows, words, stems)))
+
+        def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            automaton, clean, hits = Automaton(*shared.value), set(), {}
+            for some in texts:
+                yield pd.DataFrame([features(t, automaton, clean, hits) for t in some], columns=list(KINDS)).astype("f8")
 
-    def measure(texts: Iterable[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton, clean, hits = Automaton(*shared.value), set(), {}
-        for some in texts:
-            yield pd.DataFrame([features(t, automaton, clean, hits) for t in some], columns=["exact", "misspelled"]).astype("f8")
+        return F.pandas_udf(measure, ", ".join(f"{k} double" for k in KINDS))
 
-    measured = F.pandas_udf(measure, "exact double, misspelled double")
-    fitted = known.orderBy(F.xxhash64("text")).limit(FITTED).select(measured("text").alias("f"), "toxic").select("f.*", "toxic").toPandas()
+    # What a hit of each kind says is fitted on texts that the lexicon was not learned from.
+    fresh = known.where(apart).orderBy(F.xxhash64("text")).limit(FITTED)
+    fitted = fresh.select(measured(known.where(~apart))("text").alias("f"), "toxic").select("f.*", "toxic").toPandas()
     y = fitted["toxic"].to_numpy("f8")
     if 0 < y.sum() < len(y):
-        base, a, b = _fit(np.log1p(fitted[["exact", "misspelled"]].to_numpy("f8")), y).tolist()
+        base, *slopes = _fit(np.log1p(fitted[list(KINDS)].to_numpy("f8")), y).tolist()
     else:
-        base, a, b = math.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)) if len(y) else -30.0, 0.0, 0.0
-    inner = F.lit(base) + a * F.log1p("_f.exact") + b * F.log1p("_f.misspelled")
-    return docs.withColumn("_f", measured(F.col(text))).withColumn(into, 1 / (1 + F.exp(-inner))).drop("_f")
+        base, slopes = math.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)) if len(y) else -30.0, [0.0] * len(KINDS)
+    inner = F.lit(base)
+    for kind, slope in zip(KINDS, slopes):
+        inner += slope * F.log1p(f"_f.{kind}")
+    return docs.withColumn("_f", measured(known)(F.col(text))).withColumn(into, 1 / (1 + F.exp(-inner))).drop("_f")

@@ -109,7 +109,7 @@ def write_archives(
                         batch["page_id"].array, batch["url"], batch["payload"], batch["digest"], batch["refers_to"].array):
                     if out is None:
                         name, count = f"pages-{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{base}/{name}")
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
                     base32 = base64.b32encode(bytes.fromhex(digest)).decode()
                     own = None if pd.isna(id_) else int(id_)
                     out.write(record(own, link, bytes(data), base32, None if pd.isna(to) else int(to), date))
