@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm import html_text, mixing, neighbours, packing, quality, simhash, spans, toxicity, warc
+from fleetlens.llm import html_text, mixing, neighbours, packing, quality, simhash, spans, suffixes, toxicity, warc
 from fleetlens.plans.registry import Query, Tables
 from fleetlens.session import tune
 
@@ -144,3 +144,8 @@ def op8(t: Tables) -> DataFrame:
     rows = toxicity.scored(t.documents.select("doc_id", "text"), labelled)
     held_out = F.coalesce(part == 1, F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op4_suffix_array_dedup")
+def op4(t: Tables) -> DataFrame:
+    return suffixes.repeats_removed(t.documents, length=50)
