@@ -22,11 +22,11 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from fleetlens.llm.shared import WORD, written
 
-SENTENCES = 3
-#: A span takes further sentences until it has so many words, so that runs of one-word sentences aren't passages.
-WORDS = 24
+SENTENCES = 5
+#: A span under so many words is not a passage.
+WORDS = 15
 #: Inside a sentence, a word ends a piece where its hash is 0 modulo this.
-CUT = 8
+CUT = 6
 ENDS = tuple(".!?;:,…。！？")
 
 
@@ -57,15 +57,10 @@ def spans(text: str) -> tuple[list[tuple[int, int, int, list[str]]], list[tuple[
     """The pieces of a text, and for each start of a span (first piece, piece after the last, hash)."""
     cut = pieces(text)
     lines = [" ".join(p[3]).encode("utf-8", "surrogatepass") for p in cut]
-    found, to, words = [], 0, 0
-    for at in range(len(cut)):
-        while to < len(cut) and (to - at < SENTENCES or words < WORDS):
-            words += cut[to][2]
-            to += 1
-        if to - at < SENTENCES or words < WORDS:
-            break
-        found.append((at, to, xxhash.xxh64_intdigest(b"\n".join(lines[at:to]))))
-        words -= cut[at][2]
+    words = np.cumsum([0] + [p[2] for p in cut])
+    found = [
+        (at, at + SENTENCES, xxhash.xxh64_intdigest(b"\n".join(lines[at:at + SENTENCES])))
+        for at in range(len(cut) - SENTENCES + 1) if words[at + SENTENCES] - words[at] >= WORDS]
     return cut, found
 
 
