@@ -37,7 +37,7 @@ ANCHOR = 20
 CHUNK, BUCKET, BATCH = 4 << 20, 4 << 20, 1 << 20
 #: Windows of a fragment at most, and transforms that are merged at once.
 RUN, SHARDS = 64, 8
-NO_ID = np.iinfo("i8").max
+NO_ID = 2**63 - 1
 
 
 # --- fragments ---------------------------------------------------------------------------------------------------------
@@ -311,16 +311,15 @@ def repeats_removed(
     each other; an empty table gives no rows. Texts are UTF-8 and read whole, however long.
     """
     texts = written(docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(doc_id).isNull().alias("nameless"),
+        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
         F.spark_partition_id().alias("block")), "texts")
     total = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]]:
         for block, part in _by_block(batches):
-            ids = part["doc_id"].fillna(NO_ID).to_numpy("i8") if part["doc_id"].dtype != "object" else np.array(
-                [NO_ID if i is None else int(i) for i in part["doc_id"]], "i8")
-            yield from ((block, *chunk, part) for chunk in _chunks(ids, list(part["text"]), length))
+            yield from ((block, *chunk, part) for chunk in _chunks(part["doc_id"].to_numpy("i8"), list(part["text"]), length))
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A chunk's anchors, each once; the last bit tells that two documents of the chunk hold it."""
@@ -487,8 +486,9 @@ def repeats_removed(
         if part_now is not None:
             yield _reported(part_now, cover, length, with_text)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.mapInPandas(removed, schema)
+    schema = "doc_id long, nameless boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    done = texts.mapInPandas(removed, schema)
+    return done.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
 
 def _reported(part: pd.DataFrame, cover: dict[int, list[tuple[int, int]]], length: int, with_text: bool) -> pd.DataFrame:
@@ -507,4 +507,5 @@ def _reported(part: pd.DataFrame, cover: dict[int, list[tuple[int, int]]], lengt
         out.append((len(text), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
     frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
     frame.insert(0, "doc_id", part["doc_id"].to_numpy())
+    frame.insert(1, "nameless", part["nameless"].to_numpy())
     return frame if with_text else frame.drop(columns="kept")
