@@ -2,13 +2,15 @@
 
 Picking one row per key is an aggregate, so it is reduced before the shuffle. Looking at earlier rows of a key
 needs order. `hot_keys` counts rows per key first. Without a hot key that is a plain window. Otherwise the rows of
-the hot keys, and only these, are cut into slices of the order column: the window runs inside (key, slice), and one
+the hot keys, and only these, are cut into slices of about equally many rows along the order column: the window runs inside (key, slice), and one
 summary row per (hot key, slice) carries values across the cuts. The rows are shuffled once either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +18,15 @@ from pyspark.sql import types as T
 
 from fleetlens.session import stage
 
-# Above this many rows a key is cut; of so many keys only the largest this many are. Both only move work between
-# tasks: the result is the same for any values.
+# Above this many rows a key is cut. That only moves work between tasks: the result is the same for any value.
 SPLIT_ROWS = 2_000_000
-MOST_HOT_KEYS = 20_000
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on columns of equal names in which NULL keys meet too; the keys are taken from the left."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = reduce(and_, [left[k].eqNullSafe(other[f"_same_{k}"]) for k in keys])
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
 
 
 def one_row_per(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True) -> DataFrame:
@@ -52,24 +59,32 @@ def _place(df: DataFrame, order: str) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: int = SPLIT_ROWS) -> DataFrame | None:
-    """(keys, _width): the keys with more than `split` rows and the width of their slices, or None without any.
+    """(keys, _cuts): the keys with more than `split` rows and the places where they are cut, or None without any.
 
-    Reads the key and order columns once, with partial counts. A hot key gets about four times as many slices as it
-    needs, to allow for uneven spread.
+    Reads the key and order columns with partial counts, and once more for the quantiles of the hot keys, so that a
+    burst is cut as finely as its rows ask. In all there are at most rows / split cuts.
     """
-    at = _place(df, order)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(at) - F.min(at)).alias("_span"))
-    width = F.col("_span") / (F.ceil(F.col("_n") / split) * 4)
-    largest = counted.where((F.col("_n") > split) & (F.col("_span") > 0)).orderBy(F.desc("_n")).limit(MOST_HOT_KEYS)
-    hot = stage(largest.select(*keys, width.cast("double").alias("_width")), "hot")
-    return None if hot.isEmpty() else hot
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stage(counts.where(F.col("_n") > split), "hot")
+    most = hot.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    slices = -(-most // split)
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    of_hot = join_same(df.select(*keys, _place(df, order).alias("_at")), hot, keys)
+    cuts = of_hot.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.percentile_approx("_at", shares, max(10_000, 20 * slices)).alias("_q"))
+    wanted = F.ceil(F.col("_n") / split).cast("int")
+    some = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get(F.col("_q"), F.floor(i * slices / wanted).cast("int") - 1))
+    return stage(cuts.select(*keys, F.array_distinct(F.coalesce(some, F.array())).alias("_cuts")), "cuts")
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The rows with their slice (`_width` is NULL on keys that are not hot), and the columns to group and join on.
+    """The rows with their slice (`_cuts` is NULL on keys that are not hot), and the columns to group and join on.
 
     Those columns are never NULL, so rows without a key keep together too, and they are plain values, which sort
-    and hash faster than a struct of the keys. The hot keys are few by `MOST_HOT_KEYS`, so they are broadcast.
+    and hash faster than a struct of the keys. Rows without a place come ahead of every slice, as NULLs do in a sort;
+    rows of one place share a slice. There are at most rows / split cuts, so they are broadcast.
     """
     named: dict[str, Column] = {}
     for i, key in enumerate(keys):
@@ -77,9 +92,11 @@ def _cut(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> tupl
         value = F.coalesce(F.col(key), F.lit(0)) if numeric else F.coalesce(F.col(key).cast("string"), F.lit(""))
         named |= {f"_key{i}": value, f"_none{i}": F.col(key).isNull()}
     by = [*named]
-    widths = hot.select(*[c.alias(n) for n, c in named.items()], "_width")
+    widths = hot.select(*[c.alias(n) for n, c in named.items()], "_cuts")
     parts = df.select("*", *[c.alias(n) for n, c in named.items()]).join(F.broadcast(widths), by, "left")
-    return parts.withColumn("_slice", F.coalesce(F.floor(_place(df, order) / F.col("_width")), F.lit(0))), by
+    at = _place(df, order)
+    slice_ = F.when(F.col("_cuts").isNull(), 0).when(at.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < at)))
+    return parts.withColumn("_slice", slice_), by
 
 
 def with_previous(
@@ -92,7 +109,7 @@ def with_previous(
         seen = df.withColumn("_previous", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order)))
     else:
         parts, by = _cut(df, keys, order[0], hot)
-        tails = parts.where(F.col("_width").isNotNull()).groupBy(*by, "_slice").agg(
+        tails = parts.where(F.col("_cuts").isNotNull()).groupBy(*by, "_slice").agg(
             F.max_by(taken, F.struct(*order)).alias("_tail")
         )
         across = Window.partitionBy(*by).orderBy("_slice")
@@ -114,7 +131,7 @@ def with_running_counts(
         return df.select("*", *[F.sum(one).over(upto).alias(n) for n, one in ones.items()])
     parts, by = _cut(df, keys, order[0], hot)
     parts = parts.select("*", *[one.alias(f"_one_{n}") for n, one in ones.items()])
-    totals = parts.where(F.col("_width").isNotNull()).groupBy(*by, "_slice").agg(
+    totals = parts.where(F.col("_cuts").isNotNull()).groupBy(*by, "_slice").agg(
         *[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags]
     )
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.keyed import join_same
+
 
 def online_ratio(boards: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Boards and online boards, overall or per group."""
@@ -33,7 +35,7 @@ def least_loaded(nodes: DataFrame, functions: DataFrame, by: Sequence[str] = (),
     loaded = live.join(loads, "node", "left").select(*by, "node", F.coalesce("_load", F.lit(0)).alias("functions"))
     fewest = loaded.groupBy(*by).agg(F.min("functions").alias("_fewest"))
     if by:
-        return loaded.join(fewest, list(by)).where(F.col("functions") == F.col("_fewest")).select(*loaded.columns)
+        return join_same(loaded, fewest, list(by)).where(F.col("functions") == F.col("_fewest")).select(*loaded.columns)
     return loaded.where(F.col("functions") == fewest.scalar())
 
 

@@ -53,18 +53,23 @@ def reconcile_plan(
     """(keys, action, changed) for every resource wanted or seen.
 
     action: create, update (or replace), noop, and for resources nobody wants delete, or orphan when the
-    deletion policy is not 'Delete'. Both sides go through one aggregate by key instead of an outer join: it takes
-    one shuffle, shrinks repeated keys before it (their largest row counts), and treats a NULL key as a key.
+    deletion policy is not 'Delete'. A key that one side holds with different values is reported as repeated, for
+    nothing says which of them holds. Both sides go through one aggregate by key instead of an outer join: it takes
+    one shuffle, shrinks repeated keys before it, and treats a NULL key as a key.
     """
     keys, compare = list(keys), list(compare)
     row = F.struct(F.lit(True).alias("_is"), *compare)
     nothing = F.lit(None)
     sides = desired.select(*keys, row.alias("_want"), nothing.alias("_have")).unionByName(
         observed.select(*keys, nothing.alias("_want"), row.alias("_have"))
-    ).groupBy(*keys).agg(F.max("_want").alias("_want"), F.max("_have").alias("_have"))
+    ).groupBy(*keys).agg(
+        F.max("_want").alias("_want"), F.max("_have").alias("_have"),
+        (F.min("_want") != F.max("_want")).alias("_wants"), (F.min("_have") != F.max("_have")).alias("_haves"),
+    )
     changed = changed_columns({c: F.col(f"_want.{c}") for c in compare}, {c: F.col(f"_have.{c}") for c in compare})
     action = (
-        F.when(F.col("_have").isNull(), "create")
+        F.when(F.col("_wants") | F.col("_haves"), "repeated")
+        .when(F.col("_have").isNull(), "create")
         .when(F.col("_want").isNull(), "delete" if deletion_policy == "Delete" else "orphan")
         .when(F.size("_changed") > 0, "replace" if replace else "update")
         .otherwise("noop")
@@ -210,14 +215,16 @@ def injection_eligibility(asks: DataFrame, boards: DataFrame, targets: DataFrame
     )
 
 
-def upsert_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def upsert_merge(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], cols: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
     """Target with the given columns set from the source and unknown source keys added; nothing is removed.
 
-    Of several source rows for one key the largest counts. Target rows are only ever the left side of a join,
+    Of several source rows for one key the last by `order` counts (without an order, the largest). Target rows are only ever the left side of a join,
     so a key that repeats in the target is updated everywhere and can be split between tasks.
     """
     keys, cols = list(keys), list(cols)
-    fresh = one_row_per(source.select(*keys, *cols), keys)
+    fresh = one_row_per(source.select(*dict.fromkeys([*keys, *cols, *(order or ())])), keys, order).select(*keys, *cols)
     renamed = fresh.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
     updated = target.join(renamed, keys, "left").select(*[
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)

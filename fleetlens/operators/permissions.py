@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.keyed import join_same
+
 CATCH_ALL = "federated_users"
 
 # Verbs, and the resources each of the three site roles may use them on.
@@ -51,13 +53,18 @@ PROJECT_ROLES = {
 }
 
 
-def role_rules(spark: SparkSession, api_group: str, config_group: str) -> DataFrame:
-    """Rules (role, api_groups, resources, verbs) of the site and project roles."""
+def role_rules(
+    spark: SparkSession, api_group: str, config_group: str, site_name: str = "{}", project_name: str = "{}"
+) -> DataFrame:
+    """Rules (role, api_groups, resources, verbs) of the site and project roles.
+
+    The names are formats that turn a role into the full name that bindings carry.
+    """
     rows = [
-        (role, [config_group if resource == "providerconfigs" else api_group], [resource], verbs)
+        (site_name.format(role), [config_group if resource == "providerconfigs" else api_group], [resource], verbs)
         for role, rules in SITE_ROLES.items() for resource, verbs in rules.items()
     ]
-    rows += [(role, *rule) for role, rules in PROJECT_ROLES.items() for rule in rules]
+    rows += [(project_name.format(role), *rule) for role, rules in PROJECT_ROLES.items() for rule in rules]
     names = pa.list_(pa.string())
     schema = pa.schema([("role", pa.string()), ("api_groups", names), ("resources", names), ("verbs", names)])
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row)) for row in rows], schema))
@@ -97,7 +104,7 @@ def effective_permissions(bindings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def can_i(asks: DataFrame, bindings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add `allowed` to asks (subject, namespace, api_group, resource, verb).
+    """Add `allowed` to asks (subject, namespace, api_group, resource, verb); an ask without namespace is for all of them.
 
     A rule may hold '*' on any axis. The few distinct (api_group, resource, verb) asked for are looked up under
     their eight spellings to learn which roles cover them; each distinct ask is then looked up among the
@@ -113,27 +120,37 @@ def can_i(asks: DataFrame, bindings: DataFrame, rules: DataFrame) -> DataFrame:
     renamed = _flat(rules).select("role", *[F.col(axis).alias(f"_{axis}") for axis in axes])
     covers = shapes.join(renamed, [f"_{axis}" for axis in axes]).select("role", *axes).distinct()
     distinct = asks.select("subject", "namespace", *axes).distinct()
-    scoped = distinct.withColumn("_in", F.explode(F.array(F.col("namespace"), F.lit("*"))))
+    scoped = distinct.withColumn("_in", F.explode(F.array_distinct(F.array(F.coalesce("namespace", F.lit("*")), F.lit("*")))))
     held = _granted(bindings).withColumnRenamed("namespace", "_in")
     yes = scoped.join(held, ["subject", "_in"]).join(covers, ["role", *axes], "left_semi")
     yes = yes.select("subject", "namespace", *axes).distinct().withColumn("allowed", F.lit(True))
-    return asks.join(yes, ["subject", "namespace", *axes], "left").select(
+    return join_same(asks, yes, ["subject", "namespace", *axes], "left").select(
         *asks.columns, F.coalesce("allowed", F.lit(False)).alias("allowed")
     )
 
 
+def _bound(bindings: DataFrame) -> DataFrame:
+    """One row per (namespace, binding): its role and its distinct subjects, sorted."""
+    return bindings.groupBy("namespace", "binding").agg(
+        F.max("role").alias("role"), F.sort_array(F.collect_set("subject")).alias("subjects")
+    )
+
+
 def role_binding_drift(desired: DataFrame, existing: DataFrame) -> DataFrame:
-    """What to do with each wanted binding (namespace, binding, role, subject): create, recreate or patch."""
-    there = existing.select(
-        "namespace", "binding", F.col("role").alias("_role"), F.col("subject").alias("_subject"),
-        F.lit(True).alias("_there"),
+    """(namespace, binding, role, subjects, action, subjects_changed) for each wanted binding.
+
+    Rows are (namespace, binding, role, subject); a binding holds its subjects as one list, which is replaced whole.
+    action: create, recreate where the role differs, or patch.
+    """
+    there = _bound(existing).select(
+        "namespace", "binding", F.col("role").alias("_role"), F.col("subjects").alias("_subjects"), F.lit(True).alias("_there")
     )
     action = (
         F.when(F.col("_there").isNull(), "create")
         .when(~F.col("role").eqNullSafe(F.col("_role")), "recreate")
         .otherwise("patch")
     )
-    return desired.join(there, ["namespace", "binding"], "left").select(
-        *desired.columns, action.alias("action"),
-        F.coalesce(F.col("_there") & ~F.col("subject").eqNullSafe(F.col("_subject")), F.lit(False)).alias("subject_changed"),
+    return join_same(_bound(desired), there, ["namespace", "binding"], "left").select(
+        "namespace", "binding", "role", "subjects", action.alias("action"),
+        F.coalesce(F.col("_there") & (F.col("subjects") != F.col("_subjects")), F.lit(False)).alias("subjects_changed"),
     )

@@ -89,16 +89,18 @@ def settings_documents(boards: DataFrame, pods: DataFrame, url: str, realm: str,
 
 
 def sparse_patch(
-    current: DataFrame, patch: DataFrame, keys: Sequence[str], explicit_null: bool = False
+    current: DataFrame, patch: DataFrame, keys: Sequence[str], explicit_null: bool = False, order: Sequence[str] = ()
 ) -> DataFrame:
     """Overlay the set fields of a patch on the current rows.
 
-    Zero values mean 'not set' and are skipped; with explicit_null only NULL is skipped. Of several patches
-    for one key the largest row counts.
+    Zero values mean 'not set' and are skipped; with explicit_null only NULL is skipped. Patches of
+    one key are applied in `order`, so of each field the last set value counts (without an order, the largest).
     """
-    keys = list(keys)
-    fields = [c for c in patch.columns if c not in keys]
+    keys, order = list(keys), list(order)
+    fields = [c for c in patch.columns if c not in [*keys, *order]]
     unset = {c: F.col(c).isNull() if explicit_null else is_zero(patch, c) for c in fields}
-    given = one_row_per(patch, keys).select(*keys, *[F.when(~unset[c], F.col(c)).alias(f"_new_{c}") for c in fields])
+    given = patch.groupBy(*keys).agg(*[
+        F.max_by(c, F.when(~unset[c], F.struct(*order, c))).alias(f"_new_{c}") for c in fields
+    ])
     value = {c: F.coalesce(f"_new_{c}", c).alias(c) for c in fields}
     return current.join(given, keys, "left").select(*[value.get(c, F.col(c)) for c in current.columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, one_row_per, with_previous
+from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, join_same, one_row_per, with_previous
 
 
 def latest_row(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("created_at",)) -> DataFrame:
@@ -23,7 +23,7 @@ def elect_singleton(agents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     newest = F.max_by("hostname", F.struct("created_at", "hostname"))
     if by:
         elected = agents.groupBy(*by).agg(newest.alias("_elected"))
-        marked = agents.join(elected, list(by), "left")
+        marked = join_same(agents, elected, list(by), "left")
         chosen = F.col("_elected")
     else:
         marked, chosen = agents, agents.agg(newest).scalar()
@@ -50,7 +50,7 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Mark the first row of every key as kept, the others as skipped. The order must be unique within a key."""
     rank = F.struct(*order)
     first = df.groupBy(key).agg(F.min(rank).alias("_first"))
-    return df.join(first, key).withColumn("kept", rank == F.col("_first")).select(*df.columns, "kept")
+    return join_same(df, first, [key]).withColumn("kept", rank == F.col("_first")).select(*df.columns, "kept")
 
 
 def bounded_listing(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

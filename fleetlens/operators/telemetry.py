@@ -34,13 +34,13 @@ def telemetry_extract(lines: DataFrame, keep: Sequence[str] = ("run_id", "line_n
 def sensor_rollup(t: DataFrame, by: Sequence[str], metrics: Sequence[str], ts: str, width: str) -> DataFrame:
     """Count, min, max and mean per group, time bucket and metric.
 
-    All metrics are aggregated in one pass and only the results are turned into rows. Sums are decimal, so the
-    mean does not depend on the order in which partitions arrive.
+    All metrics are aggregated in one pass and only the results are turned into rows. Means are doubles at full
+    scale; their last digits may depend on the order in which partitions arrive, so round them to compare runs.
     """
     aggs = [
         F.struct(
             F.lit(m).alias("metric"), F.count(m).alias("n"), F.min(m).alias("low"), F.max(m).alias("high"),
-            (F.sum(F.col(m).cast("decimal(18,4)")).cast("double") / F.count(m)).alias("mean"),
+            F.avg(F.col(m).cast("double")).alias("mean"),
         )
         for m in metrics
     ]

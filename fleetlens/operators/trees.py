@@ -1,8 +1,9 @@
 """Trees kept as parent columns: sites and requests.
 
-Ancestors are found by doubling: pairs up to distance d joined with themselves give pairs up to 2d, so a depth
-bound of 32 takes five rounds, each an equi-join whose right side is unique per (node, distance). Each round is
-written to the shared folder, which keeps the lineage short and gives the next join true sizes.
+Ancestors are found by doubling: pairs up to distance d joined with themselves give pairs up to 2d, so a chain of any
+depth takes the logarithm of its depth in rounds, each an equi-join whose right side is unique per (node, distance).
+Each round is written to the shared folder, which keeps the lineage short and gives the next join true sizes. Nodes on
+a cycle or below one are told apart first, by pointer jumping; only their pairs are checked for repeats.
 """
 
 from __future__ import annotations
@@ -22,65 +23,61 @@ def _edges(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return named.where(~is_blank(F.col("parent").cast("string")) & F.col("node").isNotNull())
 
 
-def _ancestor_pairs(nodes: DataFrame, node: str, parent: str, max_depth: int) -> DataFrame:
-    """(node, ancestor, distance, path) along every chain, stopping before a node would repeat."""
-    edges = one_row_per(_edges(nodes, node, parent), ["node"], last=False)
-    parts = [stage(edges.where(F.col("node") != F.col("parent")).select(
-        "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"),
-        F.array("node", "parent").alias("path"),
-    ), "closure")]
+def _doubled(edges: DataFrame, cyclic: bool) -> DataFrame:
+    """(node, ancestor, distance) along every chain; on cycles every ancestor once, at its smallest distance."""
+    start = edges.where(F.col("node") != F.col("parent")) if cyclic else edges
+    parts = [stage(start.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "closure")]
     step = 1
-    while step < max_depth:
+    while True:
         pairs = reduce(DataFrame.unionByName, parts)
-        far = parts[-1].where(F.col("distance") == step).select(
-            "node", F.col("ancestor").alias("_mid"), F.col("path").alias("_lower")
-        )
-        upper = pairs.where(F.col("distance") <= max_depth - step).select(
-            F.col("node").alias("_mid"), "ancestor", F.col("distance").alias("_more"), F.col("path").alias("_upper")
-        )
-        beyond = F.slice("_upper", F.lit(2), F.size("_upper") - 1)
-        more = far.join(upper, "_mid").where(~F.arrays_overlap("_lower", beyond)).select(
-            "node", "ancestor", (F.lit(step) + F.col("_more")).alias("distance"),
-            F.concat("_lower", beyond).alias("path"),
-        )
-        parts.append(stage(more, "closure"))
-        if parts[-1].isEmpty():
-            break
+        far = parts[-1].where(F.col("distance") == step).select("node", F.col("ancestor").alias("_mid"))
+        upper = pairs.select(F.col("node").alias("_mid"), "ancestor", F.col("distance").alias("_more"))
+        more = far.join(upper, "_mid").select("node", "ancestor", (F.lit(step) + F.col("_more")).alias("distance"))
+        if cyclic:
+            more = more.where(F.col("node") != F.col("ancestor")).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+            more = more.join(pairs.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        more = stage(more, "closure")
+        if more.isEmpty():
+            return pairs
+        parts.append(more)
         step *= 2
-    return reduce(DataFrame.unionByName, parts)
 
 
-def site_closure(sites: DataFrame, node: str, parent: str, max_depth: int = 32) -> DataFrame:
+def _ancestor_pairs(nodes: DataFrame, node: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of all nodes, and the nodes whose chain ends in a cycle."""
+    edges = one_row_per(_edges(nodes, node, parent), ["node"], last=False)
+    endless = stage(tree_roots(nodes, node, parent).where(~F.col("resolved")).select("node"), "cycles")
+    pairs = _doubled(edges.join(endless, "node", "left_anti"), cyclic=False)
+    if not endless.isEmpty():
+        pairs = pairs.unionByName(_doubled(edges.join(endless, "node", "left_semi"), cyclic=True))
+    return pairs, endless
+
+
+def site_closure(sites: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, ancestor, distance) for every node and each of its ancestors, itself at distance 0 included."""
     own = sites.select(F.col(node).alias("node")).distinct().select(
         "node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")
     )
-    return own.unionByName(_ancestor_pairs(sites, node, parent, max_depth).select("node", "ancestor", "distance"))
+    return own.unionByName(_ancestor_pairs(sites, node, parent)[0])
 
 
-def site_paths(sites: DataFrame, node: str, parent: str, max_depth: int = 32) -> DataFrame:
+def site_paths(sites: DataFrame, node: str, parent: str) -> DataFrame:
     """Per node: the top of its chain, depth, path from the top, and a state.
 
-    state: ok, missing parent (the top is named but not in the table), cycle, or too deep.
+    state: ok, missing parent (the top is named but not in the table) or cycle (the path ends before it would repeat).
     """
-    pairs = _ancestor_pairs(sites, node, parent, max_depth)
+    pairs, endless = _ancestor_pairs(sites, node, parent)
     own = sites.select(F.col(node).alias("node")).distinct()
-    chain = one_row_per(pairs.select("node", "distance", "ancestor", "path"), ["node"], ["distance"])
+    chain = pairs.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("_up"))
     tops = own.join(chain, "node", "left").select(
-        "node", F.coalesce("ancestor", "node").alias("top"), F.coalesce("distance", F.lit(0)).alias("depth"),
-        F.coalesce(F.reverse("path"), F.array("node")).alias("path"),
-    )
-    above = one_row_per(_edges(sites, node, parent), ["node"], last=False).select(
-        F.col("node").alias("top"), F.col("parent").alias("_above")
+        "node", F.coalesce(F.col("_up")[0]["ancestor"], "node").alias("top"),
+        F.coalesce(F.col("_up")[0]["distance"], F.lit(0)).alias("depth"),
+        F.concat(F.coalesce(F.col("_up.ancestor"), F.array()), F.array("node")).alias("path"),
     )
     known = own.select(F.col("node").alias("top"), F.lit(True).alias("_known"))
-    state = (
-        F.when(F.col("_known").isNull(), "missing parent")
-        .when(F.array_contains("path", F.col("_above")), "cycle")
-        .when(F.col("_above").isNotNull(), "too deep")
-        .otherwise("ok")
-    )
-    return tops.join(above, "top", "left").join(known, "top", "left").select(
+    cycles = endless.withColumn("_cycle", F.lit(True))
+    state = F.when(F.col("_cycle"), "cycle").when(F.col("_known").isNull(), "missing parent").otherwise("ok")
+    return tops.join(known, "top", "left").join(cycles, "node", "left").select(
         "node", "top", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"),
         state.alias("state"),
     )
@@ -106,17 +103,18 @@ def site_device_count(closure: DataFrame, devices: DataFrame, site: str) -> Data
     )
 
 
-def tree_roots(nodes: DataFrame, node: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """(node, root, depth, resolved) by pointer jumping; chains that never end within the bound are unresolved.
+def tree_roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth, resolved) by pointer jumping; chains that end in a cycle are unresolved.
 
-    Only rows still moving are joined, and a row keeps one pointer, so the work is the table times log(depth).
+    Only rows still moving are joined, and a row keeps one pointer, so the work is the table times log(depth). A chain
+    has at most as many steps as there are edges: what still moves once pointers reach that far is on a cycle.
     """
     edges = one_row_per(_edges(nodes, node, parent), ["node"], last=False)
     tops = nodes.select(F.col(node).alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
     done = [stage(tops.select("node", F.col("node").alias("at"), F.lit(0).alias("depth")), "roots")]
     moving = stage(edges.select("node", F.col("parent").alias("at"), F.lit(1).alias("depth")), "roots")
-    reach = 1
-    while reach <= max_depth:
+    reach, edges_in_all = 1, moving.count()
+    while reach <= 2 * edges_in_all:
         # A pointer takes over the pointer of its target; it has arrived where the target has, or is not there.
         target = reduce(DataFrame.unionByName, [d.withColumn("_done", F.lit(True)) for d in done]).unionByName(
             moving.withColumn("_done", F.lit(False))
@@ -138,14 +136,14 @@ def tree_roots(nodes: DataFrame, node: str, parent: str, max_depth: int = 32) ->
     )
 
 
-def request_tree(requests: DataFrame, node: str, parent: str, pending: str, max_depth: int = 32) -> DataFrame:
+def request_tree(requests: DataFrame, node: str, parent: str, pending: str) -> DataFrame:
     """Each request with its root, depth, direct children and how many of those are pending."""
     children = _edges(requests, node, parent).select("node", "parent").where(F.col("node") != F.col("parent")).join(
         requests.select(F.col(node).alias("node"), F.col(pending).alias("_pending")), "node"
     ).groupBy(F.col("parent").alias("node")).agg(
         F.count(F.lit(1)).alias("_children"), F.count_if(F.col("_pending")).alias("_waiting")
     )
-    return tree_roots(requests, node, parent, max_depth).join(children, "node", "left").select(
+    return tree_roots(requests, node, parent).join(children, "node", "left").select(
         "node", "root", "depth", "resolved",
         F.coalesce("_children", F.lit(0)).alias("children"), F.coalesce("_waiting", F.lit(0)).alias("pending_children"),
     )

@@ -111,7 +111,7 @@ def mark_online(t: Tables) -> DataFrame:
 
 
 @query("J3_reconcile_plan", """
-WITH desired AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW'),
+WITH desired AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN -o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, o_orderstatus FROM orders),
 observed AS (
   SELECT l_orderkey AS o_orderkey, CASE WHEN min(l_linestatus) <> max(l_linestatus) THEN 'P' ELSE min(l_linestatus) END AS o_orderstatus
   FROM lineitem GROUP BY l_orderkey)
@@ -121,7 +121,8 @@ SELECT o_orderkey, CASE WHEN o.o_orderstatus IS NULL THEN 'create' WHEN d.o_orde
 FROM desired d FULL JOIN observed o USING (o_orderkey)
 """)
 def reconcile(t: Tables) -> DataFrame:
-    desired = t.orders.where(F.col("o_orderpriority") != "5-LOW").select("o_orderkey", "o_orderstatus")
+    key = F.when(F.col("o_orderpriority") == "5-LOW", -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
+    desired = t.orders.select(key.alias("o_orderkey"), "o_orderstatus")
     low, high = F.min("l_linestatus"), F.max("l_linestatus")
     observed = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(low != high, "P").otherwise(low).alias("o_orderstatus"))
     return op.reconcile_plan(desired, observed, ["o_orderkey"], ["o_orderstatus"])
@@ -144,16 +145,17 @@ def membership(t: Tables) -> DataFrame:
 
 
 @query("J5_resolve_refs", """
-WITH refs AS (SELECT o_orderkey, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name FROM orders)
+WITH refs AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'Former#' ELSE 'Customer#' END || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name FROM orders)
 SELECT o_orderkey, name, c_custkey AS id,
        CASE WHEN c_acctbal >= 5000 THEN 'primary' WHEN c_custkey IS NOT NULL THEN 'fallback' ELSE 'unresolved' END AS source
-FROM refs LEFT JOIN customer ON c_name = name AND c_acctbal >= 2000
+FROM refs LEFT JOIN customer ON c_name = name
 """)
 def resolve(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    kind = F.when(F.col("o_orderpriority") == "5-LOW", "Former#").otherwise("Customer#")
+    name = F.concat(kind, F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
     known = t.customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), "c_acctbal")
-    primary, fallback = known.where(F.col("c_acctbal") >= 5000), known.where(F.col("c_acctbal") >= 2000)
-    return op.resolve_refs(t.orders.select("o_orderkey", name.alias("name")), primary, fallback, "name", "id")
+    primary = known.withColumn("name", F.when(F.col("c_acctbal") >= 5000, F.col("name")))
+    return op.resolve_refs(t.orders.select("o_orderkey", name.alias("name")), primary, known, "name", "id")
 
 
 CHECKS_SQL = """
@@ -198,16 +200,17 @@ def paths(t: Tables) -> DataFrame:
 
 @query("J8_effective_site_config", f"""
 WITH RECURSIVE {CLOSURE_SQL}, configs AS (
-  SELECT c_custkey AS site, 'region' AS key, c_mktsegment AS value FROM customer WHERE c_acctbal > 3000
-  UNION ALL SELECT c_custkey, 'timezone', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')
+  SELECT c_custkey AS site, CASE WHEN c_acctbal > 3000 THEN 'region' ELSE 'area' END AS key, c_mktsegment AS value FROM customer
+  UNION ALL SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'timezone' ELSE 'zone' END, CAST(c_nationkey AS VARCHAR) FROM customer)
 SELECT node, key, arg_min(value, distance) AS value, arg_min(ancestor, distance) AS source, min(distance) AS distance
 FROM closure JOIN configs ON ancestor = site GROUP BY node, key
 """)
 def config(t: Tables) -> DataFrame:
     site = F.col("c_custkey").alias("site")
-    region = t.customer.where(F.col("c_acctbal") > 3000).select(site, F.lit("region").alias("key"), F.col("c_mktsegment").alias("value"))
-    zone = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(
-        site, F.lit("timezone").alias("key"), F.col("c_nationkey").cast("string").alias("value")
+    area = F.when(F.col("c_acctbal") > 3000, "region").otherwise("area")
+    region = t.customer.select(site, area.alias("key"), F.col("c_mktsegment").alias("value"))
+    zone = t.customer.select(
+        site, F.when(F.col("c_mktsegment") == "BUILDING", "timezone").otherwise("zone").alias("key"), F.col("c_nationkey").cast("string").alias("value")
     )
     return trees.effective_site_config(trees.site_closure(site_tree(t), "site", "parent"), region.unionByName(zone))
 
@@ -221,29 +224,31 @@ def device_count(t: Tables) -> DataFrame:
     return trees.site_device_count(trees.site_closure(site_tree(t), "site", "parent"), t.orders, "o_custkey")
 
 
-@query("J10_dangling_refs", "SELECT event_id, user_id, event_type FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@query("J10_dangling_refs", "SELECT event_id, user_id, event_type FROM events WHERE user_id NOT IN (SELECT CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey - 1 END FROM supplier)")
 def dangling(t: Tables) -> DataFrame:
-    parents = t.supplier.where(F.col("s_acctbal") > 0)
+    parents = t.supplier.select(F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")).otherwise(-F.col("s_suppkey") - 1).alias("s_suppkey"))
     return op.dangling_refs(t.events.select("event_id", "user_id", "event_type"), parents, "user_id", "s_suppkey")
 
 
 @query("J10_delete_guard", """
 SELECT p_partkey, count(l_partkey) AS injections, count(l_partkey) = 0 AS deletable
-FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45 GROUP BY p_partkey
+FROM part LEFT JOIN lineitem ON CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN l_partkey ELSE -l_partkey - 1 END = p_partkey GROUP BY p_partkey
 """)
 def guard(t: Tables) -> DataFrame:
-    held = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
+    hit = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)
+    held = t.lineitem.select(F.when(hit, F.col("l_partkey")).otherwise(-F.col("l_partkey") - 1).alias("l_partkey"))
     return op.delete_guard(t.part.select("p_partkey"), held, "p_partkey", "l_partkey")
 
 
 @query("J11_request_results", """
 SELECT o_orderkey AS uuid, o_orderstatus AS status, l_partkey AS result_part, l_linestatus AS result_state
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R'
+FROM orders LEFT JOIN lineitem ON CASE WHEN l_returnflag = 'R' THEN l_orderkey ELSE -l_orderkey - 1 END = o_orderkey
 """)
 def request_results(t: Tables) -> DataFrame:
     requests = t.orders.select(F.col("o_orderkey").alias("uuid"), F.col("o_orderstatus").alias("status"))
-    results = t.lineitem.where(F.col("l_returnflag") == "R").select(
-        F.col("l_orderkey").alias("request_uuid"), F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("state")
+    asked = F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).otherwise(-F.col("l_orderkey") - 1)
+    results = t.lineitem.select(
+        asked.alias("request_uuid"), F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("state")
     )
     return op.request_results(requests, results)
 
@@ -291,39 +296,41 @@ WITH {BOARDS_SQL}, {LIVE_SQL}, asks AS (SELECT l_orderkey, l_linenumber, o_custk
 SELECT a.l_orderkey, a.l_linenumber, a.board_uuid, a.plugin_uuid,
        CASE WHEN b.uuid IS NULL THEN 'board missing' WHEN l.uuid IS NULL THEN 'board offline' WHEN p.p_partkey IS NULL THEN 'target missing'
             WHEN b.agent = '' THEN 'no agent' ELSE 'allowed' END AS verdict
-FROM asks a LEFT JOIN boards b ON a.board_uuid = b.uuid AND b.name <> 'FURNITURE' LEFT JOIN live l ON l.uuid = b.uuid
-LEFT JOIN part p ON p.p_partkey = a.plugin_uuid AND p.p_size > 10
+FROM asks a LEFT JOIN boards b ON a.board_uuid = CASE WHEN b.name = 'FURNITURE' THEN -b.uuid - 1 ELSE b.uuid END LEFT JOIN live l ON l.uuid = b.uuid
+LEFT JOIN part p ON CASE WHEN p.p_size > 10 THEN p.p_partkey ELSE -p.p_partkey - 1 END = a.plugin_uuid
 """)
 def eligibility(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("plugin_uuid"))
     asks = lines.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("board_uuid")), "l_orderkey")
-    known = op.mark_online(boards(t).where(F.col("name") != "FURNITURE"), sessions(t))
-    targets = t.part.where(F.col("p_size") > 10).select(F.col("p_partkey").alias("uuid"))
+    moved = F.when(F.col("name") == "FURNITURE", -F.col("uuid") - 1).otherwise(F.col("uuid"))
+    known = op.mark_online(boards(t).withColumn("uuid", moved), sessions(t))
+    targets = t.part.select(F.when(F.col("p_size") > 10, F.col("p_partkey")).otherwise(-F.col("p_partkey") - 1).alias("uuid"))
     return op.injection_eligibility(asks, known, targets)
 
 
 @query("J15_upsert_merge", """
-WITH src AS (SELECT c_custkey AS s_suppkey, c_name AS s_name, c_acctbal AS s_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')
+WITH src AS (SELECT c_custkey // 2 AS s_suppkey, arg_max(c_name, c_custkey) AS s_name, arg_max(c_acctbal, c_custkey) AS s_acctbal FROM customer GROUP BY 1)
 SELECT s_suppkey, CASE WHEN src.s_suppkey IS NOT NULL THEN src.s_name ELSE s.s_name END AS s_name, s.s_nationkey,
        CASE WHEN src.s_suppkey IS NOT NULL THEN src.s_acctbal ELSE s.s_acctbal END AS s_acctbal
 FROM supplier s FULL JOIN src USING (s_suppkey)
 """)
 def upsert(t: Tables) -> DataFrame:
-    source = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal")
+    source = t.customer.select(
+        "c_custkey", F.floor(F.col("c_custkey") / 2).alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal")
     )
-    return op.upsert_merge(t.supplier, source, ["s_suppkey"], ["s_name", "s_acctbal"])
+    return op.upsert_merge(t.supplier, source, ["s_suppkey"], ["s_name", "s_acctbal"], ["c_custkey"])
 
 
 @query("A12_existence_check", """
-WITH asks AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R')
+WITH asks AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 SELECT a.l_suppkey, a.l_partkey, count(l.l_partkey) AS found, count(l.l_partkey) = 1 AS exactly_one
-FROM asks a LEFT JOIN lineitem l ON a.l_suppkey = l.l_suppkey AND a.l_partkey = l.l_partkey AND l.l_linestatus = 'F' GROUP BY 1, 2
+FROM asks a LEFT JOIN lineitem l ON a.l_suppkey = l.l_suppkey AND a.l_partkey = CASE WHEN l.l_linestatus = 'F' THEN l.l_partkey ELSE -l.l_partkey - 1 END GROUP BY 1, 2
 """)
 def existence(t: Tables) -> DataFrame:
     pair = ["l_suppkey", "l_partkey"]
-    asks = t.lineitem.where(F.col("l_returnflag") == "R").select(*pair).distinct()
-    return op.existence_check(asks, t.lineitem.where(F.col("l_linestatus") == "F"), pair)
+    asks = t.lineitem.select(*pair).distinct()
+    part = F.when(F.col("l_linestatus") == "F", F.col("l_partkey")).otherwise(-F.col("l_partkey") - 1)
+    return op.existence_check(asks, t.lineitem.select("l_suppkey", part.alias("l_partkey")), pair)
 
 
 GROUP, CONFIG = "iot.fleet", "config.fleet"
@@ -365,7 +372,7 @@ def effective_permissions(t: Tables) -> DataFrame:
 
 @query("J9_can_i", f"""
 WITH {_rules_sql()}, asks AS (
-  SELECT o_orderkey, c_name AS subject, CASE WHEN o_orderstatus = 'F' THEN 'ns-0' ELSE 'ns-' || c_nationkey END AS namespace,
+  SELECT o_orderkey, c_name AS subject, CASE o_orderstatus WHEN 'F' THEN 'ns-0' WHEN 'O' THEN 'ns-' || c_nationkey END AS namespace,
     CASE o_orderstatus WHEN 'P' THEN '{CONFIG}' ELSE '{GROUP}' END AS api_group,
     CASE o_orderstatus WHEN 'F' THEN 'devices' WHEN 'O' THEN 'devices/status' ELSE 'providerconfigs' END AS resource,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'get' WHEN '2' THEN 'list' WHEN '3' THEN 'update' WHEN '4' THEN 'delete' ELSE 'create' END AS verb
@@ -382,7 +389,7 @@ def can_i(t: Tables) -> DataFrame:
     own = F.concat(F.lit("ns-"), F.col("c_nationkey"))
     people = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("subject"), "c_nationkey")
     asks = t.orders.join(people, "o_custkey").select(
-        "o_orderkey", "subject", F.when(status == "F", "ns-0").otherwise(own).alias("namespace"),
+        "o_orderkey", "subject", F.when(status == "F", "ns-0").when(status == "O", own).alias("namespace"),
         F.when(status == "P", CONFIG).otherwise(GROUP).alias("api_group"), resource.alias("resource"), verb.alias("verb"),
     )
     return perm.can_i(asks, bindings(t), perm.role_rules(t.spark, GROUP, CONFIG))
@@ -404,21 +411,28 @@ def claims(t: Tables) -> DataFrame:
 
 
 @query("J16_role_binding_drift", """
-WITH desired AS (SELECT 'p-' || c_custkey AS namespace, 'admin-binding' AS binding, 'role-' || c_nationkey AS role, 'grp:' || c_mktsegment AS subject FROM customer),
-existing AS (SELECT 'p-' || s_suppkey AS namespace, 'admin-binding' AS binding, 'role-' || s_nationkey AS role,
-             'grp:' || CASE WHEN s_acctbal > 5000 THEN 'BUILDING' ELSE 'MACHINERY' END AS subject FROM supplier)
-SELECT d.namespace, d.binding, d.role, d.subject, CASE WHEN e.role IS NULL THEN 'create' WHEN e.role <> d.role THEN 'recreate' ELSE 'patch' END AS action,
-       coalesce(e.subject <> d.subject, false) AS subject_changed
-FROM desired d LEFT JOIN existing e USING (namespace, binding)
+WITH desired AS (
+  SELECT 'p-' || c_custkey AS namespace, 'admin-binding' AS binding, 'role-' || c_nationkey AS role,
+         unnest(['grp:' || c_mktsegment, 'nation:' || c_nationkey]) AS subject FROM customer),
+existing AS (
+  SELECT 'p-' || s_suppkey AS namespace, 'admin-binding' AS binding, 'role-' || s_nationkey AS role,
+         unnest(['nation:' || s_nationkey, 'grp:' || CASE WHEN s_acctbal > 5000 THEN 'BUILDING' ELSE 'MACHINERY' END]) AS subject FROM supplier),
+d AS (SELECT namespace, binding, max(role) AS role, string_agg(DISTINCT subject, ',' ORDER BY subject) AS subjects FROM desired GROUP BY 1, 2),
+e AS (SELECT namespace, binding, max(role) AS role, string_agg(DISTINCT subject, ',' ORDER BY subject) AS subjects FROM existing GROUP BY 1, 2)
+SELECT d.namespace, d.binding, d.role, d.subjects, CASE WHEN e.role IS NULL THEN 'create' WHEN e.role <> d.role THEN 'recreate' ELSE 'patch' END AS action,
+       coalesce(e.subjects <> d.subjects, false) AS subjects_changed
+FROM d LEFT JOIN e USING (namespace, binding)
 """)
 def drift(t: Tables) -> DataFrame:
+    nation = lambda c: F.concat(F.lit("nation:"), c)
+    wanted = F.array(F.concat(F.lit("grp:"), "c_mktsegment"), nation("c_nationkey"))
     desired = t.customer.select(
         F.concat(F.lit("p-"), "c_custkey").alias("namespace"), F.lit("admin-binding").alias("binding"),
-        F.concat(F.lit("role-"), "c_nationkey").alias("role"), F.concat(F.lit("grp:"), "c_mktsegment").alias("subject"),
+        F.concat(F.lit("role-"), "c_nationkey").alias("role"), F.explode(wanted).alias("subject"),
     )
-    subject = F.concat(F.lit("grp:"), F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise("MACHINERY"))
+    group = F.concat(F.lit("grp:"), F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise("MACHINERY"))
     existing = t.supplier.select(
         F.concat(F.lit("p-"), "s_suppkey").alias("namespace"), F.lit("admin-binding").alias("binding"),
-        F.concat(F.lit("role-"), "s_nationkey").alias("role"), subject.alias("subject"),
+        F.concat(F.lit("role-"), "s_nationkey").alias("role"), F.explode(F.array(nation("s_nationkey"), group)).alias("subject"),
     )
-    return perm.role_binding_drift(desired, existing)
+    return perm.role_binding_drift(desired, existing).withColumn("subjects", F.array_join("subjects", ","))

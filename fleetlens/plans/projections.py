@@ -222,8 +222,10 @@ def settings_(t: Tables) -> DataFrame:
 PATCH_SQL = """
 WITH patches AS (
   SELECT l_partkey AS p_partkey, CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'Recalled' ELSE '' END AS p_brand,
-         CAST(round(l_discount * 100) AS INTEGER) AS p_size FROM lineitem),
-best AS (SELECT * FROM patches QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY p_brand DESC, p_size DESC) = 1)
+         CAST(round(l_discount * 100) AS INTEGER) AS p_size, l_orderkey, l_linenumber FROM lineitem),
+best AS (
+  SELECT p_partkey, arg_max(p_brand, (l_orderkey, l_linenumber, p_brand)) FILTER (WHERE p_brand <> '') AS p_brand,
+         arg_max(p_size, (l_orderkey, l_linenumber, p_size)) FILTER (WHERE p_size <> 0) AS p_size FROM patches GROUP BY 1)
 SELECT p.p_partkey, p.p_name, coalesce(nullif(b.p_brand, ''), p.p_brand) AS p_brand, coalesce(nullif(b.p_size, 0), p.p_size) AS p_size
 FROM part p LEFT JOIN best b USING (p_partkey)
 """
@@ -233,6 +235,7 @@ FROM part p LEFT JOIN best b USING (p_partkey)
 def patch(t: Tables) -> DataFrame:
     brand = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "Recalled").otherwise("")
     patches = t.lineitem.select(
-        F.col("l_partkey").alias("p_partkey"), brand.alias("p_brand"), F.round(F.col("l_discount") * 100).cast("int").alias("p_size")
+        F.col("l_partkey").alias("p_partkey"), brand.alias("p_brand"), F.round(F.col("l_discount") * 100).cast("int").alias("p_size"),
+        "l_orderkey", "l_linenumber",
     )
-    return op.sparse_patch(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), patches, ["p_partkey"])
+    return op.sparse_patch(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), patches, ["p_partkey"], order=["l_orderkey", "l_linenumber"])

@@ -127,12 +127,12 @@ def extract(t: Tables) -> DataFrame:
 WITH e AS (SELECT event_type, date_trunc('day', ts) AS bucket, value, {K_SQL} AS k FROM events), m AS (
   SELECT event_type, bucket, 'value' AS metric, value AS v FROM e UNION ALL SELECT event_type, bucket, 'k', CAST(k AS DOUBLE) FROM e)
 SELECT event_type, CAST(bucket AS TIMESTAMP) AS bucket, metric, count(*) AS n, min(v) AS low, max(v) AS high,
-       CAST(sum(CAST(v AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS mean
+       round(avg(v), 6) AS mean
 FROM m GROUP BY 1, 2, 3
 """)
 def rollup(t: Tables) -> DataFrame:
     readings = t.events.select("event_type", "ts", "value", reading_k().cast("double").alias("k"))
-    return telemetry.sensor_rollup(readings, ["event_type"], ["value", "k"], "ts", "1 day")
+    return telemetry.sensor_rollup(readings, ["event_type"], ["value", "k"], "ts", "1 day").withColumn("mean", F.round("mean", 6))
 
 
 @query("M3_range_check", f"""

@@ -27,7 +27,7 @@ def desired_changes(t: Tables) -> DataFrame:
 @query("R2_drift_stream", """
 WITH obs AS (SELECT o_custkey AS c_custkey, CASE WHEN o_totalprice > 250000 THEN 'gold' ELSE 'base' END AS tier FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
-want AS (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'gold' ELSE 'base' END AS tier FROM customer WHERE c_mktsegment <> 'FURNITURE')
+want AS (SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_acctbal > 5000 THEN 'gold' ELSE 'base' END AS tier FROM customer)
 SELECT o.c_custkey, CASE WHEN w.tier IS NULL THEN 'delete' WHEN w.tier <> o.tier THEN 'update' ELSE 'noop' END AS action,
        CASE WHEN w.tier <> o.tier THEN 'tier' ELSE '' END AS changed
 FROM obs o LEFT JOIN want w USING (c_custkey)
@@ -36,8 +36,9 @@ def drift(t: Tables) -> DataFrame:
     observed = read_stream(t.spark, t.path("orders")).select(
         F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", F.when(F.col("o_totalprice") > 250000, "gold").otherwise("base").alias("tier")
     )
-    desired = t.customer.where(F.col("c_mktsegment") != "FURNITURE").select(
-        "c_custkey", F.when(F.col("c_acctbal") > 5000, "gold").otherwise("base").alias("tier")
+    key = F.when(F.col("c_mktsegment") == "FURNITURE", -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    desired = t.customer.select(
+        key.alias("c_custkey"), F.when(F.col("c_acctbal") > 5000, "gold").otherwise("base").alias("tier")
     )
     return jobs.drift_stream(observed, desired, "c_custkey", ["o_orderdate", "o_orderkey"], ["tier"]).drop("batch")
 
@@ -63,13 +64,13 @@ def presence(t: Tables) -> DataFrame:
 
 @query("R4_telemetry_windows", """
 SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end,
-       count(value) AS n, min(value) AS low, max(value) AS high, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total
+       count(value) AS n, min(value) AS low, max(value) AS high, round(sum(value), 4) AS total
 FROM events GROUP BY 1, 2, 3
 """)
 def windows(t: Tables) -> DataFrame:
     stream = on_clock(read_stream(t.spark, t.path("events")), "ts", "10 minutes")
     rows = run_update(jobs.telemetry_windows(stream, ["event_type"], "ts", "value", "1 day"), ["event_type", "window_start"], "windows")
-    return plain_time(rows, "window_start", "window_end").withColumn("total", F.col("total").cast("double"))
+    return plain_time(rows, "window_start", "window_end").withColumn("total", F.round("total", 4))
 
 
 @query("R4_sliding_windows", """

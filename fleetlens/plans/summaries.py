@@ -40,12 +40,12 @@ def actives(t: Tables) -> DataFrame:
 @query("A4_least_loaded", """
 WITH loads AS (
   SELECT s_nationkey AS site, s_suppkey AS node, count(l_suppkey) AS functions
-  FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' WHERE s_acctbal > 0 GROUP BY 1, 2)
+  FROM supplier LEFT JOIN lineitem ON CASE WHEN l_returnflag = 'R' THEN l_suppkey ELSE -l_suppkey END = s_suppkey WHERE s_acctbal > 0 GROUP BY 1, 2)
 SELECT site, node, functions FROM loads QUALIFY rank() OVER (PARTITION BY site ORDER BY functions) = 1
 """)
 def least_loaded(t: Tables) -> DataFrame:
     nodes = t.supplier.select(F.col("s_nationkey").alias("site"), F.col("s_suppkey").alias("node"), (F.col("s_acctbal") > 0).alias("up"))
-    functions = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_suppkey").alias("node"))
+    functions = t.lineitem.select(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).otherwise(-F.col("l_suppkey")).alias("node"))
     return op.least_loaded(nodes, functions, ["site"], "up")
 
 
@@ -135,9 +135,9 @@ def newest(t: Tables) -> DataFrame:
     return ranking.newest_matching(fresh, codes, "code", "o_orderdate", "1-URGENT", ["o_custkey"])
 
 
-@query("W4_first_per_key", "SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 AS kept FROM part")
+@query("W4_first_per_key", "WITH named AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_name END AS p_name FROM part) SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 AS kept FROM named")
 def first(t: Tables) -> DataFrame:
-    return ranking.first_per_key(t.part.select("p_partkey", "p_name"), "p_name", ["p_partkey"])
+    return ranking.first_per_key(t.part.select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_name")).alias("p_name")), "p_name", ["p_partkey"])
 
 
 @query("W5_bounded_listing", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")

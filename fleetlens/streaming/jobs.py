@@ -137,11 +137,11 @@ def presence(slots: DataFrame, key: str, timeout_s: int) -> DataFrame:
 def telemetry_windows(
     stream: DataFrame, by: Sequence[str], ts: str, value: str, width: str, slide: str | None = None
 ) -> DataFrame:
-    """Count, min, max and decimal sum per group and window; tumbling, or sliding with a slide."""
+    """Count, min, max and sum per group and window; tumbling, or sliding with a slide."""
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     return stream.groupBy(*by, window.alias("_w")).agg(
         F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.sum(F.col(value).cast("decimal(18,4)")).alias("total"),
+        F.sum(F.col(value).cast("double")).alias("total"),
     ).select(*by, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "n", "low", "high", "total")
 
 

@@ -349,12 +349,11 @@ def test_broken_trees_are_reported(spark):
     nodes = [("a", "b"), ("b", "a"), ("c", "a"), ("s", "s"), ("m", "gone"), ("n", "m"), ("top", ""), ("t1", "top")]
     nodes += [(f"d{i}", f"d{i - 1}" if i else None) for i in range(12)]
     sites = spark.createDataFrame(nodes, "site string, parent string")
-    state = {r.node: r.state for r in trees.site_paths(sites, "site", "parent", max_depth=8).collect()}
+    state = {r.node: r.state for r in trees.site_paths(sites, "site", "parent").collect()}
     assert {state[n] for n in "abcs"} == {"cycle"}
     assert state["m"] == state["n"] == "missing parent"
-    assert state["top"] == state["t1"] == state["d8"] == "ok"
-    assert state["d9"] == "too deep"
-    found = {r.node: (r.root, r.depth, r.resolved) for r in trees.tree_roots(sites, "site", "parent", max_depth=16).collect()}
+    assert state["top"] == state["t1"] == state["d11"] == "ok"
+    found = {r.node: (r.root, r.depth, r.resolved) for r in trees.tree_roots(sites, "site", "parent").collect()}
     assert len(found) == len(nodes)
     assert found["d11"] == ("d0", 11, True) and found["n"] == ("gone", 2, True) and found["top"] == ("top", 0, True)
     assert [found[n] for n in "abcs"] == [(None, None, False)] * 4
@@ -369,10 +368,57 @@ def test_closure_against_brute_force(spark):
         while at is not None:
             want.add((node, at, distance))
             at, distance = parents[at], distance + 1
-    got = trees.site_closure(sites, "site", "parent", max_depth=64).collect()
+    got = trees.site_closure(sites, "site", "parent").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_deep_chains_are_whole(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(80)], "site int, parent int")
+    counts = {r.node: r["count"] for r in trees.site_closure(chain, "site", "parent").groupBy("node").count().collect()}
+    assert counts == {i: i + 1 for i in range(80)}
+    paths = {r.node: r for r in trees.site_paths(chain, "site", "parent").collect()}
+    assert paths[79].depth == 79 and paths[79].top == 0 and paths[79].state == "ok" and paths[79].path == "/".join(map(str, range(80)))
+    long = spark.createDataFrame([(i, i - 1 if i else None, False) for i in range(5000)], "site int, parent int, pending boolean")
+    found = {r.node: (r.root, r.depth, r.resolved) for r in trees.request_tree(long, "site", "parent", "pending").collect()}
+    assert found == {i: (0, i, True) for i in range(5000)}
+    ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)] + [(100, 5)], "site int, parent int")
+    pairs = trees.site_closure(ring, "site", "parent")
+    assert pairs.count() == 40 * 40 + 41 and pairs.distinct().count() == pairs.count()
+
+
+def test_rows_with_null_keys_stay(spark):
+    from fleetlens.operators import aggregates, matching, projections, ranking
+
+    first = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, name string")
+    assert sorted(map(tuple, ranking.first_per_key(first, "name", ["id"]).collect())) == [(1, None, True), (2, None, False), (3, "a", True)]
+    nodes = spark.createDataFrame([("n1", None), ("n2", None), ("n3", "s")], "node string, site string")
+    work = spark.createDataFrame([("n1",)], "node string")
+    assert {r.node for r in aggregates.least_loaded(nodes, work, ["site"]).collect()} == {"n2", "n3"}
+    agents = spark.createDataFrame([(None, "h1", 1, 1, 0), (None, "h2", 0, 2, 0)], "site string, hostname string, ragent int, created_at int, online int")
+    assert {r.hostname: r.ragent for r in ranking.elect_singleton(agents, ["site"]).collect()} == {"h1": 0, "h2": 1}
+    current = spark.createDataFrame([(1, "old", "old")], "k int, p string, q string")
+    patches = spark.createDataFrame([(1, 2, "new", ""), (1, 1, "older", "new"), (1, 3, "", "")], "k int, at int, p string, q string")
+    assert tuple(projections.sparse_patch(current, patches, ["k"], order=["at"]).first()) == (1, "new", "new")
+    source = spark.createDataFrame([(1, 5, "zz"), (1, 9, "aa")], "k int, at int, p string")
+    assert matching.upsert_merge(current, source, ["k"], ["p"], ["at"]).first().p == "aa"
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "k int, v string")
+    plan = {r.k: r.action for r in matching.reconcile_plan(twice, twice.limit(0), ["k"], ["v"]).collect()}
+    assert plan == {1: "repeated", 2: "create"}
+
+
+def test_bindings_compare_their_subject_lists(spark):
+    schema = "namespace string, binding string, role string, subject string"
+    want = spark.createDataFrame([("n", "b", "r", "u1"), ("n", "b", "r", "u2"), (None, "c", "r", "u")], schema)
+    have = spark.createDataFrame([("n", "b", "r", "u2"), ("n", "b", "r", "u1"), (None, "c", "q", "x")], schema)
+    got = {r.binding: (r.subjects, r.action, r.subjects_changed) for r in permissions.role_binding_drift(want, have).collect()}
+    assert got == {"b": (["u1", "u2"], "patch", False), "c": (["u"], "recreate", True)}
+    rules = permissions.role_rules(spark, "iot", "config", "site-{}")
+    bound = spark.createDataFrame([("root", "site-admin", None), ("pm", "site-admin", "n")], "subject string, role string, namespace string")
+    asks = spark.createDataFrame([("root", None, "iot", "sites", "create"), ("pm", None, "iot", "sites", "create")],
+                                 "subject string, namespace string, api_group string, resource string, verb string")
+    assert {r.subject: r.allowed for r in permissions.can_i(asks, bound, rules).collect()} == {"root": True, "pm": False}
+
+
 def test_permissions(spark):
     rules = permissions.role_rules(spark, "iot", "config")
     bindings = spark.createDataFrame(
@@ -398,7 +444,7 @@ def test_claims_and_bindings(spark):
     ]
     desired = spark.createDataFrame([("n", "a", "r1", "s"), ("n", "b", "r1", "s"), ("n", "c", "r1", "s"), ("n", "d", "r1", "s")], "namespace string, binding string, role string, subject string")
     existing = spark.createDataFrame([("n", "b", "r2", "s"), ("n", "c", "r1", "t"), ("n", "d", "r1", "s")], "namespace string, binding string, role string, subject string")
-    assert rows(permissions.role_binding_drift(desired, existing), "binding", "action", "subject_changed") == [
+    assert rows(permissions.role_binding_drift(desired, existing), "binding", "action", "subjects_changed") == [
         ("a", "create", False), ("b", "recreate", False), ("c", "patch", True), ("d", "patch", False),
     ]
 

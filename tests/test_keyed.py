@@ -86,3 +86,20 @@ def test_text_cannot_be_cut(spark):
     df = spark.createDataFrame([("a", "x")], "key string, at string")
     with pytest.raises(ValueError, match="cut along"):
         hot_keys(df, ["key"], "at")
+
+
+def test_null_places_bursts_and_single_instants_give_the_same_when_cut(spark):
+    n = 3000
+    at = F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 100 < 2, F.col("id") * 1000 - 900_000).otherwise(-F.col("id") % 300)
+    bursty = spark.range(n).select(F.lit("burst").alias("key"), at.cast("long").alias("at"), "id", (F.xxhash64("id") % 3).cast("string").alias("state"))
+    single = spark.range(n).select(F.lit("one").alias("key"), F.lit(7).cast("long").alias("at"), "id", F.lit("x").alias("state"))
+    nameless = bursty.withColumn("key", F.lit(None).cast("string"))
+    df = bursty.unionByName(single).unionByName(nameless).persist()
+    w = Window.partitionBy("key").orderBy("at", "id")
+    want = rows(df.select("*", F.lag("state").over(w).alias("was")))
+    hot = hot_keys(df, ["key"], "at", 200)
+    assert {r.key for r in hot.collect()} == {"burst", "one", None}
+    assert rows(with_previous(df, ["key"], ["at", "id"], {"was": "state"}, hot)) == want
+    parts, by = _cut(df, ["key"], "at", hot)
+    sizes = parts.where("key = 'burst'").groupBy("_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 300
