@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.values import condition_status, is_blank
 from fleetlens.operators import projections as op
+from fleetlens.operators.aggregates import ready_ratio
+from fleetlens.operators.permissions import role_binding_drift
 from fleetlens.operators.ranking import latest_row
 from fleetlens.plans.bindings import BOARDS_SQL, K_SQL, boards, reading_k
 from fleetlens.plans.registry import Tables, query
@@ -56,6 +58,46 @@ def manifest_scan(t: Tables) -> DataFrame:
     return sites.select("name", "spec.uuid", F.col("spec.parentSite").alias("parent"))
 
 
+@query("S1_pod_scan", """
+SELECT 'ns-' || o_custkey AS namespace, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) AS total FROM orders GROUP BY 1
+""")
+def pod_scan(t: Tables) -> DataFrame:
+    """Pods written from the orders, scanned back and counted per namespace."""
+    done = F.when(F.col("o_orderstatus") == "F", "True").otherwise("False")
+    pod = F.struct(
+        F.lit("v1").alias("apiVersion"), F.lit("Pod").alias("kind"),
+        F.struct(F.concat(F.lit("pod-"), "o_orderkey").alias("name"), F.concat(F.lit("ns-"), "o_custkey").alias("namespace")).alias("metadata"),
+        F.struct(F.lit("Running").alias("phase"), F.array(F.struct(F.lit("Ready").alias("type"), done.alias("status"))).alias("conditions")).alias("status"),
+    )
+    path = fresh_path(t.spark, "pods")
+    t.orders.select(F.to_json(pod)).write.text(path)
+    pods = resource_scan(t.spark, path, "Pod", "jsonl").where("error is null")
+    return ready_ratio(pods.select("namespace", (condition_status("conditions", "Ready") == "True").alias("ready")))
+
+
+@query("S1_binding_scan", """
+WITH d AS (SELECT c_custkey AS k, 'role-' || c_nationkey AS role, 'grp:' || c_mktsegment AS subject FROM customer),
+e AS (SELECT s_suppkey AS k, 'role-' || s_nationkey AS role, 'grp:BUILDING' AS subject FROM supplier)
+SELECT 'p-' || d.k AS namespace, d.role, d.subject AS subjects, CASE WHEN e.k IS NULL THEN 'create' WHEN d.role <> e.role THEN 'recreate' ELSE 'patch' END AS action,
+       coalesce(d.subject <> e.subject, false) AS subjects_changed
+FROM d LEFT JOIN e USING (k)
+""")
+def binding_scan(t: Tables) -> DataFrame:
+    """Role bindings written as manifests from the customers, scanned back and compared with those of the suppliers."""
+    text = F.format_string(
+        "kind: RoleBinding\nmetadata:\n  name: admin\n  namespace: p-%d\nroleRef:\n  kind: ClusterRole\n  name: role-%d\nsubjects:\n- kind: Group\n  name: 'grp:%s'\n---",
+        "c_custkey", "c_nationkey", "c_mktsegment",
+    )
+    path = fresh_path(t.spark, "bindings")
+    t.customer.select(text).write.text(path)
+    found = resource_scan(t.spark, path, "RoleBinding", "yaml").where("error is null")
+    desired = found.select("namespace", F.col("name").alias("binding"), F.col("spec.roleRef.name").alias("role"), F.explode("spec.subjects.name").alias("subject"))
+    existing = t.supplier.select(
+        F.concat(F.lit("p-"), "s_suppkey").alias("namespace"), F.lit("admin").alias("binding"),
+        F.concat(F.lit("role-"), "s_nationkey").alias("role"), F.lit("grp:BUILDING").alias("subject"))
+    return role_binding_drift(desired, existing).withColumn("subjects", F.array_join("subjects", ",")).drop("binding")
+
+
 @query("S2_registry_scan", f"WITH {BOARDS_SQL} SELECT CAST(uuid AS VARCHAR) AS uuid, code, name, status, agent FROM boards")
 def registry_scan_(t: Tables) -> DataFrame:
     folder = fresh_path(t.spark, "registry")
@@ -80,15 +122,15 @@ def api_capture(t: Tables) -> DataFrame:
 
 
 @query("S4_log_scan", """
-SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines,
-       CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS numbered FROM documents
+SELECT source AS run, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line_no, parts[i] AS line
+FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents) d, generate_series(1, len(parts)) AS g(i)
 """)
 def log_scan_(t: Tables) -> DataFrame:
-    """Documents written as text files and read back as numbered lines; the highest numbers add up to all lines."""
+    """Documents written as one text file per source folder and read back as numbered lines."""
     path = fresh_path(t.spark, "logs")
-    t.documents.select("text").write.text(path)
-    runs = log_scan(t.spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("top"))
-    return runs.agg(F.sum("n").alias("lines"), F.sum("top").alias("numbered"))
+    ordered = t.documents.select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", "text").write.partitionBy("source").text(path)
+    return log_scan(t.spark, path).select(F.regexp_extract("run_id", "source=([^/]*)/", 1).alias("run"), "line_no", "line")
 
 
 @query("S4_text_lines", """

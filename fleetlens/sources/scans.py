@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,28 +11,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.sources.schemas import REGISTRY, resource_schema
+from fleetlens.session import stage
+from fleetlens.sources.schemas import CONDITION, PLAIN_SPEC_FIELDS, REGISTRY, TOP_FIELDS, resource_schema
 
 EXTERNAL_NAME = "crossplane.io/external-name"
 
 
 def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per document, and per item of a list; one row with the error for a document that is no resource."""
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for frame in frames:
-        docs = []
-        for text in frame["value"]:
-            found = yaml.load_all(text, Loader=loader)
-            docs += [json.dumps(doc, default=str) for doc in found if isinstance(doc, dict)]
-        yield pd.DataFrame({"body": pd.Series(docs, dtype="object")})
+        rows: list[tuple[str | None, str | None, str]] = []
+        for text, file in zip(frame["value"], frame["file"]):
+            try:
+                for doc in yaml.load_all(text, Loader=loader):
+                    items = doc.get("items") if isinstance(doc, dict) else None
+                    for one in items if isinstance(items, list) else [doc]:
+                        if isinstance(one, dict):
+                            rows.append((json.dumps(one, default=str), None, file))
+                        elif one is not None:
+                            rows.append((None, f"no resource: {str(one)[:200]}", file))
+            except yaml.YAMLError as error:
+                rows.append((None, str(error), file))
+        yield pd.DataFrame(rows, columns=["body", "error", "file"], dtype="object")
 
 
 def _typed(docs: DataFrame, kind: str) -> DataFrame:
-    spec = F.col("doc.spec") if kind == "Project" else F.col("doc.spec.forProvider")
-    policy = F.lit(None).cast("string") if kind == "Project" else F.col("doc.spec.deletionPolicy")
-    meta = F.col("doc.metadata")
-    return docs.where(F.col("doc.kind") == kind).select(
+    """Rows (doc, error, file) as one row per resource of the kind; those with an error stay, with nothing but it."""
+    doc, meta = F.col("doc"), F.col("doc.metadata")
+    core, name = kind.startswith("v1/"), kind.removeprefix("v1/")
+    wanted = doc["kind"] == name
+    if name == "Service":  # two kinds share this name
+        wanted &= F.coalesce(doc["apiVersion"] == "v1", F.lit(False)) == core
+    nothing = F.lit(None)
+    if kind in TOP_FIELDS:
+        fields = T._parse_datatype_string(f"struct<{TOP_FIELDS[kind]}>").names
+        spec, policy, observed, conditions = F.struct(*[doc[f].alias(f) for f in fields]), nothing, nothing, nothing
+    elif kind in PLAIN_SPEC_FIELDS:
+        spec, policy, observed, conditions = doc["spec"], nothing, doc["status"].dropFields("conditions"), doc["status"]["conditions"]
+    else:
+        spec, policy = doc["spec"]["forProvider"], doc["spec"]["deletionPolicy"]
+        observed, conditions = doc["status"]["atProvider"], doc["status"]["conditions"]
+    none = F.array().cast(f"array<{CONDITION}>")
+    return docs.where(wanted | F.col("error").isNotNull()).select(
         meta["name"].alias("name"),
         meta["namespace"].alias("namespace"),
         meta["generation"].alias("generation"),
@@ -40,30 +64,33 @@ def _typed(docs: DataFrame, kind: str) -> DataFrame:
         meta["annotations"].alias("annotations"),
         F.try_element_at(meta["annotations"], F.lit(EXTERNAL_NAME)).alias("external_name"),
         spec.alias("spec"),
-        policy.alias("deletion_policy"),
-        F.col("doc.status.atProvider").alias("observed"),
-        F.coalesce("doc.status.conditions", F.array()).alias("conditions"),
+        policy.cast("string").alias("deletion_policy"),
+        observed.alias("observed"),
+        F.coalesce(conditions.cast(f"array<{CONDITION}>"), none).alias("conditions"),
+        "error", "file",
     )
 
 
 def resource_scan(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
-    """One typed row per resource of a kind.
+    """One typed row per resource of a kind, and one row with `error` and `file` per document that cannot be read.
 
     json: list exports or single documents, any layout, one file per task.
     jsonl: one document or list per line; files split between tasks.
-    yaml: manifests; files split between tasks at the document separator.
+    yaml: manifests, lists included; files split between tasks at the document separator.
+    A core service is the kind v1/Service; Service alone is the device service.
     """
     doc = resource_schema(kind)
     if fmt == "yaml":
-        texts = spark.read.option("lineSep", "\n---\n").text(path)
-        bodies = texts.mapInPandas(_yaml_to_json, "body string")
-        docs = bodies.select(F.from_json("body", T._parse_datatype_string(doc)).alias("doc"))
-        return _typed(docs, kind)
+        texts = spark.read.option("lineSep", "\n---\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        bodies = texts.mapInPandas(_yaml_to_json, "body string, error string, file string")
+        return _typed(bodies.select(F.from_json("body", T._parse_datatype_string(doc)).alias("doc"), "error", "file"), kind)
     top = T._parse_datatype_string(doc)
-    schema = T.StructType([*top.fields, T.StructField("items", T.ArrayType(top))])
+    bad = T.StructField("_corrupt_record", T.StringType())
+    schema = T.StructType([*top.fields, T.StructField("items", T.ArrayType(top)), bad])
     raw = spark.read.schema(schema).option("multiLine", fmt == "json").json(path)
     alone = F.array(F.struct(*[f.name for f in top.fields]))
-    docs = raw.select(F.explode(F.coalesce("items", alone)).alias("doc"))
+    error = F.when(F.col("_corrupt_record").isNotNull(), F.concat(F.lit("no JSON: "), F.substring("_corrupt_record", 1, 200)))
+    docs = raw.select(F.explode_outer(F.coalesce("items", alone)).alias("doc"), error.alias("error"), F.col("_metadata.file_path").alias("file"))
     return _typed(docs, kind)
 
 
@@ -101,25 +128,35 @@ def api_capture_scan(df: DataFrame, body: str, item: str, envelope: str | None =
     return df.select(*kept, F.explode_outer(items).alias("_item")).select(*kept, "_item.*")
 
 
+# So many splits of files may be sent to every task; of more, the table is joined like any other.
+SPLITS_TO_SEND = 200_000
+
+
 def log_scan(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, line_no, line) from a folder of run logs, without reading a whole file into one row.
 
-    Files are read in splits. A line's number is its place inside its split plus the lines of the earlier
-    splits of the same file, so even one very long log is numbered in parallel.
+    A run is named by its file's path below the folder. Files are read in splits. A line's number is its place inside
+    its split plus the lines of the earlier splits of the same file, which a table with one row per split tells; so no
+    line is shuffled, and even one very long log is numbered in parallel.
     """
-    lines = spark.read.text(path).select(
-        F.regexp_replace(F.col("_metadata.file_name"), "\\.log$", "").alias("run_id"),
+    root = re.sub("^[a-z0-9]+:(//[^/]*)?", "", path.rstrip("/")) + "/"
+    below = F.locate(root, F.col("_metadata.file_path"))
+    run = F.when(below > 0, F.substr("_metadata.file_path", below + len(root))).otherwise(F.col("_metadata.file_name"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.regexp_replace(run, "\\.log$", "").alias("run_id"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"),
         F.col("value").alias("line"),
     )
-    sizes = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_file", "_block").orderBy("_pos")
-    placed = lines.withColumn("_at", F.row_number().over(inside)).join(offsets, ["_file", "_block"])
-    return placed.select("run_id", (F.col("_offset") + F.col("_at")).alias("line_no"), "line")
+    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    offsets = stage(sizes.select("_file", "_block", offset.alias("_offset")), "splits")
+    if offsets.count() <= SPLITS_TO_SEND:
+        offsets = F.broadcast(offsets)
+    placed = lines.join(offsets, ["_file", "_block"])
+    return placed.select("run_id", (F.col("_offset") + F.col("_pos")).alias("line_no"), "line")
 
 
 def text_lines(df: DataFrame, run: str, text: str) -> DataFrame:

@@ -23,9 +23,40 @@ SPEC_FIELDS = {
     "Result": "uuid:string,boardUuid:string,requestUuid:string,result:string,message:string",
     "BoardPluginInjection": "boardUuid:string,pluginUuid:string",
     "BoardServiceInjection": "boardUuid:string,serviceUuid:string",
+}
+
+# The spec of kinds that keep their fields right under spec.
+PLAIN_SPEC_FIELDS = {
     "Project": "projectName:string,owner:string",
+    "ProviderConfig": "domain:string,credentials:struct<source:string>",
+    "Pod": "nodeName:string,serviceAccountName:string,containers:array<struct<name:string,image:string>>",
+    "Namespace": "finalizers:array<string>",
+    "Node": "podCIDR:string,unschedulable:boolean",
+    "v1/Service": "type:string,clusterIP:string,selector:map<string,string>,"
+                  "ports:array<struct<name:string,port:int,nodePort:int,protocol:string>>",
 }
 
+# Kinds that keep their fields at the top of the document.
+TOP_FIELDS = {
+    "ClusterRole": "rules:array<struct<apiGroups:array<string>,resources:array<string>,verbs:array<string>>>",
+    "Role": "rules:array<struct<apiGroups:array<string>,resources:array<string>,verbs:array<string>>>",
+    "RoleBinding": "roleRef:struct<kind:string,name:string>,subjects:array<struct<kind:string,name:string,namespace:string>>",
+    "ClusterRoleBinding": "roleRef:struct<kind:string,name:string>,subjects:array<struct<kind:string,name:string,namespace:string>>",
+    "ProviderConfigUsage": "providerConfigRef:struct<name:string>,resourceRef:struct<apiVersion:string,kind:string,name:string>",
+}
+
+# What a kind reports beside its conditions; under status.atProvider unless the kind's spec is plain.
+STATUS_FIELDS = {
+    "Site": "uuid:string,name:string,code:string,status:string,deviceCount:int",
+    "Project": "namespaceReady:boolean,rbacReady:boolean,s4tReady:boolean",
+    "ProviderConfig": "users:bigint",
+    "Pod": "phase:string,podIP:string,containerStatuses:array<struct<name:string,ready:boolean,restartCount:int>>",
+    "Namespace": "phase:string",
+    "Node": "nodeInfo:struct<kubeletVersion:string>",
+    "v1/Service": "loadBalancer:struct<ingress:array<struct<ip:string>>>",
+}
+OBSERVED = "uuid:string,code:string,status:string"
+
 # The columns of the registry tables.
 REGISTRY = {
     "boards": "uuid string, code string, name string, status string, agent string",
@@ -45,11 +76,16 @@ TELEMETRY = (
 
 def resource_schema(kind: str) -> str:
     """One resource document: metadata, wanted fields, observed fields and conditions."""
-    fields = SPEC_FIELDS[kind]
-    wanted = f"struct<{fields}>" if kind == "Project" else f"struct<forProvider:struct<{fields}>,deletionPolicy:string>"
-    return (
-        "struct<kind:string,metadata:struct<name:string,namespace:string,generation:bigint,"
+    head = (
+        "struct<apiVersion:string,kind:string,metadata:struct<name:string,namespace:string,generation:bigint,"
         "creationTimestamp:timestamp,labels:map<string,string>,annotations:map<string,string>>,"
-        f"spec:{wanted},status:struct<atProvider:struct<uuid:string,code:string,status:string>,"
-        f"conditions:array<{CONDITION}>>>"
+    )
+    observed = STATUS_FIELDS.get(kind, OBSERVED)
+    if kind in TOP_FIELDS:
+        return f"{head}{TOP_FIELDS[kind]}>"
+    if kind in PLAIN_SPEC_FIELDS:
+        return f"{head}spec:struct<{PLAIN_SPEC_FIELDS[kind]}>,status:struct<{observed},conditions:array<{CONDITION}>>>"
+    return (
+        f"{head}spec:struct<forProvider:struct<{SPEC_FIELDS[kind]}>,deletionPolicy:string>,"
+        f"status:struct<atProvider:struct<{observed}>,conditions:array<{CONDITION}>>>"
     )

@@ -130,3 +130,36 @@ def test_nested_extract_drops_missing_null_and_false(spark):
 def test_condition_status(spark):
     df = spark.createDataFrame([([("Ready", "True")],), ([],), (None,)], "c array<struct<type:string,status:string>>")
     assert [r[0] for r in df.select(condition_status("c", "Ready")).collect()] == ["True", "Unknown", "Unknown"]
+
+
+def test_lists_bad_documents_and_core_kinds(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "list.yaml").write_text(
+        "kind: List\nitems:\n- kind: Site\n  metadata: {name: one}\n  status: {atProvider: {deviceCount: 4}}\n- kind: Device\n  metadata: {name: no}\n---\n"
+        "kind: [broken\n---\njust text\n---\nkind: Site\nmetadata: {name: two}\n")
+    sites = resource_scan(spark, str(tmp_path / "a"), "Site", "yaml").collect()
+    assert sorted(r.name for r in sites if r.error is None) == ["one", "two"]
+    assert [r.observed.deviceCount for r in sites if r.name == "one"] == [4]
+    assert len([r for r in sites if r.error]) == 2 and all(r.file.endswith("list.yaml") for r in sites)
+    (tmp_path / "b").mkdir()
+    lines = [
+        device("d", code="c"), {"kind": "Service", "apiVersion": "v1", "metadata": {"name": "core"}, "spec": {"ports": [{"port": 80}]}},
+        {"kind": "Service", "apiVersion": "iot/v1", "metadata": {"name": "iot"}, "spec": {"forProvider": {"port": 22}}},
+        {"kind": "ClusterRole", "metadata": {"name": "r"}, "rules": [{"apiGroups": ["*"], "resources": ["sites"], "verbs": ["get"]}]},
+        {"kind": "Pod", "metadata": {"name": "p"}, "status": {"phase": "Running", "conditions": [{"type": "Ready", "status": "True"}]}},
+    ]
+    (tmp_path / "b" / "x.jsonl").write_text("\n".join([*map(json.dumps, lines), '{"kind": "Dev', ""]))
+    scan = lambda kind: resource_scan(spark, str(tmp_path / "b"), kind, "jsonl").collect()
+    assert [(r.name, bool(r.error)) for r in scan("Device")] == [("d", False), (None, True)]
+    assert scan("v1/Service")[0].spec.ports[0].port == 80 and scan("Service")[0].spec.port == 22
+    assert scan("ClusterRole")[0].spec.rules[0].resources == ["sites"]
+    pod = scan("Pod")[0]
+    assert pod.observed.phase == "Running" and pod.conditions[0].status == "True"
+
+
+def test_runs_of_equal_names_stay_apart(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "run.log").write_text("".join(f"{folder}{i}\n" for i in range(1, 50)))
+    found = sorted((r.run_id, r.line_no, r.line) for r in log_scan(spark, str(tmp_path)).collect())
+    assert found == sorted((f"{f}/run", i, f"{f}{i}") for f in "ab" for i in range(1, 50))
