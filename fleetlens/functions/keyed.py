@@ -26,7 +26,7 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     """An equi-join on columns of equal names in which NULL keys meet too; the keys are taken from the left."""
     other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
     on = reduce(and_, [left[k].eqNullSafe(other[f"_same_{k}"]) for k in keys])
-    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])  # dropping what a semi-join left out is no error
 
 
 def one_row_per(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True) -> DataFrame:

@@ -9,51 +9,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, one_row_per, with_previous
+from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, join_same, one_row_per, with_previous
 from fleetlens.functions.values import changed_columns
-from fleetlens.streaming.sinks import read_batches, run_batches, write_batch
+from fleetlens.streaming.sinks import read_batches, run_append, run_batches, write_batch
 
 
 def desired_changes(
-    stream: DataFrame, key: str, order: Sequence[str], watched: Sequence[str], split: int = SPLIT_ROWS,
-    merge_every: int = 20, name: str = "changes",
+    stream: DataFrame, key: str, order: Sequence[str], watched: Sequence[str], split: int = SPLIT_ROWS, name: str = "changes",
 ) -> DataFrame:
     """Events whose watched fields differ from the key's event before; the first event of a key counts.
 
-    Inside a micro-batch events are compared with `with_previous`, so a key owning most of a batch is cut over
-    tasks. Across batches the last fingerprint of each key is looked up in the marks: every batch leaves those
-    of the keys it touched, and every `merge_every` batches all are merged, so a lookup never reads a long past.
+    Inside a micro-batch events are compared with `with_previous`, so a key owning most of a batch is cut over tasks.
+    Of every batch and key the first and last fingerprint are left, one row. A second stream follows these with the
+    engine's keyed state, which holds the last fingerprint, and tells whether the first event of a batch is a change.
+    Rows without a key are one key.
     """
     spark = stream.sparkSession
     order = list(order)
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in watched]
     mark = F.sha2(F.concat_ws("\x1f", *fields), 256)
-    kept = f"`{key}` {stream.schema[key].dataType.simpleString()}, mark string"
+    key_type = stream.schema[key].dataType.simpleString()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    kept = f"{columns}, mark string, opens boolean"
 
     def work(rows: DataFrame, batch: int, path: str) -> None:
-        here = rows.sparkSession
         marked = rows.withColumn("mark", mark)
-        seen = with_previous(marked, [key], order, {"_was": "mark"}, hot_keys(rows, [key], order[0], split))
-        touched = one_row_per(marked, [key], order).select(key, "mark")
-        if batch > 0:
-            base = (batch - 1) // merge_every * merge_every
-            recent = read_batches(here, f"{path}/marks", kept).where((F.col("batch") < batch) & (F.col("batch") > base))
-            left = recent.unionByName(read_batches(here, f"{path}/merged", kept).where(F.col("batch") == base))
-            asked = left.join(rows.select(key).distinct(), key, "left_semi")
-            last = one_row_per(asked, [key], ["batch"]).select(key, F.col("mark").alias("_left"))
-            seen = seen.join(last, key, "left").withColumn("_was", F.coalesce("_was", "_left")).drop("_left")
+        seen = with_previous(marked, [key], order, {"_was": "mark"}, hot_keys(marked, [key], order[0], split))
         changed = seen.where(F.col("_was").isNull() | (F.col("_was") != F.col("mark")))
-        write_batch(changed.drop("_was", "mark"), batch, f"{path}/events")
-        write_batch(touched, batch, f"{path}/marks")
-        if batch % merge_every == 0:
-            everything = touched.withColumn("batch", F.lit(batch))
-            if batch > 0:
-                everything = everything.unionByName(left)
-            write_batch(one_row_per(everything, [key], ["batch"]).drop("batch"), batch, f"{path}/merged")
+        write_batch(changed.withColumn("opens", F.col("_was").isNull()).drop("_was"), batch, f"{path}/rows")
+        # the last change of a batch carries its last fingerprint
+        back = rows.sparkSession.read.schema(kept).parquet(f"{path}/rows/batch={batch}")
+        at = F.struct(*order)
+        write_batch(back.groupBy(key).agg(F.min_by("mark", at).alias("first"), F.max_by("mark", at).alias("last")), batch, f"{path}/ends")
+
+    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ends = sorted((int(b), f, t) for frame in frames for b, f, t in zip(frame["batch"], frame["first"], frame["last"]))
+        last, out = state.get[0] if state.exists else None, []
+        for batch, first, to in ends:
+            out.append((name[0], batch, first != last))
+            last = to
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "batch", "changes"])
 
     path = run_batches(stream, name, work)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return read_batches(spark, f"{path}/events", schema).drop("batch")
+    ends = spark.readStream.schema(f"`{key}` {key_type}, first string, last string, batch int").parquet(f"{path}/ends")
+    verdicts = run_append(ends.groupBy(key).applyInPandasWithState(
+        follow, f"`{key}` {key_type}, batch int, changes boolean", "last string", "append", GroupStateTimeout.NoTimeout), f"{name}-ends")
+    rows = read_batches(spark, f"{path}/rows", kept)
+    opening = join_same(rows.where("opens"), verdicts.where("changes").select(key, "batch"), [key, "batch"], "left_semi")
+    return rows.where("not opens").unionByName(opening).select(*stream.columns)
 
 
 def drift_stream(

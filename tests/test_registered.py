@@ -1,12 +1,12 @@
-"""Every registered query against its SQL."""
+"""Every registered query of the fleet operators against its SQL; the document queries have tests of their own."""
 
 import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from fleetlens.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

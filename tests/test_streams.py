@@ -43,10 +43,21 @@ def test_changes_over_batches(spark, events, parts, split):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     seen = events.withColumn("was", F.lag("event_type").over(w))
     want = seen.where(F.col("was").isNull() | (F.col("was") != F.col("event_type")))
-    got = jobs.desired_changes(stream(spark, parts), "user_id", ["ts", "event_id"], ["event_type"], split, merge_every=2)
+    got = jobs.desired_changes(stream(spark, parts), "user_id", ["ts", "event_id"], ["event_type"], split)
     assert rows(got, "event_id") == rows(want, "event_id")
 
 
+def test_unchanged_rows_without_a_key_pass_once(spark, tmp_path):
+    for i in range(3):
+        df = spark.createDataFrame([(i, None, "x"), (i, "k", "ab"[i % 2])], "at long, key string, state string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from fleetlens.streaming.sinks import read_stream
+
+    got = jobs.desired_changes(read_stream(spark, str(tmp_path / "in"), 1), "key", ["at"], ["state"])
+    assert sorted(map(repr, got.select("key", "state").collect())) == sorted(
+        map(repr, spark.createDataFrame([(None, "x"), ("k", "a"), ("k", "b"), ("k", "a")], "key string, state string").collect()))
+
+
 def test_drift_over_batches(spark, events, parts):
     desired = spark.range(0, 200).select(F.col("id").alias("user_id"), F.lit("view").alias("event_type")).where("user_id % 3 != 0")
     plan = jobs.drift_stream(stream(spark, parts), desired, "user_id", ["ts", "event_id"], ["event_type"])
