@@ -64,6 +64,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: int = SPLIT_
     Reads the key and order columns with partial counts, and once more for the quantiles of the hot keys, so that a
     burst is cut as finely as its rows ask. In all there are at most rows / split cuts.
     """
+    at = _place(df, order)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = stage(counts.where(F.col("_n") > split), "hot")
     most = hot.agg(F.max("_n")).first()[0]
@@ -71,7 +72,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: int = SPLIT_
         return None
     slices = -(-most // split)
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    of_hot = join_same(df.select(*keys, _place(df, order).alias("_at")), hot, keys)
+    of_hot = join_same(df.select(*keys, at.alias("_at")), hot, keys)
     cuts = of_hot.groupBy(*keys).agg(
         F.max("_n").alias("_n"), F.percentile_approx("_at", shares, max(10_000, 20 * slices)).alias("_q"))
     wanted = F.ceil(F.col("_n") / split).cast("int")
