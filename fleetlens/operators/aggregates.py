@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import join_same
+from fleetlens.functions.names import call_outcome
 
 
 def online_ratio(boards: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +48,9 @@ def pick_one(nodes: DataFrame, by: Sequence[str] = (), seed: int = 0) -> DataFra
 def probe_status(http_status: str = "http_status", error: str = "error") -> Column:
     """unreachable when the probe failed, healthy on 200, else unhealthy."""
     return (
-        F.when(F.col(error).isNotNull(), "unreachable").when(F.col(http_status) == 200, "healthy").otherwise("unhealthy")
+        F.when(F.col(error).isNotNull(), "unreachable")
+        .when(call_outcome(F.lit("GET"), F.col(http_status)) == "present", "healthy")
+        .otherwise("unhealthy")
     )
 
 

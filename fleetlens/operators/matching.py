@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import one_row_per
+from fleetlens.functions.names import object_name
 from fleetlens.functions.values import changed_columns, is_blank
 
 # The columns that decide whether a resource is up to date; kinds not named compare nothing.
@@ -101,16 +102,22 @@ def membership_probe(desired: DataFrame, observed: DataFrame, board: str, item:
     )
 
 
-def resolve_refs(refs: DataFrame, primary: DataFrame, fallback: DataFrame, key: str, ident: str) -> DataFrame:
+def resolve_refs(
+    refs: DataFrame, primary: DataFrame, fallback: DataFrame, key: str, ident: str, as_names: bool = False
+) -> DataFrame:
     """Add the id of each reference: from the primary table, else the fallback; else it is unresolved.
 
-    Where a key has several ids the smallest is taken, so the answer does not depend on row order.
+    Where a key has several ids the smallest is taken, so the answer does not depend on row order. With `as_names`
+    keys meet as the object names that they become.
     """
+    met = object_name(F.col(key)) if as_names else F.col(key)
+
     def smallest(df: DataFrame, name: str) -> DataFrame:
         known = df.where(~is_blank(F.col(ident).cast("string")))
-        return known.groupBy(key).agg(F.min(ident).alias(name))
+        return known.groupBy(met.alias("_key")).agg(F.min(ident).alias(name))
 
-    found = refs.join(smallest(primary, "_first"), key, "left").join(smallest(fallback, "_second"), key, "left")
+    keyed = refs.withColumn("_key", met)
+    found = keyed.join(smallest(primary, "_first"), "_key", "left").join(smallest(fallback, "_second"), "_key", "left")
     source = (
         F.when(F.col("_first").isNotNull(), "primary")
         .when(F.col("_second").isNotNull(), "fallback")

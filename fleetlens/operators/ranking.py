@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, join_same, one_row_per, with_previous
+from fleetlens.functions.names import code_epoch
 
 
 def latest_row(df: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("created_at",)) -> DataFrame:
@@ -36,10 +37,16 @@ def elect_singleton(agents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ])
 
 
-def newest_matching(fresh: DataFrame, everything: DataFrame, code: str, created: str, prefix: str, by: Sequence[str] = ()) -> DataFrame:
-    """The last fresh code in sorted order with a prefix; where there is none, the newest of all such codes."""
+def newest_matching(
+    fresh: DataFrame, everything: DataFrame, code: str, created: str | None, prefix: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """The last fresh code in sorted order with a prefix; where there is none, the newest of all such codes.
+
+    Without a `created` column a code is as old as the time that it carries.
+    """
+    at = F.col(created) if created else code_epoch(F.col(code))
     rows = fresh.select(*by, F.col(code), F.lit(True).alias("_fresh"), F.lit(None).alias("_at")).unionByName(
-        everything.select(*by, F.col(code), F.lit(False).alias("_fresh"), F.col(created).alias("_at"))
+        everything.select(*by, F.col(code), F.lit(False).alias("_fresh"), at.alias("_at"))
     ).where(F.col(code).startswith(prefix))
     last_fresh = F.max(F.when(F.col("_fresh"), F.col(code)))
     newest = F.max_by(F.when(~F.col("_fresh"), F.col(code)), F.when(~F.col("_fresh"), F.struct("_at", code)))

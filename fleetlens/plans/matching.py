@@ -158,6 +158,20 @@ def resolve(t: Tables) -> DataFrame:
     return op.resolve_refs(t.orders.select("o_orderkey", name.alias("name")), primary, known, "name", "id")
 
 
+@query("J5_resolve_by_name", """
+WITH refs AS (SELECT o_orderkey, 'CUSTOMER__' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || CASE WHEN o_orderpriority = '5-LOW' THEN '/old' ELSE '/' END AS name FROM orders)
+SELECT o_orderkey, name, c_custkey AS id, CASE WHEN c_custkey IS NOT NULL THEN 'primary' ELSE 'unresolved' END AS source
+FROM refs LEFT JOIN customer ON trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-')
+  = trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-')
+""")
+def resolve_by_name(t: Tables) -> DataFrame:
+    """References and resources spelled differently meet under the object name that both become."""
+    end = F.when(F.col("o_orderpriority") == "5-LOW", "/old").otherwise("/")
+    name = F.concat(F.lit("CUSTOMER__"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), end)
+    known = t.customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
+    return op.resolve_refs(t.orders.select("o_orderkey", name.alias("name")), known, known, "name", "id", as_names=True)
+
+
 CHECKS_SQL = """
 WITH actual AS (SELECT user_id, count(*) AS found, count(*) FILTER (WHERE event_type = 'purchase' AND value > 150) AS good FROM events GROUP BY 1),
 checks AS (

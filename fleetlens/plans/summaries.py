@@ -135,6 +135,17 @@ def newest(t: Tables) -> DataFrame:
     return ranking.newest_matching(fresh, codes, "code", "o_orderdate", "1-URGENT", ["o_custkey"])
 
 
+@query("W3_newest_by_code", """
+WITH m AS (SELECT o_custkey, o_orderkey, 'B-' || (1700000000 + (o_orderkey * 7919) % 100000) || '-' || o_orderkey AS code FROM orders)
+SELECT o_custkey, arg_max(code, (1700000000 + (o_orderkey * 7919) % 100000, code)) AS code, false AS is_new FROM m GROUP BY 1
+""")
+def newest_by_code(t: Tables) -> DataFrame:
+    """Codes that carry the time they were made at; none is fresh."""
+    made = F.lit(1700000000) + (F.col("o_orderkey") * 7919) % 100000
+    codes = t.orders.select("o_custkey", F.concat(F.lit("B-"), made.cast("string"), F.lit("-"), F.col("o_orderkey").cast("string")).alias("code"))
+    return ranking.newest_matching(codes.limit(0), codes, "code", None, "B-", ["o_custkey"])
+
+
 @query("W4_first_per_key", "WITH named AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_name END AS p_name FROM part) SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 AS kept FROM named")
 def first(t: Tables) -> DataFrame:
     return ranking.first_per_key(t.part.select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_name")).alias("p_name")), "p_name", ["p_partkey"])
