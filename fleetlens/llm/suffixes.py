@@ -34,7 +34,7 @@ from fleetlens.session import fresh_path
 LENGTH = 50
 ANCHOR = 20
 #: Bytes of text that are cut at once, bytes of text per bucket, symbols merged at once: all only move work.
-CHUNK, BUCKET, BATCH = 4 << 20, 4 << 20, 1 << 20
+CHUNK, BUCKET, BATCH = 3 << 20, 4 << 20, 1 << 18
 #: Windows of a fragment at most, and transforms that are merged at once.
 RUN, SHARDS = 64, 8
 NO_ID = 2**63 - 1
@@ -43,29 +43,16 @@ NO_ID = 2**63 - 1
 # --- fragments ---------------------------------------------------------------------------------------------------------
 
 
-def _grams(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every substring of `size` bytes: polynomials of doubling length, put together and mixed."""
-    base = 0x9E3779B97F4A7C15
-    power = lambda n: np.uint64(pow(base, n, 1 << 64))
-    step = data.astype("u8") * np.uint64(0xFF51AFD7ED558CCD)
-    step ^= step >> np.uint64(33)
-    width, out, have = 1, None, 0
-    while size:
-        if size & 1:
-            if out is None:
-                out, have = step, width
-            else:
-                n = len(data) - have - width + 1
-                out = out[:n] * power(width) + step[have:have + n]
-                have += width
-        size >>= 1
-        if size:
-            n = len(step) - width
-            step = step[:n] * power(width) + step[width:]
-            width *= 2
-    out = out ^ (out >> np.uint64(32))
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
+def _grams(data: bytes) -> np.ndarray:
+    """A mixed 64-bit hash of every substring of `ANCHOR` bytes, which three overlapping words of eight bytes hold."""
+    n = len(data) - ANCHOR + 1
+    word = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    for at, factor in ((8, 0xBF58476D1CE4E5B9), (ANCHOR - 8, 0x94D049BB133111EB)):
+        out += word[at:at + n]
+        out *= np.uint64(factor)
+        out ^= out >> np.uint64(31)
     return out
 
 
@@ -83,14 +70,14 @@ class Cut:
     """The fragments of a chunk of texts: where they start in `data`, how many windows they have, their anchor and piece."""
 
     def __init__(self, pieces: list[bytes], length: int) -> None:
-        self.data = np.frombuffer(b"".join(pieces), "u1")
+        self.data = b"".join(pieces)
         self.ends = np.cumsum([len(p) for p in pieces])
         n = len(self.data) - length + 1
         empty = np.zeros(0, "i8")
         self.at, self.run, self.anchor, self.piece = empty, empty, empty.astype("u8"), empty
         if n <= 0:
             return
-        least = _least(_grams(self.data, ANCHOR), length - ANCHOR + 1)
+        least = _least(_grams(self.data), length - ANCHOR + 1)
         whole = np.ones(n + 1, bool)
         whole[n] = False
         for end in self.ends[:-1].tolist():
@@ -106,7 +93,8 @@ class Cut:
         nth = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
         self.at = at[again] + nth * RUN
         self.run = np.minimum(run[again] - nth * RUN, RUN)
-        self.anchor = least[self.at]
+        # smallest hashes are small; multiplied, they spread over all buckets
+        self.anchor = least[self.at] * np.uint64(0xD6E8FEB86659FD93)
         self.piece = np.searchsorted(self.ends, self.at, "right")
 
 
@@ -296,8 +284,8 @@ def _keys(strings: list[bytes]) -> np.ndarray:
 def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
     for batch in batches:
         for block, part in batch.groupby("block", sort=False):
-            for at in range(0, len(part), 2000):
-                yield int(block), part.iloc[at:at + 2000]
+            for at in range(0, len(part), 1000):
+                yield int(block), part.iloc[at:at + 1000]
 
 
 def repeats_removed(
@@ -337,15 +325,19 @@ def repeats_removed(
     def repeated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """For each chunk, which of its anchors several documents hold."""
         held = [_unpacked(d) for d in rows["data"]]
-        all_ = np.sort(np.concatenate([h & ~np.uint64(1) for h in held]))
-        twice = all_[1:][all_[1:] == all_[:-1]]
-        out = []
-        for block, own in zip(rows["block"], held):
-            bare = own & ~np.uint64(1)
-            found = bare[(own & np.uint64(1)).astype(bool) | np.isin(bare, twice)]
-            if len(found):
-                out.append((block, _packed(found)))
-        return pd.DataFrame(out, columns=["block", "data"])
+        every = np.concatenate(held)
+        chunk = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        order = np.argsort(every >> np.uint64(1), kind="stable")
+        bare = every[order] >> np.uint64(1)
+        same = bare[1:] == bare[:-1]
+        several = (every[order] & np.uint64(1)).astype(bool)
+        several[1:] |= same
+        several[:-1] |= same
+        chunk, bare = chunk[order][several], bare[several] << np.uint64(1)
+        order = np.argsort(chunk, kind="stable")
+        edges = np.searchsorted(chunk[order], np.arange(len(held) + 1))
+        parts = (bare[order[x:y]] for x, y in zip(edges[:-1], edges[1:]))
+        return pd.DataFrame([(k, _packed(p)) for k, p in zip(rows["block"], parts) if len(p)], columns=["block", "data"])
 
     counted = texts.mapInPandas(anchors, "bucket int, block int, data binary").groupBy("bucket").applyInPandas(
         repeated, "block int, data binary")
@@ -356,10 +348,9 @@ def repeats_removed(
         own = cut.anchor & ~np.uint64(1)
         at = np.searchsorted(known, own)
         some = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == own) if len(known) else np.zeros(0, "i8")
-        raw = cut.data.tobytes()
         starts = cut.at[some]
         stops = starts + cut.run[some] + length - 1
-        return some, [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        return some, [cut.data[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
 
     def known_anchors(shelf: Shelf, block: int) -> np.ndarray:
         found = [_unpacked(d) for d in shelf.of(block)]
