@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from fleetlens.llm.components import components
-from fleetlens.llm.shared import WORD_BYTES, written
+from fleetlens.llm.shared import WORD_BYTES, Scratch, may_be_in, written
 
 BITS, PARTS, WIDTH = 64, 4, 16
 SEED = 42
@@ -333,15 +333,17 @@ def fingerprint_components(docs: DataFrame, shingle: int = 3, most: int = 3, doc
     passed over as names of a component (null where all of it are null); repeated rows give repeated rows; an empty
     table gives none.
     """
+    scratch = Scratch()
     marked = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(shingle)(F.col(text)).alias("fp")), "prints")
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    prints = scratch.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     if prints.isEmpty():
         return marked.withColumn("component_id", F.col("doc_id"))
-    found = components(hamming_links(prints, most).select("a", "b"))
+    found = components(hamming_links(prints, most).select("a", "b"), scratch)
     named = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    named = written(named.select("fp", "first", F.coalesce("component", "fp").alias("component")), "named")
+    named = scratch.written(named.select("fp", "first", F.coalesce("component", "fp").alias("component")), "named")
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = written(named.join(names, "component").select("fp", "component_id"), "labels")
+    scratch.clear(docs.sparkSession)
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -366,40 +368,47 @@ def near_deduplicated(
     stays. An empty table stays empty; columns of any other name are carried.
     """
     raw = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    marked = written(docs.select(
+    scratch = Scratch()
+    marked = scratch.written(docs.select(
         raw.alias("key"), F.col(doc_id).alias("id"), fingerprint_column(1, distinct=True)(F.col(text)).alias("fp")), "prints")
     rows = marked.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")
-    classes = written(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.sum("n").alias("n")), "classes")
+    classes = scratch.written(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.sum("n").alias("n")), "classes")
     if classes.isEmpty():
         return docs
-    prints = written(classes.groupBy("fp").agg(F.min("key").alias("lead")), "leads")
-    links = written(hamming_links(prints, most).select("a", "b").distinct(), "candidates")
+    prints = scratch.written(classes.groupBy("fp").agg(F.min("key").alias("lead")), "leads")
+    links = scratch.written(hamming_links(prints, most).select("a", "b").distinct(), "candidates")
     lead = {x: prints.select(F.col("fp").alias(x), F.col("lead").alias(f"k{x}")) for x in "ab"}
     far = links.join(lead["a"], "a").join(lead["b"], "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     same = classes.join(prints, "fp").where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b"))
-    pairs = written(far.union(same), "pairs")
+    pairs = scratch.written(far.union(same), "pairs")
     # the sets of shingles, once for each text of a candidate
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = scratch.written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
     holders = wanted.join(classes, "key").select(F.col("key").alias("_key"), F.col("first.id").alias("_id"))
     texts = docs.select(raw.alias("_key"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    texts = texts.where(may_be_in(wanted, "key")(F.col("_key")))
     sets = texts.join(holders.withColumnRenamed("_id", "_own"), "_key").where(F.col("_id").eqNullSafe(F.col("_own")))
-    sets = written(sets.select("_key", _shingle_sets(shingle)(F.col("_text")).alias("set")), "sets")
+    sets = scratch.written(sets.select("_key", _shingle_sets(shingle)(F.col("_text")).alias("set")), "sets")
     sets = sets.groupBy("_key").agg(F.any_value("set").alias("set"))
     a, b = (sets.select(F.col("_key").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = both >= similarity * (F.size("set_a") + F.size("set_b") - both)
-    near = components(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
-    grouped = written(near.join(classes, near["node"] == classes["key"]).select("component", "key", "first"), "groups")
-    stays = grouped.groupBy("component").agg(F.min(F.struct("first.none", "first.id", "key")).alias("stays"))
+    near = components(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"), scratch)
+    grouped = scratch.written(near.join(classes, near["node"] == classes["key"]).select("component", "key", "first"), "groups")
+    stays = scratch.written(
+        grouped.groupBy("component").agg(F.min(F.struct("first.none", "first.id", "key")).alias("stays")), "stays")
     dropped = grouped.join(stays, "component").where(F.col("key") != F.col("stays.key")).select("key", F.lit(True).alias("_drop"))
     # one decision for each text that is dropped or that several rows hold
     decided = classes.join(dropped, "key", "left").where("_drop or n > 1").select(
         F.col("key").alias("_key"), F.coalesce("_drop", F.lit(False)).alias("_drop"), F.col("first.id").alias("_own"),
         F.col("first.n").alias("_n"))
     decided = written(decided, "decided")
-    judged = docs.withColumn("_key", raw).join(decided, "_key", "left").where(
+    scratch.clear(docs.sparkSession)
+    # most texts are decided by nothing and stay where they are
+    keyed = docs.withColumn("_key", raw)
+    asked = may_be_in(decided, "_key")(F.col("_key"))
+    judged = keyed.where(asked).join(decided, "_key", "left").where(
         F.col("_drop").isNull() | (~F.col("_drop") & F.col(doc_id).eqNullSafe(F.col("_own"))))
     single = judged.where("_n is null or _n = 1").select(*docs.columns)
     repeated = judged.where("_n > 1").dropDuplicates(["_key"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    return keyed.where(~asked).select(*docs.columns).unionByName(single).unionByName(repeated)
