@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.shared import WORD, written
 
-#: The lexicon takes the best so many terms, and the fit so many labelled texts, drawn by a hash of the text.
-TERMS, FITTED = 5_000, 50_000
+#: The lexicon takes the best so many terms of so many candidates, and the fit about so many labelled texts, drawn by
+#: a hash of the text.
+TERMS, CANDIDATES, FITTED = 5_000, 100_000, 50_000
 #: One fold of so many of the labelled texts is kept from the lexicon to fit the weights of hits on.
 FOLDS = 3
 #: What a term needs: log odds, and different words before it in toxic texts; a stem also needs different words with it.
@@ -185,48 +187,72 @@ def _context(words: list[str], at: int, quotes: int) -> float:
 # --- learning ----------------------------------------------------------------------------------------------------------
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of labelled texts: for each word and stem, in how many toxic and other texts it is, and which surroundings it has.
+def _keys(word: str) -> Iterator[str]:
+    """What a word is counted as: itself, and the stems it begins with."""
+    yield word + "$"
+    yield from (word[:n] for n in STEMS if len(word) > n)
 
-    Surroundings are a set of 64 bits, so copies and near copies of a text count as one surrounding.
+
+def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of toxic texts: in how many each word and stem is, after which words, and the words a stem is in.
+
+    The words are sets of 64 bits, so copies and near copies of a text count as one surrounding.
     """
     for batch in batches:
         table: dict[str, list[int]] = {}
-        for text, toxic in zip(batch["text"], batch["toxic"]):
-            words = [letters_of(w) for w in WORD.findall(text or "")]
-            own: dict[str, tuple[int, int]] = {}
+        for text in batch["text"]:
+            words = [w for w in map(letters_of, WORD.findall(text or ""))]
+            own: set[str] = set()
             for at, word in enumerate(words):
                 if len(word) < 3:
                     continue
                 before = 1 << (zlib.crc32(words[at - 1].encode()) & 63) if at else 1
                 ending = 1 << (zlib.crc32(word.encode()) & 63)
-                for key in (word + "$", *(word[:n] for n in STEMS if len(word) > n)):
-                    a, b = own.get(key, (0, 0))
-                    own[key] = a | before, b | ending
-            for key, (a, b) in own.items():
-                row = table.setdefault(key, [0, 0, 0, 0])
-                row[0 if toxic else 1] += 1
-                if toxic:
-                    row[2] |= a
-                    row[3] |= b
-        rows = np.array(list(table.values()), "u8").reshape(-1, 4).view("i8")
-        yield pd.DataFrame({"key": list(table), "pos": rows[:, 0], "neg": rows[:, 1], "before": rows[:, 2], "endings": rows[:, 3]})
+                for key in _keys(word):
+                    row = table.setdefault(key, [0, 0, 0])
+                    row[1] |= before
+                    row[2] |= ending
+                    own.add(key)
+            for key in own:
+                table[key][0] += 1
+        rows = np.array(list(table.values()), "u8").reshape(-1, 3).view("i8")
+        yield pd.DataFrame({"key": pd.Series(list(table), dtype="object"), "pos": rows[:, 0], "before": rows[:, 1], "endings": rows[:, 2]})
 
 
 def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(words, stems) with their log odds, from rows of (text, toxic); at most `TERMS`, the best first."""
+    """(words, stems) with their log odds, from rows of (text, toxic); at most `TERMS`, the best first.
+
+    Toxic texts tell which words and stems have surroundings enough, the `CANDIDATES` most frequent at most; then the
+    other texts are counted for these alone.
+    """
     totals = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    odds = F.log((F.col("pos") + 0.5) / (totals[0] + 1)) - F.log((F.col("neg") + 0.5) / (totals[1] + 1))
-    counts = labelled.select("text", (F.col("toxic") == 1).alias("toxic")).mapInPandas(
-        _counted, "key string, pos long, neg long, before long, endings long")
-    terms = counts.groupBy("key").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("before").alias("before"), F.bit_or("endings").alias("endings"))
-    good = terms.withColumn("odds", odds).where(
-        (F.col("odds") >= LOG_ODDS) & (F.bit_count("before") >= SURROUNDINGS)
-        & (F.col("key").endswith("$") | (F.bit_count("endings") >= ENDINGS)))
-    found = good.orderBy(F.desc("odds"), "key").limit(TERMS).select("key", "odds").collect()
-    words = {r["key"][:-1]: r["odds"] for r in found if r["key"].endswith("$")}
-    return words, {r["key"]: r["odds"] for r in found if not r["key"].endswith("$")}
+    seen = labelled.where("toxic = 1").select("text").mapInPandas(_surroundings, "key string, pos long, before long, endings long")
+    terms = seen.groupBy("key").agg(F.sum("pos").alias("pos"), F.bit_or("before").alias("before"), F.bit_or("endings").alias("endings"))
+    enough = (F.bit_count("before") >= SURROUNDINGS) & (F.col("key").endswith("$") | (F.bit_count("endings") >= ENDINGS))
+    found = terms.where(enough).orderBy(F.desc("pos"), "key").limit(CANDIDATES).select("key", "pos").toPandas()
+    shared = labelled.sparkSession.sparkContext.broadcast(frozenset(found["key"]))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, of, table = shared.value, {}, Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                own: set[str] = set()
+                for word in set(WORD.findall(text or "")):
+                    keys = of.get(word)
+                    if keys is None:
+                        keys = [k for k in _keys(letters_of(word)) if k in wanted]
+                        if len(of) < REMEMBERED:
+                            of[word] = keys
+                    own.update(keys)
+                table.update(own)
+        yield pd.DataFrame({"key": pd.Series(list(table), dtype="object"), "neg": np.fromiter(table.values(), "i8", len(table))})
+
+    counts = labelled.where("toxic = 0").select("text").mapInPandas(counted, "key string, neg long")
+    found = found.merge(counts.groupBy("key").agg(F.sum("neg").alias("neg")).toPandas(), on="key", how="left").fillna({"neg": 0})
+    found["odds"] = np.log((found["pos"].astype("f8") + 0.5) / (totals[0] + 1)) - np.log((found["neg"].astype("f8") + 0.5) / (totals[1] + 1))
+    found = found[found["odds"] >= LOG_ODDS].sort_values(["odds", "key"], ascending=[False, True]).head(TERMS)
+    terms = dict(zip(found["key"], found["odds"].astype("f8")))
+    return {k[:-1]: w for k, w in terms.items() if k.endswith("$")}, {k: w for k, w in terms.items() if not k.endswith("$")}
 
 
 def ordinary_words(labelled: DataFrame, words: dict[str, float], stems: dict[str, float]) -> list[str]:
@@ -244,7 +270,7 @@ def ordinary_words(labelled: DataFrame, words: dict[str, float], stems: dict[str
                         rows.append((word, int(toxic), 1 - int(toxic)))
                     elif len(clean) < REMEMBERED:
                         clean.add(word)
-            yield pd.DataFrame(rows, columns=["word", "pos", "neg"])
+            yield pd.DataFrame(rows, columns=["word", "pos", "neg"], dtype="object")
 
     found = labelled.select("text", "toxic").mapInPandas(near, "word string, pos long, neg long")
     counts = found.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -274,7 +300,7 @@ def scored(docs: DataFrame, labelled: DataFrame, text: str = "text", into: str =
     score alike, an empty table stays empty. A column named `into` is replaced.
     """
     spark = docs.sparkSession
-    known = written(labelled.where("toxic in (0, 1)").select("text", "toxic").distinct(), "labelled")
+    known = written(labelled.where("toxic in (0, 1)").select("text", "toxic"), "labelled")
     apart = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
 
     def measured(rows: DataFrame):
@@ -290,7 +316,9 @@ def scored(docs: DataFrame, labelled: DataFrame, text: str = "text", into: str =
         return F.pandas_udf(measure, ", ".join(f"{k} double" for k in KINDS))
 
     # What a hit of each kind says is fitted on texts that the lexicon was not learned from.
-    fresh = known.where(apart).orderBy(F.xxhash64("text")).limit(FITTED)
+    fresh = known.where(apart)
+    share = min(1.0, FITTED / max(1, fresh.count()))
+    fresh = fresh.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
     fitted = fresh.select(measured(known.where(~apart))("text").alias("f"), "toxic").select("f.*", "toxic").toPandas()
     y = fitted["toxic"].to_numpy("f8")
     if 0 < y.sum() < len(y):

@@ -250,7 +250,7 @@ def read_archives(found: DataFrame, payload: bool = True, at_once: int = 200) ->
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "verified": "boolean"})
+    return pd.DataFrame(rows, dtype="object").astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "verified": "boolean"})
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

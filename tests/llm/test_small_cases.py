@@ -180,7 +180,8 @@ def test_repeated_passages_go_but_the_first(spark, empty):
 
 def test_pieces_hold_all_words():
     for text in (prose(30, 300), "a\n\nb. c", "", "x", "word " * 50):
-        assert [w for p in spans.pieces(text) for w in p[3]] == text.lower().split()
+        lines, counts = spans.pieces(text, spans._Cuts())
+        assert b" ".join(lines).decode().split() == text.lower().split() and sum(counts) == len(text.split())
 
 
 # --- packing ---------------------------------------------------------------------------------------------------------------
