@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+#: So many labels, about 16 MB, may be sent to every task instead of shuffling texts to them; more are joined.
+LABELS_TO_SEND = 1_000_000
 
 
 def query(name: str, sql: str | None = None):
@@ -141,6 +143,8 @@ def op2(t: Tables) -> DataFrame:
 def op8(t: Tables) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     labels = t.labels.where(part != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if labels.count() <= LABELS_TO_SEND:
+        labels = F.broadcast(labels)
     may = may_be_in(labels, "doc_id")  # keeps the texts of most other documents out of the join
     labelled = t.documents.select("doc_id", "text").where(may(F.col("doc_id"))).join(labels, "doc_id").select("text", "toxic")
     rows = toxicity.scored(t.documents.select("doc_id", "text"), labelled)
