@@ -1,7 +1,7 @@
 """Operator 7: substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, long ones also at a comma or at a word whose own hash says so, so that a passage is cut
-alike wherever it stands. Every run of several consecutive sentences is hashed; the runs of all documents meet by their
+A text is cut into sentences, long ones also at a word whose own hash says so, so that a passage is cut alike wherever
+it stands. Every run of several consecutive sentences is hashed; the runs of all documents meet by their
 hash, and the sentences of every run but the first of its kind go. A document sends each of its hashes once, a hash
 finds its first document by a partial aggregate, and what goes back to a document is the list of its own repeated
 hashes, so no group is larger than one text.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -20,72 +21,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from fleetlens.llm.shared import WORD, written
+from fleetlens.llm.shared import WORD, Scratch, may_be_in, written
 
-SENTENCES = 5
-#: A span under so many words is not a passage.
+SENTENCES = 3
+#: A span takes further sentences until it has so many words, so that runs of one-word sentences are no passages.
 WORDS = 15
 #: Inside a sentence, a word ends a piece where its hash is 0 modulo this.
-CUT = 6
-ENDS = tuple(".!?;:,…。！？")
+CUT = 8
+ENDS = tuple(".!?…。！？")
 
 
-def pieces(text: str) -> list[tuple[int, int, int, list[str]]]:
-    """(start, end, words, words in lower case) of the sentences of a text; together they hold all of its words.
+class _Cuts(dict):
+    """Of a word: itself in lower case as bytes, and whether a piece ends after it. Remembers so many words at most."""
+
+    most = 400_000
+
+    def __missing__(self, word: str) -> tuple[bytes, bool]:
+        low = word.lower().encode("utf-8", "surrogatepass")
+        out = low, word.endswith(ENDS) or not zlib.crc32(low) % CUT
+        if len(self) < self.most:
+            self[word] = out
+        return out
+
+
+def pieces(text: str, cuts: _Cuts) -> tuple[list[bytes], list[int]]:
+    """The sentences of a text, their words in lower case, and their numbers of words; together they hold all words.
 
     A sentence ends after a word that ends in a mark, at a line break, or after a word that its own hash picks.
     """
-    out, words, begin, last = [], [], None, 0
-    for m in WORD.finditer(text):
-        word = m.group()
-        if words and "\n" in text[last:m.start()]:
-            out.append((begin, last, len(words), words))
-            words, begin = [], None
-        if begin is None:
-            begin = m.start()
-        words.append(word.lower())
-        last = m.end()
-        if word.endswith(ENDS) or not zlib.crc32(words[-1].encode("utf-8", "surrogatepass")) % CUT:
-            out.append((begin, last, len(words), words))
-            words, begin = [], None
-    if words:
-        out.append((begin, last, len(words), words))
-    return out
-
-
-def spans(text: str) -> tuple[list[tuple[int, int, int, list[str]]], list[tuple[int, int, int]]]:
-    """The pieces of a text, and for each start of a span (first piece, piece after the last, hash)."""
-    cut = pieces(text)
-    lines = [" ".join(p[3]).encode("utf-8", "surrogatepass") for p in cut]
-    words = np.cumsum([0] + [p[2] for p in cut])
-    found = [
-        (at, at + SENTENCES, xxhash.xxh64_intdigest(b"\n".join(lines[at:at + SENTENCES])))
-        for at in range(len(cut) - SENTENCES + 1) if words[at + SENTENCES] - words[at] >= WORDS]
-    return cut, found
-
-
-def without(text: str, everywhere: set[int], later: set[int]) -> tuple[str, int]:
+    lines, counts = [], []
+    for line in text.split("\n"):
+        held: list[bytes] = []
+        for word in WORD.findall(line):
+            low, ends = cuts[word]
+            held.append(low)
+            if ends:
+                lines.append(b" ".join(held))
+                counts.append(len(held))
+                held = []
+        if held:
+            lines.append(b" ".join(held))
+            counts.append(len(held))
+    return lines, counts
+
+
+def spans(text: str, cuts: _Cuts) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """The words of each piece, and for each span its first piece, the piece after its last, and its hash.
+
+    A span is the shortest run that ends at a given piece and has `SENTENCES` pieces and `WORDS` words. Equal passages
+    have equal spans, whatever stands around them.
+    """
+    lines, counts = pieces(text, cuts)
+    total = list(accumulate(counts, initial=0))
+    runs, begin = [], 0
+    for end in range(SENTENCES, len(counts) + 1):
+        while end - begin - 1 >= SENTENCES and total[end] - total[begin + 1] >= WORDS:
+            begin += 1
+        if total[end] - total[begin] >= WORDS:
+            runs.append((begin, end))
+    digest = xxhash.xxh64_intdigest
+    return counts, [(a, b, digest(b"\n".join(lines[a:b]))) for a, b in runs]
+
+
+def without(text: str, everywhere: set[int], later: set[int], cuts: _Cuts) -> tuple[str, int]:
     """The text without the pieces under spans in `everywhere`, and under spans in `later` but their first; words removed."""
-    cut, found = spans(text)
-    gone, seen = np.zeros(len(cut) + 1, bool), set()
+    counts, found = spans(text, cuts)
+    gone, seen = np.zeros(len(counts), bool), set()
     for a, b, h in found:
         if h in everywhere or (h in later and h in seen):
             gone[a:b] = True
         seen.add(h)
     if not gone.any():
         return text, 0
-    starts = [p[0] for p in cut] + [len(text)]
-    kept = [text[starts[i]:starts[i + 1]] for i in range(len(cut)) if not gone[i]]
-    return (text[:starts[0]] + "".join(kept)).rstrip(), sum(p[2] for i, p in enumerate(cut) if gone[i])
+    words = [m.start() for m in WORD.finditer(text)]
+    firsts = np.cumsum(counts) - counts
+    starts = [words[i] for i in firsts] + [len(text)]
+    kept = [text[starts[i]:starts[i + 1]] for i in range(len(counts)) if not gone[i]]
+    return (text[:starts[0]] + "".join(kept)).rstrip(), int(np.array(counts)[gone].sum())
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(id, key, h, again) for each distinct span hash of each text; `again` where the text itself repeats it."""
+    cuts = _Cuts()
     for batch in batches:
         for at in range(0, len(batch), 256):
             part, sizes, hashes, again = batch.iloc[at:at + 256], [], [], []
             for text in part["text"]:
-                of = np.array([h for _, _, h in spans(text or "")[1]], "u8")
+                of = np.array([h for _, _, h in spans(text or "", cuts)[1]], "u8")
                 own, counts = np.unique(of, return_counts=True)
                 sizes.append(len(own))
                 hashes.append(own)
@@ -96,13 +118,13 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]))
 def _cleaned(texts: pd.Series, everywhere: pd.Series, later: pd.Series) -> pd.DataFrame:
-    out = []
+    out, cuts = [], _Cuts()
     for text, a, b in zip(texts, everywhere, later):
         if text is None or a is None:
             out.append((text, 0))
         else:
-            out.append(without(text, {int(h) & (1 << 64) - 1 for h in a}, {int(h) & (1 << 64) - 1 for h in b}))
-    return pd.DataFrame(out, columns=["text", "n_removed"])
+            out.append(without(text, {int(h) & (1 << 64) - 1 for h in a}, {int(h) & (1 << 64) - 1 for h in b}, cuts))
+    return pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype="object"), "n_removed": np.array([n for _, n in out], "i8")})
 
 
 def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,16 +139,21 @@ def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     key = F.xxhash64(F.col(text))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), F.col(text).alias("text"))
-    found = rows.mapInPandas(_hashes, f"id {kind}, key long, h long, again boolean")
-    firsts = found.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written once, for both sides of the join read it
+    scratch = Scratch()
+    found = scratch.written(rows.mapInPandas(_hashes, f"id {kind}, key long, h long, again boolean"), "hashes")
+    firsts = found.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = (F.col("id") != F.col("first")) | (F.col("id").isNull() & F.col("first").isNotNull())
-    across = found.join(firsts, "h").where(later).select("id", "key", "h", F.lit(True).alias("across"))
-    inside = found.where("again").select("id", "key", "h", F.lit(False).alias("across"))
-    listed = across.union(inside).groupBy("id", "key").agg(
+    met = found.join(firsts, "h", "left").withColumn("across", F.coalesce(later, F.lit(False))).where("across or again")
+    listed = met.groupBy("id", "key").agg(
         F.collect_set(F.when(F.col("across"), F.col("h"))).alias("_everywhere"),
         F.collect_set(F.when(~F.col("across"), F.col("h"))).alias("_later"))
     told = written(listed.withColumnsRenamed({"id": "_id", "key": "_key"}), "spans")
+    scratch.clear(docs.sparkSession)
+    # most texts repeat nothing and stay where they are
     keyed = docs.withColumn("_key_of", key)
-    joined = keyed.join(told, (F.col(doc_id).eqNullSafe(F.col("_id"))) & (F.col("_key_of") == F.col("_key")), "left")
+    asked = may_be_in(told, "_key")(F.col("_key_of"))
+    joined = keyed.where(asked).join(told, (F.col(doc_id).eqNullSafe(F.col("_id"))) & (F.col("_key_of") == F.col("_key")), "left")
     done = joined.withColumn("_done", _cleaned(F.col(text), "_everywhere", "_later"))
-    return done.select(*[F.col("_done.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_done.n_removed").alias("n_removed"))
+    done = done.select(*[F.col("_done.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_done.n_removed").alias("n_removed"))
+    return keyed.where(~asked).select(*docs.columns, F.lit(0).cast("long").alias("n_removed")).unionByName(done)
