@@ -167,6 +167,28 @@ def test_near_copies_leave_one(spark, empty):
 # --- spans -----------------------------------------------------------------------------------------------------------------
 
 
+def edited(seed: int, words: list[str], n: int) -> str:
+    r, out = random.Random(seed), list(words)
+    for at in r.sample(range(len(out)), n):
+        out[at] = f"edit{r.randrange(10 ** 6)}"
+    return " ".join(out)
+
+
+def similarity(a: str, b: str) -> float:
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_that_only_their_original_connects_leave_one(spark):
+    original = prose(50, 300).split(" ")
+    copies = [edited(seed, original, 5) for seed in range(50)]
+    alike = [similarity(a, b) >= 0.8 for i, a in enumerate(copies) for b in copies[:i]]
+    assert all(similarity(" ".join(original), c) >= 0.8 for c in copies) and not any(alike)
+    # the original stands last, so a copy that is not measured against it stays
+    rest = simhash.near_deduplicated(table(spark, copies + [" ".join(original)]), shingle=5, similarity=0.8)
+    assert [r.doc_id for r in rest.collect()] == [0]
+
+
 def test_repeated_passages_go_but_the_first(spark, empty):
     passage = prose(20, 80)
     texts = [prose(21, 120) + " " + passage + " " + prose(22, 120), prose(23, 90) + " " + passage, passage + "\n" + passage, None, "", prose(24, 200)]
