@@ -189,6 +189,17 @@ def test_copies_that_only_their_original_connects_leave_one(spark):
     assert [r.doc_id for r in rest.collect()] == [0]
 
 
+def test_copies_cut_off_or_continued_leave_one(spark):
+    texts = []
+    for seed in range(40):
+        words, more = prose(seed, 400).split(" "), prose(1000 + seed, 60).split(" ")
+        texts += [words, words[:330], words[70:], words + more, words[:150] + words[215:]]
+    texts = [" ".join(t) for t in texts]
+    assert all(similarity(texts[i - i % 5], t) >= 0.8 for i, t in enumerate(texts))
+    rest = simhash.near_deduplicated(table(spark, texts), shingle=5, similarity=0.8)
+    assert sorted(r.doc_id for r in rest.collect()) == list(range(0, 200, 5))
+
+
 def test_repeated_passages_go_but_the_first(spark, empty):
     passage = prose(20, 80)
     texts = [prose(21, 120) + " " + passage + " " + prose(22, 120), prose(23, 90) + " " + passage, passage + "\n" + passage, None, "", prose(24, 200)]
