@@ -20,11 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.shared import WORD, written
+from fleetlens.llm.shared import FILTER_BITS, WORD, Scratch, written
 
-#: The lexicon takes the best so many terms of so many candidates, and the fit about so many labelled texts, drawn by
-#: a hash of the text.
-TERMS, CANDIDATES, FITTED = 5_000, 100_000, 50_000
+#: The lexicon takes the best so many terms, and the fit about so many labelled texts, drawn by a hash of the text.
+TERMS, FITTED = 5_000, 50_000
 #: One fold of so many of the labelled texts is kept from the lexicon to fit the weights of hits on.
 FOLDS = 3
 #: What a term needs: log odds, and different words before it in toxic texts; a stem also needs different words with it.
@@ -222,25 +221,32 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """(words, stems) with their log odds, from rows of (text, toxic); at most `TERMS`, the best first.
 
-    Toxic texts tell which words and stems have surroundings enough, the `CANDIDATES` most frequent at most; then the
-    other texts are counted for these alone.
+    Toxic texts tell which words and stems have surroundings enough; the other texts are counted for all of these, which
+    a filter of 2 MB tells to the tasks, and the two tables of counts meet on Spark.
     """
+    scratch = Scratch()
     totals = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     seen = labelled.where("toxic = 1").select("text").mapInPandas(_surroundings, "key string, pos long, before long, endings long")
     terms = seen.groupBy("key").agg(F.sum("pos").alias("pos"), F.bit_or("before").alias("before"), F.bit_or("endings").alias("endings"))
     enough = (F.bit_count("before") >= SURROUNDINGS) & (F.col("key").endswith("$") | (F.bit_count("endings") >= ENDINGS))
-    found = terms.where(enough).orderBy(F.desc("pos"), "key").limit(CANDIDATES).select("key", "pos").toPandas()
-    shared = labelled.sparkSession.sparkContext.broadcast(frozenset(found["key"]))
+    found = scratch.written(terms.where(enough).select("key", "pos"), "terms")
+    place = F.crc32(F.col("key").cast("binary")) % FILTER_BITS
+    bits = found.select(place.alias("at")).groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits")).toPandas()
+    filled = np.zeros(FILTER_BITS // 8, "u1")
+    filled[bits["byte"].to_numpy("i8")] = bits["bits"].to_numpy("i8").astype("u1")
+    shared = labelled.sparkSession.sparkContext.broadcast(filled.tobytes())
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, of, table = shared.value, {}, Counter()
+        filled, of, table = shared.value, {}, Counter()
+        wanted = lambda key: filled[(at := zlib.crc32(key.encode()) % FILTER_BITS) >> 3] >> (at & 7) & 1
         for batch in batches:
             for text in batch["text"]:
                 own: set[str] = set()
                 for word in set(WORD.findall(text or "")):
                     keys = of.get(word)
                     if keys is None:
-                        keys = [k for k in _keys(letters_of(word)) if k in wanted]
+                        keys = [k for k in _keys(letters_of(word)) if wanted(k)]
                         if len(of) < REMEMBERED:
                             of[word] = keys
                     own.update(keys)
@@ -248,15 +254,17 @@ def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         yield pd.DataFrame({"key": pd.Series(list(table), dtype="object"), "neg": np.fromiter(table.values(), "i8", len(table))})
 
     counts = labelled.where("toxic = 0").select("text").mapInPandas(counted, "key string, neg long")
-    found = found.merge(counts.groupBy("key").agg(F.sum("neg").alias("neg")).toPandas(), on="key", how="left").fillna({"neg": 0})
-    found["odds"] = np.log((found["pos"].astype("f8") + 0.5) / (totals[0] + 1)) - np.log((found["neg"].astype("f8") + 0.5) / (totals[1] + 1))
-    found = found[found["odds"] >= LOG_ODDS].sort_values(["odds", "key"], ascending=[False, True]).head(TERMS)
-    terms = dict(zip(found["key"], found["odds"].astype("f8")))
+    counts = counts.groupBy("key").agg(F.sum("neg").alias("neg"))
+    share = lambda n, total: F.log((F.coalesce(F.col(n), F.lit(0)) + 0.5) / (total + 1))
+    both = found.join(counts, "key", "left").select("key", (share("pos", totals[0]) - share("neg", totals[1])).alias("odds"))
+    best = both.where(F.col("odds") >= LOG_ODDS).orderBy(F.desc("odds"), "key").limit(TERMS).collect()
+    scratch.clear(labelled.sparkSession)
+    terms = {r["key"]: r["odds"] for r in best}
     return {k[:-1]: w for k, w in terms.items() if k.endswith("$")}, {k: w for k, w in terms.items() if not k.endswith("$")}
 
 
 def ordinary_words(labelled: DataFrame, words: dict[str, float], stems: dict[str, float]) -> list[str]:
-    """Words near a term that other texts hold nearly as often as toxic ones; at most `TERMS`, the most frequent first."""
+    """Words near a term that other texts hold nearly as often as toxic ones: all that the terms' automaton reaches."""
     shared = labelled.sparkSession.sparkContext.broadcast((words, stems))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,8 +282,7 @@ def ordinary_words(labelled: DataFrame, words: dict[str, float], stems: dict[str
 
     found = labelled.select("text", "toxic").mapInPandas(near, "word string, pos long, neg long")
     counts = found.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = counts.where("neg > 0 and pos < 4 * neg").orderBy(F.desc("neg"), "word").limit(TERMS).select("word").collect()
-    return [r["word"] for r in rows]
+    return [r["word"] for r in counts.where("neg > 0 and pos < 4 * neg").select("word").orderBy("word").collect()]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:

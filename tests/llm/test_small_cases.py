@@ -407,3 +407,23 @@ def test_toxic_texts_score_high(spark, empty):
     assert all((rows[i] >= 0.7) == (i % 4 == 0) for i in range(160, 240)) and rows[240] == rows[241] < 0.5
     assert toxicity.scored(empty, labelled).count() == 0
     assert {x.score for x in toxicity.scored(docs.limit(3), labelled.limit(0)).collect()} == {toxicity.scored(docs.limit(1), labelled.limit(0)).first().score}
+
+
+def test_lexicon_keeps_rare_terms_and_all_ordinary_words(spark, monkeypatch):
+    # fifty words are more frequent in toxic texts than the one that tells them apart
+    monkeypatch.setattr(toxicity, "CANDIDATES", 50, raising=False)
+    r, common = random.Random(5), [f"{c}{d}mon" for c in "abcdefghij" for d in "vwxyz"]
+
+    def text(i, toxic):
+        words = [r.choice(common) for _ in range(60)]
+        if toxic and i % 4 == 0:
+            words[r.randrange(1, 60)] = "idiot"
+        if not toxic:
+            words[9] = "idio" + "bcdefghjkl"[i % 10]
+        return " ".join(words), int(toxic)
+
+    labelled = spark.createDataFrame([text(i, i < 100) for i in range(400)], "text string, toxic int")
+    words, stems = toxicity.lexicon(labelled)
+    assert "idiot" in words and not set(common) & set(words)
+    monkeypatch.setattr(toxicity, "TERMS", 3)
+    assert toxicity.ordinary_words(labelled, words, {}) == ["idio" + c for c in "bcdefghjkl"]
