@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm import html_text, mixing, neighbours, packing, quality, simhash, spans, suffixes, toxicity, warc
+from fleetlens.llm import (
+    divergence,
+    html_text,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    simhash,
+    spans,
+    suffixes,
+    toxicity,
+    warc,
+)
 from fleetlens.llm.shared import may_be_in
 from fleetlens.plans.registry import Query, Tables
 from fleetlens.session import tune
@@ -155,3 +167,42 @@ def op8(t: Tables) -> DataFrame:
 @query("op4_suffix_array_dedup")
 def op4(t: Tables) -> DataFrame:
     return suffixes.repeats_removed(t.documents, length=50)
+
+
+@query("op13_source_divergence", sql=r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+found AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+vocabulary AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN vocabulary USING (lang) LEFT JOIN totals USING (lang, source)),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 1)) // (total + v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term)
+  JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM counts GROUP BY lang) USING (lang) JOIN vocabulary USING (lang)),
+gaps AS (
+  SELECT s.lang, s.source, o.source AS item, sum((s.p - o.p) * (s.p - o.p) // o.p)::HUGEINT AS value
+  FROM shares s JOIN shares o ON s.lang = o.lang AND s.term = o.term AND s.source <> o.source GROUP BY ALL),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN gaps ON gaps.lang = g.lang AND gaps.source = g.source AND gaps.item = o.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""")
+def op13(t: Tables) -> DataFrame:
+    return divergence.source_divergence(t.documents.select("lang", "source", "text"))
