@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
+    centroids,
     divergence,
     html_text,
     mixing,
@@ -206,3 +207,33 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """)
 def op13(t: Tables) -> DataFrame:
     return divergence.source_divergence(t.documents.select("lang", "source", "text"))
+
+
+def _centroid_rounds(k: int, rounds: int, seed: int) -> str:
+    """SQL of k-means over whole numbers, a common table for each round."""
+    assigned = """(
+  SELECT row, min_by(cluster, d * 1000 + cluster) AS cluster, min(d) AS distance FROM (
+    SELECT row, cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d
+    FROM v, c{n} AS c) GROUP BY row)"""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: coalesce(isfinite(c), false))) = 64),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS cluster, x
+  FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))"""]
+    for n in range(rounds):
+        parts.append(f"a{n} AS MATERIALIZED {assigned.format(n=n)}")
+        parts.append(f"""m{n} AS MATERIALIZED (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT cluster, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN v USING (row), range(1, 65) AS u(i) GROUP BY ALL)
+  GROUP BY cluster)""")
+        parts.append(f"c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.x, c.x) AS x FROM c{n} AS c LEFT JOIN m{n} AS m USING (cluster))")
+    return f"""WITH {", ".join(parts)}, a AS {assigned.format(n=rounds)}
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a JOIN v USING (row) JOIN c{rounds} AS c USING (cluster)"""
+
+
+@query("op12_centroid_clustering", sql=_centroid_rounds(k=40, rounds=5, seed=2))
+def op12(t: Tables) -> DataFrame:
+    return centroids.clustered(t.embeddings, k=40, rounds=5, seed="2", dims=64)
