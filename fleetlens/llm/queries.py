@@ -17,6 +17,7 @@ from fleetlens.llm import (
     simhash,
     spans,
     suffixes,
+    tokens,
     toxicity,
     warc,
 )
@@ -237,3 +238,8 @@ FROM a JOIN v USING (row) JOIN c{rounds} AS c USING (cluster)"""
 @query("op12_centroid_clustering", sql=_centroid_rounds(k=40, rounds=5, seed=2))
 def op12(t: Tables) -> DataFrame:
     return centroids.clustered(t.embeddings, k=40, rounds=5, seed="2", dims=64)
+
+
+@query("op11_token_counts")
+def op11(t: Tables) -> DataFrame:
+    return tokens.token_counts(t.documents, public_tokenizers.path(TOKENIZER), limit=2048)

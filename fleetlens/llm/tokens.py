@@ -31,8 +31,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 #: Characters that are looked at together, and bytes of a chunk. Both only move work.
 SLAB, CHUNK = 1 << 20, 64
-#: States that a worker keeps from one slab to the next.
-STATES = 1 << 15
+#: Bytes of the tables of transitions that a worker keeps from one slab to the next.
+KEPT = 1 << 27
 
 # --- words ---------------------------------------------------------------------------------------------------------------
 
@@ -120,14 +120,6 @@ def word_marks(kinds: np.ndarray) -> np.ndarray:
 # --- tokens of a word ------------------------------------------------------------------------------------------------------
 
 NONE, UNKNOWN = -1, 255
-#: Bytes that lowered UTF-8 text can hold get a column of the table of transitions each.
-_BYTES = [b for b in range(256) if not (65 <= b <= 90 or b in (0xC0, 0xC1) or b > 0xF4)]
-WIDTH = 224
-COLUMN = np.full(256, WIDTH - 1, "u1")
-COLUMN[_BYTES] = np.arange(len(_BYTES))
-BYTE = [0] * WIDTH
-for _i, _b in enumerate(_BYTES):
-    BYTE[_i] = _b
 
 
 def _byte_names() -> dict[str, int]:
@@ -251,54 +243,73 @@ class Transducers:
     def _forget(self) -> None:
         start = ((0, NONE, 0),)
         self.kept.update(
-            numbers={start: 0}, states=[start], next=np.full((1024, WIDTH), NONE, "i4"), ends=np.full((1024, WIDTH), UNKNOWN, "u1"))
+            numbers={start: 0}, states=[start], next=np.full((1024, 32), NONE, "i4"), ends=np.full((1024, 32), UNKNOWN, "u1"),
+            column=np.full(256, UNKNOWN, "u1"), bytes=[])
         if len(self.kept["fits"]) > 1 << 20:
             self.kept["fits"] = {}
 
-    def _build(self, code: int) -> None:
-        """The transition of one state on one byte: (next state, tokens emitted)."""
-        state, byte = divmod(code, WIDTH)
+    def _grow(self, rows: int, columns: int) -> None:
+        for name, fill in (("next", NONE), ("ends", UNKNOWN)):
+            old = self.kept[name]
+            self.kept[name] = np.full((rows, columns), fill, old.dtype)
+            self.kept[name][:old.shape[0], :old.shape[1]] = old
+
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """Of each byte its column in the tables; a byte gets one when it is first seen."""
+        column = self.kept["column"]
+        for byte in np.flatnonzero((np.bincount(data, minlength=256) > 0) & (column == UNKNOWN)).tolist():
+            rows, columns = self.kept["next"].shape
+            if len(self.kept["bytes"]) == columns:
+                self._grow(rows, 2 * columns)
+            column[byte] = len(self.kept["bytes"])
+            self.kept["bytes"].append(byte)
+        return column[data]
+
+    def _build(self, state: int, column: int) -> None:
+        """The transition of one state on one byte: next state and tokens emitted."""
         tree, inner, kept = self.tables["tree"], self.tables["inner"], self.kept
-        out, token, count = [], NONE, 0
+        byte, out, token, count, emitted = kept["bytes"][column], [], NONE, 0, 1 << 30
         for node, before, ahead in kept["states"][state]:
-            node = tree.get(node << 8 | BYTE[byte])
+            node = tree.get(node << 8 | byte)
             if node is None:
                 continue
             out.append((node, before, ahead))
+            if ahead < emitted:
+                emitted = ahead
             here = inner.get(node)
             if here is not None and token == NONE and self._sound(here) and self._follows(before, here):
                 token, count = here, ahead + 1
         out.append((0, token, count))
-        emitted = min(x[2] for x in out)
-        key = tuple((node, before, ahead - emitted) for node, before, ahead in out)
+        emitted = min(emitted, count)
+        key = tuple([(node, before, ahead - emitted) for node, before, ahead in out] if emitted else out)
         number = kept["numbers"].get(key)
         if number is None:
             number = kept["numbers"][key] = len(kept["states"])
             kept["states"].append(key)
-            if number >= len(kept["next"]):
-                for name, fill in (("next", NONE), ("ends", UNKNOWN)):
-                    old = kept[name]
-                    kept[name] = np.full((2 * len(old), WIDTH), fill, old.dtype)
-                    kept[name][:len(old)] = old
-        kept["next"][state, byte] = number << 6 | emitted
-
-    def _end(self, code: int) -> None:
+            rows, columns = kept["next"].shape
+            if number >= rows:
+                self._grow(2 * rows, columns)
+        kept["next"][state, column] = number << 6 | emitted
+
+    def _end(self, state: int, column: int) -> None:
         """How many tokens are emitted when a byte is the last of a word."""
-        state, byte = divmod(code, WIDTH)
+        byte = self.kept["bytes"][column]
         for node, before, ahead in self.kept["states"][state]:
-            node = self.tables["tree"].get(node << 8 | BYTE[byte])
+            node = self.tables["tree"].get(node << 8 | byte)
             here = None if node is None else self.tables["last"].get(node)
             if here is not None and self._sound(here) and self._follows(before, here):
-                self.kept["ends"][state, byte] = ahead + 1
+                self.kept["ends"][state, column] = ahead + 1
                 return
         raise ValueError("the vocabulary lacks a byte that ends a word")
 
-    def _looked_up(self, table: str, unknown: int, build, at: np.ndarray) -> np.ndarray:
+    def _looked_up(self, table: str, unknown: int, build, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        width = self.kept[table].shape[1]
+        at = state * width + column
         found = self.kept[table].reshape(-1)[at]
         gaps = found == unknown
         if gaps.any():
             for code in np.unique(at[gaps]).tolist():
-                build(code)
+                build(*divmod(code, width))
             found = self.kept[table].reshape(-1)[at]
         return found
 
@@ -314,10 +325,10 @@ class Transducers:
         more = len(order) - np.cumsum(np.bincount(lengths, minlength=longest + 1))  # [j]: runs of over j bytes
         for j in range(longest):
             here, on = int(more[j]), int(more[j + 1]) if ending else int(more[j])
-            at = state[:here] * WIDTH + data[starts[:here] + j]
+            column = data[starts[:here] + j]
             if on < here:
-                count[on:here] += self._looked_up("ends", UNKNOWN, self._end, at[on:])
-            step = self._looked_up("next", NONE, self._build, at[:on])
+                count[on:here] += self._looked_up("ends", UNKNOWN, self._end, state[on:here], column[on:])
+            step = self._looked_up("next", NONE, self._build, state[:on], column[:on])
             count[:on] += step & 63
             state[:on] = step >> 6
             if path is not None:
@@ -344,7 +355,7 @@ class Transducers:
             if key not in known:
                 now, more = state, 0
                 for j in range(size):
-                    step = int(self._looked_up("next", NONE, self._build, np.array([now * WIDTH + int(data[place + j])]))[0])
+                    step = self._one("next", NONE, self._build, now, int(data[place + j]))
                     now, more = step >> 6, more + (step & 63)
                     if now == path[k, j, 0]:
                         now, more = int(states[k]), more + int(counts[k] - path[k, j, 1])
@@ -352,8 +363,12 @@ class Transducers:
                 known[key] = now, more
             now, more = known[key]
             state, total = now, total + more
-        at = np.array([state * WIDTH + int(data[start + body])])
-        return total + int(self._looked_up("ends", UNKNOWN, self._end, at)[0])
+        return total + self._one("ends", UNKNOWN, self._end, state, int(data[start + body]))
+
+    def _one(self, table: str, unknown: int, build, state: int, column: int) -> int:
+        if self.kept[table][state, column] == unknown:
+            build(state, column)
+        return int(self.kept[table][state, column])
 
     # texts
 
@@ -414,9 +429,9 @@ class Transducers:
             place = np.concatenate(([0], np.cumsum(sizes)))
             data = np.frombuffer(lowered.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), "u1")
             first, after = place[first], place[after]
-        data = COLUMN[data]
-        if len(self.kept["states"]) > STATES:
+        if self.kept["next"].nbytes > KEPT:
             self._forget()
+        data = self._columns(data)
         lengths = after - first
         short = lengths <= CHUNK
         counts = np.zeros(len(first), "i8")
