@@ -86,13 +86,14 @@ def _termed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         per = np.array([len(t) for t in cut])[which]
         rows = np.repeat(np.arange(len(batch)), per)
         flat = [t for i in which.tolist() for t in cut[i].items()]
-        marks = batch.index[(values == "")]
-        out = batch.iloc[rows].drop(columns="chunk").reset_index(drop=True)
-        out.insert(2, "term", [t for t, _ in flat])
-        out["n"] *= np.array([n for _, n in flat], "i8")
-        yield out
-        if len(marks):  # groups
-            yield batch.loc[marks].rename(columns={"chunk": "term"})
+        if flat:
+            out = batch.iloc[rows].drop(columns="chunk").reset_index(drop=True)
+            out.insert(2, "term", [t for t, _ in flat])
+            out["n"] *= np.array([n for _, n in flat], "i8")
+            yield out
+        groups = batch[values == ""]
+        if len(groups):
+            yield groups.rename(columns={"chunk": "term"})
 
 
 def term_rows(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:

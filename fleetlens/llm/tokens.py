@@ -129,21 +129,30 @@ def _byte_names() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+def _fits(spec: dict) -> bool:
+    model, normal, words = spec["model"], spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    steps = words.get("pretokenizers", [])
+    return (
+        (model["type"], model.get("end_of_word_suffix")) == ("BPE", "</w>")
+        and not any(model.get(k) for k in ("continuing_subword_prefix", "dropout", "ignore_merges"))
+        and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": WORDS}, "Removed", True)
+        and not any(steps[1][k] for k in ("add_prefix_space", "use_regex"))
+        # special strings are matched as they stand
+        and not any(t[k] for t in spec["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word")))
+
+
 def compiled(path: str) -> dict:
     """A tokenizer's tables in plain containers, which can be sent to tasks: vocabulary tree, merges, special strings.
 
     It raises ValueError for a tokenizer of another kind than byte-level BPE with word ends over lowered text.
     """
-    spec = json.loads(open(path, encoding="utf-8").read())
-    model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-    kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
-    if not (model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["continuing_subword_prefix"]
-            and not model.get("dropout") and not model.get("ignore_merges") and kinds == ["NFC", "Replace", "Lowercase"]
-            and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": WORDS} and steps[0]["invert"]
-            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]):
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    if not _fits(spec):
         raise ValueError(f"{path} is not of the kind that this operator compiles")
-    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-        raise ValueError(f"{path} has special strings that are not matched as they stand")
+    model = spec["model"]
     names, vocab = _byte_names(), model["vocab"]
     tree: dict[int, int] = {}
     inner: dict[int, int] = {}
