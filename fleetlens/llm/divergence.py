@@ -13,12 +13,14 @@ both have, the histogram of counts of each and the number of the rest: no table
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,86 +29,107 @@ from fleetlens.llm.shared import Scratch, partitions_of, written
 
 #: Runs of letters A-Z, a-z and everything that is not ASCII; chunks come lowered already.
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-#: Sums that a task holds before it passes them on. It only moves work.
-HELD = 400_000
+#: Sums that a task holds before it passes them on, their bytes, and bytes of text that it cuts at once: they only move work.
+HELD, HELD_BYTES, CUT = 2_000_000, 1 << 28, 1 << 25
 UNIT = 1_000_000_000
 
-_CHUNKS = "lang string, source string, chunk string, n long, docs long, lo long, hi long"
+_SUMS = pa.schema([("of", pa.string()), ("chunk", pa.string()), *((c, pa.int64()) for c in ("n", "docs", "lo", "hi"))])
+_CHUNKS = "of string, chunk string, n long, docs long, lo long, hi long"
 _TERMS = "lang string, source string, term string, n long, docs long, lo long, hi long"
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunk sums of a task's documents: occurrences, documents, first and last document. Every group also gives ''."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    size = 0
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """Chunk sums of several tables as one."""
+    sums = pa.concat_tables(tables).group_by(["of", "chunk"], use_threads=False).aggregate(
+        [("n", "sum"), ("docs", "sum"), ("lo", "min"), ("hi", "max")])
+    return sums.rename_columns({"n_sum": "n", "docs_sum": "docs", "lo_min": "lo", "hi_max": "hi"}).select(_SUMS.names).cast(_SUMS)
 
-    def out() -> Iterator[pd.DataFrame]:
-        for (lang, source), sums in held.items():
-            cells = np.array(list(sums.values()), "i8").reshape(-1, 4)
-            yield pd.DataFrame({
-                "lang": lang, "source": source, "chunk": [c.decode() for c in sums], "n": cells[:, 0], "docs": cells[:, 1],
-                "lo": cells[:, 2], "hi": cells[:, 3]})
+
+def _chunk_sums(batch: pa.RecordBatch) -> pa.Table:
+    """Chunks of each document, then of each group: occurrences, documents, first and last document."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(batch["text"]))
+    every = pa.table({"at": pc.list_parent_indices(cut), "chunk": pc.list_flatten(cut)})
+    every = every.filter(pc.not_equal(every["chunk"], ""))
+    held = every.group_by(["at", "chunk"], use_threads=False).aggregate([([], "count_all")])
+    row = batch["row"].take(held["at"])
+    return pa.table({
+        "of": batch["of"].take(held["at"]), "chunk": held["chunk"], "n": held["count_all"],
+        "docs": pa.repeat(pa.scalar(1, pa.int64()), len(held)), "lo": row, "hi": row})
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk sums of a task's documents; every group also gives the chunk ''."""
+    held: list[pa.Table] = []
+    first, size, weight = 0, 0, 0  # rows of the merged table in front, rows and bytes of all
 
     for batch in batches:
-        for row, text, lang, source in zip(batch["row"].tolist(), batch["text"], batch["lang"], batch["source"]):
-            sums = held.get((lang, source))
-            if sums is None:
-                sums = held[lang, source] = {b"": [0, 0, row, row]}
-            before = len(sums)
-            # bytes split at the six ASCII spaces and lower A-Z, nothing else
-            for chunk, n in Counter(text.encode("utf-8", "replace").lower().split()).items():
-                cell = sums.get(chunk)
-                if cell is None:
-                    sums[chunk] = [n, 1, row, row]
-                else:
-                    cell[0] += n
-                    cell[1] += 1
-                    cell[3] = row
-            size += len(sums) - before
-            if size > HELD:
-                yield from out()
-                held, size = {}, 0
-    yield from out()
-
-
-def _termed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by chunk to rows by term; a chunk is cut once, whatever many rows it has."""
-    chunk, terms = None, []
+        groups = pc.unique(batch["of"])
+        zero = pa.repeat(pa.scalar(0, pa.int64()), len(groups))
+        held.append(pa.table([groups, pa.repeat("", len(groups)), zero, zero, zero, zero], schema=_SUMS))
+        bytes_of, at = pc.cumulative_sum(pc.binary_length(batch["text"]).cast(pa.int64())).to_numpy(), 0
+        while at < len(batch):
+            done = int(bytes_of[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(bytes_of, done + CUT, "right")))
+            held.append(_chunk_sums(batch.slice(at, to - at)))
+            size, weight, at = size + len(held[-1]), weight + held[-1].nbytes, to
+            if size > max(HELD, 2 * first) or weight > 2 * HELD_BYTES:
+                held = [_merged(held)]
+                first = size = len(held[0])
+                weight = held[0].nbytes
+                if size > HELD or weight > HELD_BYTES:
+                    yield from held[0].to_batches()
+                    held, first, size, weight = [], 0, 0, 0
+    if held:
+        yield from _merged(held).to_batches()
+
+
+def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk to rows by term; a chunk is cut once, whatever many rows it has. Chunks '' stay."""
+    last, terms = None, {}
     for batch in batches:
         if not len(batch):
             continue
-        values = batch["chunk"].to_numpy(object)
-        new = np.concatenate(([True], values[1:] != values[:-1]))
+        chunks = batch["chunk"]
+        new = np.ones(len(batch), bool)
+        new[1:] = pc.not_equal(chunks[1:], chunks[:-1]).to_numpy(zero_copy_only=False)
         cut = []
-        for value in values[new].tolist():
-            if value != chunk:
-                chunk, terms = value, Counter(TERM.findall(value))
+        for chunk in chunks.filter(pa.array(new)).to_pylist():
+            if chunk != last:
+                last = chunk
+                terms = {chunk: 1} if chunk.isascii() and chunk.isalpha() or not chunk else Counter(TERM.findall(chunk))
             cut.append(terms)
+        per = np.array([len(t) for t in cut])
         which = np.cumsum(new) - 1
-        per = np.array([len(t) for t in cut])[which]
-        rows = np.repeat(np.arange(len(batch)), per)
-        flat = [t for i in which.tolist() for t in cut[i].items()]
-        if flat:
-            out = batch.iloc[rows].drop(columns="chunk").reset_index(drop=True)
-            out.insert(2, "term", [t for t, _ in flat])
-            out["n"] *= np.array([n for _, n in flat], "i8")
-            yield out
-        groups = batch[values == ""]
-        if len(groups):
-            yield groups.rename(columns={"chunk": "term"})
+        sizes = per[which]
+        rows = np.repeat(np.arange(len(batch)), sizes)
+        if not len(rows):
+            continue
+        # the k-th term of a row's chunk
+        begin = np.cumsum(per) - per
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[which[rows]]
+        flat = pa.array([t for c in cut for t in c], pa.string())
+        times = np.array([n for c in cut for n in c.values()], "i8")
+        picked = batch.take(pa.array(rows))
+        names = pc.dictionary_encode(picked["of"])
+        both = [json.loads(x) for x in names.dictionary.to_pylist()]
+        lang, source = (pa.array([b[i] for b in both], pa.string()).take(names.indices) for i in (0, 1))
+        n = pa.array(picked["n"].to_numpy() * times[place])
+        yield pa.RecordBatch.from_arrays(
+            [lang, source, flat.take(pa.array(place)), n, picked["docs"], picked["lo"], picked["hi"]],
+            names=["lang", "source", "term", "n", "docs", "lo", "hi"])
 
 
 def term_rows(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, term, n, docs, lo, hi): sums by chunk, given to its terms. Every group has a row of term ''."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), plain(text).alias("text"), plain(lang).alias("lang"),
-        plain(source).alias("source"))
+        F.monotonically_increasing_id().alias("row"), plain(text).alias("text"),
+        F.to_json(F.array(plain(lang), plain(source))).alias("of"))
     enough = F.sum("docs") > 2
-    sums = rows.mapInPandas(_counted, _CHUNKS).repartition(partitions_of(docs), "chunk").groupBy("lang", "source", "chunk").agg(
+    sums = rows.mapInArrow(_counted, _CHUNKS).repartition(partitions_of(docs), "chunk").groupBy("of", "chunk").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.when(enough, 0).otherwise(F.min("lo")).alias("lo"),
         F.when(enough, 0).otherwise(F.max("hi")).alias("hi"))
-    return sums.sortWithinPartitions("chunk").mapInPandas(_termed, _TERMS)
+    return sums.sortWithinPartitions("chunk").mapInArrow(_termed, _TERMS)
 
 
 def kept_terms(rows: DataFrame, min_docs: int = 3) -> DataFrame:

@@ -234,9 +234,10 @@ def diverged(spark, docs, **how):
     return sorted(tuple(r) for r in divergence.source_divergence(table, **how).collect())
 
 
-@pytest.mark.parametrize("held", [400_000, 5])
+@pytest.mark.parametrize("held", [2_000_000, 5])
 def test_divergence_matches_a_plain_version(spark, monkeypatch, held):
     monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "CUT", 10 * held)
     r = random.Random(9)
     words = ["the", "The", "the,", "a", "(a)", "b-b", "c-a", "été", "x1y", "1", "日本", "z z", "don't", "", "w\x0bw", "--", "\U0001f600a"]
     docs = [(" ".join(r.choice(words) + str(r.choice(("", "", r.choice("klmnop")))) for _ in range(r.randint(0, 30))),
