@@ -30,7 +30,7 @@ from fleetlens.llm.shared import Scratch, partitions_of, written
 #: Runs of letters A-Z, a-z and everything that is not ASCII; chunks come lowered already.
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 #: Sums that a task holds before it passes them on, their bytes, and bytes of text that it cuts at once: they only move work.
-HELD, HELD_BYTES, CUT = 2_000_000, 1 << 28, 1 << 25
+HELD, HELD_BYTES, CUT = 600_000, 1 << 26, 1 << 22
 UNIT = 1_000_000_000
 
 _SUMS = pa.schema([("of", pa.string()), ("chunk", pa.string()), *((c, pa.int64()) for c in ("n", "docs", "lo", "hi"))])

@@ -234,7 +234,7 @@ def diverged(spark, docs, **how):
     return sorted(tuple(r) for r in divergence.source_divergence(table, **how).collect())
 
 
-@pytest.mark.parametrize("held", [2_000_000, 5])
+@pytest.mark.parametrize("held", [600_000, 5])
 def test_divergence_matches_a_plain_version(spark, monkeypatch, held):
     monkeypatch.setattr(divergence, "HELD", held)
     monkeypatch.setattr(divergence, "CUT", 10 * held)
