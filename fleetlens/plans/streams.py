@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.plans.registry import Tables, query
+from fleetlens.session import fresh_path
 from fleetlens.streaming import jobs
-from fleetlens.streaming.sinks import append_table, on_clock, read_stream, run_append, run_update
+from fleetlens.streaming.sinks import on_clock, read_stream, run_append, run_update
 
 
 def plain_time(df: DataFrame, *cols: str) -> DataFrame:
@@ -44,33 +45,47 @@ def drift(t: Tables) -> DataFrame:
 
 
 @query("R3_presence", """
-WITH closed AS (
-  SELECT user_id, ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS slot FROM events
-  WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
-p AS (SELECT user_id, ts, lag(ts) OVER w AS prev, lead(ts) OVER w AS next FROM closed WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-SELECT user_id, 'online' AS state, ts AS at FROM p WHERE prev IS NULL OR ts > prev + INTERVAL 6 HOUR
+WITH p AS (SELECT user_id, ts, lag(ts) OVER w AS prev, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+silent AS (SELECT max(ts) - INTERVAL 6 HOUR AS since FROM events),
+starts AS (SELECT user_id, ts AS began, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS newest FROM p WHERE prev IS NULL OR ts > prev + INTERVAL 6 HOUR),
+ends AS (SELECT user_id, max(ts) >= (SELECT since FROM silent) AS lasts FROM events GROUP BY user_id)
+SELECT user_id, 'online' AS state, began AS at, newest AND lasts AS open FROM starts JOIN ends USING (user_id)
 UNION ALL
-SELECT user_id, 'offline', ts + INTERVAL 6 HOUR FROM p
-WHERE next > ts + INTERVAL 6 HOUR OR (next IS NULL AND ts + INTERVAL 6 HOUR < (SELECT max(slot) FROM closed) - INTERVAL 1 MILLISECOND)
+SELECT user_id, 'offline', ts + INTERVAL 6 HOUR, false FROM p WHERE next > ts + INTERVAL 6 HOUR OR (next IS NULL AND ts < (SELECT since FROM silent))
 """)
 def presence(t: Tables) -> DataFrame:
-    """Presence over the slots the watermark has closed: one stream compacts the events, a second follows the boards."""
-    stream = on_clock(read_stream(t.spark, t.path("events")).select("user_id", "ts"), "ts", "10 minutes")
-    compacted = jobs.activity_slots(stream, "user_id", "ts", 3600)
-    path = append_table(compacted, "slots")
-    slots = t.spark.readStream.schema(compacted.schema).parquet(path).withWatermark("slot", "0 seconds")
-    return plain_time(run_append(jobs.presence(slots, "user_id", 6 * 3600), "presence"), "at")
+    """Presence over all events, the boards that are still online at their end included."""
+    spans = jobs.activity_spans(read_stream(t.spark, t.path("events")).select("user_id", "ts"), "user_id", "ts", 3600)
+    return plain_time(jobs.presence(spans, "user_id", 6 * 3600, "10 minutes")[0], "at")
+
+
+@query("R3_last_states", """
+WITH p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM p)
+SELECT user_id, min(ts) AS since, max(ts) AS last FROM s GROUP BY user_id, no HAVING max(ts) >= (SELECT max(ts) - INTERVAL 6 HOUR FROM events)
+""")
+def last_states(t: Tables) -> DataFrame:
+    """Presence in two runs: the second goes on from the table of last states that the first has left."""
+    events = t.events.select("user_id", "ts")
+    middle = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("m")).scalar()
+    states = None
+    for i, part in enumerate((events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle))):
+        path = fresh_path(t.spark, f"half-{i}")
+        part.write.parquet(path)
+        spans = jobs.activity_spans(read_stream(t.spark, path, schema=events.schema), "user_id", "ts", 3600)
+        _, states = jobs.presence(spans, "user_id", 6 * 3600, "10 minutes", states)
+    return states.select("user_id", *[F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("since", "last")])
 
 
 @query("R4_telemetry_windows", """
 SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end,
-       count(value) AS n, min(value) AS low, max(value) AS high, round(sum(value), 4) AS total
+       count(value) AS n, min(value) AS low, max(value) AS high, CAST(sum(CAST(value AS DECIMAL(38, 6))) AS DOUBLE) AS total
 FROM events GROUP BY 1, 2, 3
 """)
 def windows(t: Tables) -> DataFrame:
     stream = on_clock(read_stream(t.spark, t.path("events")), "ts", "10 minutes")
     rows = run_update(jobs.telemetry_windows(stream, ["event_type"], "ts", "value", "1 day"), ["event_type", "window_start"], "windows")
-    return plain_time(rows, "window_start", "window_end").withColumn("total", F.round("total", 4))
+    return plain_time(rows, "window_start", "window_end")
 
 
 @query("R4_sliding_windows", """
@@ -84,19 +99,17 @@ def sliding(t: Tables) -> DataFrame:
     return plain_time(rows, "window_start").select("event_type", "window_start", "n")
 
 
-SESSIONS_SQL = """
+@query("R5_activity_sessions", """
 WITH p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
 s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM p)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events
-FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-"""
-
-
-@query("R5_activity_sessions", SESSIONS_SQL)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events,
+       max(ts) + INTERVAL 30 MINUTE >= (SELECT max(ts) FROM events) AS open
+FROM s GROUP BY user_id, no
+""")
 def activity(t: Tables) -> DataFrame:
-    """Sessions the watermark has closed."""
-    stream = on_clock(read_stream(t.spark, t.path("events")).select("user_id", "ts"), "ts", "10 minutes")
-    return plain_time(run_append(jobs.activity_sessions(stream, "user_id", "ts", "30 minutes"), "sessions"), "session_start", "session_end")
+    """All sessions, those that could still go on marked."""
+    spans = jobs.activity_spans(read_stream(t.spark, t.path("events")).select("user_id", "ts"), "user_id", "ts", 1800)
+    return plain_time(jobs.activity_sessions(spans, "user_id", 1800, "10 minutes"), "session_start", "session_end")
 
 
 @query("R6_event_dedup", "SELECT event_id, user_id, ts, event_type FROM events")

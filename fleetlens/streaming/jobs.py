@@ -7,11 +7,14 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, join_same, one_row_per, with_previous
 from fleetlens.functions.values import changed_columns
-from fleetlens.streaming.sinks import read_batches, run_append, run_batches, write_batch
+from fleetlens.session import stage
+from fleetlens.streaming.sinks import ROCKS, append_run, read_batches, run_append, run_batches, state_store, state_table, write_batch
 
 
 def desired_changes(
@@ -95,65 +98,199 @@ def never_observed(plan: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     return desired.select(key).join(plan.select(key).distinct(), key, "left_anti").withColumn("action", F.lit("create"))
 
 
-def activity_slots(stream: DataFrame, key: str, ts: str, slot_s: int) -> DataFrame:
-    """(key, first, last) activity per time slot: the compacted form of a session stream, by partial sums."""
-    return stream.groupBy(key, F.window(ts, f"{slot_s} seconds").alias("_w")).agg(
-        F.min(ts).alias("first"), F.max(ts).alias("last")
-    ).select(key, F.window_time("_w").alias("slot"), "first", "last")
+def activity_spans(stream: DataFrame, key: str, ts: str, width_s: int, name: str = "spans") -> DataFrame:
+    """(key, first, last, n) of every batch, key and slot of `width_s` seconds, as a stream of its own.
 
+    This is the compacted form of an activity stream: partial sums, so a very busy board costs one row per slot, and no
+    state, so every row is in it, however late.
+    """
+    fields = f"`{key}` {stream.schema[key].dataType.simpleString()}, first timestamp, last timestamp, n bigint"
 
-def presence(slots: DataFrame, key: str, timeout_s: int) -> DataFrame:
-    """(key, state, at): online when a board is first heard, offline once it has been silent for the timeout.
+    def work(rows: DataFrame, batch: int, path: str) -> None:
+        spans = rows.where(F.col(ts).isNotNull()).groupBy(key, F.window(F.col(ts).cast("timestamp"), f"{width_s} seconds").alias("_w")).agg(
+            F.min(ts).cast("timestamp").alias("first"), F.max(ts).cast("timestamp").alias("last"), F.count(F.lit(1)).alias("n"))
+        write_batch(spans.drop("_w"), batch, path)
 
-    Works on a stream of activity slots no longer than the timeout, so a very busy board costs one row per slot
-    and nothing unbounded meets in one task. The stream needs a watermark on `slot`.
-    """
-    silence = timeout_s * 1_000_000
+    path = run_batches(stream, name, work)
+    return stream.sparkSession.readStream.schema(f"{fields}, batch int").option("maxFilesPerTrigger", 10_000).parquet(path).drop("batch")
 
-    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple[str, int]] = []
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            out.append(("offline", last + silence))
-            state.remove()
+
+def _micros(spans: DataFrame, key: str, delay: str) -> DataFrame:
+    marked = spans.withWatermark("last", delay)
+    return marked.select(key, F.unix_micros("first").alias("first"), "last", F.unix_micros("last").alias("to"), "n")
+
+
+def _merged_runs(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """Runs (first, last, n) of one key, those no further apart than the gap as one."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(runs):
+        if out and first - out[-1][1] <= gap:
+            out[-1] = out[-1][0], max(out[-1][1], last), out[-1][2] + n
         else:
-            spans = sorted((int(a), int(b)) for f in frames for a, b in zip(f["first"], f["last"]))
-            for first, end in spans:
-                if last is None:
-                    out.append(("online", first))
-                elif first - last > silence:
-                    out += [("offline", last + silence), ("online", first)]
-                last = end if last is None else max(last, end)
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + silence) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame({key: [name[0]] * len(out), "state": [s for s, _ in out], "at_us": [a for _, a in out]})
-
-    micros = slots.select(key, "slot", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
-    key_type = slots.schema[key].dataType.simpleString()
-    changes = micros.groupBy(key).applyInPandasWithState(
-        follow, f"`{key}` {key_type}, state string, at_us bigint", "last bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return changes.select(key, "state", F.timestamp_micros("at_us").alias("at"))
+            out.append((first, last, n))
+    return out
+
+
+class _Presence(StatefulProcessor):
+    """A board's open period in a value, and a timer for when it has been silent for too long."""
+
+    def __init__(self, key: str, silence: int) -> None:
+        self.key, self.silence = key, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "since bigint, last bigint")
+
+    def _out(self, key: tuple, rows: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame({self.key: [key[0]] * len(rows), "state": [s for s, _ in rows], "at_us": [a for _, a in rows]})
+
+    def _keep(self, since: int, last: int) -> None:
+        self.open.update((since, last))
+        self.handle.registerTimer((last + self.silence) // 1000 + 1)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        self._keep(int(initialState["since"].iloc[0]), int(initialState["last"].iloc[0]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        runs = [(int(a), int(b), 1) for frame in rows for a, b in zip(frame["first"], frame["to"])]
+        held = self.open.get() if self.open.exists() else None
+        out = []
+        since, last = (int(held[0]), int(held[1])) if held else (None, None)
+        for first, to, _ in _merged_runs(runs, self.silence):
+            if since is None:
+                out.append(("online", first))
+                since, last = first, to
+            elif first - last > self.silence:
+                out += [("offline", last + self.silence), ("online", first)]
+                since, last = first, to
+            else:  # a run from before the period's start has been told of already or comes late
+                last = max(last, to)
+        self._keep(since, last)
+        yield from self._out(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.open.exists():
+            return
+        since, last = self.open.get()
+        # a timer of an earlier end finds the board heard of since
+        if (int(last) + self.silence) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+            yield from self._out(key, [("offline", int(last) + self.silence)])
+
+    def close(self) -> None:
+        pass
+
+
+def presence(
+    spans: DataFrame, key: str, timeout_s: int, delay: str = "0 seconds", last_states: DataFrame | None = None, name: str = "presence",
+) -> tuple[DataFrame, DataFrame]:
+    """What became of every board, and the boards' last states.
+
+    The first table is (key, state, at, open): online when a board is first heard, offline once it has been silent for
+    longer than the timeout. At the end of the input a board's silence is counted up to the last instant that any board
+    was heard; the online row of a period that still lasts is marked `open`, and given again if it began in an earlier run.
+    The second is (key, since, last) in microseconds, one row per open period: as `last_states` it starts a next run.
+
+    Works on `activity_spans` no wider than the timeout. Spans that come later than `delay` are dropped and counted by
+    the engine like any late row; a late span inside a period moves nothing but its end.
+    """
+    spark, silence = spans.sparkSession, timeout_s * 1_000_000
+    kind = spans.schema[key].dataType.simpleString()
+    start = None if last_states is None else stage(last_states.select(key, "since", "last"), f"{name}-start").groupBy(key)
+    followed = _micros(spans, key, delay).groupBy(key).transformWithStateInPandas(
+        _Presence(key, silence), f"`{key}` {kind}, state string, at_us bigint", "Append", "EventTime", start)
+    with state_store(spark, ROCKS):
+        ended = append_run(followed, name)
+    told = spark.read.schema(followed.schema).parquet(ended.path)
+    held = state_table(spark, ended, f"key struct<`{key}`: {kind}>, value struct<since: bigint, last: bigint>", "open").select(
+        F.col(f"key.{key}").alias(key), "value.since", "value.last")
+    # the last instant is that of a board's last run: of an open period, or before an offline row
+    held = stage(held, "presence-open")
+    heard = held.select("last").union(told.where("state = 'offline'").select(F.col("at_us") - silence)).agg(F.max("last")).scalar()
+    over = held.where(F.col("last") + silence < heard)
+    lasting = held.where(F.col("last") + silence >= heard)
+    offline = over.select(key, F.lit("offline").alias("state"), (F.col("last") + silence).alias("at_us"))
+    online = lasting.select(key, F.lit("online").alias("state"), F.col("since").alias("at_us"))
+    closed = join_same(told, online, [key, "state", "at_us"], "left_anti").unionByName(offline)
+    rows = closed.withColumn("open", F.lit(False)).unionByName(online.withColumn("open", F.lit(True)))
+    return rows.select(key, "state", F.timestamp_micros("at_us").alias("at"), "open"), lasting
 
 
 def telemetry_windows(
-    stream: DataFrame, by: Sequence[str], ts: str, value: str, width: str, slide: str | None = None
+    stream: DataFrame, by: Sequence[str], ts: str, value: str, width: str, slide: str | None = None, places: int = 6,
 ) -> DataFrame:
-    """Count, min, max and sum per group and window; tumbling, or sliding with a slide."""
+    """Count, min, max and sum per group and window; tumbling, or sliding with a slide.
+
+    The sum is of values rounded to so many decimal places and exact in these, so it does not depend on the order in
+    which rows, tasks or batches are added up; NULL beyond 32 digits.
+    """
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     return stream.groupBy(*by, window.alias("_w")).agg(
         F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.sum(F.col(value).cast("double")).alias("total"),
-    ).select(*by, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "n", "low", "high", "total")
-
-
-def activity_sessions(stream: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """(key, session_start, session_end, events): runs of events no further apart than the gap."""
-    return stream.groupBy(key, F.session_window(ts, gap).alias("_s")).agg(F.count(F.lit(1)).alias("events")).select(
-        key, F.col("_s.start").alias("session_start"), F.col("_s.end").alias("session_end"), "events"
-    )
+        F.try_sum(F.col(value).try_cast(f"decimal({38 - places},{places})")).alias("total"),
+    ).select(
+        *by, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "n", "low", "high",
+        F.col("total").cast("double").alias("total"))
+
+
+class _Sessions(StatefulProcessor):
+    """A board's sessions that the watermark has not passed, in a list."""
+
+    def __init__(self, key: str, gap: int) -> None:
+        self.key, self.gap = key, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", "first bigint, last bigint, n bigint")
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        return [(int(a), int(b), int(n)) for a, b, n in self.runs.get()]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(a), int(b), int(n)) for frame in rows for a, b, n in zip(frame["first"], frame["to"], frame["n"])]
+        runs = _merged_runs(self._held() + new, self.gap)
+        self.runs.put(runs)
+        self.handle.registerTimer((runs[0][1] + self.gap) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        runs = self._held()
+        over = [r for r in runs if (r[1] + self.gap) // 1000 + 1 <= passed]
+        left = runs[len(over):]
+        if over:
+            self.runs.put(left) if left else self.runs.clear()
+            yield pd.DataFrame({
+                self.key: [key[0]] * len(over), "first": [r[0] for r in over], "last": [r[1] for r in over], "n": [r[2] for r in over]})
+        if left:
+            self.handle.registerTimer((left[0][1] + self.gap) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def activity_sessions(spans: DataFrame, key: str, gap_s: int, delay: str = "0 seconds", name: str = "sessions") -> DataFrame:
+    """(key, session_start, session_end, events, open): runs of events no further apart than the gap.
+
+    Sessions that the watermark has passed come from the stream, the others from its state at the end of the input;
+    those that an event after the last one could still join are marked `open`. An event between two sessions makes them
+    one. Works on `activity_spans` no wider than the gap.
+    """
+    spark, gap = spans.sparkSession, gap_s * 1_000_000
+    kind = spans.schema[key].dataType.simpleString()
+    followed = _micros(spans, key, delay).groupBy(key).transformWithStateInPandas(
+        _Sessions(key, gap), f"`{key}` {kind}, first bigint, last bigint, n bigint", "Append", "EventTime")
+    with state_store(spark, ROCKS):
+        ended = append_run(followed, name)
+    closed = spark.read.schema(followed.schema).parquet(ended.path)
+    held = state_table(
+        spark, ended, f"key struct<`{key}`: {kind}>, list_element struct<first: bigint, last: bigint, n: bigint>", "runs").select(
+        F.col(f"key.{key}").alias(key), "list_element.first", "list_element.last", "list_element.n")
+    every = stage(closed.unionByName(held), "sessions-all")
+    return every.select(
+        key, F.timestamp_micros("first").alias("session_start"), F.timestamp_micros(F.col("last") + gap).alias("session_end"),
+        F.col("n").alias("events"), (F.col("last") + gap >= every.agg(F.max("last")).scalar()).alias("open"))
 
 
 def event_dedup(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
