@@ -30,7 +30,7 @@ from fleetlens.llm.shared import Scratch, partitions_of, written
 #: Runs of letters A-Z, a-z and everything that is not ASCII; chunks come lowered already.
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 #: Sums that a task holds before it passes them on, their bytes, and bytes of text that it cuts at once: they only move work.
-HELD, HELD_BYTES, CUT = 600_000, 1 << 26, 1 << 22
+HELD, HELD_BYTES, CUT = 400_000, 1 << 26, 1 << 22
 UNIT = 1_000_000_000
 
 _SUMS = pa.schema([("of", pa.string()), ("chunk", pa.string()), *((c, pa.int64()) for c in ("n", "docs", "lo", "hi"))])
@@ -57,6 +57,12 @@ def _chunk_sums(batch: pa.RecordBatch) -> pa.Table:
         "docs": pa.repeat(pa.scalar(1, pa.int64()), len(held)), "lo": row, "hi": row})
 
 
+def _sent(sums: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Sums in small batches, so that neither side holds many of them twice; freed memory goes back."""
+    yield from sums.to_batches(max_chunksize=10_000)
+    pa.default_memory_pool().release_unused()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunk sums of a task's documents; every group also gives the chunk ''."""
     held: list[pa.Table] = []
@@ -77,10 +83,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = size = len(held[0])
                 weight = held[0].nbytes
                 if size > HELD or weight > HELD_BYTES:
-                    yield from held[0].to_batches()
+                    yield from _sent(held[0])
                     held, first, size, weight = [], 0, 0, 0
     if held:
-        yield from _merged(held).to_batches()
+        yield from _sent(_merged(held))
 
 
 def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
