@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.plans.registry import Tables, query
 from fleetlens.session import fresh_path
 from fleetlens.streaming import jobs
-from fleetlens.streaming.sinks import on_clock, read_stream, run_append, run_update
+from fleetlens.streaming.sinks import counted, kept_and_late, on_clock, read_stream, run_append, run_update, update_run
 
 
 def plain_time(df: DataFrame, *cols: str) -> DataFrame:
@@ -112,6 +112,23 @@ def activity(t: Tables) -> DataFrame:
     return plain_time(jobs.activity_sessions(spans, "user_id", 1800, "10 minutes"), "session_start", "session_end")
 
 
+@query("R4_late_rows", """
+WITH clock AS (SELECT max(ts) - INTERVAL 10 DAY AS mark FROM events WHERE event_id % 3 = 0),
+s AS (SELECT event_id % 3 < 2 OR date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT mark FROM clock) AS taken FROM events)
+SELECT count(*) AS read, count(*) FILTER (WHERE taken) AS kept, count(*) FILTER (WHERE NOT taken) AS late FROM s
+""")
+def late_rows(t: Tables) -> DataFrame:
+    """Events in three files, by their number modulo 3: of the third those are late, and counted, whose windows the
+    watermark of the first had closed when the second was read."""
+    path = fresh_path(t.spark, "three-files")
+    events = t.events.select("event_id", "event_type", "ts", "value")
+    for rest in range(3):
+        events.where(F.col("event_id") % 3 == rest).coalesce(1).write.mode("append").parquet(path)
+    stream = on_clock(counted(read_stream(t.spark, path, 1, events.schema)), "ts", "10 days")
+    rows, ended = update_run(jobs.rate_counts(stream, ["event_type"], "ts", "1 day"), ["event_type", "window_start"], "late")
+    return kept_and_late(rows, ended, "n")
+
+
 @query("R6_event_dedup", "SELECT event_id, user_id, ts, event_type FROM events")
 def dedup(t: Tables) -> DataFrame:
     """Every event sent twice comes out once."""
@@ -121,20 +138,35 @@ def dedup(t: Tables) -> DataFrame:
 
 
 @query("R7_request_result_stream", """
-WITH wm AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 1 DAY AS w),
-j AS (SELECT o.o_orderkey, o.o_orderdate, l.l_linenumber, l.l_shipdate FROM orders o LEFT JOIN lineitem l
-  ON l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY)
-SELECT o_orderkey, o_orderdate, l_linenumber, l_shipdate FROM j
-WHERE l_shipdate IS NOT NULL OR o_orderdate + INTERVAL 30 DAY < (SELECT w FROM wm)
+SELECT o_orderkey, o_orderdate, l_linenumber, l_shipdate FROM orders LEFT JOIN lineitem
+  ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY
 """)
 def request_results(t: Tables) -> DataFrame:
-    """All answers within 30 days, and the unanswered requests that the watermark has given up on."""
+    """All answers within 30 days, and all requests without one."""
     requests = on_clock(read_stream(t.spark, t.path("orders")).select("o_orderkey", "o_orderdate"), "o_orderdate", "1 day")
     results = on_clock(
         read_stream(t.spark, t.path("lineitem")).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate"), "l_shipdate", "1 day"
     )
-    joined = jobs.request_result_stream(requests, results, "o_orderkey", "o_orderdate", "l_shipdate", "30 DAYS")
-    return plain_time(run_append(joined, "answers"), "o_orderdate", "l_shipdate")
+    joined = run_append(jobs.request_result_stream(requests, results, "o_orderkey", "o_orderdate", "l_shipdate", "30 DAYS"), "answers")
+    asked = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
+    return plain_time(jobs.with_open(joined, asked, "o_orderkey", "o_orderdate"), "o_orderdate", "l_shipdate")
+
+
+@query("R7_request_states", """
+WITH clock AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) AS now),
+met AS (
+  SELECT o_orderkey, o_orderdate, min(l_shipdate) AS first_answer, count(l_shipdate) AS answers FROM orders LEFT JOIN lineitem
+    ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY GROUP BY ALL)
+SELECT o_orderkey, o_orderdate, CASE WHEN answers > 0 THEN 'answered' WHEN o_orderdate + INTERVAL 30 DAY < now THEN 'expired' ELSE 'open' END AS state,
+       first_answer, answers
+FROM met, clock
+""")
+def request_states(t: Tables) -> DataFrame:
+    """Every order once, by whether a line answered it within 30 days."""
+    requests = read_stream(t.spark, t.path("orders")).select("o_orderkey", "o_orderdate")
+    results = read_stream(t.spark, t.path("lineitem")).select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    states = jobs.request_states(requests, results, "o_orderkey", "o_orderdate", "l_shipdate", 30 * 86400, "1 day")
+    return plain_time(states, "o_orderdate", "first_answer")
 
 
 @query("R8_rate_alarm", """

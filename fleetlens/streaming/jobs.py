@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, join_same, one_row_per, with_previous
 from fleetlens.functions.values import changed_columns
 from fleetlens.session import stage
-from fleetlens.streaming.sinks import ROCKS, append_run, read_batches, run_append, run_batches, state_store, state_table, write_batch
+from fleetlens.streaming.sinks import ROCKS, append_run, made, read_batches, run_append, run_batches, state_store, state_table, write_batch
 
 
 def desired_changes(
@@ -55,7 +55,7 @@ def desired_changes(
         yield pd.DataFrame(out, columns=[key, "batch", "changes"])
 
     path = run_batches(stream, name, work)
-    ends = spark.readStream.schema(f"`{key}` {key_type}, first string, last string, batch int").parquet(f"{path}/ends")
+    ends = spark.readStream.schema(f"`{key}` {key_type}, first string, last string, batch int").parquet(made(spark, f"{path}/ends"))
     verdicts = run_append(ends.groupBy(key).applyInPandasWithState(
         follow, f"`{key}` {key_type}, batch int, changes boolean", "last string", "append", GroupStateTimeout.NoTimeout), f"{name}-ends")
     rows = read_batches(spark, f"{path}/rows", kept)
@@ -303,7 +303,8 @@ def request_result_stream(
 ) -> DataFrame:
     """Requests with the results that arrive within the bound; a request without one comes once, with NULLs.
 
-    Both streams need watermarks. Unanswered requests come out when no result can reach them any more.
+    Both streams need watermarks. Unanswered requests come out when no result can reach them any more; `with_open` adds
+    those that the end of the input leaves waiting.
     """
     right = results.withColumnRenamed(key, "_result_key")
     near = (
@@ -314,6 +315,98 @@ def request_result_stream(
     return requests.join(right, near, "leftOuter").drop("_result_key")
 
 
+def with_open(joined: DataFrame, requests: DataFrame, key: str, asked: str) -> DataFrame:
+    """The output table of `request_result_stream`, and each request that is not in it, with NULLs.
+
+    A request without key or time meets no result and no watermark, so it is one of these.
+    """
+    waiting = join_same(requests, joined.select(key, asked), [key, asked], "left_anti")
+    return joined.unionByName(waiting, allowMissingColumns=True).select(*joined.columns)
+
+
+def request_states(
+    requests: DataFrame, results: DataFrame, key: str, asked: str, answered: str, bound_s: int, delay: str = "0 seconds",
+    name: str = "request-states",
+) -> DataFrame:
+    """(key, asked, state, first_answer, answers): each request once, as answered, expired or open.
+
+    A request is answered by results of its key from its own instant up to the bound after it; results may be read
+    before their request. Once the watermark has passed the bound the stream gives the request; those it leaves come
+    from its state at the end of the input, where the clock is the earlier of the last request and the last result: a
+    request without an answer is open until that clock has passed its bound. Results without a request are forgotten
+    when none can come any more. Rows without key or time are left out.
+
+    Both sides are counted per key and instant in every batch before they meet in the keyed state, so copies of a
+    request or result are one entry with a count; of equal requests each is given.
+    """
+    spark, bound = requests.sparkSession, bound_s * 1_000_000
+    kind = requests.schema[key].dataType.simpleString()
+    sides = []
+    for side, stream, ts in (("ask", requests, asked), ("answer", results, answered)):
+        def work(rows: DataFrame, batch: int, path: str, ts: str = ts) -> None:
+            sound = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+            write_batch(sound.groupBy(key, F.col(ts).cast("timestamp").alias("at")).agg(F.count(F.lit(1)).alias("n")), batch, path)
+
+        path = run_batches(stream, f"{name}-{side}", work)
+        sides.append((side, path, spark.readStream.schema(f"`{key}` {kind}, at timestamp, n bigint, batch int").parquet(path)))
+    marked = [
+        rows.withWatermark("at", delay).select(key, F.lit(side == "ask").alias("asks"), "at", F.unix_micros("at").alias("us"), "n")
+        for side, _, rows in sides]
+
+    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asks, answers = {}, {}
+        if state.exists:
+            held = state.get
+            asks, answers = dict(zip(held[0], held[1])), dict(zip(held[2], held[3]))
+        for frame in frames:
+            for is_ask, us, n in zip(frame["asks"], frame["us"], frame["n"]):
+                side = asks if is_ask else answers
+                side[int(us)] = side.get(int(us), 0) + int(n)
+        passed = state.getCurrentWatermarkMs() * 1000
+        over = sorted(a for a in asks if a + bound < passed)
+        if over:
+            out = []
+            for a in over:
+                met = sorted(t for t in answers if a <= t <= a + bound)
+                row = (name[0], a, "answered" if met else "expired", met[0] if met else None, sum(answers[t] for t in met))
+                out += [row] * asks.pop(a)
+            frame = pd.DataFrame(out, columns=[key, "asked_us", "state", "first_us", "answers"])
+            yield frame.astype({"first_us": "Int64"})
+        least = min(asks, default=passed)  # a request of before the watermark cannot come any more
+        answers = {t: n for t, n in answers.items() if t >= min(least, passed)}
+        if not asks and not answers:
+            if state.exists:
+                state.remove()
+            return
+        state.update((list(asks), list(asks.values()), list(answers), list(answers.values())))
+        until = min(asks) + bound if asks else max(answers)
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    held_type = "asked array<bigint>, asked_n array<bigint>, answered array<bigint>, answered_n array<bigint>"
+    out_type = f"`{key}` {kind}, asked_us bigint, state string, first_us bigint, answers bigint"
+    followed = marked[0].union(marked[1]).groupBy(key).applyInPandasWithState(
+        follow, out_type, held_type, "append", GroupStateTimeout.EventTimeTimeout)
+    ended = append_run(followed, name)
+    told = spark.read.schema(followed.schema).parquet(ended.path)
+    held = state_table(spark, ended, f"key struct<`{key}`: {kind}>, value struct<groupState: struct<{held_type}>>")
+    ends = [spark.read.schema("at timestamp").parquet(path).agg(F.max(F.unix_micros("at"))).scalar() for _, path, _ in sides]
+    state = F.col("value.groupState") if "groupState" in held.schema["value"].dataType.names else F.col("value")
+    waiting = held.select(F.col(f"key.{key}").alias(key), state.alias("s")).select(
+        key, F.explode(F.arrays_zip("s.asked", "s.asked_n")).alias("a"), F.arrays_zip("s.answered", "s.answered_n").alias("r"))
+    met = F.filter("r", lambda x: (x["answered"] >= F.col("a.asked")) & (x["answered"] <= F.col("a.asked") + bound))
+    some = F.size(met) > 0
+    # without any result the clock has not moved
+    clock = F.when(ends[0].isNotNull() & ends[1].isNotNull(), F.least(*ends))
+    waiting = waiting.select(
+        key, F.col("a.asked").alias("asked_us"),
+        F.when(some, "answered").when(F.col("a.asked") + bound < clock, "expired").otherwise("open").alias("state"),
+        F.array_min(F.transform(met, lambda x: x["answered"])).alias("first_us"),
+        F.aggregate(met, F.lit(0).cast("bigint"), lambda n, x: n + x["answered_n"]).alias("answers"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("a.asked_n"))).alias("_copy")).drop("_copy")
+    return told.unionByName(waiting).select(
+        key, F.timestamp_micros("asked_us").alias(asked), "state", F.timestamp_micros("first_us").alias("first_answer"), "answers")
+
+
 def rate_counts(stream: DataFrame, by: Sequence[str], ts: str, width: str) -> DataFrame:
     """Events per group and window."""
     return stream.groupBy(*by, F.window(ts, width).alias("_w")).agg(F.count(F.lit(1)).alias("n")).select(

@@ -82,7 +82,7 @@ def _ended(query: StreamingQuery, path: str) -> Ended:
     return Ended(path, path + "-progress", read, late)
 
 
-def _made(spark: SparkSession, path: str) -> str:
+def made(spark: SparkSession, path: str) -> str:
     """The folder, made: a source without rows writes no batch, and its result is an empty table."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
@@ -91,7 +91,7 @@ def _made(spark: SparkSession, path: str) -> str:
 
 def append_run(stream: DataFrame, name: str) -> Ended:
     """Run an append-mode stream over the available data, its output written by the engine."""
-    path = _made(stream.sparkSession, fresh_path(stream.sparkSession, name))
+    path = made(stream.sparkSession, fresh_path(stream.sparkSession, name))
     query = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", path + "-progress").start(path)
@@ -112,7 +112,7 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
 def batches_run(stream: DataFrame, name: str, work: Callable[[DataFrame, int, str], None], mode: str = "append") -> Ended:
     """Run `work(rows, batch_id, path)` on every micro-batch."""
     spark = stream.sparkSession
-    path = _made(spark, fresh_path(spark, name))
+    path = made(spark, fresh_path(spark, name))
     query = (
         stream.writeStream.outputMode(mode).trigger(availableNow=True)
         .option("checkpointLocation", path + "-progress")
@@ -132,7 +132,7 @@ def write_batch(rows: DataFrame, batch: int, path: str) -> None:
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batches written under a folder, with their number as `batch`; none, if there was none."""
-    return spark.read.schema(f"{schema}, batch int").option("basePath", path).parquet(_made(spark, path))
+    return spark.read.schema(f"{schema}, batch int").option("basePath", path).parquet(made(spark, path))
 
 
 def state_table(spark: SparkSession, ended: Ended, schema: str, variable: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from fleetlens.functions.values import is_blank
 from fleetlens.operators.matching import reconcile_plan
 from fleetlens.operators.worker import worker_map, worker_outcomes
 from fleetlens.streaming import jobs
-from fleetlens.streaming.sinks import append_table, on_clock, read_stream, run_append, run_update
+from fleetlens.streaming.sinks import append_run, counted, kept_and_late, on_clock, read_stream, run_append, run_update, update_run
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -76,22 +76,108 @@ def test_windows_over_batches_hold_open_ones_too(spark, events, parts):
     assert rows(got) == rows(want)
 
 
-def test_presence_over_batches(spark, events, parts):
-    timeout = 12 * 3600
-    clock = on_clock(stream(spark, parts).select("user_id", "ts"), "ts", "0 seconds")
-    compacted = jobs.activity_slots(clock, "user_id", "ts", 3600)
-    path = append_table(compacted, "slots")
-    slots = spark.readStream.schema(compacted.schema).parquet(path).withWatermark("slot", "0 seconds")
-    got = run_append(jobs.presence(slots, "user_id", timeout), "presence")
-    closed = events.where(F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR") <= events.agg(F.max("ts")).scalar())
-    w = Window.partitionBy("user_id").orderBy("ts")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    online = closed.select("user_id", F.col("ts").cast("timestamp").alias("at"), gap.alias("gap")).where(
-        F.col("gap").isNull() | (F.col("gap") > timeout * 1_000_000)
-    )
-    assert rows(got.where("state = 'online'"), "user_id", "at") == rows(online, "user_id", "at")
-    counts = got.groupBy("user_id").agg((F.count_if(F.col("state") == "online") - F.count_if(F.col("state") == "offline")).alias("d"))
-    assert {r.d for r in counts.collect()} <= {0, 1}
+def spans_of(spark, source, key="user_id", width=3600):
+    return jobs.activity_spans(source.select(key, "ts"), key, "ts", width)
+
+
+def plain_presence(events, silence, carried=()):
+    """(key, state, at, open) and the last states, from (key, instant) pairs; `carried` are periods of an earlier run."""
+    out, states, by = [], [], {}
+    for key, at in sorted(events):
+        by.setdefault(key, []).append(at)
+    old = {k: (since, last) for k, since, last in carried}
+    end = max([a for _, a in events] + [last for _, last in old.values()], default=None)
+    for key in {*by, *old}:
+        since, last = old.get(key, (None, None))
+        for at in by.get(key, []):
+            if last is not None and at - last <= silence:
+                last = max(at, last)
+                continue
+            if last is not None:
+                out.append((key, "offline", last + silence, False))
+            out.append((key, "online", at, False))
+            since = last = at
+        if last + silence < end:
+            out.append((key, "offline", last + silence, False))
+        else:
+            out = [r for r in out if r[:3] != (key, "online", since)] + [(key, "online", since, True)]
+            states.append((key, since, last))
+    return sorted(out, key=repr), sorted(states, key=repr)
+
+
+def pairs_of(df):
+    return [(r.user_id, r.us) for r in df.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()]
+
+
+def presence_rows(table):
+    return sorted(map(tuple, table.select("user_id", "state", F.unix_micros("at"), "open").collect()), key=repr)
+
+
+def test_presence_over_batches_with_its_open_end(spark, events, parts):
+    got, states = jobs.presence(spans_of(spark, stream(spark, parts)), "user_id", 12 * 3600)
+    want, last = plain_presence(pairs_of(events), 12 * 3600 * 10**6)
+    assert presence_rows(got) == want and any(r[3] for r in want)
+    assert rows(states) == last
+
+
+def test_presence_goes_on_from_last_states(spark, events, tmp_path):
+    silence, carried = 12 * 3600, None
+    cuts = ["2024-01-01", "2024-01-12", "2024-01-20", "2024-02-02"]
+    for low, high in zip(cuts, cuts[1:]):
+        part = events.where((F.col("ts") >= low) & (F.col("ts") < high)).select("user_id", "ts")
+        part.write.parquet(str(tmp_path / low))
+        got, states = jobs.presence(spans_of(spark, read_stream(spark, str(tmp_path / low))), "user_id", silence, last_states=carried)
+        before = [tuple(r) for r in carried.collect()] if carried is not None else []
+        want, last = plain_presence(pairs_of(part), silence * 10**6, before)
+        assert presence_rows(got) == want and rows(states) == last
+        carried = states
+
+
+def test_boards_without_a_name_are_one_board(spark, tmp_path):
+    data = [(None, "2024-01-01 00:00:00"), (None, "2024-01-01 00:30:00"), ("a", "2024-01-01 05:00:00"), ("b", None)]
+    spark.createDataFrame(data, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "in"))
+    got, _ = jobs.presence(spans_of(spark, read_stream(spark, str(tmp_path / "in"))), "user_id", 3600)
+    assert [(k, s, o) for k, s, _, o in presence_rows(got)] == [("a", "online", True), (None, "offline", False), (None, "online", False)]
+
+
+def plain_sessions(events, gap):
+    out, by = [], {}
+    for key, at in sorted(events):
+        runs = by.setdefault(key, [])
+        if runs and at - runs[-1][1] <= gap:
+            runs[-1][1:] = at, runs[-1][2] + 1
+        else:
+            runs.append([at, at, 1])
+    end = max((at for _, at in events), default=0)
+    for key, runs in by.items():
+        out += [(key, first, last + gap, n, last + gap >= end) for first, last, n in runs]
+    return sorted(out, key=repr)
+
+
+def session_rows(table):
+    return sorted(map(tuple, table.select("user_id", F.unix_micros("session_start"), F.unix_micros("session_end"), "events", "open").collect()), key=repr)
+
+
+def test_sessions_over_batches_with_their_open_end(spark, events, parts):
+    got = jobs.activity_sessions(spans_of(spark, stream(spark, parts), width=6 * 3600), "user_id", 6 * 3600, "1 day")
+    want = plain_sessions(pairs_of(events), 6 * 3600 * 10**6)
+    assert session_rows(got) == want and any(r[4] for r in want)
+
+
+def test_an_event_out_of_order_joins_two_sessions(spark, tmp_path):
+    batches = [
+        [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:30:00"), ("b", "2024-01-01 01:00:00")],
+        [("a", "2024-01-01 03:00:00"), ("b", "2024-01-01 01:59:00")],
+        [("a", "2024-01-01 00:50:00")],  # between the first two, within the delay
+        [("a", "2024-01-01 02:10:00")],  # and now to the third
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    got = jobs.activity_sessions(spans_of(spark, read_stream(spark, str(tmp_path / "in"), 1)), "user_id", 3600, "1 day")
+    every = [(k, int(pd.Timestamp(t).timestamp() * 10**6)) for b in batches for k, t in b]
+    assert session_rows(got) == plain_sessions(every, 3600 * 10**6)
+    assert [(r[0], r[3]) for r in session_rows(got)] == [("a", 5), ("b", 2)]
 
 
 def test_repeats_are_dropped_across_batches(spark, events, tmp_path):
@@ -118,6 +204,97 @@ def test_unanswered_requests_come_once_with_nulls(spark, tmp_path):
     assert rows(got) == [("a", "2026-01-05"), ("b", None), ("z", "2026-03-01")]
 
 
+def test_open_requests_are_added(spark, tmp_path):
+    joined = spark.createDataFrame([("a", 1, 5), ("a", 1, 6), ("b", 2, None)], "id string, asked int, at int")
+    asked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4), ("d", None)], "id string, asked int")
+    got = jobs.with_open(joined, asked, "id", "asked")
+    assert rows(got) == sorted([("a", 1, 5), ("a", 1, 6), ("b", 2, None), ("c", 3, None), (None, 4, None), ("d", None, None)], key=repr)
+
+
+@pytest.mark.parametrize("files", [1, 100])
+def test_every_request_is_given_once(spark, tmp_path, files):
+    import random
+
+    r = random.Random(11)
+    day = lambda n: f"2026-01-{1 + n:02d}"
+    asks = [[(f"k{r.randrange(25)}", day(b * 5 + r.randrange(5))) for _ in range(12)] for b in range(5)]
+    answers = [[(f"k{r.randrange(25)}", day(min(28, b * 5 + r.randrange(7)))) for _ in range(15)] for b in range(5)]
+    asks[0] += [asks[0][0], (None, day(0)), ("x", None)]
+    for name, batches in (("asks", asks), ("answers", answers)):
+        for batch in batches:
+            spark.createDataFrame(batch, "id string, t string").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode(
+                "append").parquet(str(tmp_path / name))
+    left, right = (read_stream(spark, str(tmp_path / n), files) for n in ("asks", "answers"))
+    got = jobs.request_states(left.withColumnRenamed("t", "asked"), right.withColumnRenamed("t", "at"), "id", "asked", "at", 3 * 86400, "8 days")
+    number = lambda t: int(t[-2:])
+    sound = [(k, number(t)) for b in asks for k, t in b if k and t]
+    every = [(k, number(t)) for b in answers for k, t in b]
+    clock = min(max(t for _, t in sound), max(t for _, t in every))
+    want = []
+    for k, t in sound:
+        met = sorted(u for j, u in every if j == k and t <= u <= t + 3)
+        want.append((k, t, "answered" if met else "expired" if t + 3 < clock else "open", met[0] if met else None, len(met)))
+    found = got.select("id", F.dayofmonth("asked"), "state", F.dayofmonth("first_answer"), "answers")
+    assert rows(found) == sorted(want, key=repr)
+    assert {"answered", "expired", "open"} == {w[2] for w in want}
+
+
+LATE = [["2024-01-10", "2024-01-20"], ["2024-01-21"], ["2024-01-03", "2024-01-04", "2024-01-19", "2024-01-22"]]
+
+
+@pytest.fixture()
+def late_files(spark, tmp_path):
+    """Three batches of one key; in the third two rows come after the watermark of the first (20 January less two days)."""
+    for n, days in enumerate(LATE):
+        data = [("k", f"{n}-{d}", d, 0.1) for d in days]
+        spark.createDataFrame(data, "k string, id string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "late"))
+    return on_clock(counted(read_stream(spark, str(tmp_path / "late"), 1)), "ts", "2 days")
+
+
+def test_late_rows_of_windows_are_counted(late_files):
+    table, ended = update_run(jobs.telemetry_windows(late_files, ["k"], "ts", "v", "1 day"), ["k", "window_start"], "late-windows")
+    assert tuple(kept_and_late(table, ended, "n").first()) == (7, 5, 2)
+    assert ended.late == 2
+
+
+def test_late_rows_of_alarms_are_counted(late_files):
+    table, ended = update_run(jobs.rate_counts(late_files, ["k"], "ts", "1 day"), ["k", "window_start"], "late-rates")
+    assert jobs.rate_alarm(table, 0).count() == 5
+    assert tuple(kept_and_late(table, ended, "n").first()) == (7, 5, 2)
+
+
+def test_late_rows_of_dedup_are_counted(spark, late_files):
+    deduped = jobs.event_dedup(late_files, ["id"])
+    ended = append_run(deduped, "late-dedup")
+    assert spark.read.schema(deduped.schema).parquet(ended.path).count() == 5 and (ended.read, ended.late) == (7, 2)
+
+
+def test_sums_do_not_depend_on_order(spark, events):
+    many = events.where("user_id < 40").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).withColumn("value", F.col("value") / 7)
+    sums = lambda df: rows(jobs.telemetry_windows(df, ["event_type"], "ts", "value", "1 day"), "event_type", "total")
+    want = sums(many.coalesce(1))
+    for order in ("event_id", "value", "user_id"):
+        assert sums(many.orderBy(order).repartition(5)) == want
+    huge = spark.createDataFrame([("a", 1e300), ("a", 1.0), ("b", None), ("b", 2.0)], "event_type string, value double")
+    assert sums(huge.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_sources_without_rows_give_empty_tables(spark, events, tmp_path):
+    empty = lambda n: (tmp_path / n).mkdir() or read_stream(spark, str(tmp_path / n), schema=events.schema)
+    assert jobs.desired_changes(empty("a"), "user_id", ["ts", "event_id"], ["event_type"]).count() == 0
+    wanted = spark.createDataFrame([(1, "x")], "user_id long, event_type string")
+    assert jobs.drift_stream(empty("b"), wanted, "user_id", ["ts", "event_id"], ["event_type"]).count() == 0
+    clock = on_clock(empty("c"), "ts", "1 day")
+    assert run_update(jobs.rate_counts(clock, ["event_type"], "ts", "1 day"), ["event_type", "window_start"], "none").count() == 0
+    assert run_append(jobs.event_dedup(on_clock(empty("d"), "ts", "1 day"), ["event_id"]), "none").count() == 0
+    got, states = jobs.presence(spans_of(spark, empty("e")), "user_id", 3600)
+    assert got.count() == 0 and states.count() == 0
+    assert jobs.activity_sessions(spans_of(spark, empty("f")), "user_id", 3600).count() == 0
+    asked, answered = empty("g").withColumnRenamed("ts", "asked"), empty("h").withColumnRenamed("ts", "at")
+    assert jobs.request_states(asked, answered, "user_id", "asked", "at", 3600).count() == 0
+
+
 def test_rate_alarm(spark, events, parts):
     counts = run_update(jobs.rate_counts(on_clock(stream(spark, parts), "ts", "1 day"), ["event_type"], "ts", "1 day"), ["event_type", "window_start"], "r")
     daily = events.groupBy("event_type", F.date_trunc("day", "ts").alias("d")).count().where("count > 8")
