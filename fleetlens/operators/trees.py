@@ -23,12 +23,17 @@ def _edges(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return named.where(~is_blank(F.col("parent").cast("string")) & F.col("node").isNotNull())
 
 
-def _doubled(edges: DataFrame, cyclic: bool) -> DataFrame:
-    """(node, ancestor, distance) along every chain; on cycles every ancestor once, at its smallest distance."""
+def _doubled(edges: DataFrame, cyclic: bool) -> DataFrame | None:
+    """(node, ancestor, distance) along every chain; on cycles every ancestor once, at its smallest distance.
+
+    Edges that are not known to be `cyclic` may be: the result is None once a node turns out to be above itself.
+    """
     start = edges.where(F.col("node") != F.col("parent")) if cyclic else edges
     parts = [stage(start.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "closure")]
     step = 1
     while True:
+        if not cyclic and not parts[-1].where("node = ancestor").isEmpty():
+            return None
         pairs = reduce(DataFrame.unionByName, parts)
         far = parts[-1].where(F.col("distance") == step).select("node", F.col("ancestor").alias("_mid"))
         upper = pairs.select(F.col("node").alias("_mid"), "ancestor", F.col("distance").alias("_more"))
@@ -46,11 +51,12 @@ def _doubled(edges: DataFrame, cyclic: bool) -> DataFrame:
 def _ancestor_pairs(nodes: DataFrame, node: str, parent: str) -> tuple[DataFrame, DataFrame]:
     """The pairs of all nodes, and the nodes whose chain ends in a cycle."""
     edges = one_row_per(_edges(nodes, node, parent), ["node"], last=False)
+    pairs = _doubled(edges, cyclic=False)
+    if pairs is not None:  # the usual case: one walk, and it meets no cycle
+        return pairs, edges.select("node").limit(0)
     endless = stage(tree_roots(nodes, node, parent).where(~F.col("resolved")).select("node"), "cycles")
     pairs = _doubled(edges.join(endless, "node", "left_anti"), cyclic=False)
-    if not endless.isEmpty():
-        pairs = pairs.unionByName(_doubled(edges.join(endless, "node", "left_semi"), cyclic=True))
-    return pairs, endless
+    return pairs.unionByName(_doubled(edges.join(endless, "node", "left_semi"), cyclic=True)), endless
 
 
 def site_closure(sites: DataFrame, node: str, parent: str) -> DataFrame:
@@ -83,24 +89,98 @@ def site_paths(sites: DataFrame, node: str, parent: str) -> DataFrame:
     )
 
 
-def effective_site_config(closure: DataFrame, configs: DataFrame) -> DataFrame:
-    """(node, key, value, source, distance): for each config key the nearest ancestor that sets it wins.
+def _pointers(nodes: DataFrame, node: str, parent: str) -> tuple[DataFrame, int]:
+    """(node, at) of every node and named parent, `at` NULL at a top; and how many of them have a parent."""
+    edges = one_row_per(_edges(nodes, node, parent), ["node"], last=False)
+    every = nodes.select(F.col(node).alias("node")).where(F.col("node").isNotNull()).union(edges.select("parent")).distinct()
+    return every.join(edges, "node", "left").select("node", F.col("parent").alias("at")), edges.count()
+
+
+def _ahead(rows: DataFrame) -> DataFrame:
+    """`rows` with the pointer of each row's target as `_next`; pointers that have arrived have none."""
+    target = rows.where("at is not null").select(F.col("node").alias("at"), F.col("at").alias("_next"))
+    return rows.join(target, "at", "left")
 
-    `configs` has (site, key, value), one row per site and key.
+
+def effective_site_config(sites: DataFrame, node: str, parent: str, configs: DataFrame) -> DataFrame:
+    """(node, key, value, source, distance): for each config key the nearest ancestor that sets it wins, the site first.
+
+    `configs` has (site, key, value), one row per site and key; sites that are only named as a parent may set keys too,
+    and sites of no table are left out. After a round of reach d every site knows, of each key, the nearest setter less
+    than d steps above, so it holds at most one row per key and no pairs of sites are made. On a cycle pointers go round
+    once.
     """
-    nearest = closure.join(configs.withColumnRenamed("site", "ancestor"), "ancestor")
-    won = nearest.groupBy("node", "key").agg(F.min_by(F.struct("value", "ancestor", "distance"), "distance").alias("w"))
-    return won.select("node", "key", "w.value", F.col("w.ancestor").alias("source"), "w.distance")
+    rows, n_edges = _pointers(sites, node, parent)
+    pointers = stage(rows, "pointers")
+    own = configs.withColumnRenamed("site", "node").join(pointers.select("node"), "node", "left_semi")
+    won = stage(own.select("node", "key", "value", F.col("node").alias("source"), F.lit(0).alias("distance")), "settings")
+    reach = 1
+    while reach <= 2 * n_edges:
+        above = won.select(
+            F.col("node").alias("at"), "key", "value", "source", (F.col("distance") + reach).alias("distance"))
+        inherited = pointers.where("at is not null").join(above, "at").select(won.columns)
+        both = won.unionByName(inherited).groupBy("node", "key").agg(
+            F.min_by(F.struct("value", "source", "distance"), "distance").alias("w"))
+        won = stage(both.select("node", "key", "w.value", "w.source", "w.distance"), "settings")
+        pointers = stage(_ahead(pointers).select("node", F.col("_next").alias("at")), "pointers")
+        if pointers.where("at is not null").isEmpty():
+            break
+        reach *= 2
+    return won
+
 
+def _subtree_sums(rows: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n) summed over each node and all below it, from (node, at, n); and the pointers that never arrive.
 
-def site_device_count(closure: DataFrame, devices: DataFrame, site: str) -> DataFrame:
-    """Devices of each site itself and of its whole subtree; devices are counted per site before the join."""
+    After a round of reach d a node has the sum over what is less than d steps below, and a pointer d steps up: it adds
+    its sum there. So a round moves one row per node, whatever the depth.
+    """
+    rows = stage(rows, "sums")
+    reach = 1
+    while True:
+        moving = rows.where("at is not null")
+        if reach > 2 * n_edges or moving.isEmpty():
+            return rows.select("node", "n"), moving.select("node", "at")
+        given = moving.groupBy(F.col("at").alias("node")).agg(F.sum("n").alias("_given"))
+        ahead = _ahead(rows.select("node", "at", "n")).select("node", F.col("_next").alias("at"), "n")
+        rows = stage(ahead.join(given, "node", "left").select("node", "at", (F.col("n") + F.coalesce("_given", F.lit(0))).alias("n")), "sums")
+        reach *= 2
+
+
+def site_device_count(sites: DataFrame, node: str, parent: str, devices: DataFrame, site: str) -> DataFrame:
+    """(site, own, subtree): devices of each site itself and of its whole subtree, parents that are only named included.
+
+    Devices are counted per site first; those of no such site are left out. Every site on a cycle has all others of the
+    cycle below it, so it counts what they and their branches hold.
+    """
+    rows, n_edges = _pointers(sites, node, parent)
     counts = devices.groupBy(F.col(site).alias("node")).agg(F.count(F.lit(1)).alias("_n"))
-    held = closure.join(counts, "node", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    return held.groupBy(F.col("ancestor").alias("site")).agg(
-        F.sum(F.when(F.col("distance") == 0, F.col("_n")).otherwise(0)).alias("own"),
-        F.sum("_n").alias("subtree"),
-    )
+    start = stage(rows.join(counts, "node", "left").select("node", "at", F.coalesce("_n", F.lit(0)).alias("n")), "sites")
+    sums, endless = _subtree_sums(start, n_edges)
+    if not endless.isEmpty():
+        sums = _with_cycles(start, endless, n_edges)
+    own = start.select("node", F.col("n").alias("own"))
+    return own.join(sums, "node").select(F.col("node").alias("site"), "own", F.col("n").alias("subtree"))
+
+
+def _with_cycles(start: DataFrame, endless: DataFrame, n_edges: int) -> DataFrame:
+    """Subtree sums where some chains end in a cycle: pointers that went further than there are edges stand on one."""
+    on_cycle = stage(endless.select(F.col("at").alias("node")).distinct(), "cycle-nodes")
+    # cut above the nodes of cycles, they are tops of trees
+    cut = start.join(on_cycle.withColumn("_on", F.lit(True)), "node", "left").select(
+        "node", F.when(F.col("_on").isNull(), F.col("at")).alias("at"), "n")
+    sums, _ = _subtree_sums(cut, n_edges)
+    # the smallest node of a cycle names it
+    rows = stage(on_cycle.join(start, "node").select("node", "at", F.col("node").alias("cycle")), "cycles")
+    reach = 1
+    while reach <= 2 * n_edges:
+        target = rows.select(F.col("node").alias("at"), F.col("at").alias("_next"), F.col("cycle").alias("_other"))
+        rows = stage(rows.join(target, "at").select("node", F.col("_next").alias("at"), F.least("cycle", "_other").alias("cycle")), "cycles")
+        reach *= 2
+    named = rows.select("node", "cycle").join(sums, "node")
+    whole = named.groupBy("cycle").agg(F.sum("n").alias("_all"))
+    around = rows.select("node", "cycle").join(whole, "cycle").select("node", "_all")
+    return sums.join(around, "node", "left").select("node", F.coalesce("_all", "n").alias("n"))
 
 
 def tree_roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:

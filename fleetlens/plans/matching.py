@@ -226,7 +226,7 @@ def config(t: Tables) -> DataFrame:
     zone = t.customer.select(
         site, F.when(F.col("c_mktsegment") == "BUILDING", "timezone").otherwise("zone").alias("key"), F.col("c_nationkey").cast("string").alias("value")
     )
-    return trees.effective_site_config(trees.site_closure(site_tree(t), "site", "parent"), region.unionByName(zone))
+    return trees.effective_site_config(site_tree(t), "site", "parent", region.unionByName(zone))
 
 
 @query("A8_site_device_count", f"""
@@ -235,7 +235,7 @@ SELECT ancestor AS site, CAST(sum(CASE WHEN distance = 0 THEN coalesce(n, 0) ELS
 FROM closure LEFT JOIN n ON node = site GROUP BY ancestor
 """)
 def device_count(t: Tables) -> DataFrame:
-    return trees.site_device_count(trees.site_closure(site_tree(t), "site", "parent"), t.orders, "o_custkey")
+    return trees.site_device_count(site_tree(t), "site", "parent", t.orders, "o_custkey")
 
 
 @query("J10_dangling_refs", "SELECT event_id, user_id, event_type FROM events WHERE user_id NOT IN (SELECT CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey - 1 END FROM supplier)")

@@ -335,14 +335,13 @@ def test_site_chain(spark):
     configs = spark.createDataFrame(
         [("production", "region", "east"), ("production", "timezone", "A"), ("staging", "timezone", "B")], "site string, key string, value string"
     )
-    closure = trees.site_closure(sites, "site", "parent")
-    assert rows(trees.effective_site_config(closure, configs), "node", "key", "value", "source") == [
+    assert rows(trees.effective_site_config(sites, "site", "parent", configs), "node", "key", "value", "source") == [
         ("development", "region", "east", "production"), ("development", "timezone", "B", "staging"),
         ("production", "region", "east", "production"), ("production", "timezone", "A", "production"),
         ("staging", "region", "east", "production"), ("staging", "timezone", "B", "staging"),
     ]
     devices = spark.createDataFrame([("development",), ("development",), ("production",)], "site string")
-    assert rows(trees.site_device_count(closure, devices, "site")) == [("development", 2, 2), ("production", 1, 3), ("staging", 0, 2)]
+    assert rows(trees.site_device_count(sites, "site", "parent", devices, "site")) == [("development", 2, 2), ("production", 1, 3), ("staging", 0, 2)]
 
 
 def test_broken_trees_are_reported(spark):
@@ -372,6 +371,59 @@ def test_closure_against_brute_force(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def plain_tree(parents, configs, devices):
+    """Nearest settings and subtree counts by walking up from every site; a walk ends before it would repeat."""
+    nodes = set(parents) | {p for p in parents.values() if p is not None}
+    settings, below = {}, dict.fromkeys(nodes, 0)
+    for node in nodes:
+        at, seen, distance = node, set(), 0
+        while at is not None and at not in seen:
+            seen.add(at)
+            below[at] += devices.get(node, 0)
+            for key, value in configs.get(at, {}).items():
+                settings.setdefault((node, key), (value, at, distance))
+            at, distance = parents.get(at), distance + 1
+    return settings, {n: (devices.get(n, 0), below[n]) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_settings_and_counts_against_a_walk(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    parents = {i: r.choice([None, *range(i)]) if i else None for i in range(150)}
+    if seed % 2:  # rings of three, of one, and one with branches; a parent that is no site
+        parents |= {0: 1, 1: 2, 2: 0, 10: 10, 20: 40, 40: 20, 60: 999}
+    configs = {i: {k: f"{k}{i}" for k in "abc" if r.random() < 0.1} for i in [*range(150), 999]}
+    devices = {i: r.randrange(4) for i in [*range(150), 999] if r.random() < 0.7}
+    sites = spark.createDataFrame([*parents.items(), (None, 3), (7, parents[7])], "site int, parent int")
+    rules = spark.createDataFrame([(i, k, v) for i, c in configs.items() for k, v in c.items()] + [(5000, "a", "x")], "site int, key string, value string")
+    held = spark.createDataFrame([(i,) for i, n in devices.items() for _ in range(n)] + [(5000,), (None,)], "at int")
+    settings, counts = plain_tree(parents, configs, devices)
+    found = trees.effective_site_config(sites, "site", "parent", rules)
+    assert rows(found, "node", "key", "value", "source", "distance") == sorted([(n, k, *v) for (n, k), v in settings.items()], key=repr)
+    assert rows(trees.site_device_count(sites, "site", "parent", held, "at")) == sorted([(n, *c) for n, c in counts.items()], key=repr)
+
+
+def test_a_chain_of_a_hundred_thousand_sites(spark, monkeypatch):
+    n, most, plain = 100_000, [0], trees.stage
+
+    def measured(df, name):
+        out = plain(df, name)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(trees, "stage", measured)
+    chain = spark.range(n).select(F.col("id").alias("site"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    counts = trees.site_device_count(chain, "site", "parent", spark.range(n).withColumnRenamed("id", "at"), "at")
+    assert counts.where(F.col("subtree") != n - F.col("site")).count() == 0 and counts.count() == n
+    rules = spark.createDataFrame([(0, "zone", "a"), (50_000, "zone", "b"), (10, "rate", "c")], "site long, key string, value string")
+    found = trees.effective_site_config(chain, "site", "parent", rules).groupBy("key", "value", "source").agg(
+        F.count("*").alias("n"), F.max("distance").alias("far"))
+    assert rows(found) == [("rate", "c", 10, 99_990, 99_989), ("zone", "a", 0, 50_000, 49_999), ("zone", "b", 50_000, 50_000, 49_999)]
+    assert most[0] <= 2 * n  # a row per site, or per site and key
+
+
 def test_deep_chains_are_whole(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(80)], "site int, parent int")
     counts = {r.node: r["count"] for r in trees.site_closure(chain, "site", "parent").groupBy("node").count().collect()}
