@@ -112,17 +112,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     for at in order.tolist():
         size = int(lengths[at])
         # a sequence of gap g becomes one of gap g - size: the sum changes by 2 * (count[g - size] - count[g] + 1)
-        # (gap 0 is closed and not counted; a new sequence is one of gap `capacity` that was not counted before)
-        gain = np.full(capacity + 1 - size, 2, "i8")
-        gain += 2 * count[:capacity + 1 - size] - 2 * count[size:]
+        # (gap 0 is closed and not counted); a new sequence is opened only where no open one has room
+        gain = 2 * count[:capacity + 1 - size] - 2 * count[size:] + 2
         gain[0] = 1 - 2 * count[size]
-        if size < capacity:
-            fresh = 2 * count[capacity - size] + 1
-        else:
-            fresh = 0
         gain[count[size:] == 0] = np.iinfo("i8").max
         best = int(np.argmin(gain))
-        if gain[best] <= fresh or (gain[best] < np.iinfo("i8").max and best == 0):
+        if gain[best] < np.iinfo("i8").max:
             gap = best + size
             place = open_at[gap].pop()
             count[gap] -= 1
