@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, with_running_counts
-from fleetlens.functions.names import reference_repo, reference_tag, url_host, url_scheme
+from fleetlens.functions.names import age_seconds, reference_repo, reference_tag, url_host, url_scheme
 from fleetlens.functions.values import parsed_rows
 from fleetlens.operators.ranking import first_per_key
 from fleetlens.session import stage
@@ -24,6 +24,7 @@ BOARDS_TOTAL = "Board totali: ([0-9]+)"
 BOARDS_ONLINE = "Board online: ([0-9]+)"
 SETTINGS_COMPILED = "compilati: ([0-9]+)"
 POLL = "\\[([0-9]+)/([0-9]+)\\] Ready: ([A-Za-z]+), Synced: ([A-Za-z]+)"
+AGE = "\\s{2,}((?:[0-9]+[dhms])+)(?:\\s{2,}|\\s*$)"
 DEFAULT_ENDPOINT = "http://keystone.default.svc.cluster.local:5000/v3"
 IMAGE_LINE = "image:\\s*(\\S+)"
 FROM_LINE = "(?m)^FROM\\s+(\\S+)"
@@ -73,7 +74,8 @@ def step_outcomes(
 
 
 def run_summary(lines: DataFrame) -> DataFrame:
-    """Per run: steps started and finished, boards total and online, settings compiled, suite completed."""
+    """Per run: steps started and finished, boards total and online, settings compiled, suite completed, and of the rows
+    of resource listings, which carry an age, how many and the oldest in seconds."""
     def reported(pattern: str) -> Column:
         return F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")).try_cast("int")
 
@@ -85,11 +87,13 @@ def run_summary(lines: DataFrame) -> DataFrame:
         reported(BOARDS_ONLINE).alias("boards_online"),
         reported(SETTINGS_COMPILED).alias("compiled"),
         F.col("line").rlike(SUITE_DONE).alias("completed"),
+        age_seconds(F.regexp_extract("line", AGE, 1)).alias("age_s"),
     )
     return read.groupBy("run_id").agg(
         F.count_if("started").alias("started"), F.count_if("finished").alias("finished"),
         F.max("boards_total").alias("boards_total"), F.max("boards_online").alias("boards_online"),
         F.max("compiled").alias("compiled"), F.bool_or("completed").alias("completed"),
+        F.count("age_s").alias("listed"), F.max("age_s").alias("oldest_s"),
     )
 
 

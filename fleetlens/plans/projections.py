@@ -58,6 +58,23 @@ def manifest_scan(t: Tables) -> DataFrame:
     return sites.select("name", "spec.uuid", F.col("spec.parentSite").alias("parent"))
 
 
+@query("S1_list_scan", """
+SELECT 'o-' || o_orderkey AS name, o_orderpriority AS code, o_orderstatus AS status FROM orders
+""")
+def list_scan(t: Tables) -> DataFrame:
+    """One pretty-printed list of all orders, written as one file and scanned back by its splits."""
+    item = F.struct(
+        F.lit("Device").alias("kind"), F.struct(F.concat(F.lit("o-"), "o_orderkey").alias("name")).alias("metadata"),
+        F.struct(F.struct(F.col("o_orderpriority").alias("code"), F.col("o_orderstatus").alias("status")).alias("forProvider")).alias("spec"))
+    edges = t.spark.createDataFrame([
+        (0, '{"kind": "List", "metadata": {"items": [{"kind": "Device"}], "note": "} ]"}, "items": [{"kind": "Note", "spec": [{}]}'),
+        (2, '], "more": [{"kind": "Device"}]}')], "at int, value string")
+    rows = t.orders.select(F.lit(1).alias("at"), F.concat(F.lit(","), F.to_json(item, {"pretty": "true"})).alias("value"))
+    path = fresh_path(t.spark, "list")
+    rows.unionByName(edges).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    return resource_scan(t.spark, path, "Device", "list").select("name", "spec.code", "spec.status")
+
+
 @query("S1_pod_scan", """
 SELECT 'ns-' || o_custkey AS namespace, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) AS total FROM orders GROUP BY 1
 """)

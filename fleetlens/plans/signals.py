@@ -44,11 +44,15 @@ SELECT run_id, count(*) FILTER (WHERE line LIKE '[INFO] === %') AS started, coun
        max(CAST(nullif(regexp_extract(line, 'Board totali: ([0-9]+)', 1), '') AS INTEGER)) AS boards_total,
        max(CAST(nullif(regexp_extract(line, 'Board online: ([0-9]+)', 1), '') AS INTEGER)) AS boards_online,
        max(CAST(nullif(regexp_extract(line, 'compilati: ([0-9]+)', 1), '') AS INTEGER)) AS compiled,
-       bool_or(line LIKE '[OK] Suite%') AS completed
+       bool_or(line LIKE '[OK] Suite%') AS completed, count(*) FILTER (WHERE line LIKE '  Board totali%') AS listed,
+       max(CASE WHEN line LIKE '  Board totali%' THEN 60 * (line_no // 60 % 60) + line_no % 60 END) AS oldest_s
 FROM lines GROUP BY run_id
 """)
 def summary(t: Tables) -> DataFrame:
-    return logs.run_summary(run_lines(t))
+    """Runs in which the lines that count boards also name an age."""
+    age = F.concat(F.lit("   "), F.floor(F.col("line_no") / 60) % 60, F.lit("m"), F.col("line_no") % 60, F.lit("s"))
+    listing = F.col("line").startswith("  Board totali")
+    return logs.run_summary(run_lines(t).withColumn("line", F.when(listing, F.concat("line", age)).otherwise(F.col("line"))))
 
 
 @query("T4_poll_attempts", f"""

@@ -12,29 +12,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.session import stage
+from fleetlens.sources.lists import SPLITS_TO_SEND, list_items
 from fleetlens.sources.schemas import CONDITION, PLAIN_SPEC_FIELDS, REGISTRY, TOP_FIELDS, resource_schema
 
 EXTERNAL_NAME = "crossplane.io/external-name"
 
 
-def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per document, and per item of a list; one row with the error for a document that is no resource."""
+def _yaml_loader() -> type:
+    """The safe loader, to which dates are text: no value of a manifest is refused for being no date."""
     import yaml
 
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        pass
+
+    Loader.yaml_implicit_resolvers = {
+        sign: [(tag, pattern) for tag, pattern in found if tag != "tag:yaml.org,2002:timestamp"]
+        for sign, found in Loader.yaml_implicit_resolvers.items()}
+    return Loader
+
+
+def _documents(text: str, kind: type) -> Iterator[tuple[object, Exception | None]]:
+    """The documents of a text; one that cannot be read is its error, and what cannot be parsed ends the text."""
+    loader = None
+    try:
+        loader = kind(text)
+        while loader.check_node():
+            node = loader.get_node()
+            try:
+                yield loader.construct_document(node), None
+            except Exception as error:  # any value may refuse its own type
+                yield None, error
+    except Exception as error:
+        yield None, error
+    finally:
+        if loader is not None:
+            loader.dispose()
+
+
+def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per document, and per item of a list; one row with the error for a document that is no resource."""
+    kind = _yaml_loader()
     for frame in frames:
         rows: list[tuple[str | None, str | None, str]] = []
         for text, file in zip(frame["value"], frame["file"]):
-            try:
-                for doc in yaml.load_all(text, Loader=loader):
-                    items = doc.get("items") if isinstance(doc, dict) else None
-                    for one in items if isinstance(items, list) else [doc]:
-                        if isinstance(one, dict):
+            for doc, error in _documents(text, kind):
+                if error is not None:
+                    rows.append((None, f"{type(error).__name__}: {error} in: {text[:200]}", file))
+                    continue
+                items = doc.get("items") if isinstance(doc, dict) else None
+                for one in items if isinstance(items, list) else [doc]:
+                    if isinstance(one, dict):
+                        try:
                             rows.append((json.dumps(one, default=str), None, file))
-                        elif one is not None:
-                            rows.append((None, f"no resource: {str(one)[:200]}", file))
-            except yaml.YAMLError as error:
-                rows.append((None, str(error), file))
+                        except Exception as wrong:  # keys that are no text, or nested beyond all measure
+                            rows.append((None, f"{type(wrong).__name__}: {wrong} in: {text[:200]}", file))
+                    elif one is not None:
+                        rows.append((None, f"no resource: {str(one)[:200]}", file))
         yield pd.DataFrame(rows, columns=["body", "error", "file"], dtype="object")
 
 
@@ -76,7 +109,8 @@ def resource_scan(spark: SparkSession, path: str, kind: str, fmt: str = "json")
 
     json: list exports or single documents, any layout, one file per task.
     jsonl: one document or list per line; files split between tasks.
-    yaml: manifests, lists included; files split between tasks at the document separator.
+    list: large list exports, any layout; files split between tasks at the items, see `list_items`.
+    yaml: manifests, lists included; files split between tasks at the document separator. Dates stay text.
     A core service is the kind v1/Service; Service alone is the device service.
     """
     doc = resource_schema(kind)
@@ -85,6 +119,11 @@ def resource_scan(spark: SparkSession, path: str, kind: str, fmt: str = "json")
         bodies = texts.mapInPandas(_yaml_to_json, "body string, error string, file string")
         return _typed(bodies.select(F.from_json("body", T._parse_datatype_string(doc)).alias("doc"), "error", "file"), kind)
     top = T._parse_datatype_string(doc)
+    if fmt == "list":
+        whole = T.StructType([*top.fields, T.StructField("_corrupt_record", T.StringType())])
+        read = list_items(spark, path).select(F.from_json("body", whole).alias("doc"), "file")
+        bad_item = F.when(F.col("doc._corrupt_record").isNotNull(), F.concat(F.lit("no JSON: "), F.substring("doc._corrupt_record", 1, 200)))
+        return _typed(read.select("doc", bad_item.alias("error"), "file"), kind)
     bad = T.StructField("_corrupt_record", T.StringType())
     schema = T.StructType([*top.fields, T.StructField("items", T.ArrayType(top)), bad])
     raw = spark.read.schema(schema).option("multiLine", fmt == "json").json(path)
@@ -128,20 +167,18 @@ def api_capture_scan(df: DataFrame, body: str, item: str, envelope: str | None =
     return df.select(*kept, F.explode_outer(items).alias("_item")).select(*kept, "_item.*")
 
 
-# So many splits of files may be sent to every task; of more, the table is joined like any other.
-SPLITS_TO_SEND = 200_000
-
-
 def log_scan(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, line_no, line) from a folder of run logs, without reading a whole file into one row.
 
-    A run is named by its file's path below the folder. Files are read in splits. A line's number is its place inside
+    A run is named by its file's path below the folder, without the encoding that file addresses have. Files are read in splits. A line's number is its place inside
     its split plus the lines of the earlier splits of the same file, which a table with one row per split tells; so no
     line is shuffled, and even one very long log is numbered in parallel.
     """
     root = re.sub("^[a-z0-9]+:(//[^/]*)?", "", path.rstrip("/")) + "/"
-    below = F.locate(root, F.col("_metadata.file_path"))
-    run = F.when(below > 0, F.substr("_metadata.file_path", below + len(root))).otherwise(F.col("_metadata.file_name"))
+    # a plus sign stands for itself in a path, in a form's value it would be a blank
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.locate(root, file)
+    run = F.when(below > 0, F.substr(file, below + len(root))).otherwise(F.substring_index(file, "/", -1))
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.regexp_replace(run, "\\.log$", "").alias("run_id"),
         F.col("_metadata.file_path").alias("_file"),

@@ -1,12 +1,15 @@
 """Readers and writers on small files."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions.values import condition_status
 from fleetlens.operators.projections import nested_extract, resource_summary
 from fleetlens.operators.quality import BOARD_RULES, SERVICE_RULES, conformance
+from fleetlens.sources.lists import list_items
 from fleetlens.sources.scans import api_capture_scan, log_scan, registry_scan, resource_scan
 from fleetlens.sources.sinks import report_sink
 
@@ -76,6 +79,72 @@ def test_manifests_split_between_documents(spark, tmp_path):
     assert broken == {("type", "enum"), ("name", "required")}
 
 
+def test_values_that_no_type_takes_cost_one_row(spark, tmp_path):
+    good = "kind: Site\nmetadata:\n  name: %s\nspec:\n  forProvider:\n    name: %s\n"
+    docs = [
+        good % ("a", "2024-13-45"), good % ("b", "2024-02-03"), "kind: Site\n? [1, 2]\n: x\n", "kind: Site\nmetadata: {name: c, [1]: 2}\n",
+        "kind: [", good % ("d", "!!timestamp 2024-13-45"), "kind: Site\nspec: " + "[" * 3000 + "]" * 3000 + "\n", good % ("e", "!!python/object:os.system x"),
+        good % ("f", "!!set {x, y}"), good % ("z", "end")]
+    (tmp_path / "m.yaml").write_text("\n---\n".join(docs))
+    (tmp_path / "windows.yaml").write_bytes(("\r\n---\r\n".join([good % ("w1", "2024-13-45"), good % ("w2", "!!timestamp x"), good % ("w3", "c")])).encode())
+    found = resource_scan(spark, str(tmp_path), "Site", "yaml").collect()
+    read = {r.name: r.spec.name for r in found if r.error is None}
+    assert {n: read[n] for n in ("a", "b", "z", "w1", "w3")} == {"a": "2024-13-45", "b": "2024-02-03", "z": "end", "w1": "2024-13-45", "w3": "c"}
+    bad = [r for r in found if r.error is not None]
+    assert len(bad) >= 6 and all(r.file.endswith(".yaml") and r.name is None for r in bad)
+    assert any("kind: [" in r.error for r in bad) and any("2024-13-45" in r.error for r in bad)
+
+
+def nested(r, depth=0):
+    if depth > 3 or r.random() < 0.4:
+        return r.choice(["x", "}", '{"a":[', "\\", '\\"', '"items":[{', "é}", "a\nb\t", 5, None, True, 1.5, ""])
+    if r.random() < 0.5:
+        return {r.choice(["a", "items", "b}", 'q"']): nested(r, depth + 1) for _ in range(r.randint(0, 3))}
+    return [nested(r, depth + 1) for _ in range(r.randint(0, 3))]
+
+
+@pytest.mark.parametrize("split", ["300", "134217728"])
+def test_list_items_over_many_splits(spark, tmp_path, split):
+    r = random.Random(5)
+    want = []
+    for f in range(5):
+        items = [{"n": f * 1000 + i, "v": nested(r), "w": nested(r)} for i in (range(0), range(1), range(40))[f % 3]]
+        if f == 3:
+            items.append({"n": 9999, "big": [{"x": "}" * 50, "y": {"z": i}} for i in range(100)]})
+        doc = {
+            "kind": "List", "metadata": {"items": [{"no": 1}], "b": {"c": {"d": 1}}}, "other": [{"n": -1}], "items": items,
+            "more": {"items": [{"n": -3}]}, "last": [[{"n": -4}]]}
+        if f == 4:
+            doc = {"kind": "x", "metadata": {"items": [{"n": 1}]}}
+        else:
+            want += items
+        (tmp_path / f"f {f}.json").write_text(json.dumps(doc, indent=(None, 2)[f % 2], ensure_ascii=f < 2) + "\n" * (f % 2))
+    for name, value in (("maxPartitionBytes", split), ("openCostInBytes", "0")):
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        got = [json.loads(x.body) for x in list_items(spark, str(tmp_path)).collect()]
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    key = lambda x: json.dumps(x, sort_keys=True)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_a_list_item_that_is_no_resource_is_an_error(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"items": [' + json.dumps(device("a", code="A"), indent=1) + ', {"kind": "Device", "metadata": nonsense}, 5, "x"]}')
+    found = resource_scan(spark, str(tmp_path), "Device", "list").collect()
+    assert sorted((r.name or "", r.error is not None) for r in found) == [("", True), ("a", False)]
+
+
+def test_runs_below_paths_with_blanks_and_signs(spark, tmp_path):
+    for folder in ("a b", "c+d", "e%20f", "ü"):
+        (tmp_path / "all runs" / folder).mkdir(parents=True)
+        (tmp_path / "all runs" / folder / "run 1.log").write_text("x\ny\n")
+    found = log_scan(spark, str(tmp_path / "all runs"))
+    assert {(r.run_id, r.n) for r in found.groupBy("run_id").agg(F.max("line_no").alias("n")).collect()} == {
+        (f"{d}/run 1", 2) for d in ("a b", "c+d", "e%20f", "ü")}
+
+
 def test_service_protocol_case_matters(spark):
     df = spark.createDataFrame([("s", 80, "tcp"), ("t", 0, "UDP"), ("u", 65535, "TCP")], "name string, port int, protocol string")
     got = {(r.name, r.column, r.rule) for r in conformance(df.withColumn("key", F.col("name")), ["name"], SERVICE_RULES).collect()}
