@@ -2,7 +2,7 @@
 
 Picking one row per key is an aggregate, so it is reduced before the shuffle. Looking at earlier rows of a key
 needs order. `hot_keys` counts rows per key first. Without a hot key that is a plain window. Otherwise the rows of
-the hot keys, and only these, are cut into slices of about equally many rows along the order column: the window runs inside (key, slice), and one
+the hot keys, and only these, are cut into slices of about equally many rows along the whole order: the window runs inside (key, slice), and one
 summary row per (hot key, slice) carries values across the cuts. The rows are shuffled once either way.
 """
 
@@ -20,6 +20,8 @@ from fleetlens.session import stage
 
 # Above this many rows a key is cut. That only moves work between tasks: the result is the same for any value.
 SPLIT_ROWS = 2_000_000
+# Places that are looked at for every slice of a hot key; more make slices more even.
+SAMPLED = 64
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -46,46 +48,42 @@ def day_bucket(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
-def _place(df: DataFrame, order: str) -> Column:
-    """The order column as a number."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(order).cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(order)
-    if not isinstance(kind, T.NumericType):
-        raise ValueError(f"keys can only be cut along a number, date or timestamp, and {order} is {kind.simpleString()}")
-    return F.col(order)
+def _at(order: Sequence[str]) -> Column:
+    """The place of a row within its key: all order columns, so that rows of one instant are told apart by their tie."""
+    return F.struct(*order)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: int = SPLIT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], split: int = SPLIT_ROWS) -> DataFrame | None:
     """(keys, _cuts): the keys with more than `split` rows and the places where they are cut, or None without any.
 
-    Reads the key and order columns with partial counts, and once more for the quantiles of the hot keys, so that a
-    burst is cut as finely as its rows ask. In all there are at most rows / split cuts.
+    Reads the key and order columns with partial counts, and once more for a sample of the places of the hot keys, some
+    `SAMPLED` of every `split` rows, picked by a hash. Every so-many-th place of the sample is a cut, so a burst is cut
+    as finely as its rows ask, even one at a single instant, along the rest of the order. In all there are at most
+    rows / split cuts.
     """
-    at = _place(df, order)
+    keys, order = list(keys), list(order)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = stage(counts.where(F.col("_n") > split), "hot")
-    most = hot.agg(F.max("_n")).first()[0]
-    if most is None:
+    if hot.isEmpty():
         return None
-    slices = -(-most // split)
-    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    of_hot = join_same(df.select(*keys, at.alias("_at")), hot, keys)
-    cuts = of_hot.groupBy(*keys).agg(
-        F.max("_n").alias("_n"), F.percentile_approx("_at", shares, max(10_000, 20 * slices)).alias("_q"))
-    wanted = F.ceil(F.col("_n") / split).cast("int")
-    some = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get(F.col("_q"), F.floor(i * slices / wanted).cast("int") - 1))
-    return stage(cuts.select(*keys, F.array_distinct(F.coalesce(some, F.array())).alias("_cuts")), "cuts")
-
-
-def _cut(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> tuple[DataFrame, list[str]]:
+    some = join_same(df.select(*keys, *order), hot, keys)
+    if SAMPLED < split:
+        some = some.where(F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 40)) < int(SAMPLED / split * (1 << 40)))
+    sample = some.select(*keys, "_n", _at(order).alias("_at"))
+    ranked = sample.withColumns({
+        "_rank": F.row_number().over(Window.partitionBy(*keys).orderBy("_at")), "_all": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    slices = F.ceil(F.col("_n") / split)
+    step = lambda rank: F.floor(rank * slices / F.col("_all"))
+    cuts = ranked.where((step(F.col("_rank")) > step(F.col("_rank") - 1)) & (F.col("_rank") < F.col("_all")))
+    return stage(cuts.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_cuts")), "cuts")
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> tuple[DataFrame, list[str]]:
     """The rows with their slice (`_cuts` is NULL on keys that are not hot), and the columns to group and join on.
 
     Those columns are never NULL, so rows without a key keep together too, and they are plain values, which sort
-    and hash faster than a struct of the keys. Rows without a place come ahead of every slice, as NULLs do in a sort;
-    rows of one place share a slice. There are at most rows / split cuts, so they are broadcast.
+    and hash faster than a struct of the keys. NULLs in the order come first, as they do in a sort; only rows that are
+    equal in the whole order share a slice. There are at most rows / split cuts, so they are broadcast.
     """
     named: dict[str, Column] = {}
     for i, key in enumerate(keys):
@@ -95,11 +93,19 @@ def _cut(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> tupl
     by = [*named]
     widths = hot.select(*[c.alias(n) for n, c in named.items()], "_cuts")
     parts = df.select("*", *[c.alias(n) for n, c in named.items()]).join(F.broadcast(widths), by, "left")
-    at = _place(df, order)
-    slice_ = F.when(F.col("_cuts").isNull(), 0).when(at.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < at)))
+    at = _at(order)
+    slice_ = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < at)))
     return parts.withColumn("_slice", slice_), by
 
 
+def slice_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], split: int, name: str) -> DataFrame:
+    """Add the number of each row's slice of its key: about `split` rows each, 0 in keys that are not cut."""
+    hot = hot_keys(df, keys, order, split)
+    if hot is None:
+        return df.withColumn(name, F.lit(0))
+    return _cut(df, keys, order, hot)[0].select(*df.columns, F.col("_slice").alias(name))
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], hot: DataFrame | None = None
 ) -> DataFrame:
@@ -109,7 +115,7 @@ def with_previous(
     if hot is None:
         seen = df.withColumn("_previous", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order)))
     else:
-        parts, by = _cut(df, keys, order[0], hot)
+        parts, by = _cut(df, keys, order, hot)
         tails = parts.where(F.col("_cuts").isNotNull()).groupBy(*by, "_slice").agg(
             F.max_by(taken, F.struct(*order)).alias("_tail")
         )
@@ -130,7 +136,7 @@ def with_running_counts(
     if hot is None:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(one).over(upto).alias(n) for n, one in ones.items()])
-    parts, by = _cut(df, keys, order[0], hot)
+    parts, by = _cut(df, keys, order, hot)
     parts = parts.select("*", *[one.alias(f"_one_{n}") for n, one in ones.items()])
     totals = parts.where(F.col("_cuts").isNotNull()).groupBy(*by, "_slice").agg(
         *[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in flags]

@@ -65,7 +65,7 @@ def step_outcomes(
     marks = parsed_rows(_clean(lines), ["run_id", "line_no"], F.coalesce(mark(start, True), mark(done, False)))
     marks = stage(marks, "marks")
     numbered = with_running_counts(
-        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, hot_keys(marks, ["run_id", "title"], "line_no", split)
+        marks, ["run_id", "title"], ["line_no"], {"occurrence": F.col("_is_open")}, hot_keys(marks, ["run_id", "title"], ["line_no"], split)
     )
     return numbered.where(F.col("occurrence") > 0).groupBy("run_id", "title", "occurrence").agg(
         F.min(F.when(F.col("_is_open"), F.col("line_no"))).alias("start_line"),

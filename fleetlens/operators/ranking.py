@@ -73,7 +73,7 @@ def transitions(
     The first row of a key starts its first state and is no transition. Keys above `split` rows are cut by time.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, ts, split)
+    hot = hot_keys(df, keys, [ts, tie], split)
     seen = with_previous(df.select(*keys, ts, tie, state), keys, [ts, tie], {"_was": state, "_before": tie}, hot)
     changes = seen.where(F.col("_before").isNull() | ~F.col(state).eqNullSafe(F.col("_was"))).withColumn(
         "_initial", F.col("_before").isNull()

@@ -71,7 +71,7 @@ def gap_report(
     t: DataFrame, keys: Sequence[str], ts: str, tie: str, interval_s: int, k: float, split: int = SPLIT_ROWS
 ) -> DataFrame:
     """(keys, gap_from, gap_to, gap_seconds) where a key was silent for more than k intervals."""
-    seen = with_previous(t.select(*keys, ts, tie), keys, [ts, tie], {"gap_from": ts}, hot_keys(t, keys, ts, split))
+    seen = with_previous(t.select(*keys, ts, tie), keys, [ts, tie], {"gap_from": ts}, hot_keys(t, keys, [ts, tie], split))
     gap = _micros(ts) - _micros("gap_from")
     return seen.where(gap > F.lit(int(k * interval_s * 1_000_000))).select(
         *keys, "gap_from", F.col(ts).alias("gap_to"), F.floor(gap / 1_000_000).alias("gap_seconds")
@@ -116,7 +116,7 @@ def plugin_runs(
     claim = F.col(reported) if reported else F.lit(None).cast("bigint")
     marked = t.select(*keys, *order, starts.alias("_start"), stops.alias("_stop"), claim.alias("_claim"))
     numbered = with_running_counts(
-        marked, keys, order, {"run_no": F.col("_start"), "_part": F.col("_start") | F.col("_stop")}, hot_keys(t, keys, order[0], split)
+        marked, keys, order, {"run_no": F.col("_start"), "_part": F.col("_start") | F.col("_stop")}, hot_keys(t, keys, order, split)
     ).where(F.col("run_no") > 0)
     # A part runs from one start or stop to the next; the first part of a run is the one its start opened.
     parts = numbered.groupBy(*keys, "run_no", "_part").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import day_bucket
 from fleetlens.operators import logs, telemetry
-from fleetlens.operators.worker import worker_map
+from fleetlens.operators.worker import worker_map, worker_slices
 from fleetlens.plans.bindings import K_SQL, LINES_SQL, reading_k, run_lines
 from fleetlens.plans.registry import Tables, query
 from fleetlens.sources.scans import text_lines
@@ -210,3 +210,34 @@ def worker(t: Tables) -> DataFrame:
     readings = t.events.select("user_id", "ts", "event_id", "value", reading_k().alias("k"))
     out = worker_map(readings, ["user_id"], ["ts", "event_id"], last_and_count, {"limit": 99}, "n bigint, last double", day_bucket("ts"))
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+def running(frames, params, state):
+    """Readings of a call, and the sum of all of the key so far; a total that the parameter divides is an error."""
+    n, total = 0, state.get("total", 0)
+    for frame in frames:
+        n, total = n + len(frame), total + int(frame["k"].sum())
+    state["total"] = total
+    state["calls"] = state.get("calls", 0) + 1
+    yield {"n": [n], "total": [total]}
+    if total % params["bad"] == 0:
+        raise ValueError("bad total")
+
+
+@query("F1_worker_slices", f"""
+WITH RECURSIVE e AS (SELECT user_id, {K_SQL} AS k, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 AS call FROM events),
+s AS (SELECT user_id, call, count(*) AS n, CAST(sum(k) AS BIGINT) AS added FROM e GROUP BY 1, 2),
+-- the total that a call leaves behind: that of a failed call is not kept
+w AS (
+  SELECT user_id, call, n, added AS total, CASE WHEN added % 7 = 0 THEN 0 ELSE added END AS left_ FROM s WHERE call = 0
+  UNION ALL
+  SELECT s.user_id, s.call, s.n, w.left_ + s.added, CASE WHEN (w.left_ + s.added) % 7 = 0 THEN w.left_ ELSE w.left_ + s.added END
+  FROM w JOIN s ON s.user_id = w.user_id AND s.call = w.call + 1)
+SELECT user_id, call, n, total, NULL AS message FROM w
+UNION ALL SELECT user_id, call, NULL, NULL, CASE WHEN total % 7 = 0 THEN 'ERROR: bad total' ELSE 'Completed: ' || n END FROM w
+""")
+def worker_slices_(t: Tables) -> DataFrame:
+    """Calls of five readings, the total handed from each to the next of the same board."""
+    readings = t.events.select("user_id", "ts", "event_id", reading_k().alias("k"))
+    out = worker_slices(readings, ["user_id"], ["ts", "event_id"], running, {"bad": 7}, "n bigint, total bigint", 5, carry=True)
+    return out.drop("slice")

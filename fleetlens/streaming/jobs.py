@@ -37,7 +37,7 @@ def desired_changes(
 
     def work(rows: DataFrame, batch: int, path: str) -> None:
         marked = rows.withColumn("mark", mark)
-        seen = with_previous(marked, [key], order, {"_was": "mark"}, hot_keys(marked, [key], order[0], split))
+        seen = with_previous(marked, [key], order, {"_was": "mark"}, hot_keys(marked, [key], order, split))
         changed = seen.where(F.col("_was").isNull() | (F.col("_was") != F.col("mark")))
         write_batch(changed.withColumn("opens", F.col("_was").isNull()).drop("_was"), batch, f"{path}/rows")
         # the last change of a batch carries its last fingerprint

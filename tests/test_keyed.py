@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.keyed import _cut, hot_keys, one_row_per, with_previous, with_running_counts
+from fleetlens.functions.keyed import _cut, hot_keys, one_row_per, slice_numbers, with_previous, with_running_counts
 from fleetlens.operators.ranking import transitions
 from fleetlens.operators.telemetry import gap_report, plugin_runs
 
@@ -26,10 +26,10 @@ def rows(df):
 
 
 def test_only_hot_keys_are_cut(skewed):
-    assert hot_keys(skewed, ["key"], "ts", 10_000_000) is None
-    hot = hot_keys(skewed, ["key"], "ts", 2000)
+    assert hot_keys(skewed, ["key"], ["ts", "id"], 10_000_000) is None
+    hot = hot_keys(skewed, ["key"], ["ts", "id"], 2000)
     assert [r.key for r in hot.collect()] == ["hot"]
-    parts, by = _cut(skewed, ["key"], "ts", hot_keys(skewed, ["key"], "ts", 200))
+    parts, by = _cut(skewed, ["key"], ["ts", "id"], hot_keys(skewed, ["key"], ["ts", "id"], 200))
     sizes = parts.groupBy(*by, "_slice").count()
     assert sizes.count() > 20
     assert sizes.agg(F.max("count")).first()[0] < 1000
@@ -39,7 +39,7 @@ def test_only_hot_keys_are_cut(skewed):
 def test_previous_equals_plain_lag(skewed, split):
     w = Window.partitionBy("key").orderBy("ts", "id")
     want = skewed.select("*", F.lag("state").over(w).alias("was"), F.lag("ts").over(w).alias("before"))
-    got = with_previous(skewed, ["key"], ["ts", "id"], {"was": "state", "before": "ts"}, hot_keys(skewed, ["key"], "ts", split))
+    got = with_previous(skewed, ["key"], ["ts", "id"], {"was": "state", "before": "ts"}, hot_keys(skewed, ["key"], ["ts", "id"], split))
     assert rows(got) == rows(want)
 
 
@@ -47,7 +47,7 @@ def test_previous_equals_plain_lag(skewed, split):
 def test_running_counts_equal_plain_sums(skewed, split):
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.select("*", F.sum(F.when(F.col("state") == "1", 1).otherwise(0)).over(w).alias("n"))
-    assert rows(with_running_counts(skewed, ["key"], ["ts", "id"], {"n": F.col("state") == "1"}, hot_keys(skewed, ["key"], "ts", split))) == rows(want)
+    assert rows(with_running_counts(skewed, ["key"], ["ts", "id"], {"n": F.col("state") == "1"}, hot_keys(skewed, ["key"], ["ts", "id"], split))) == rows(want)
 
 
 def test_operators_give_the_same_when_cut(skewed):
@@ -62,7 +62,7 @@ def test_operators_give_the_same_when_cut(skewed):
 
 def test_null_state_is_a_value(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 3, "x"), ("a", 4, None)], "key string, n bigint, state string")
-    got = with_previous(df, ["key"], ["n"], {"was": "state", "at": "n"}, hot_keys(df, ["key"], "n", 1))
+    got = with_previous(df, ["key"], ["n"], {"was": "state", "at": "n"}, hot_keys(df, ["key"], ["n"], 1))
     assert rows(got.select("n", "was", "at")) == [(1, None, None), (2, None, 1), (3, None, 2), (4, "x", 3)]
 
 
@@ -76,16 +76,19 @@ def test_one_row_per_keeps_whole_rows(spark):
 def test_rows_without_a_key_keep_together(spark):
     df = spark.createDataFrame([(None, i, i % 2 == 0) for i in range(20)], "key string, n bigint, even boolean")
     for split in (100, 3):
-        got = with_previous(df, ["key"], ["n"], {"was": "n"}, hot_keys(df, ["key"], "n", split))
+        got = with_previous(df, ["key"], ["n"], {"was": "n"}, hot_keys(df, ["key"], ["n"], split))
         assert rows(got.select("n", "was")) == sorted([(i, i - 1 if i else None) for i in range(20)], key=repr)
-        counted = with_running_counts(df, ["key"], ["n"], {"c": F.col("even")}, hot_keys(df, ["key"], "n", split))
+        counted = with_running_counts(df, ["key"], ["n"], {"c": F.col("even")}, hot_keys(df, ["key"], ["n"], split))
         assert sorted(map(tuple, counted.select("n", "c").collect())) == [(i, i // 2 + 1) for i in range(20)]
 
 
-def test_text_cannot_be_cut(spark):
-    df = spark.createDataFrame([("a", "x")], "key string, at string")
-    with pytest.raises(ValueError, match="cut along"):
-        hot_keys(df, ["key"], "at")
+def test_text_places_are_cut(spark):
+    df = spark.range(2000).select(F.lit("a").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("at"), "id")
+    w = Window.partitionBy("key").orderBy("at")
+    hot = hot_keys(df, ["key"], ["at"], 100)
+    assert rows(with_previous(df, ["key"], ["at"], {"was": "id"}, hot)) == rows(df.withColumn("was", F.lag("id").over(w)))
+    sizes = slice_numbers(df, ["key"], ["at"], 100, "part").groupBy("part").count()
+    assert sizes.count() >= 15 and sizes.agg(F.max("count")).first()[0] <= 200
 
 
 def test_null_places_bursts_and_single_instants_give_the_same_when_cut(spark):
@@ -97,9 +100,12 @@ def test_null_places_bursts_and_single_instants_give_the_same_when_cut(spark):
     df = bursty.unionByName(single).unionByName(nameless).persist()
     w = Window.partitionBy("key").orderBy("at", "id")
     want = rows(df.select("*", F.lag("state").over(w).alias("was")))
-    hot = hot_keys(df, ["key"], "at", 200)
+    hot = hot_keys(df, ["key"], ["at", "id"], 200)
     assert {r.key for r in hot.collect()} == {"burst", "one", None}
     assert rows(with_previous(df, ["key"], ["at", "id"], {"was": "state"}, hot)) == want
-    parts, by = _cut(df, ["key"], "at", hot)
+    parts, by = _cut(df, ["key"], ["at", "id"], hot)
     sizes = parts.where("key = 'burst'").groupBy("_slice").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 300
+    assert sizes.agg(F.max("count")).first()[0] <= 400
+    # rows of one instant are cut along their tie
+    of_one = parts.where("key = 'one'").groupBy("_slice").count()
+    assert of_one.count() >= 10 and of_one.agg(F.max("count")).first()[0] <= 400

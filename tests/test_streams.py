@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.keyed import day_bucket
 from fleetlens.functions.values import is_blank
 from fleetlens.operators.matching import reconcile_plan
-from fleetlens.operators.worker import worker_map, worker_outcomes
+from fleetlens.operators.worker import worker_map, worker_outcomes, worker_slices
 from fleetlens.streaming import jobs
 from fleetlens.streaming.sinks import append_run, counted, kept_and_late, on_clock, read_stream, run_append, run_update, update_run
 
@@ -324,3 +324,29 @@ def test_worker_errors_are_results(spark, events):
     outcome = worker_outcomes(out, ["user_id"]).agg(F.sum("completed"), F.sum("failed")).first()
     assert tuple(outcome) == (groups.where(F.col("top") <= limit).count(), groups.where(F.col("top") > limit).count())
     assert out.where(is_blank("message") & F.col("part").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("carry", [False, True])
+def test_calls_are_bounded_by_rows(spark, carry):
+    n = 3000
+    at = F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).cast("long")  # most readings at one instant
+    df = spark.range(n).select(F.when(F.col("id") % 10 < 8, "burst").otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("key"), at.alias("at"), "id")
+
+    def work(frames, params, state=None):
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "before": (state or {}).get("n", 0)})
+            if state is not None:
+                state["n"] = state.get("n", 0) + len(frame)
+
+    out = worker_slices(df, ["key"], ["at", "id"], work, {}, "id bigint, before bigint", 100, carry).persist()
+    assert rows(out.where("message is null"), "key", "id") == rows(df, "key", "id")
+    calls = out.where("message is null").groupBy("key", "slice", "call").agg(
+        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("before").alias("before"))
+    assert calls.agg(F.max("n")).first()[0] <= 100
+    mine = calls.where("key = 'burst'").orderBy("slice", "call").collect()
+    assert len(mine) >= 24 and all(a.high < b.low for a, b in zip(mine, mine[1:]))
+    if carry:
+        assert {r.slice for r in mine} == {0} and [r.before for r in mine] == [100 * i for i in range(24)]
+    else:
+        assert len({r.slice for r in mine}) > 10
+    assert out.where("message like 'Completed%'").count() == calls.count()
