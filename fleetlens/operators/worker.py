@@ -82,7 +82,8 @@ def _called(frames: Iterator[pd.DataFrame], keys: list[str], names: list[str], c
         result.add(key, {}, 1, message)
         if result.full():
             yield result.flush()
-    yield result.flush()
+    if result.columns["message"]:
+        yield result.flush()
 
 
 def _schema(placed: DataFrame, keys: list[str], schema: str) -> tuple[T.StructType, list[str]]:
