@@ -158,9 +158,16 @@ def test_near_copies_leave_one(spark, empty):
     near[50] = "changed"
     far = [w if i % 3 else "other" + str(i) for i, w in enumerate(base)]
     texts = [" ".join(x) for x in (near, base, base, far)] + [prose(9, 300), None, "", prose(9, 300)]
-    docs = table(spark, texts, ids=[5, 2, 3, 1, 4, 8, 7, 4]).withColumn("_key", F.lit("x"))
-    kept = simhash.near_deduplicated(docs.drop("_key")).orderBy("doc_id").collect()
+    names = [
+        "_key", "key", "id", "n", "_n", "drop", "_drop", "own", "_own", "row", "fp", "size", "least", "first", "lead", "cell", "component",
+        "a", "b", "set", "s", "_id", "_text", "asked.by", "hub"]
+    docs = table(spark, texts, ids=[5, 2, 3, 1, 4, 8, 7, 4])
+    clashing = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    kept = simhash.near_deduplicated(clashing)
+    assert kept.columns == clashing.columns
+    kept = kept.orderBy("doc_id").collect()
     assert [r.doc_id for r in kept] == [1, 2, 4, 7]
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in kept for n in names)
     assert simhash.near_deduplicated(empty).count() == 0
 
 
@@ -189,6 +196,50 @@ def test_copies_that_only_their_original_connects_leave_one(spark):
     assert [r.doc_id for r in rest.collect()] == [0]
 
 
+def groups_by_brute_force(texts):
+    """The smallest place in each text's group, of links of 0.8 or more."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_links_of_each_kind_of_edit_are_found(spark):
+    r, kinds, texts = random.Random(5), ["scattered", "cut off", "cut out", "continued", "both"], []
+    for seed in range(150):
+        words, kind = prose(2000 + seed, r.randint(100, 500)).split(" "), kinds[seed % 5]
+        texts.append((kind, " ".join(words)))
+        for _ in range(4):
+            at, n = r.randrange(len(words)), max(1, int(len(words) * r.uniform(0.01, 0.19)))
+            scattered = edited(r.randrange(10**6), words, max(1, int(len(words) * r.uniform(0.002, 0.03))))
+            texts.append((kind, {
+                "scattered": scattered, "cut off": " ".join(words[:-n] if at % 2 else words[n:]), "cut out": " ".join(words[:at] + words[at + n:]),
+                "continued": " ".join(words) + " " + prose(r.randrange(10**6), n), "both": " ".join(scattered.split(" ")[:-max(1, n // 3)])}[kind]))
+    r.shuffle(texts)
+    label = {i: k for i, k in enumerate(groups_by_brute_force([t for _, t in texts]))}
+    kept = {x.doc_id for x in simhash.near_deduplicated(table(spark, [t for _, t in texts])).collect()}
+    assert set(label.values()) <= kept
+    for kind in kinds:
+        own = {i for i, (k, _) in enumerate(texts) if k == kind}
+        links = len(own) - len({label[i] for i in own})
+        assert links > 60 and len(kept & own) <= len({label[i] for i in own}) + 0.01 * links
+
+
+def test_a_group_of_texts_that_are_nearly_alike_enough(spark):
+    """Copies about 0.65 like each other: the last round finds the few links among very many pairs that are none."""
+    r = random.Random(77)
+    original = prose(60, 400).split(" ")
+    texts = [edited(i, original, 17) for i in range(300)]
+    texts += [edited(1000 + i, texts[r.randrange(300)].split(" "), 7) for i in range(60)]
+    label = groups_by_brute_force(texts)
+    kept = {x.doc_id for x in simhash.near_deduplicated(table(spark, texts)).collect()}
+    assert set(label) <= kept and len(kept) <= len(set(label)) + 1 and 280 < len(set(label)) < 320
+
+
 def test_copies_cut_off_or_continued_leave_one(spark):
     texts = []
     for seed in range(40):
