@@ -37,6 +37,8 @@ ANCHOR = 20
 CHUNK, BUCKET, BATCH = 3 << 20, 4 << 20, 1 << 18
 #: Windows of a fragment at most, and transforms that are merged at once.
 RUN, SHARDS = 64, 8
+#: After so many rounds of a merge each time, finished strings are taken out of it.
+EVERY = 8
 NO_ID = 2**63 - 1
 
 
@@ -190,21 +192,26 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray) -> n
     return order
 
 
-def merged_intervals(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, interval) of the rows of several transforms, one transform after the other.
+def merged_intervals(
+    transforms: list[np.ndarray], string: np.ndarray, window: np.ndarray, rounds: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, interval) of rows that may agree with others in their first `rounds` symbols.
 
-    `place` is a row's place in the merged order of all rows by their first `rounds` symbols, `interval` numbers the
-    runs of rows that agree in all of them. Rows of the end symbol 0 stand by transform and string, all apart.
+    Rows are those of the transforms, one transform after the other; `string` is a row's string and `window` tells the
+    rows that are asked for. `interval` numbers the runs of rows that agree. Rows of the end symbol 0 stand by transform
+    and string, all apart. A string whose asked rows are all apart is finished: it is taken out of all transforms, in
+    which the rows of the others stand as before, and further rounds pass over what is left.
     """
     symbols = np.concatenate(transforms)
-    n = len(symbols)
-    ends = int(np.count_nonzero(symbols == 0))
     shard = np.repeat(np.arange(len(transforms), dtype="u1"), [len(t) for t in transforms])
-    end_shards = np.repeat(np.arange(len(transforms), dtype="u1"), [np.count_nonzero(t == 0) for t in transforms])
-    interleave, interval = shard.copy(), np.zeros(n, "i4")
-    place = np.argsort(interleave, kind="stable")
-    before = np.empty(n, symbols.dtype)
-    for _ in range(rounds):
+    rows = np.arange(len(symbols))
+    interleave, interval = shard.copy(), np.zeros(len(symbols), "i4")
+    place = rows
+    for done in range(1, rounds + 1):
+        n = len(symbols)
+        end_shards = shard[symbols == 0]
+        ends = len(end_shards)
+        before = np.empty(n, symbols.dtype)
         before[place] = symbols
         order = np.argsort(before, kind="stable")
         interleave = interleave[order]
@@ -212,13 +219,22 @@ def merged_intervals(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
         first, old = before[order], interval[order]
         parted = np.concatenate(([True], (first[1:] != first[:-1]) | (old[1:] != old[:-1])))
         parted[:ends + 1] = True
-        new = np.cumsum(parted, dtype="i4") - 1
+        interval = np.cumsum(parted, dtype="i4") - 1
         place = np.argsort(interleave, kind="stable")
-        if new[-1] == n - 1:  # every row is apart from its neighbours, and further rounds move none
-            interval = new
-            break
-        interval = new
-    return place, interval
+        if done % EVERY == 0 and done < rounds:
+            apart = parted & np.append(parted[1:], True)
+            open_ = np.zeros(len(window), bool)
+            open_[string[window[rows] & ~apart[place]]] = True
+            kept = open_[string]
+            if not kept.any():
+                return rows[:0], interval[:0]
+            if kept.mean() < 0.9:
+                still = np.empty(n, bool)
+                still[place] = kept
+                interleave, interval = interleave[still], interval[still]
+                symbols, shard, rows, string = symbols[kept], shard[kept], rows[kept], string[kept]
+                place = np.argsort(interleave, kind="stable")
+    return rows, interval[place]
 
 
 def smallest_holders(strings: list[bytes], docs: np.ndarray, source: np.ndarray, length: int) -> list[np.ndarray]:
@@ -236,17 +252,18 @@ def smallest_holders(strings: list[bytes], docs: np.ndarray, source: np.ndarray,
         transforms.append(np.where(begins, 0, text[order - 1]).astype("u1"))
         parts.append(own[string[order]])
         rows_at.append((sizes[string] - left)[order])
-    place, interval = merged_intervals(transforms, length)
-    interval = interval[place]
     string, offset = np.concatenate(parts), np.concatenate(rows_at)
     sizes = np.array([len(s) for s in strings])
     window = offset + length <= sizes[string]
-    string, offset, interval = string[window], offset[window], interval[window]
+    rows, interval = merged_intervals(transforms, string, window, length)
+    asked = window[rows]
+    rows, interval = rows[asked], interval[asked]
+    string, offset = string[rows], offset[rows]
     least = np.full(int(interval.max(initial=0)) + 1, NO_ID)
     np.minimum.at(least, interval, docs[string])
     windows = sizes - length + 1
     starts = np.cumsum(windows) - windows
-    out = np.empty(windows.sum(), "i8")
+    out = np.repeat(docs, windows)
     out[starts[string] + offset] = least[interval]
     return np.split(out, starts[1:])
 

@@ -414,6 +414,33 @@ def test_merged_transforms_order_prefixes():
             assert value == min(i for i, s in enumerate(strings) if string[at:at + 6] in s)
 
 
+@pytest.mark.parametrize("every", [1, 3, 8, 100])
+def test_finished_strings_leave_the_merge(monkeypatch, every):
+    monkeypatch.setattr(suffixes, "EVERY", every)
+    r = random.Random(every)
+    for alphabet, length in ((b"ab", 14), (b"abcdefgh", 11), (b"a", 10)):
+        piece = lambda n: bytes(r.choice(alphabet) for _ in range(n))  # noqa: E731, B023
+        shared = [piece(25) for _ in range(6)]
+        strings = list({piece(r.randint(length, 30)) + r.choice(shared)[r.randint(0, 9):] + piece(r.randint(0, 9)) for _ in range(80)})
+        docs = np.array([r.randrange(1000) for _ in strings])
+        least = suffixes.smallest_holders(strings, docs, np.array([i % 5 for i in range(len(strings))]), length)
+        for string, found in zip(strings, least):
+            assert found.tolist() == [min(d for d, s in zip(docs.tolist(), strings) if string[k:k + length] in s) for k in range(len(string) - length + 1)]
+
+
+def test_one_anchor_in_many_contexts(spark):
+    """A stock phrase of 60 bytes in 10,000 different contexts, every tenth of them once more."""
+    phrase = "All rights reserved, no part of this may be reproduced here."
+    rows = [(i, prose(100_000 + i % 9000, 6) + phrase + prose(200_000 + i % 9000, 6)) for i in range(10_000)]
+    docs = table(spark, [t for _, t in rows])
+    found = {r.doc_id: r for r in suffixes.repeats_removed(docs).collect()}
+    raw = [t.encode() for _, t in rows]
+    assert found[0].n_removed == 0 and all(found[i].n_removed == len(raw[i]) for i in range(9000, 10_000))
+    for i in range(1, 9000, 97):
+        at, n = raw[i].index(phrase.encode()), len(phrase)
+        assert n <= found[i].n_removed < n + 12 and found[i].n_spans == 1 and found[i].n_bytes == len(raw[i]) and at > 0
+
+
 # --- neighbours ------------------------------------------------------------------------------------------------------------
 
 
