@@ -1,17 +1,18 @@
 """Operator 7: substring dedup by sliding spans of sentences.
 
 A text is cut into sentences, long ones also at a word whose own hash says so, so that a passage is cut alike wherever
-it stands. Every run of several consecutive sentences is hashed; the runs of all documents meet by their
-hash, and the sentences of every run but the first of its kind go. A document sends each of its hashes once, a hash
-finds its first document by a partial aggregate, and what goes back to a document is the list of its own repeated
-hashes, so no group is larger than one text.
+it stands. Runs of several consecutive sentences are hashed; the runs of all documents meet by their
+hash, and the sentences of every run but the first of its kind go. Of the runs, the shortest from every sentence on and
+the shortest to every sentence's end are enough: a sentence of a longer repeated run lies in one of these that lies in
+that run, and repeats with it. So the result is that of all runs, for two hashes a sentence. A document sends each of its
+hashes once, a hash finds its first document by a partial aggregate, and what goes back to a document is the list of its
+own repeated hashes, so no group is larger than one text.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,21 @@ class _Cuts(dict):
         return out
 
 
+#: Hashes of runs are polynomials in this odd number, modulo 2 ** 64, over the hashes of their pieces.
+BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, "u8"), np.ones(1, "u8")]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of `BASE` and of its inverse up to n."""
+    if len(_POWERS[0]) <= n:
+        for i, factor in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(2 * n + 1, factor, "u8")
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS[0], _POWERS[1]
+
+
 def pieces(text: str, cuts: _Cuts) -> tuple[list[bytes], list[int]]:
     """The sentences of a text, their words in lower case, and their numbers of words; together they hold all words.
 
@@ -65,29 +81,34 @@ def pieces(text: str, cuts: _Cuts) -> tuple[list[bytes], list[int]]:
     return lines, counts
 
 
-def spans(text: str, cuts: _Cuts) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """The words of each piece, and for each span its first piece, the piece after its last, and its hash.
+def spans(text: str, cuts: _Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each piece, and of each span its first piece, the piece after its last, and its hash.
 
-    A span is the shortest run that ends at a given piece and has `SENTENCES` pieces and `WORDS` words. Equal passages
-    have equal spans, whatever stands around them.
+    Spans are the shortest runs that begin, and the shortest that end, at a given piece and have `SENTENCES` pieces and
+    `WORDS` words. Equal passages have equal spans, whatever stands around them.
     """
     lines, counts = pieces(text, cuts)
-    total = list(accumulate(counts, initial=0))
-    runs, begin = [], 0
-    for end in range(SENTENCES, len(counts) + 1):
-        while end - begin - 1 >= SENTENCES and total[end] - total[begin + 1] >= WORDS:
-            begin += 1
-        if total[end] - total[begin] >= WORDS:
-            runs.append((begin, end))
-    digest = xxhash.xxh64_intdigest
-    return counts, [(a, b, digest(b"\n".join(lines[a:b]))) for a, b in runs]
+    n, sizes = len(lines), np.array(counts, "i8")
+    total = np.concatenate((np.zeros(1, "i8"), np.cumsum(sizes)))
+    at = np.arange(n + 1)
+    begin = np.minimum(at - SENTENCES, np.searchsorted(total, total - WORDS, "right") - 1)
+    end = np.maximum(at + SENTENCES, np.searchsorted(total, total + WORDS, "left"))
+    to, since = begin >= 0, end <= n
+    code = np.unique(np.concatenate((begin[to] * (n + 1) + at[to], at[since] * (n + 1) + end[since])))
+    first, after = code // (n + 1), code % (n + 1)
+    power, inverse = _powers(n)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, lines), "u8", n)
+    sums = np.concatenate((np.zeros(1, "u8"), np.cumsum(own * power[:n], dtype="u8")))
+    h = (sums[after] - sums[first]) * inverse[first]
+    h ^= h >> np.uint64(32)
+    return sizes, first, after, (h + (after - first).astype("u8")) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def without(text: str, everywhere: set[int], later: set[int], cuts: _Cuts) -> tuple[str, int]:
     """The text without the pieces under spans in `everywhere`, and under spans in `later` but their first; words removed."""
-    counts, found = spans(text, cuts)
+    counts, first, after, hashes = spans(text, cuts)
     gone, seen = np.zeros(len(counts), bool), set()
-    for a, b, h in found:
+    for a, b, h in zip(first.tolist(), after.tolist(), hashes.tolist()):  # in the order of their first pieces
         if h in everywhere or (h in later and h in seen):
             gone[a:b] = True
         seen.add(h)
@@ -97,7 +118,7 @@ def without(text: str, everywhere: set[int], later: set[int], cuts: _Cuts) -> tu
     firsts = np.cumsum(counts) - counts
     starts = [words[i] for i in firsts] + [len(text)]
     kept = [text[starts[i]:starts[i + 1]] for i in range(len(counts)) if not gone[i]]
-    return (text[:starts[0]] + "".join(kept)).rstrip(), int(np.array(counts)[gone].sum())
+    return (text[:starts[0]] + "".join(kept)).rstrip(), int(counts[gone].sum())
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,8 +128,7 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 256):
             part, sizes, hashes, again = batch.iloc[at:at + 256], [], [], []
             for text in part["text"]:
-                of = np.array([h for _, _, h in spans(text or "", cuts)[1]], "u8")
-                own, counts = np.unique(of, return_counts=True)
+                own, counts = np.unique(spans(text or "", cuts)[3], return_counts=True)
                 sizes.append(len(own))
                 hashes.append(own)
                 again.append(counts > 1)
@@ -133,7 +153,7 @@ def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The first of equal spans is that of the smallest doc_id (nulls last), and inside a text the leftmost. Rows that are
     equal in id keep what they share with each other, unless a smaller id has it too; so repeated rows stay equal. Null
     texts stay null and texts under `WORDS` words stay as they are; a text of which everything is repeated becomes empty.
-    An empty table stays empty. A column named `n_removed` is replaced.
+    An empty table stays empty. All columns are carried, whatever their names; one named `n_removed` is replaced.
     """
     docs = docs.drop("n_removed")
     key = F.xxhash64(F.col(text))
@@ -146,14 +166,15 @@ def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     later = (F.col("id") != F.col("first")) | (F.col("id").isNull() & F.col("first").isNotNull())
     met = found.join(firsts, "h", "left").withColumn("across", F.coalesce(later, F.lit(False))).where("across or again")
     listed = met.groupBy("id", "key").agg(
-        F.collect_set(F.when(F.col("across"), F.col("h"))).alias("_everywhere"),
-        F.collect_set(F.when(~F.col("across"), F.col("h"))).alias("_later"))
-    told = written(listed.withColumnsRenamed({"id": "_id", "key": "_key"}), "spans")
+        F.collect_set(F.when(F.col("across"), F.col("h"))).alias("everywhere"),
+        F.collect_set(F.when(~F.col("across"), F.col("h"))).alias("later"))
+    told = written(listed.withColumnsRenamed({"id": "told_id", "key": "told_key"}), "spans")
     scratch.clear(docs.sparkSession)
-    # most texts repeat nothing and stay where they are
-    keyed = docs.withColumn("_key_of", key)
-    asked = may_be_in(told, "_key")(F.col("_key_of"))
-    joined = keyed.where(asked).join(told, (F.col(doc_id).eqNullSafe(F.col("_id"))) & (F.col("_key_of") == F.col("_key")), "left")
-    done = joined.withColumn("_done", _cleaned(F.col(text), "_everywhere", "_later"))
-    done = done.select(*[F.col("_done.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_done.n_removed").alias("n_removed"))
-    return keyed.where(~asked).select(*docs.columns, F.lit(0).cast("long").alias("n_removed")).unionByName(done)
+    # most texts repeat nothing and stay where they are; the columns of `docs` are in a struct of their own
+    other = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    keyed = docs.select(F.struct(*other).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"), key.alias("key"))
+    asked = may_be_in(told, "told_key")(F.col("key"))
+    joined = keyed.where(asked).join(told, (F.col("id").eqNullSafe(F.col("told_id"))) & (F.col("key") == F.col("told_key")), "left")
+    done = joined.withColumn("done", _cleaned(F.col("text"), "everywhere", "later")).select("row", "done.text", "done.n_removed")
+    every = keyed.where(~asked).select("row", "text", F.lit(0).cast("long").alias("n_removed")).unionByName(done)
+    return every.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns], "n_removed")

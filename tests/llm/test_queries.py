@@ -6,7 +6,7 @@ import pytest
 from compare import differences, duck
 
 import corpus_pipeline
-from fleetlens.llm import quality, spans
+from fleetlens.llm import quality
 from fleetlens.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,6 +22,12 @@ def test_suffix_query_matches_a_dictionary(spark):
     assert sorted(tuple(r) for r in QUERIES["op4_suffix_array_dedup"](spark, FOLDER).collect()) == sorted(brute.repeats(rows))
 
 
+def test_span_query_matches_all_runs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    found = QUERIES["op7_sentence_spans"](spark, FOLDER).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in found) == sorted(brute.without_repeated_runs(rows))
+
+
 def test_simhash_query_matches_all_pairs(spark):
     found = QUERIES["op5_simhash_near_dedup"](spark, FOLDER).orderBy("doc_id").collect()
     prints = [int(r.fingerprint, 16) for r in found]
@@ -84,15 +90,7 @@ def test_pipeline_stages_follow_each_other(spark):
     left = [r.text for r in after.collect()]
     assert len(set(left)) == len(left) and set(left) <= {r.text for r in before.collect()}
     before, after = kept["repeated spans"]
-    texts = {r.doc_id: r.text for r in before.collect()}
-    first, want, cuts = {}, {}, spans._Cuts()
-    for i in sorted(texts):
-        for _, _, h in spans.spans(texts[i], cuts)[1]:
-            first.setdefault(h, i)
-    for i, text in texts.items():
-        found = [h for _, _, h in spans.spans(text, cuts)[1]]
-        want[i] = spans.without(text, {h for h in found if first[h] != i}, {h for h in found if found.count(h) > 1}, cuts)[0]
-    assert {r.doc_id: r.text for r in after.collect()} == want
+    assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t, _ in brute.without_repeated_runs([(r.doc_id, r.text) for r in before.collect()])}
     before, after = kept["source mix"]
     assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()} and after.count() > 0
     before, after = kept["sequences"]

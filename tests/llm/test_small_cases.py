@@ -254,14 +254,32 @@ def test_copies_cut_off_or_continued_leave_one(spark):
 def test_repeated_passages_go_but_the_first(spark, empty):
     passage = prose(20, 80)
     texts = [prose(21, 120) + " " + passage + " " + prose(22, 120), prose(23, 90) + " " + passage, passage + "\n" + passage, None, "", prose(24, 200)]
+    names = ["_key_of", "_key", "_id", "_done", "_later", "key", "id", "row", "done", "told_id", "told_key", "everywhere", "later", "h", "a.b", "-"]
     docs = table(spark, texts, ids=[1, 2, 3, 4, 5, 6]).withColumn("n_removed", F.lit("x"))
-    rows = {r.doc_id: r for r in spans.span_deduplicated(docs).collect()}
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    cleaned = spans.span_deduplicated(docs)
+    assert cleaned.columns == [c for c in docs.columns if c != "n_removed"] + ["n_removed"]
+    rows = {r.doc_id: r for r in cleaned.collect()}
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in rows.values() for n in names)
     assert rows[1].text == texts[0] and rows[1].n_removed == 0 and rows[6].text == texts[5]
     assert 80 - 20 <= rows[2].n_removed <= 80 and rows[2].text.startswith(prose(23, 90)[:400])
     assert rows[3].n_removed >= 140 and rows[4].text is None and rows[5].text == ""
     assert spans.span_deduplicated(empty).count() == 0
 
 
+def test_spans_match_all_runs(spark):
+    """Documents put together from few sentences of uneven length, so that runs repeat in many ways; some ids repeat."""
+    r = random.Random(12)
+    stock = [prose(i, r.choice((1, 2, 5, 9, 16, 30))) + "." for i in range(14)]
+    texts = ["\n".join(" ".join(r.choice(stock) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 3))) for _ in range(60)]
+    texts += [" ".join(stock), " ".join(stock), None, "  " + stock[5] + "\t" + stock[4] + " \n", prose(3, 400), prose(3, 400)[900:]]
+    ids = [*range(len(texts) - 2), 900, 900]
+    ids[3] = None
+    found = spans.span_deduplicated(table(spark, texts, ids=ids)).collect()
+    want = brute.without_repeated_runs(list(zip(ids, texts)))
+    assert sorted(((x.doc_id, x.text or "", x.n_removed) for x in found), key=repr) == sorted(((i, t or "", n) for i, t, n in want), key=repr)
+
+
 def test_pieces_hold_all_words():
     for text in (prose(30, 300), "a\n\nb. c", "", "x", "word " * 50):
         lines, counts = spans.pieces(text, spans._Cuts())
