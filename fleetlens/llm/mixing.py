@@ -73,23 +73,23 @@ def mixed(
     """
     docs = docs.drop("mix")
     drawn = draw(seed, F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    sized = docs.withColumns({"_size": word_count(F.col(text)), "_drawn": drawn})
-    targets = source_targets(sized.select(F.col(source).alias("source"), F.col("_size").alias("size")), weights, most)
+    # the columns of `docs` are in a struct of their own, so that none meets a name of these
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col(text)).alias("size"), drawn.alias("drawn"),
+        F.coalesce(F.col(source), F.lit("")).alias("key"), F.col(source).isNull().alias("none"), F.col(source).alias("source"))
+    targets = source_targets(keyed.select("source", "size"), weights, most)
     # A source may hold a third of all rows: documents stand on the side of a join that adaptive execution may split,
     # and where the sources are few Spark broadcasts their table by its written size.
-    per = targets.select(F.coalesce(F.col("source"), F.lit("")).alias("_key"), F.col("source").isNull().alias("_none"),
-                         F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    keyed = sized.withColumns({"_key": F.coalesce(F.col(source), F.lit("")), "_none": F.col(source).isNull()})
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    joined = keyed.join(per, ["_key", "_none"], "left").withColumn("_rate", rate)
-    copies = F.floor("_rate") + F.when(F.col("_drawn") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.select(*docs.columns, F.struct(
-        F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        copies.cast("long").alias("copies"),
-    ).alias("mix"))
+    per = targets.select(F.coalesce(F.col("source"), F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    joined = keyed.drop("source").join(per, ["key", "none"], "left").withColumn("rate", rate)
+    copies = F.floor("rate") + F.when(F.col("drawn") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    mix = F.struct("size", "source_size", "target", copies.cast("long").alias("copies"))
+    return joined.select(*[F.col(f"row.`{c}`") for c in docs.columns], mix.alias("mix"))
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, in the columns of `docs`."""
-    rows = mixed(docs, **how)
-    return rows.where("mix.copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, mix.copies)"))).drop("_copy", "mix")
+    kept = [c for c in docs.columns if c != "mix"]
+    rows = mixed(docs, **how).where("mix.copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "mix")
+    return rows.select("row", F.explode(F.expr("sequence(1L, mix.copies)"))).select(*[F.col(f"row.`{c}`") for c in kept])

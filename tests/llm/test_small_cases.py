@@ -65,8 +65,11 @@ def test_quality_keeps_clean_and_clashing_columns(spark, empty):
 
 def test_mixing_fills_targets_and_repeats(spark, empty):
     texts = ["w " * n for n in (10, 20, 30, 500, 40)] + ["", None]
-    docs = table(spark, texts, sources=["a", "a", "b", "c", None, "d", None]).withColumn("mix", F.lit(0)).withColumn("_rate", F.lit(9))
+    docs = table(spark, texts, sources=["a", "a", "b", "c", None, "d", None]).withColumn("mix", F.lit(0))
+    names = ["_size", "_drawn", "_key", "_none", "_rate", "_target", "_source_size", "_copy", "size", "drawn", "key", "none", "row", "rate", "target", "source_size", "col", "a.b"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
     rows = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in [*rows.values(), *mixing.emitted(docs).collect()] for n in names)
     per = {r.source: r.target for r in mixing.source_targets(
         docs.select("source", (F.size(F.split(F.coalesce("text", F.lit("")), " ")) - 1).alias("size"))).collect()}
     # weights a 1, b 2, c 3, d 1, null 2; a, b, d and null stand at three times their sizes, c takes the rest
