@@ -3,7 +3,8 @@
 The standard library's parser streams start tags, end tags and text; block elements cut the page into lines, and each
 line has a ratio of its characters to its tags. The ratios are smoothed by a Gaussian along the page and clustered in
 two; the lines of the high cluster show where the content is. The region is the deepest element that holds most of
-their text, and all of its lines that no menu, advert, form, notice or comment element encloses are the article.
+their text; lines inside `article` or `main` weigh more, and a region inside one grows to its borders. All lines of the
+region that no menu, advert, form, notice or comment element encloses are the article.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql.pandas.functions import pandas_udf
 SIGMA = 1.5
 #: The region is the deepest element with this share of the text of content lines.
 SHARE = 0.8
-#: A line of two or more links is a menu if this share of its text is inside links.
+#: An article element is the region with this share already, and its lines count so many times.
+ARTICLE_SHARE, ARTICLE_WEIGHT = 0.5, 2
+#: A line of two or more links is a menu if this share of its text is inside links, outside of articles.
 LINKS = 0.8
 
 #: Elements of HTML by their role here.
@@ -42,6 +45,7 @@ MARKS = frozenset(
 #: Of those, the ones that count on an element that is itself an article.
 ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments related recommended teaser".split())
 ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _NAME = re.compile(r"[^a-z0-9]+")
 _OPEN_END = re.compile(r"<[a-zA-Z/!?][^<>]*$")
@@ -79,8 +83,10 @@ class _Lines(HTMLParser):
             self.links += 1
         words: set[str] = set()
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
+            if name in ("class", "role") and value and tag not in HEADINGS:
                 words.update(_NAME.split(value.lower()))
+            elif name == "id" and value and tag not in HEADINGS and not any(n in ARTICLES for n, _, _ in self.stack):
+                words.add(value.strip().lower())  # an id of several words is the name of a section
         if tag in ("html", "body"):
             drop = False
         elif tag in ARTICLES:
@@ -152,34 +158,35 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    inside = [any(parser.names[n] in ARTICLES for n in path) for *_, path in lines]
-    if any(inside):
-        lines = [line for line, keep in zip(lines, inside) if keep]
-    content = _high_cluster(_smoothed(np.array([len(t) / tags for t, tags, *_ in lines])))
+    names = parser.names
+    article = [next((n for n in reversed(path) if names[n] in ARTICLES), None) for *_, path in lines]
+    weight = [1 if n is None else ARTICLE_WEIGHT for n in article]
+    content = _high_cluster(_smoothed(np.array([w * len(t) / tags for (t, tags, *_), w in zip(lines, weight)])))
     held: dict[int, int] = {}
     total = 0
-    for (text, _, _, _, path), high in zip(lines, content):
+    for (text, _, _, _, path), high, w in zip(lines, content, weight):
         if high:
-            total += len(text)
+            total += w * len(text)
             for n in path:
-                held[n] = held.get(n, 0) + len(text)
-    names = parser.names
-    region = max((n for n, size in held.items() if size >= SHARE * total and names[n] != "p" and names[n] not in INLINE), default=None)
+                held[n] = held.get(n, 0) + w * len(text)
+    region = max((
+        n for n, size in held.items()
+        if names[n] != "p" and names[n] not in INLINE and size >= (ARTICLE_SHARE if names[n] in ARTICLES else SHARE) * total), default=None)
+    around = next((n for (*_, path), n in zip(lines, article) if region in path and n is not None), None)
     first, last = 0, len(lines)
-    if any(inside):
-        # an article is taken whole: the innermost one around the region, or all if none holds that much
-        path = next((path for *_, path in lines if region in path), ())
-        around = [n for n in path if n <= (region or 0) and names[n] in ARTICLES]
-        region = around[-1] if around else None
+    if around is not None and around <= region:
+        # the clusters have found the article; it is taken whole, the outermost of several in each other
+        path = next(path for *_, path in lines if region in path)
+        region = next(n for n in path if names[n] in ARTICLES)
     elif region is None or names[region] in ("html", "body"):
         # nothing but the page itself holds the content: from its first dense line, with the heading, to its last
         high = np.flatnonzero(content)
         first, last = int(high[0]), int(high[-1]) + 1
-        while first and any(re.fullmatch("h[1-6]", names[n]) for n in lines[first - 1][4]):
+        while first and any(names[n] in HEADINGS for n in lines[first - 1][4]):
             first -= 1
     return " ".join(
-        text for text, _, linked, links, path in lines[first:last]
-        if (region is None or region in path) and not (links > 1 and linked >= LINKS * len(text)))
+        text for (text, _, linked, links, path), n in zip(lines[first:last], article[first:last])
+        if (region is None or region in path) and (n is not None or not (links > 1 and linked >= LINKS * len(text))))
 
 
 @pandas_udf(T.StringType())

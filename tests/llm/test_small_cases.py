@@ -174,6 +174,66 @@ def test_near_copies_leave_one(spark, empty):
     assert simhash.near_deduplicated(empty).count() == 0
 
 
+# --- main text of pages ------------------------------------------------------------------------------------------------
+
+
+def paragraphs(seed, n, words=40):
+    return [prose(seed * 100 + i, words) for i in range(n)]
+
+
+def page(body, head="<title>t</title>"):
+    return f"<!DOCTYPE html><html><head>{head}</head><body>{body}</body></html>"
+
+
+MENU = "<div><ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(12)) + "</ul></div>"
+
+
+def test_region_of_a_page_without_an_article():
+    text = paragraphs(1, 5)
+    block = "<h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in text)
+    want = " ".join(["Head", *text])
+    small = "".join(f"<div><a href='#'>x{i}</a> <span>more</span></div>" for i in range(15))
+    assert html_text.main_text(page(f"{MENU}<div class='story'>{block}</div><div>{small}</div>")) == want
+    assert html_text.main_text(page(f"{MENU}{block}<table><tr><td>a</td><td>b</td></tr></table>{small}")) == want
+
+
+def test_clusters_decide_where_the_article_is(monkeypatch):
+    text = paragraphs(2, 6)
+    teaser = "<article><h2>Read</h2></article>"
+    html = page(f"{MENU}{teaser}<div class='body'>" + "".join(f"<p>{t}</p>" for t in text) + "</div>" + MENU)
+    assert html_text.main_text(html) == " ".join(text)
+    found = {}
+    for name, cluster in (("all", lambda v: np.ones(len(v), bool)), ("first", lambda v: np.arange(len(v)) == 0)):
+        monkeypatch.setattr(html_text, "_high_cluster", cluster)
+        found[name] = html_text.main_text(html)
+    assert found["first"] != " ".join(text)
+    # among dense blocks of a page, menus that no tag or class tells apart are left out by their ratios alone
+    monkeypatch.undo()
+    plain = page(MENU + "".join(f"<p>{t}</p>" for t in text) + MENU)
+    assert html_text.main_text(plain) == " ".join(text)
+    monkeypatch.setattr(html_text, "_high_cluster", lambda v: np.arange(len(v)) == 0)
+    assert html_text.main_text(plain) != " ".join(text)
+
+
+def test_sections_of_an_article_stay():
+    text = paragraphs(3, 4)
+    body = (
+        f"<h1 id='side-effects'>One</h1><p>{text[0]}</p><section id='related-work'><h2 class='toc-title'>Two</h2><p>{text[1]}</p></section>"
+        f"<div id='comments'><p>{text[2]}</p></div><ul><li><a href='a'>First</a> and <a href='b'>second</a></li><li><a href='c'>x</a><a href='d'>y</a></li></ul>"
+        f"<div class='ad-box'><p>{prose(999, 30)}</p></div><aside>no</aside><p>{text[3]}</p>")
+    want = f"One {text[0]} Two {text[1]} {text[2]} First and second xy {text[3]}"
+    around = f"<nav>{MENU}</nav><div id='sidebar'><p>{prose(998, 60)}</p></div>"
+    assert html_text.main_text(page(f"{around}<article>{body}</article><footer>f</footer>")) == want
+    inner = f"<main><div class='col'><article>{body}</article></div></main>"
+    assert html_text.main_text(page(around + inner)) == want
+
+
+def test_a_short_article_among_unmarked_text():
+    text = paragraphs(4, 2, 25)
+    html = page(f"<div><span>Site</span><span>Sign in</span></div><article><h1>T</h1>{''.join(f'<p>{t}</p>' for t in text)}</article><div><p>Some words of a foot.</p></div>")
+    assert html_text.main_text(html) == "T " + " ".join(text)
+
+
 # --- spans -----------------------------------------------------------------------------------------------------------------
 
 
