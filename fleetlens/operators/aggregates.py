@@ -42,7 +42,8 @@ def least_loaded(nodes: DataFrame, functions: DataFrame, by: Sequence[str] = (),
 
 def pick_one(nodes: DataFrame, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """One of the tied nodes per group, chosen by a seeded hash so that a rerun chooses the same."""
-    return nodes.groupBy(*by).agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(seed)), "node")).alias("node"))
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col("node").cast("string")).cast("binary"))
+    return nodes.groupBy(*by).agg(F.min_by("node", F.struct(draw, "node")).alias("node"))
 
 
 def probe_status(http_status: str = "http_status", error: str = "error") -> Column:

@@ -58,6 +58,23 @@ def manifest_scan(t: Tables) -> DataFrame:
     return sites.select("name", "spec.uuid", F.col("spec.parentSite").alias("parent"))
 
 
+@query("S1_json_scan", """
+SELECT 'n-' || n_nationkey AS name, n_name AS code, count(*) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL
+""")
+def json_scan(t: Tables) -> DataFrame:
+    """List exports of a nation's suppliers as devices, a file for every hundred numbers."""
+    device = F.struct(
+        F.lit("Device").alias("kind"), F.struct(F.concat(F.lit("n-"), "n_nationkey").alias("name")).alias("metadata"),
+        F.struct(F.struct(F.col("n_name").alias("code")).alias("forProvider")).alias("spec"))
+    held = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(
+        "n_nationkey", F.floor(F.col("s_suppkey") / 100).alias("part")).agg(F.collect_list(device).alias("items"))
+    path = fresh_path(t.spark, "json")
+    text = F.to_json(F.struct("items"), {"pretty": "true"}).alias("value")
+    held.select("n_nationkey", "part", text).repartition("n_nationkey", "part").write.partitionBy("n_nationkey", "part").text(path)
+    found = resource_scan(t.spark, f"{path}/*/*", "Device").where("error is null").select("name", "spec.code")
+    return found.groupBy("name", "code").agg(F.count(F.lit(1)).alias("suppliers"))
+
+
 @query("S1_list_scan", """
 SELECT 'o-' || o_orderkey AS name, o_orderpriority AS code, o_orderstatus AS status FROM orders
 """)
@@ -290,11 +307,35 @@ FROM part p LEFT JOIN best b USING (p_partkey)
 """
 
 
-@query("P9_sparse_patch", PATCH_SQL)
-def patch(t: Tables) -> DataFrame:
+def patches(t: Tables) -> DataFrame:
     brand = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "Recalled").otherwise("")
-    patches = t.lineitem.select(
+    return t.lineitem.select(
         F.col("l_partkey").alias("p_partkey"), brand.alias("p_brand"), F.round(F.col("l_discount") * 100).cast("int").alias("p_size"),
         "l_orderkey", "l_linenumber",
     )
-    return op.sparse_patch(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), patches, ["p_partkey"], order=["l_orderkey", "l_linenumber"])
+
+
+@query("P9_sparse_patch", PATCH_SQL)
+def patch(t: Tables) -> DataFrame:
+    return op.sparse_patch(
+        t.part.select("p_partkey", "p_name", "p_brand", "p_size"), patches(t), ["p_partkey"], order=["l_orderkey", "l_linenumber"])
+
+
+@query("P9_explicit_null", """
+WITH patches AS (
+  SELECT l_partkey AS p_partkey, CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'Recalled' ELSE '' END AS p_brand,
+         CASE WHEN l_linestatus = 'F' THEN CAST(round(l_discount * 100) AS INTEGER) END AS p_size, l_orderkey, l_linenumber FROM lineitem),
+best AS (
+  SELECT p_partkey, arg_max(p_brand, (l_orderkey, l_linenumber, p_brand)) AS p_brand,
+         arg_max(p_size, (l_orderkey, l_linenumber, p_size)) FILTER (WHERE p_size IS NOT NULL) AS p_size FROM patches GROUP BY 1)
+SELECT p.p_partkey, p.p_name, coalesce(b.p_brand, p.p_brand) AS p_brand, coalesce(b.p_size, p.p_size) AS p_size
+FROM part p LEFT JOIN best b USING (p_partkey)
+""")
+def patch_with_zeros(t: Tables) -> DataFrame:
+    """The same patches where empty texts and zeros are values, and only NULL is not set."""
+    size = F.when(F.col("l_linestatus") == "F", F.round(F.col("l_discount") * 100).cast("int")).alias("p_size")
+    given = t.lineitem.select(
+        F.col("l_partkey").alias("p_partkey"), F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "Recalled").otherwise("").alias("p_brand"),
+        size, "l_orderkey", "l_linenumber")
+    return op.sparse_patch(
+        t.part.select("p_partkey", "p_name", "p_brand", "p_size"), given, ["p_partkey"], explicit_null=True, order=["l_orderkey", "l_linenumber"])

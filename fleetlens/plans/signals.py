@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.keyed import day_bucket
 from fleetlens.operators import logs, telemetry
-from fleetlens.operators.worker import worker_map, worker_slices
+from fleetlens.operators.worker import worker_map, worker_outcomes, worker_slices
 from fleetlens.plans.bindings import K_SQL, LINES_SQL, reading_k, run_lines
 from fleetlens.plans.registry import Tables, query
 from fleetlens.sources.scans import text_lines
@@ -212,6 +212,17 @@ def worker(t: Tables) -> DataFrame:
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+@query("F1_worker_outcomes", f"""
+WITH e AS (SELECT user_id, date_trunc('day', ts) AS bucket, {K_SQL} AS k FROM events), g AS (SELECT user_id, bucket, max(k) AS top FROM e GROUP BY 1, 2)
+SELECT user_id, count(*) FILTER (WHERE top < 99) AS completed, count(*) FILTER (WHERE top >= 99) AS failed FROM g GROUP BY 1
+""")
+def worker_outcomes_(t: Tables) -> DataFrame:
+    """Calls of the worker that ended and that failed, per board."""
+    readings = t.events.select("user_id", "ts", "event_id", "value", reading_k().alias("k"))
+    out = worker_map(readings, ["user_id"], ["ts", "event_id"], last_and_count, {"limit": 99}, "n bigint, last double", day_bucket("ts"))
+    return worker_outcomes(out, ["user_id"])
+
+
 def running(frames, params, state):
     """Readings of a call, and the sum of all of the key so far; a total that the parameter divides is an error."""
     n, total = 0, state.get("total", 0)

@@ -34,6 +34,10 @@ SELECT o.c_custkey, CASE WHEN w.tier IS NULL THEN 'delete' WHEN w.tier <> o.tier
 FROM obs o LEFT JOIN want w USING (c_custkey)
 """)
 def drift(t: Tables) -> DataFrame:
+    return drift_plan(t)[0].drop("batch")
+
+
+def drift_plan(t: Tables) -> tuple[DataFrame, DataFrame]:
     observed = read_stream(t.spark, t.path("orders")).select(
         F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", F.when(F.col("o_totalprice") > 250000, "gold").otherwise("base").alias("tier")
     )
@@ -41,7 +45,17 @@ def drift(t: Tables) -> DataFrame:
     desired = t.customer.select(
         key.alias("c_custkey"), F.when(F.col("c_acctbal") > 5000, "gold").otherwise("base").alias("tier")
     )
-    return jobs.drift_stream(observed, desired, "c_custkey", ["o_orderdate", "o_orderkey"], ["tier"]).drop("batch")
+    return jobs.drift_stream(observed, desired, "c_custkey", ["o_orderdate", "o_orderkey"], ["tier"]), desired
+
+
+@query("R2_never_observed", """
+WITH want AS (SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN -c_custkey ELSE c_custkey END AS c_custkey FROM customer)
+SELECT c_custkey, 'create' AS action FROM want WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+""")
+def never_observed(t: Tables) -> DataFrame:
+    """Wanted customers that no batch of orders has seen."""
+    plan, desired = drift_plan(t)
+    return jobs.never_observed(plan, desired, "c_custkey")
 
 
 @query("R3_presence", """

@@ -37,10 +37,14 @@ def actives(t: Tables) -> DataFrame:
     return op.duplicate_actives(agents(t), ["site"])
 
 
-@query("A4_least_loaded", """
+LOADS_SQL = """
 WITH loads AS (
   SELECT s_nationkey AS site, s_suppkey AS node, count(l_suppkey) AS functions
   FROM supplier LEFT JOIN lineitem ON CASE WHEN l_returnflag = 'R' THEN l_suppkey ELSE -l_suppkey END = s_suppkey WHERE s_acctbal > 0 GROUP BY 1, 2)
+"""
+
+
+@query("A4_least_loaded", LOADS_SQL + """
 SELECT site, node, functions FROM loads QUALIFY rank() OVER (PARTITION BY site ORDER BY functions) = 1
 """)
 def least_loaded(t: Tables) -> DataFrame:
@@ -49,6 +53,17 @@ def least_loaded(t: Tables) -> DataFrame:
     return op.least_loaded(nodes, functions, ["site"], "up")
 
 
+@query("A4_pick_one", LOADS_SQL + """
+SELECT site, arg_min(node, (md5('7|' || node), node)) AS node
+FROM (SELECT * FROM loads QUALIFY rank() OVER (PARTITION BY site ORDER BY functions) = 1) GROUP BY site
+""")
+def pick_one(t: Tables) -> DataFrame:
+    """One of the least loaded nodes of every site."""
+    nodes = t.supplier.select(F.col("s_nationkey").alias("site"), F.col("s_suppkey").alias("node"), (F.col("s_acctbal") > 0).alias("up"))
+    functions = t.lineitem.select(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).otherwise(-F.col("l_suppkey")).alias("node"))
+    return op.pick_one(op.least_loaded(nodes, functions, ["site"], "up"), ["site"], seed=7)
+
+
 @query("A5_node_health", """
 SELECT l_suppkey AS node, count(*) AS probes, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS healthy,
        count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'F') AS unhealthy, count(*) FILTER (WHERE l_returnflag = 'R') AS unreachable,
