@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.shared import FILTER_BITS, WORD, Scratch, written
 
-#: The lexicon takes the best so many terms, and the fit about so many labelled texts, drawn by a hash of the text.
-TERMS, FITTED = 5_000, 50_000
+#: So many labelled texts at most are learned from, and so many of them the weights are fitted on, drawn by a hash of the
+#: text. This bounds the lexicon, whose terms need several surroundings in these, and the words held against it.
+LEARNED, FITTED = 200_000, 50_000
 #: One fold of so many of the labelled texts is kept from the lexicon to fit the weights of hits on.
 FOLDS = 3
 #: What a term needs: log odds, and different words before it in toxic texts; a stem also needs different words with it.
@@ -47,14 +48,37 @@ ADDRESS = frozenset("you your you're youre u ur yourself du dich dir dein deine
 _LETTERS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
-def letters_of(word: str) -> str:
-    """A word's first run of letters and digits, in lower case; empty without any."""
-    m = _LETTERS.search(word)
-    return m.group().lower() if m else ""
+#: The most errors that a term allows, so the most signs that can stand for letters.
+MOST_ERRORS = 2
+_PART = re.compile(r"[^\W_]+|[\W_]+")
+
+
+def runs_of(text: str | None) -> list[str]:
+    """All runs of letters and digits, in lower case."""
+    return _LETTERS.findall((text or "").lower())
+
+
+def masked_in(word: str) -> list[str]:
+    """Readings of a word in which signs stand for letters: id!ot, *diot. Every sign is an error, so few can."""
+    if word.isalnum():
+        return []
+    parts, out = _PART.findall(word.lower()), []
+    for first in range(len(parts)):
+        lead = "" if parts[first][0].isalnum() else parts[first][-1]
+        start = first + bool(lead)
+        signs, reading = len(lead), lead
+        for part in parts[start:start + 2 * MOST_ERRORS + 1]:
+            signs += 0 if part[0].isalnum() else len(part)
+            if signs > MOST_ERRORS:
+                break
+            reading += part
+            if signs and part[0].isalnum():
+                out.append(reading)
+    return out
 
 
 def allowed(term: str) -> int:
-    return 2 if len(term) >= TWO_ERRORS else 1 if len(term) >= ONE_ERROR else 0
+    return MOST_ERRORS if len(term) >= TWO_ERRORS else 1 if len(term) >= ONE_ERROR else 0
 
 
 WHOLE, BEGINNING, MISSPELLED = range(3)
@@ -124,7 +148,8 @@ class Automaton:
             if node and errors < self.most[node]:  # a letter too many
                 nodes[node] = min(nodes.get(node, 99), errors + 1)
             for c, child in self.children[node].items():
-                cost = errors + (c != letter) * (1 if node else 99)
+                # a first letter may be hidden by a sign or a number, not by another letter
+                cost = errors + (c != letter) * (1 if node or not letter.isalpha() else 99)
                 if cost <= self.most[child] or cost == 0:
                     nodes[child] = min(nodes.get(child, 99), cost)
         self.steps[state][letter] = to = self._state(nodes)
@@ -149,6 +174,14 @@ class Automaton:
         return self.ends[state][0], MISSPELLED
 
 
+def best_hit(word: str, automaton: Automaton) -> tuple[float, int] | None:
+    """The hit of a blank-separated word: of its runs of letters, or else of its masked readings, the best kind first."""
+    hits = [h for h in map(automaton.hit, runs_of(word)) if h is not None]
+    if not hits:
+        hits = [(h[0], MISSPELLED) for h in map(automaton.hit, masked_in(word)) if h is not None]
+    return min(hits, key=lambda h: (h[1], -h[0])) if hits else None
+
+
 def features(text: str | None, automaton: Automaton, clean: set[str], hits: dict[str, tuple[float, int]]) -> list[float]:
     """Summed weights of hits by kind, each scaled by its window. `clean` and `hits` remember words."""
     words = WORD.findall(text or "")
@@ -158,7 +191,7 @@ def features(text: str | None, automaton: Automaton, clean: set[str], hits: dict
         if word not in clean:
             found = hits.get(word)
             if found is None:
-                found = automaton.hit(letters_of(word))
+                found = best_hit(word, automaton)
                 if found is not None:
                     hits[word] = found
                 elif len(clean) < REMEMBERED:
@@ -175,7 +208,7 @@ def features(text: str | None, automaton: Automaton, clean: set[str], hits: dict
 def _context(words: list[str], at: int, quotes: int) -> float:
     before, after = words[max(0, at - WINDOW):at], words[at + 1:at + 1 + WINDOW]
     marks = lambda some: any(q in w for w in some for q in QUOTES)
-    near = {letters_of(w) for w in before + after}
+    near = {run for w in before + after for run in runs_of(w)}
     quoted = (quotes % 2 == 1 or words[at][0] in QUOTES) and marks([words[at], *after]) or (
         marks(before) and marks([words[at], *after]) and bool(near & REPORTS))
     if quoted:
@@ -200,7 +233,7 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         table: dict[str, list[int]] = {}
         for text in batch["text"]:
-            words = [w for w in map(letters_of, WORD.findall(text or ""))]
+            words = runs_of(text)
             own: set[str] = set()
             for at, word in enumerate(words):
                 if len(word) < 3:
@@ -219,7 +252,7 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(words, stems) with their log odds, from rows of (text, toxic); at most `TERMS`, the best first.
+    """(words, stems) with their log odds, from rows of (text, toxic), of which there are `LEARNED` at most.
 
     Toxic texts tell which words and stems have surroundings enough; the other texts are counted for all of these, which
     a filter of 2 MB tells to the tasks, and the two tables of counts meet on Spark.
@@ -246,7 +279,7 @@ def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
                 for word in set(WORD.findall(text or "")):
                     keys = of.get(word)
                     if keys is None:
-                        keys = [k for k in _keys(letters_of(word)) if wanted(k)]
+                        keys = [k for run in runs_of(word) for k in _keys(run) if wanted(k)]
                         if len(of) < REMEMBERED:
                             of[word] = keys
                     own.update(keys)
@@ -257,7 +290,7 @@ def lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     counts = counts.groupBy("key").agg(F.sum("neg").alias("neg"))
     share = lambda n, total: F.log((F.coalesce(F.col(n), F.lit(0)) + 0.5) / (total + 1))
     both = found.join(counts, "key", "left").select("key", (share("pos", totals[0]) - share("neg", totals[1])).alias("odds"))
-    best = both.where(F.col("odds") >= LOG_ODDS).orderBy(F.desc("odds"), "key").limit(TERMS).collect()
+    best = both.where(F.col("odds") >= LOG_ODDS).orderBy(F.desc("odds"), "key").collect()
     scratch.clear(labelled.sparkSession)
     terms = {r["key"]: r["odds"] for r in best}
     return {k[:-1]: w for k, w in terms.items() if k.endswith("$")}, {k: w for k, w in terms.items() if not k.endswith("$")}
@@ -272,7 +305,7 @@ def ordinary_words(labelled: DataFrame, words: dict[str, float], stems: dict[str
         for batch in batches:
             rows = []
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                for word in {letters_of(w) for w in WORD.findall(text or "")} - clean:
+                for word in set(runs_of(text)) - clean:
                     hit = automaton.hit(word)
                     if hit is not None and hit[1] == MISSPELLED:
                         rows.append((word, int(toxic), 1 - int(toxic)))
@@ -302,12 +335,16 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def scored(docs: DataFrame, labelled: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
     """The rows of `docs` with a score from 0 to 1, learned from the rows (text, toxic) of `labelled`.
 
-    Labels other than 0 and 1 and null ones teach nothing. Null and empty texts have the score of a text without hits;
+    Of more than `LEARNED` labelled rows about so many are learned from. Words are read with all their runs of letters; a
+    sign between letters counts as a wrong one. Labels other than 0 and 1 and null ones teach nothing. Null and empty texts have the score of a text without hits;
     without labels of both kinds every score is the share of toxic labels, or 0. Texts are read whole, repeated rows
-    score alike, an empty table stays empty. A column named `into` is replaced.
+    score alike, an empty table stays empty. All columns are carried, whatever their names; one named `into` is replaced.
     """
     spark = docs.sparkSession
     known = written(labelled.where("toxic in (0, 1)").select("text", "toxic"), "labelled")
+    part = min(1.0, LEARNED / max(1, known.count()))
+    if part < 1:
+        known = known.where(F.pmod(F.xxhash64(F.lit("learn"), "text"), F.lit(1_000_000)) < int(part * 1_000_000))
     apart = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
 
     def measured(rows: DataFrame):
@@ -334,5 +371,12 @@ def scored(docs: DataFrame, labelled: DataFrame, text: str = "text", into: str =
         base, slopes = math.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)) if len(y) else -30.0, [0.0] * len(KINDS)
     inner = F.lit(base)
     for kind, slope in zip(KINDS, slopes):
-        inner += slope * F.log1p(f"_f.{kind}")
-    return docs.withColumn("_f", measured(known)(F.col(text))).withColumn(into, 1 / (1 + F.exp(-inner))).drop("_f")
+        inner += slope * F.log1p(f"f.{kind}")
+    # the columns of `docs` are in a struct of their own, so that none meets a name of these
+    kept = [c for c in docs.columns if c != into]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
+    told = rows.select("row", measured(known)(F.col("text")).alias("f")).withColumn("score", 1 / (1 + F.exp(-inner)))
+    score = F.col("score").alias(into)
+    if into not in docs.columns:
+        return told.select(*[F.col(f"row.`{c}`") for c in kept], score)
+    return told.select(*[score if c == into else F.col(f"row.`{c}`") for c in docs.columns])

@@ -557,6 +557,58 @@ def test_automaton_finds_words_stems_and_misspellings():
     assert not any(map(found.hit, ("idiom", "bat", "ba", "", "diot", "xidiot", "idiotic2")))
 
 
+def distance(a, b):
+    """Levenshtein's, by the table; the first letter of `a` is `b`'s, or no letter."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain_hit(run, words, stems, ordinary):
+    if run in words:
+        return words[run], toxicity.WHOLE
+    starts = [w for s, w in stems.items() if run.startswith(s)]
+    if starts:
+        longest = max((s for s in stems if run.startswith(s)), key=len)
+        return stems[longest], toxicity.BEGINNING
+    near = []
+    for term, weight in words.items():
+        # the first letter stays, or a sign or number stands for it
+        d = distance(run[1:], term[1:]) + (run[0] != term[0]) if run and (run[0] == term[0] or not run[0].isalpha()) else 99
+        if d <= toxicity.allowed(term):
+            near.append((d, -weight))
+    return (-min(near)[1], toxicity.MISSPELLED) if near and run not in ordinary else None
+
+
+def test_hits_match_plain_distances():
+    r = random.Random(21)
+    words = {prose(3000 + i, 1): 1.0 + i / 7 for i in range(40)} | {"idiot": 2.0, "blatherskunk": 3.0, "snorkwitted": 4.0, "bad": 1.5}
+    stems = {"grum": 2.5, "snor": 1.25}
+    ordinary = {"idiom", "blatherskink"}
+    automaton = toxicity.Automaton(words, stems, ordinary)
+    letters = "abcdefghijklmnopst1!*"
+    for _ in range(3000):
+        run = list(r.choice([*words, *stems, *ordinary]))
+        for _ in range(r.randint(0, 3)):
+            at, kind = r.randrange(len(run) + 1), r.randrange(3)
+            run[at:at + (kind != 0)] = [r.choice(letters)] if kind != 1 else []
+        run = "".join(run)
+        assert automaton.hit(run) == plain_hit(run, words, stems, ordinary), run
+
+
+def test_joined_and_masked_spellings_hit():
+    automaton = toxicity.Automaton({"idiot": 2.0, "moron": 3.0}, {})
+    for word in ("you,idiot", "this/idiot", "well-idiot", "(idiot)", "IDIOT!!", "x.idiot.y"):
+        assert toxicity.best_hit(word, automaton)[0] == 2.0, word
+    for word in ("id!ot", "i*diot", "*diot", "1diot", "i**ot" if toxicity.allowed("idiot") > 1 else "idi*t", "(id!ot)", "you,id!ot"):
+        assert toxicity.best_hit(word, automaton) == (2.0, toxicity.MISSPELLED), word
+    assert toxicity.best_hit("idiot/moron", automaton) == (3.0, toxicity.WHOLE)
+    assert not any(toxicity.best_hit(w, automaton) for w in ("", "--", "pilot", "riot", "(more)", "a-b-c"))
+
+
 def test_quotation_weighs_less_than_address():
     found = toxicity.Automaton({"idiot": 2.0}, {})
     of = lambda t: toxicity.features(t, found, set(), {})[0]
@@ -574,9 +626,13 @@ def test_toxic_texts_score_high(spark, empty):
         return " ".join(words)
 
     texts = [text(i, i % 4 == 0) for i in range(240)] + [None, ""]
-    docs = table(spark, texts).withColumn("score", F.lit("x"))
+    docs = table(spark, texts).select("*", *[F.lit(f"{n}!").alias(n) for n in ("score", "_f", "f", "row", "whole", "beginning", "misspelled", "a.b")])
     labelled = docs.where("doc_id < 160").select("text", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("toxic"))
-    rows = {x.doc_id: x.score for x in toxicity.scored(docs, labelled).collect()}
+    found = toxicity.scored(docs, labelled)
+    assert found.columns == docs.columns
+    found = found.collect()
+    assert all(x[n] == f"{n}!" for x in found for n in ("_f", "f", "row", "whole", "beginning", "misspelled", "a.b"))
+    rows = {x.doc_id: x.score for x in found}
     assert all((rows[i] >= 0.7) == (i % 4 == 0) for i in range(160, 240)) and rows[240] == rows[241] < 0.5
     assert toxicity.scored(empty, labelled).count() == 0
     assert {x.score for x in toxicity.scored(docs.limit(3), labelled.limit(0)).collect()} == {toxicity.scored(docs.limit(1), labelled.limit(0)).first().score}
@@ -598,5 +654,4 @@ def test_lexicon_keeps_rare_terms_and_all_ordinary_words(spark, monkeypatch):
     labelled = spark.createDataFrame([text(i, i < 100) for i in range(400)], "text string, toxic int")
     words, stems = toxicity.lexicon(labelled)
     assert "idiot" in words and not set(common) & set(words)
-    monkeypatch.setattr(toxicity, "TERMS", 3)
     assert toxicity.ordinary_words(labelled, words, {}) == ["idio" + c for c in "bcdefghjkl"]
