@@ -655,3 +655,42 @@ def test_lexicon_keeps_rare_terms_and_all_ordinary_words(spark, monkeypatch):
     words, stems = toxicity.lexicon(labelled)
     assert "idiot" in words and not set(common) & set(words)
     assert toxicity.ordinary_words(labelled, words, {}) == ["idio" + c for c in "bcdefghjkl"]
+
+
+# --- repeated rows, equal ids and very long texts --------------------------------------------------------------------------
+
+
+def test_repeated_rows_of_archives_fingerprints_and_the_mix(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, "v", "<p>a</p>"), (3, "w", "b"), (3, "w", "b")], "page_id long, url string, html string")
+    found = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert len(found) == 5 and {(i, t) for i, t, _ in found if i == 2} == {(2, "revisit")}
+    assert all(refers in (None, 1) for i, _, refers in found if i < 3) and {i for i, t, _ in found if t == "response"} == {1, 3}
+    text = prose(70, 50)
+    docs = table(spark, [text, text, prose(71, 50), text], ids=[4, 4, 9, 2])
+    rows = sorted((r.doc_id, r.component_id) for r in simhash.fingerprint_components(docs).collect())
+    assert rows == [(2, 2), (4, 2), (4, 2), (9, 9)]
+    mixes = {}
+    for r in mixing.mixed(docs).collect():
+        mixes.setdefault((r.doc_id, r.source), []).append(tuple(r.mix))
+    assert len(mixes[4, "s0"]) == 1 and sum(map(len, mixes.values())) == 4
+    same = table(spark, [text, text], ids=[4, 4], sources=["a", "a"])
+    assert len({tuple(r.mix) for r in mixing.mixed(same).collect()}) == 1 and mixing.mixed(same).count() == 2
+
+
+def test_equal_ids_of_vectors_and_spans(spark):
+    r = np.random.default_rng(8)
+    rows = [(i // 2, r.normal(size=8).tolist()) for i in range(60)]  # every id twice, with different vectors
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, top=5).toPandas()
+    assert (found["query_id"] == 0).all() and set(found["rank"]) == set(range(1, 6))
+    passage = prose(72, 80)
+    docs = table(spark, [passage, passage + " " + prose(73, 40), passage], ids=[5, 5, 7])
+    kept = sorted((x.doc_id, x.n_removed) for x in spans.span_deduplicated(docs).collect())
+    assert [n for i, n in kept if i == 5] == [0, 0] and kept[-1][1] > 60
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    base = [prose(4000 + i, 60) + (" grumfle snorkwit" * 3 if i % 4 == 0 else "") for i in range(160)]
+    labelled = spark.createDataFrame([(" ".join(random.Random(i).sample(t.split(), len(t.split()))), int(i % 4 == 0)) for i, t in enumerate(base)], "text string, toxic int")
+    long = prose(5000, 200_000)
+    rows = toxicity.scored(table(spark, [long, long + " you grumfle snorkwit" * 5]), labelled).orderBy("doc_id").collect()
+    assert rows[0].score < 0.5 < rows[1].score
