@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.shared import written
+from fleetlens.llm.shared import partitions_of, written
 
 #: Vectors that the cut of the space is fitted on, queries that the ratio is measured on; both are drawn by a hash.
 SAMPLE, TRIALS = 16_384, 256
@@ -29,7 +29,7 @@ SAMPLE, TRIALS = 16_384, 256
 LIST, SUPPORT, REPLICAS = 256, 16, 4
 #: A vector is posted in lists whose distance is within this ratio of its nearest one's.
 BOUNDARY = 1.15
-#: Postings of a shard, and queries that meet a shard in one task; both only move work.
+#: Postings of a shard, and queries that meet a shard at once; both only move work.
 SHARD, QUERIES = 8_192, 8_192
 #: Recall on the sampled queries that the ratio is chosen for.
 RECALL = 0.97
@@ -258,7 +258,6 @@ def nearest(
             shard += int(parts[at]) - 1
             room = 0
     told = spark.sparkContext.broadcast((first, parts, sizes))
-    slices = max(1, -(-n_queries // QUERIES))
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, (first, parts, sizes) = shared.value, told.value
@@ -270,8 +269,7 @@ def nearest(
                     where += to
                     rows_at += [k] * len(to)
                 ids = part["query_id"].to_numpy("i8")
-                yield pd.DataFrame({"shard": np.array(where, "i4"), "slice": (ids[rows_at] // 7 % slices).astype("i4"),
-                                    "query_id": ids[rows_at], "vec": part["vec"].to_numpy()[rows_at]})
+                yield pd.DataFrame({"shard": np.array(where, "i4"), "id": ids[rows_at], "vec": part["vec"].to_numpy()[rows_at]})
 
     @F.pandas_udf("int")
     def shard_of(list_: pd.Series, id_: pd.Series) -> pd.Series:
@@ -279,13 +277,33 @@ def nearest(
         at = list_.to_numpy()
         return pd.Series((first[at] + id_.to_numpy("i8") % parts[at]).astype("i4"))
 
-    def scored(key: tuple, asks: pd.DataFrame, holds: pd.DataFrame) -> pd.DataFrame:
-        holds = holds.drop_duplicates("vec_id")
-        return nearest_of(_matrix(asks["vec"]), asks["query_id"].to_numpy("i8"), _matrix(holds["vec"]), holds["vec_id"].to_numpy("i8"), top)
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shard by shard: its vectors are held, then its queries pass by, some at a time."""
+        at, held, asking, waiting = None, [], [], 0
 
-    asks = queries.mapInPandas(asked, "shard int, slice int, query_id long, vec array<double>")
-    holds = index.select(shard_of("list", "vec_id").alias("shard"), "vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    found = asks.groupBy("shard", "slice").cogroup(holds.groupBy("shard", "slice")).applyInPandas(scored, FOUND)
+        def answers() -> pd.DataFrame:
+            holds, asks = pd.concat(held, ignore_index=True).drop_duplicates("id"), pd.concat(asking, ignore_index=True)
+            held[:] = [holds]
+            return nearest_of(_matrix(asks["vec"]), asks["id"].to_numpy("i8"), _matrix(holds["vec"]), holds["id"].to_numpy("i8"), top)
+
+        for batch in batches:
+            for (shard, asks), part in batch.groupby(["shard", "asks"], sort=True):
+                if shard != at:
+                    if held and asking:
+                        yield answers()
+                    at, held, asking, waiting = shard, [], [], 0
+                (asking if asks else held).append(part[["id", "vec"]])
+                waiting += len(part) * int(asks)
+                if held and waiting >= QUERIES:
+                    yield answers()
+                    asking, waiting = [], 0
+        if held and asking:
+            yield answers()
+
+    asks = queries.mapInPandas(asked, "shard int, id long, vec array<double>").withColumn("asks", F.lit(True))
+    holds = index.select(shard_of("list", "vec_id").alias("shard"), F.col("vec_id").alias("id"), "vec", F.lit(False).alias("asks"))
+    both = asks.unionByName(holds).repartition(partitions_of(table), "shard").sortWithinPartitions("shard", "asks")
+    found = both.mapInPandas(scored, FOUND)
     return _ranked(found, top)
 
 

@@ -657,6 +657,27 @@ def test_lexicon_keeps_rare_terms_and_all_ordinary_words(spark, monkeypatch):
     assert toxicity.ordinary_words(labelled, words, {}) == ["idio" + c for c in "bcdefghjkl"]
 
 
+@pytest.mark.parametrize("at_once", [8192, 60])
+def test_neighbours_among_fifty_thousand_clustered_vectors(spark, monkeypatch, at_once):
+    monkeypatch.setattr(neighbours, "QUERIES", at_once)
+    r = np.random.default_rng(31)
+    centres = r.normal(size=(300, 24))
+    vectors = (centres[r.integers(0, 300, 50_000)] + 0.3 * r.normal(size=(50_000, 24))).astype("f4").astype("f8")
+    import pandas as pd
+
+    table_ = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(vectors)}), "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table_, F.col("vec_id") % 100 == 0, top=10).toPandas().sort_values(["query_id", "rank"])
+    assert (found.groupby("query_id").size() == 10).all() and found["query_id"].nunique() == 500
+    scores = vectors[::100] @ vectors.T
+    scores[np.arange(500), np.arange(0, 50_000, 100)] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :10]
+    got = found["vec_id"].to_numpy().reshape(500, 10)
+    hits = sum(len(set(a) & set(b)) for a, b in zip(best.tolist(), got.tolist()))
+    assert hits >= 0.9 * 5000
+    exact = (vectors[found["query_id"]] * vectors[found["vec_id"]]).sum(axis=1)
+    assert (np.abs(exact - found["score"]) < 1e-9).all()
+
+
 # --- repeated rows, equal ids and very long texts --------------------------------------------------------------------------
 
 
