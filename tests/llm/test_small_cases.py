@@ -5,7 +5,9 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from fleetlens.llm import components, html_text, mixing, neighbours, packing, quality, simhash, spans, suffixes, toxicity, warc
@@ -658,15 +660,13 @@ def test_lexicon_keeps_rare_terms_and_all_ordinary_words(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("at_once", [8192, 60])
-def test_neighbours_among_fifty_thousand_clustered_vectors(spark, monkeypatch, at_once):
+def test_neighbours_among_fifty_thousand_clustered_vectors(spark, monkeypatch, tmp_path, at_once):
     monkeypatch.setattr(neighbours, "QUERIES", at_once)
     r = np.random.default_rng(31)
     centres = r.normal(size=(300, 24))
     vectors = (centres[r.integers(0, 300, 50_000)] + 0.3 * r.normal(size=(50_000, 24))).astype("f4").astype("f8")
-    import pandas as pd
-
-    table_ = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(vectors)}), "vec_id long, embedding array<double>")
-    found = neighbours.nearest(table_, F.col("vec_id") % 100 == 0, top=10).toPandas().sort_values(["query_id", "rank"])
+    parquet.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": list(vectors)}), str(tmp_path / "v.parquet"))
+    found = neighbours.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 100 == 0, top=10).toPandas().sort_values(["query_id", "rank"])
     assert (found.groupby("query_id").size() == 10).all() and found["query_id"].nunique() == 500
     scores = vectors[::100] @ vectors.T
     scores[np.arange(500), np.arange(0, 50_000, 100)] = -np.inf
