@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -324,9 +325,26 @@ def with_open(joined: DataFrame, requests: DataFrame, key: str, asked: str) -> D
     return joined.unionByName(waiting, allowMissingColumns=True).select(*joined.columns)
 
 
+def _answers_met(keys: np.ndarray, asks: np.ndarray, us: np.ndarray, n: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every request among rows of (key number, side, instant, copies): its first answer's instant, and its answers."""
+    answers = np.flatnonzero(~asks)
+    answers = answers[np.lexsort((us[answers], keys[answers]))]
+    instants = np.unique(us[answers])
+    # one number orders rows by key and instant
+    width = len(instants) + 1
+    places = keys[answers] * width + np.searchsorted(instants, us[answers])
+    since = np.searchsorted(places, keys[asks] * width + np.searchsorted(instants, us[asks]))
+    until = np.searchsorted(places, keys[asks] * width + np.searchsorted(instants, us[asks] + bound, "right"))
+    total = np.concatenate((np.zeros(1, "i8"), np.cumsum(n[answers])))
+    some = until > since
+    first = np.full(len(since), -1, "i8")
+    first[some] = us[answers][since[some]]
+    return first, total[until] - total[since]
+
+
 def request_states(
     requests: DataFrame, results: DataFrame, key: str, asked: str, answered: str, bound_s: int, delay: str = "0 seconds",
-    name: str = "request-states",
+    name: str = "request-states", buckets: int | None = None,
 ) -> DataFrame:
     """(key, asked, state, first_answer, answers): each request once, as answered, expired or open.
 
@@ -336,11 +354,14 @@ def request_states(
     request without an answer is open until that clock has passed its bound. Results without a request are forgotten
     when none can come any more. Rows without key or time are left out.
 
-    Both sides are counted per key and instant in every batch before they meet in the keyed state, so copies of a
-    request or result are one entry with a count; of equal requests each is given.
+    Both sides are counted per key and instant in every batch before they meet, so copies of a request or result are one
+    entry with a count; of equal requests each is given. State is kept by buckets of keys (eight for each partition of a
+    shuffle, unless told), each with the open requests and early results of its keys, so that short-lived keys cost no
+    call each.
     """
     spark, bound = requests.sparkSession, bound_s * 1_000_000
     kind = requests.schema[key].dataType.simpleString()
+    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sides = []
     for side, stream, ts in (("ask", requests, asked), ("answer", results, answered)):
         def work(rows: DataFrame, batch: int, path: str, ts: str = ts) -> None:
@@ -349,62 +370,68 @@ def request_states(
 
         path = run_batches(stream, f"{name}-{side}", work)
         sides.append((side, path, spark.readStream.schema(f"`{key}` {kind}, at timestamp, n bigint, batch int").parquet(path)))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
     marked = [
-        rows.withWatermark("at", delay).select(key, F.lit(side == "ask").alias("asks"), "at", F.unix_micros("at").alias("us"), "n")
+        rows.withWatermark("at", delay).select(bucket, F.col(key).alias("key"), F.lit(side == "ask").alias("asks"), "at", F.unix_micros("at").alias("us"), "n")
         for side, _, rows in sides]
-
-    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        asks, answers = {}, {}
+    names = ["key", "asks", "us", "n"]
+
+    def given(rows: pd.DataFrame, first: np.ndarray, answers: np.ndarray, which: np.ndarray, waiting: np.ndarray) -> pd.DataFrame:
+        """The requests `which`, each as often as it was made; `waiting` are those that are still open without an answer."""
+        state = np.where(answers > 0, "answered", np.where(waiting, "open", "expired"))
+        out = pd.DataFrame({
+            "key": rows["key"], "asked_us": rows["us"], "state": state, "first_us": pd.array(np.maximum(first, 0), "Int64"), "answers": answers})
+        out.loc[answers == 0, "first_us"] = pd.NA
+        return out.loc[np.repeat(np.flatnonzero(which), rows["n"].to_numpy("i8")[which])]
+
+    def follow(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [frame[names] for frame in frames]
         if state.exists:
-            held = state.get
-            asks, answers = dict(zip(held[0], held[1])), dict(zip(held[2], held[3]))
-        for frame in frames:
-            for is_ask, us, n in zip(frame["asks"], frame["us"], frame["n"]):
-                side = asks if is_ask else answers
-                side[int(us)] = side.get(int(us), 0) + int(n)
+            parts.append(pd.DataFrame(dict(zip(names, state.get))))
+        rows = pd.concat(parts, ignore_index=True).groupby(["key", "asks", "us"], as_index=False)["n"].sum()
+        codes, asks, us, n = rows["key"].factorize()[0], rows["asks"].to_numpy(bool), rows["us"].to_numpy("i8"), rows["n"].to_numpy("i8")
         passed = state.getCurrentWatermarkMs() * 1000
-        over = sorted(a for a in asks if a + bound < passed)
-        if over:
-            out = []
-            for a in over:
-                met = sorted(t for t in answers if a <= t <= a + bound)
-                row = (name[0], a, "answered" if met else "expired", met[0] if met else None, sum(answers[t] for t in met))
-                out += [row] * asks.pop(a)
-            frame = pd.DataFrame(out, columns=[key, "asked_us", "state", "first_us", "answers"])
-            yield frame.astype({"first_us": "Int64"})
-        least = min(asks, default=passed)  # a request of before the watermark cannot come any more
-        answers = {t: n for t, n in answers.items() if t >= min(least, passed)}
-        if not asks and not answers:
-            if state.exists:
-                state.remove()
-            return
-        state.update((list(asks), list(asks.values()), list(answers), list(answers.values())))
-        until = min(asks) + bound if asks else max(answers)
-        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    held_type = "asked array<bigint>, asked_n array<bigint>, answered array<bigint>, answered_n array<bigint>"
-    out_type = f"`{key}` {kind}, asked_us bigint, state string, first_us bigint, answers bigint"
-    followed = marked[0].union(marked[1]).groupBy(key).applyInPandasWithState(
+        over = us[asks] + bound < passed
+        if over.any():
+            first, answers = _answers_met(codes, asks, us, n, bound)
+            yield given(rows[asks].reset_index(drop=True), first, answers, over, np.zeros(len(over), bool))
+        # an answer is kept while a request of its key waits that it may meet, or one may still come
+        least = np.full(codes.max(initial=-1) + 1, passed)
+        pending = np.zeros(len(rows), bool)
+        pending[np.flatnonzero(asks)[~over]] = True
+        np.minimum.at(least, codes[pending], us[pending])
+        left = rows[pending | (~asks & (us >= least[codes]))]
+        if len(left):
+            state.update(tuple(left[c].tolist() for c in names))
+            until = int(us[pending].min()) + bound if pending.any() else int(left["us"].max())
+            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
+    held_type = f"`key` array<{kind}>, asks array<boolean>, us array<bigint>, n array<bigint>"
+    out_type = f"`key` {kind}, asked_us bigint, state string, first_us bigint, answers bigint"
+    followed = marked[0].union(marked[1]).groupBy("bucket").applyInPandasWithState(
         follow, out_type, held_type, "append", GroupStateTimeout.EventTimeTimeout)
     ended = append_run(followed, name)
     told = spark.read.schema(followed.schema).parquet(ended.path)
-    held = state_table(spark, ended, f"key struct<`{key}`: {kind}>, value struct<groupState: struct<{held_type}>>")
-    ends = [spark.read.schema("at timestamp").parquet(path).agg(F.max(F.unix_micros("at"))).scalar() for _, path, _ in sides]
-    state = F.col("value.groupState") if "groupState" in held.schema["value"].dataType.names else F.col("value")
-    waiting = held.select(F.col(f"key.{key}").alias(key), state.alias("s")).select(
-        key, F.explode(F.arrays_zip("s.asked", "s.asked_n")).alias("a"), F.arrays_zip("s.answered", "s.answered_n").alias("r"))
-    met = F.filter("r", lambda x: (x["answered"] >= F.col("a.asked")) & (x["answered"] <= F.col("a.asked") + bound))
-    some = F.size(met) > 0
-    # without any result the clock has not moved
-    clock = F.when(ends[0].isNotNull() & ends[1].isNotNull(), F.least(*ends))
-    waiting = waiting.select(
-        key, F.col("a.asked").alias("asked_us"),
-        F.when(some, "answered").when(F.col("a.asked") + bound < clock, "expired").otherwise("open").alias("state"),
-        F.array_min(F.transform(met, lambda x: x["answered"])).alias("first_us"),
-        F.aggregate(met, F.lit(0).cast("bigint"), lambda n, x: n + x["answered_n"]).alias("answers"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("a.asked_n"))).alias("_copy")).drop("_copy")
-    return told.unionByName(waiting).select(
-        key, F.timestamp_micros("asked_us").alias(asked), "state", F.timestamp_micros("first_us").alias("first_answer"), "answers")
+    held = state_table(spark, ended, f"key struct<bucket: int>, value struct<groupState: struct<{held_type}>>")
+    ends = [spark.read.schema("at timestamp").parquet(path).agg(F.max(F.unix_micros("at"))).first()[0] for _, path, _ in sides]
+    clock = min(ends) if None not in ends else None  # without any result it has not moved
+
+    def waiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in batch.itertuples(index=False):
+                rows = pd.DataFrame({c: list(getattr(one, c)) for c in names})
+                asks, us = rows["asks"].to_numpy(bool), rows["us"].to_numpy("i8")
+                if asks.any():
+                    first, answers = _answers_met(rows["key"].factorize()[0], asks, us, rows["n"].to_numpy("i8"), bound)
+                    still = np.full(len(first), True) if clock is None else us[asks] + bound >= clock
+                    yield given(rows[asks].reset_index(drop=True), first, answers, np.ones(len(first), bool), still)
+
+    inner = "value.groupState" if "groupState" in held.schema["value"].dataType.names else "value"
+    open_ = held.select(*[F.col(f"{inner}.{c}").alias(c) for c in names]).mapInPandas(waiting, out_type)
+    return told.unionByName(open_).select(
+        F.col("key").alias(key), F.timestamp_micros("asked_us").alias(asked), "state", F.timestamp_micros("first_us").alias("first_answer"), "answers")
 
 
 def rate_counts(stream: DataFrame, by: Sequence[str], ts: str, width: str) -> DataFrame:
