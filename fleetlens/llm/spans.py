@@ -35,7 +35,7 @@ ENDS = tuple(".!?…。！？")
 class _Cuts(dict):
     """Of a word: itself in lower case as bytes, and whether a piece ends after it. Remembers so many words at most."""
 
-    most = 400_000
+    most = 250_000
 
     def __missing__(self, word: str) -> tuple[bytes, bool]:
         low = word.lower().encode("utf-8", "surrogatepass")
