@@ -169,25 +169,43 @@ def _shelved(answers: DataFrame, name: str) -> str:
 # --- merging transforms ---------------------------------------------------------------------------------------------------
 
 
-def suffix_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray) -> np.ndarray:
-    """The order of all suffixes of strings that end in 0 each (`left`: symbols before that end). Ends differ by string."""
+def suffix_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int) -> np.ndarray:
+    """The order of all suffixes of strings that end in 0 each (`left`: symbols before that end). Ends differ by string.
+
+    Suffixes that agree in over `depth` symbols may stand in any order: a merge of `depth` rounds takes one of them for
+    the other, and they are in one interval throughout. Keys hold a row's place in their low bits, so that sorting them
+    sorts the rows.
+    """
     n = len(symbols)
-    width = 7
+    bits = np.uint64(max(1, n.bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    places = np.arange(n, dtype="u8")
+    width = min(7, (64 - int(bits)) // 8)
     key = np.zeros(n, "u8")
     for i in range(width):
         symbol = np.zeros(n, "u8")
         symbol[:n - i] = symbols[i:]
         key = (key << np.uint64(8)) | np.where(left >= i, symbol, 0)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, "i8")
-    rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-    while width <= left.max(initial=0) * 2 + 2 and rank.max(initial=0) < n - 1:
-        ahead = np.where(left < width, string, 0)
-        far = left >= width
-        ahead[far] = rank[np.flatnonzero(far) + width]
-        pair = rank.astype("u8") << np.uint64(32) | ahead.astype("u8")
-        order = np.argsort(pair, kind="stable")
-        rank[order] = np.cumsum(np.concatenate(([0], pair[order][1:] != pair[order][:-1])))
+
+    rank = np.empty(n, "u8")
+
+    def ranked(keys: np.ndarray) -> np.ndarray:
+        if 3 * int(bits) > 64:  # no room for places
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+        else:
+            keys = np.sort((keys << bits) | places)
+            order = (keys & low).astype("i8")
+            keys >>= bits
+        rank[order] = np.cumsum(np.concatenate((np.zeros(1, "u8"), (keys[1:] != keys[:-1]).astype("u8"))))
+        return order
+
+    order = ranked(key)
+    while width <= depth + 1 and rank.max(initial=0) < n - 1:
+        ahead = np.where(left < width, string, 0).astype("u8")
+        far = np.flatnonzero(left >= width)
+        ahead[far] = rank[far + width]
+        order = ranked((rank << bits) | ahead)
         width *= 2
     return order
 
@@ -247,7 +265,7 @@ def smallest_holders(strings: list[bytes], docs: np.ndarray, source: np.ndarray,
         stops = np.cumsum(sizes + 1) - 1
         string = np.repeat(np.arange(len(own)), sizes + 1)
         left = stops[string] - np.arange(len(text))
-        order = suffix_order(text, left, string)
+        order = suffix_order(text, left, string, length)
         begins = left[order] == sizes[string[order]]
         transforms.append(np.where(begins, 0, text[order - 1]).astype("u1"))
         parts.append(own[string[order]])

@@ -497,6 +497,21 @@ def test_merged_transforms_order_prefixes():
             assert value == min(i for i, s in enumerate(strings) if string[at:at + 6] in s)
 
 
+def test_suffix_order_sorts_up_to_its_depth():
+    r = random.Random(15)
+    for alphabet in (b"ab", b"abcdefg"):
+        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(1, 60))) * r.choice((1, 1, 3)) for _ in range(40)]
+        text = np.frombuffer(b"\xff".join(strings) + b"\xff", "u1") + np.uint8(1)
+        sizes = np.array([len(x) for x in strings])
+        string = np.repeat(np.arange(40), sizes + 1)
+        left = (np.cumsum(sizes + 1) - 1)[string] - np.arange(len(text))
+        order = suffixes.suffix_order(text, left, string, 50)
+        assert sorted(order.tolist()) == list(range(len(text)))
+        tail = lambda at: text[at:at + left[at]].tobytes()[:50]  # noqa: E731, B023
+        shown = [tail(at) for at in order.tolist()]
+        assert shown == sorted(shown)
+
+
 @pytest.mark.parametrize("every", [1, 3, 8, 100])
 def test_finished_strings_leave_the_merge(monkeypatch, every):
     monkeypatch.setattr(suffixes, "EVERY", every)
