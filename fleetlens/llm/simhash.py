@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
@@ -412,13 +412,9 @@ def _shingle_sets(size: int):
     return of
 
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def _bands(least: pd.Series) -> pd.Series:
-    """The buckets of each row's smallest hashes."""
-    if not len(least):
-        return pd.Series([], dtype="object")
-    values = np.stack(least.to_numpy()).astype("i4")
-    return pd.Series(list(_combined(values.reshape(len(least), BANDS, ROWS))), dtype="object")
+def _bands(least: Column) -> Column:
+    """The buckets of a row's smallest hashes, without a Python worker."""
+    return F.array(*[F.xxhash64(F.lit(b), *[F.get(least, F.lit(b * ROWS + k)) for k in range(ROWS)]) for b in range(BANDS)])
 
 
 @pandas_udf(T.ArrayType(T.LongType()))
@@ -430,9 +426,9 @@ def _fine_bands(least: pd.Series) -> pd.Series:
     return pd.Series([x for at in range(0, len(values), 1000) for x in _combined(values[at:at + 1000][:, CHOICES])], dtype="object")
 
 
-def _bucketed(marked: DataFrame, bands, scratch: Scratch, name: str) -> DataFrame:
-    """(cell, key, size) of every text in each of its buckets that another text shares."""
-    every = marked.select("key", "size", F.explode(bands("least")).alias("cell"))
+def _bucketed(texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(cell, key, size) of every text (key, size, cells) in each of its buckets that another text shares."""
+    every = texts.select("key", "size", F.explode("cells").alias("cell"))
     node = F.xxhash64("key").alias("node")  # equal for two texts of one bucket hardly ever
     shared = every.select("cell", node).groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     shared = scratch.written(shared.select("cell"), f"{name}-buckets")
@@ -496,7 +492,7 @@ def near_deduplicated(
     same = classes.join(prints, "fp").where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b"))
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.written(far.union(same).select(*ordered).distinct(), "pairs")
-    members = scratch.written(_bucketed(marked, _bands, scratch, "coarse"), "members")
+    members = scratch.written(_bucketed(marked.select("key", "size", _bands(F.col("least")).alias("cells")), scratch, "coarse"), "members")
     # the sets of shingles, once for each text of a candidate
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("key"))
     wanted = scratch.written(wanted.distinct(), "wanted")
@@ -522,7 +518,9 @@ def near_deduplicated(
         else:
             asked = scratch.written(placed.select("key").distinct(), "asked")
             open_ = marked.join(asked, "key").groupBy("key").agg(F.any_value("size").alias("size"), F.any_value("least").alias("least"))
-            fine = scratch.written(_bucketed(open_, _fine_bands, scratch, "fine"), "fine")
+            # written first: a task that filters buckets then needs one Python worker, not two
+            cells = scratch.written(open_.select("key", "size", _fine_bands("least").alias("cells")), "fine-cells")
+            fine = scratch.written(_bucketed(cells, scratch, "fine"), "fine")
             met = _across_groups(_of_several_groups(fine, near, scratch))
         # the smaller set's share of the larger one is the most that their similarity can be
         met = met.where(F.least("size", "_size") >= similarity * F.greatest("size", "_size"))
