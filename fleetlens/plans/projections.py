@@ -75,21 +75,30 @@ def json_scan(t: Tables) -> DataFrame:
     return found.groupBy("name", "code").agg(F.count(F.lit(1)).alias("suppliers"))
 
 
+#: Orders of one list export: many such files are written at once, each larger than a split of a large input.
+LIST_ORDERS = 1_000_000
+
+
 @query("S1_list_scan", """
 SELECT 'o-' || o_orderkey AS name, o_orderpriority AS code, o_orderstatus AS status FROM orders
 """)
 def list_scan(t: Tables) -> DataFrame:
-    """One pretty-printed list of all orders, written as one file and scanned back by its splits."""
+    """Pretty-printed lists of up to a million orders, each written as one file, scanned back by their splits."""
+    lists = max(1, -(-t.orders.count() // LIST_ORDERS))
+    begin = '{"kind": "List", "metadata": {"items": [{"kind": "Device"}], "note": "} ]"}, "items": [{"kind": "Note", "spec": [{}]}'
+    end = '], "more": [{"kind": "Device"}]}'
+    edges = t.spark.range(lists).select(F.col("id").alias("part"), F.explode(F.array(F.lit(0), F.lit(2))).alias("at"))
+    rows = t.orders.select(
+        (F.monotonically_increasing_id() % F.lit(lists)).alias("part"), F.lit(1).alias("at"), "o_orderkey", "o_orderpriority", "o_orderstatus")
     item = F.struct(
         F.lit("Device").alias("kind"), F.struct(F.concat(F.lit("o-"), "o_orderkey").alias("name")).alias("metadata"),
         F.struct(F.struct(F.col("o_orderpriority").alias("code"), F.col("o_orderstatus").alias("status")).alias("forProvider")).alias("spec"))
-    edges = t.spark.createDataFrame([
-        (0, '{"kind": "List", "metadata": {"items": [{"kind": "Device"}], "note": "} ]"}, "items": [{"kind": "Note", "spec": [{}]}'),
-        (2, '], "more": [{"kind": "Device"}]}')], "at int, value string")
-    rows = t.orders.select(F.lit(1).alias("at"), F.concat(F.lit(","), F.to_json(item, {"pretty": "true"})).alias("value"))
+    text = F.when(F.col("at") == 0, begin).when(F.col("at") == 2, end).otherwise(F.concat(F.lit(","), F.to_json(item, {"pretty": "true"})))
     path = fresh_path(t.spark, "list")
-    rows.unionByName(edges).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
-    return resource_scan(t.spark, path, "Device", "list").select("name", "spec.code", "spec.status")
+    # in a file the begin comes first, the end last; one file for each part
+    ordered = rows.unionByName(edges, allowMissingColumns=True).repartitionByRange(lists, "part").sortWithinPartitions("part", "at")
+    ordered.select("part", text.alias("value")).write.partitionBy("part").text(path)
+    return resource_scan(t.spark, f"{path}/*", "Device", "list").select("name", "spec.code", "spec.status")
 
 
 @query("S1_pod_scan", """

@@ -232,3 +232,28 @@ def test_runs_of_equal_names_stay_apart(spark, tmp_path):
         (tmp_path / folder / "run.log").write_text("".join(f"{folder}{i}\n" for i in range(1, 50)))
     found = sorted((r.run_id, r.line_no, r.line) for r in log_scan(spark, str(tmp_path)).collect())
     assert found == sorted((f"{f}/run", i, f"{f}{i}") for f in "ab" for i in range(1, 50))
+
+
+def test_list_exports_are_several_files_and_none_is_written_for_a_few_devices(spark, tmp_path, monkeypatch):
+    from fleetlens.plans import projections
+    from fleetlens.plans.registry import QUERIES
+
+    made = []
+
+    def path(_, name):
+        made.append(tmp_path / f"{name}-out")
+        return str(made[-1])
+
+    monkeypatch.setattr(projections, "fresh_path", path)
+    monkeypatch.setattr(projections, "LIST_ORDERS", 300, raising=False)
+    orders = [(i, "1-URGENT", "F") for i in range(1000)] + [(5, "2-HIGH", "O"), (5, "2-HIGH", "O")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in QUERIES["S1_list_scan"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((f"o-{k}", p, s) for k, p, s in orders)
+    files = [f.read_text() for f in made[-1].rglob("*.txt")]
+    assert len(files) == 4 and all(len(json.loads(f)["items"]) < 300 for f in files)
+
+    spark.range(2).selectExpr("cast(id as int) n_nationkey", "concat('N', id) n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(3000).selectExpr("id s_suppkey", "cast(id % 2 as int) s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert sorted(map(tuple, QUERIES["S1_json_scan"](spark, str(tmp_path)).collect())) == [("n-0", "N0", 1500), ("n-1", "N1", 1500)]
+    assert len(list(made[-1].rglob("*.txt"))) == 2
