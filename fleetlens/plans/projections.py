@@ -62,12 +62,12 @@ def manifest_scan(t: Tables) -> DataFrame:
 SELECT 'n-' || n_nationkey AS name, n_name AS code, count(*) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL
 """)
 def json_scan(t: Tables) -> DataFrame:
-    """List exports of a nation's suppliers as devices, a file for every hundred numbers."""
+    """List exports of a nation's suppliers as devices, a file for every hundred thousand numbers."""
     device = F.struct(
         F.lit("Device").alias("kind"), F.struct(F.concat(F.lit("n-"), "n_nationkey").alias("name")).alias("metadata"),
         F.struct(F.struct(F.col("n_name").alias("code")).alias("forProvider")).alias("spec"))
     held = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(
-        "n_nationkey", F.floor(F.col("s_suppkey") / 100).alias("part")).agg(F.collect_list(device).alias("items"))
+        "n_nationkey", F.floor(F.col("s_suppkey") / 100_000).alias("part")).agg(F.collect_list(device).alias("items"))
     path = fresh_path(t.spark, "json")
     text = F.to_json(F.struct("items"), {"pretty": "true"}).alias("value")
     held.select("n_nationkey", "part", text).repartition("n_nationkey", "part").write.partitionBy("n_nationkey", "part").text(path)
