@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,7 +15,13 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from fleetlens.functions.keyed import SPLIT_ROWS, hot_keys, join_same, one_row_per, with_previous
 from fleetlens.functions.values import changed_columns
 from fleetlens.session import stage
-from fleetlens.streaming.sinks import ROCKS, append_run, made, read_batches, run_append, run_batches, state_store, state_table, write_batch
+from fleetlens.streaming.sinks import ROCKS, Ended, append_run, made, read_batches, run_append, run_batches, state_store, state_table, write_batch
+
+#: What a bucket of keys holds of its runs.
+_HELD = "key array<string>, first array<bigint>, last array<bigint>, n array<bigint>"
+_HELD_STRUCT = ", ".join(f.replace(" ", ": ") for f in _HELD.split(", "))
+#: A key as JSON and back keeps the microseconds of an instant.
+_KEY_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def desired_changes(
@@ -116,75 +122,119 @@ def activity_spans(stream: DataFrame, key: str, ts: str, width_s: int, name: str
     return stream.sparkSession.readStream.schema(f"{fields}, batch int").option("maxFilesPerTrigger", 10_000).parquet(path).drop("batch")
 
 
-def _micros(spans: DataFrame, key: str, delay: str) -> DataFrame:
+def _bucketed(spans: DataFrame, key: str, delay: str, buckets: int) -> DataFrame:
+    """Spans on the clock of their ends, by buckets of keys; a key travels as JSON, which also names the null key."""
     marked = spans.withWatermark("last", delay)
-    return marked.select(key, F.unix_micros("first").alias("first"), "last", F.unix_micros("last").alias("to"), "n")
+    return marked.select(
+        _bucket(key, buckets), _key_text(key), F.unix_micros("first").alias("first"), "last", F.unix_micros("last").alias("to"), "n")
 
 
-def _merged_runs(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """Runs (first, last, n) of one key, those no further apart than the gap as one."""
-    out: list[tuple[int, int, int]] = []
-    for first, last, n in sorted(runs):
-        if out and first - out[-1][1] <= gap:
-            out[-1] = out[-1][0], max(out[-1][1], last), out[-1][2] + n
-        else:
-            out.append((first, last, n))
-    return out
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _key_text(key: str) -> Column:
+    return F.to_json(F.struct(F.col(key).alias("key")), _KEY_FORMAT).alias("key")
+
+
+def _key_back(kind: str, key: str) -> Column:
+    return F.from_json("key", f"key {kind}", _KEY_FORMAT)["key"].alias(key)
+
+
+def _state_buckets(spark: SparkSession, buckets: int | None) -> int:
+    """Eight for each partition of a shuffle, unless told."""
+    return buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
+def _in_order(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """Runs (key, first, last, n) by key and begin: `opens` at a key's first one, `upto` the latest end before a run in its key."""
+    rows = pd.concat(frames, ignore_index=True)
+    rows["code"] = rows["key"].factorize()[0]
+    # held runs are in front, and stay in front of others of their key if they are marked so
+    rows = rows.sort_values(["code", "place", "first"], kind="stable", ignore_index=True) if "place" in rows else rows.sort_values(
+        ["code", "first"], kind="stable", ignore_index=True)
+    rows["end"] = rows.groupby("code")["last"].cummax()
+    code = rows["code"].to_numpy()
+    rows["opens"] = np.append(True, code[1:] != code[:-1])[:len(code)]
+    rows["upto"] = np.append(0, rows["end"].to_numpy()[:-1])[:len(code)]
+    return rows
 
-class _Presence(StatefulProcessor):
-    """A board's open period in a value, and a timer for when it has been silent for too long."""
 
-    def __init__(self, key: str, silence: int) -> None:
-        self.key, self.silence = key, silence
+class _Buckets(StatefulProcessor):
+    """State of a bucket of keys as one value of lists, with one timer for the next key that ends."""
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "since bigint, last bigint")
+        self.state = handle.getValueState("held", _HELD)
+
+    def _held(self) -> pd.DataFrame:
+        held = self.state.get() if self.state.exists() else [[]] * 4
+        return pd.DataFrame({"key": pd.Series(list(held[0]), dtype="object"), **{
+            c: np.array(held[i], "i8") for i, c in enumerate(("first", "last", "n"), 1)}})
+
+    def _keep(self, runs: pd.DataFrame) -> None:
+        if len(runs):
+            self.state.update(tuple(runs[c].tolist() for c in ("key", "first", "last", "n")))
+            self.handle.registerTimer((int(runs["last"].min()) + self.gap) // 1000 + 1)
+        else:
+            self.state.clear()
+
+    def _expired(self, timerValues: TimerValues) -> pd.DataFrame:
+        """Held runs that the watermark has passed; the others stay."""
+        runs = self._held()
+        over = (runs["last"] + self.gap) // 1000 + 1 <= timerValues.getCurrentWatermarkInMs()
+        self._keep(runs[~over])
+        return runs[over]
+
+    def _new(self, rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
+        return [frame[["key", "first", "to", "n"]].rename(columns={"to": "last"}) for frame in rows]
+
+    def close(self) -> None:
+        pass
+
+
+def _held_runs(spark: SparkSession, ended: Ended) -> DataFrame:
+    """(key, first, last, n) of all runs that a stream's buckets hold at the end of its input."""
+    held = state_table(spark, ended, f"key struct<bucket: int>, value struct<{_HELD_STRUCT}>", "held")
+    return held.select(F.inline(F.arrays_zip(*[F.col(f"value.{c}").alias(c) for c in ("key", "first", "last", "n")])))
 
-    def _out(self, key: tuple, rows: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame({self.key: [key[0]] * len(rows), "state": [s for s, _ in rows], "at_us": [a for _, a in rows]})
 
-    def _keep(self, since: int, last: int) -> None:
-        self.open.update((since, last))
-        self.handle.registerTimer((last + self.silence) // 1000 + 1)
+class _Presence(_Buckets):
+    """The open periods of a bucket's boards; a board that has been silent for too long goes offline."""
+
+    def _out(self, keys: pd.Series, state: str, at: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": keys.to_numpy(), "state": state, "at_us": at.to_numpy()})
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        self._keep(int(initialState["since"].iloc[0]), int(initialState["last"].iloc[0]))
+        held = initialState.rename(columns={"since": "first"}).assign(n=1)
+        old = self._held()  # a bucket's rows may come in several frames
+        self._keep(pd.concat([old, held[["key", "first", "last", "n"]]], ignore_index=True))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        runs = [(int(a), int(b), 1) for frame in rows for a, b in zip(frame["first"], frame["to"])]
-        held = self.open.get() if self.open.exists() else None
-        out = []
-        since, last = (int(held[0]), int(held[1])) if held else (None, None)
-        for first, to, _ in _merged_runs(runs, self.silence):
-            if since is None:
-                out.append(("online", first))
-                since, last = first, to
-            elif first - last > self.silence:
-                out += [("offline", last + self.silence), ("online", first)]
-                since, last = first, to
-            else:  # a run from before the period's start has been told of already or comes late
-                last = max(last, to)
-        self._keep(since, last)
-        yield from self._out(key, out)
+        # a run from before the period's start has been told of already or comes late: it moves nothing but the end
+        runs = _in_order([self._held().assign(place=0), *(frame.assign(place=1) for frame in self._new(rows))])
+        after = ~runs["opens"] & (runs["first"] - runs["upto"] > self.gap)
+        online = runs[after | (runs["opens"] & (runs["place"] == 1))]
+        offline = runs[after]
+        starts = runs[after | runs["opens"]].drop_duplicates("code", keep="last")
+        ends = runs.drop_duplicates("code", keep="last")
+        self._keep(pd.DataFrame({"key": starts["key"].to_numpy(), "first": starts["first"].to_numpy(), "last": ends["end"].to_numpy(), "n": 1}))
+        out = pd.concat([self._out(offline["key"], "offline", offline["upto"] + self.gap), self._out(online["key"], "online", online["first"])])
+        if len(out):
+            yield out
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
-            return
-        since, last = self.open.get()
-        # a timer of an earlier end finds the board heard of since
-        if (int(last) + self.silence) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
-            yield from self._out(key, [("offline", int(last) + self.silence)])
-
-    def close(self) -> None:
-        pass
+        over = self._expired(timerValues)
+        if len(over):
+            yield self._out(over["key"], "offline", over["last"] + self.gap)
 
 
 def presence(
     spans: DataFrame, key: str, timeout_s: int, delay: str = "0 seconds", last_states: DataFrame | None = None, name: str = "presence",
+    buckets: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """What became of every board, and the boards' last states.
 
@@ -194,18 +244,20 @@ def presence(
     The second is (key, since, last) in microseconds, one row per open period: as `last_states` it starts a next run.
 
     Works on `activity_spans` no wider than the timeout. Spans that come later than `delay` are dropped and counted by
-    the engine like any late row; a late span inside a period moves nothing but its end.
+    the engine like any late row; a late span inside a period moves nothing but its end. State is kept by buckets of keys
+    (eight for each partition of a shuffle, unless told), so that a board costs no call and no timer of its own.
     """
     spark, silence = spans.sparkSession, timeout_s * 1_000_000
     kind = spans.schema[key].dataType.simpleString()
-    start = None if last_states is None else stage(last_states.select(key, "since", "last"), f"{name}-start").groupBy(key)
-    followed = _micros(spans, key, delay).groupBy(key).transformWithStateInPandas(
-        _Presence(key, silence), f"`{key}` {kind}, state string, at_us bigint", "Append", "EventTime", start)
+    buckets = _state_buckets(spark, buckets)
+    start = None if last_states is None else stage(
+        last_states.select(_bucket(key, buckets), _key_text(key), "since", "last"), f"{name}-start").groupBy("bucket")
+    followed = _bucketed(spans, key, delay, buckets).groupBy("bucket").transformWithStateInPandas(
+        _Presence(silence), "key string, state string, at_us bigint", "Append", "EventTime", start)
     with state_store(spark, ROCKS):
         ended = append_run(followed, name)
-    told = spark.read.schema(followed.schema).parquet(ended.path)
-    held = state_table(spark, ended, f"key struct<`{key}`: {kind}>, value struct<since: bigint, last: bigint>", "open").select(
-        F.col(f"key.{key}").alias(key), "value.since", "value.last")
+    told = spark.read.schema(followed.schema).parquet(ended.path).select(_key_back(kind, key), "state", "at_us")
+    held = _held_runs(spark, ended).select(_key_back(kind, key), F.col("first").alias("since"), "last")
     # the last instant is that of a board's last run: of an open period, or before an offline row
     held = stage(held, "presence-open")
     heard = held.select("last").union(told.where("state = 'offline'").select(F.col("at_us") - silence)).agg(F.max("last")).scalar()
@@ -235,59 +287,38 @@ def telemetry_windows(
         F.col("total").cast("double").alias("total"))
 
 
-class _Sessions(StatefulProcessor):
-    """A board's sessions that the watermark has not passed, in a list."""
-
-    def __init__(self, key: str, gap: int) -> None:
-        self.key, self.gap = key, gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.runs = handle.getListState("runs", "first bigint, last bigint, n bigint")
-
-    def _held(self) -> list[tuple[int, int, int]]:
-        return [(int(a), int(b), int(n)) for a, b, n in self.runs.get()]
+class _Sessions(_Buckets):
+    """The sessions of a bucket's boards that the watermark has not passed."""
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(b), int(n)) for frame in rows for a, b, n in zip(frame["first"], frame["to"], frame["n"])]
-        runs = _merged_runs(self._held() + new, self.gap)
-        self.runs.put(runs)
-        self.handle.registerTimer((runs[0][1] + self.gap) // 1000 + 1)
+        runs = _in_order([self._held(), *self._new(rows)])
+        session = (runs["opens"] | (runs["first"] - runs["upto"] > self.gap)).cumsum()
+        self._keep(runs.groupby(session).agg({"key": "first", "first": "first", "last": "max", "n": "sum"}))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        runs = self._held()
-        over = [r for r in runs if (r[1] + self.gap) // 1000 + 1 <= passed]
-        left = runs[len(over):]
-        if over:
-            self.runs.put(left) if left else self.runs.clear()
-            yield pd.DataFrame({
-                self.key: [key[0]] * len(over), "first": [r[0] for r in over], "last": [r[1] for r in over], "n": [r[2] for r in over]})
-        if left:
-            self.handle.registerTimer((left[0][1] + self.gap) // 1000 + 1)
+        over = self._expired(timerValues)
+        if len(over):
+            yield over
 
-    def close(self) -> None:
-        pass
 
-
-def activity_sessions(spans: DataFrame, key: str, gap_s: int, delay: str = "0 seconds", name: str = "sessions") -> DataFrame:
+def activity_sessions(
+    spans: DataFrame, key: str, gap_s: int, delay: str = "0 seconds", name: str = "sessions", buckets: int | None = None,
+) -> DataFrame:
     """(key, session_start, session_end, events, open): runs of events no further apart than the gap.
 
     Sessions that the watermark has passed come from the stream, the others from its state at the end of the input;
     those that an event after the last one could still join are marked `open`. An event between two sessions makes them
-    one. Works on `activity_spans` no wider than the gap.
+    one. Works on `activity_spans` no wider than the gap. State is kept by buckets of keys, as for `presence`.
     """
     spark, gap = spans.sparkSession, gap_s * 1_000_000
     kind = spans.schema[key].dataType.simpleString()
-    followed = _micros(spans, key, delay).groupBy(key).transformWithStateInPandas(
-        _Sessions(key, gap), f"`{key}` {kind}, first bigint, last bigint, n bigint", "Append", "EventTime")
+    followed = _bucketed(spans, key, delay, _state_buckets(spark, buckets)).groupBy("bucket").transformWithStateInPandas(
+        _Sessions(gap), "key string, first bigint, last bigint, n bigint", "Append", "EventTime")
     with state_store(spark, ROCKS):
         ended = append_run(followed, name)
-    closed = spark.read.schema(followed.schema).parquet(ended.path)
-    held = state_table(
-        spark, ended, f"key struct<`{key}`: {kind}>, list_element struct<first: bigint, last: bigint, n: bigint>", "runs").select(
-        F.col(f"key.{key}").alias(key), "list_element.first", "list_element.last", "list_element.n")
+    closed, held = spark.read.schema(followed.schema).parquet(ended.path), _held_runs(spark, ended)
+    closed, held = (rows.select(_key_back(kind, key), "first", "last", "n") for rows in (closed, held))
     every = stage(closed.unionByName(held), "sessions-all")
     return every.select(
         key, F.timestamp_micros("first").alias("session_start"), F.timestamp_micros(F.col("last") + gap).alias("session_end"),
@@ -361,7 +392,7 @@ def request_states(
     """
     spark, bound = requests.sparkSession, bound_s * 1_000_000
     kind = requests.schema[key].dataType.simpleString()
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _state_buckets(spark, buckets)
     sides = []
     for side, stream, ts in (("ask", requests, asked), ("answer", results, answered)):
         def work(rows: DataFrame, batch: int, path: str, ts: str = ts) -> None:

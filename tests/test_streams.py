@@ -140,6 +140,35 @@ def test_boards_without_a_name_are_one_board(spark, tmp_path):
     assert [(k, s, o) for k, s, _, o in presence_rows(got)] == [("a", "online", True), (None, "offline", False), (None, "online", False)]
 
 
+def odd_keys(spark, events, folder):
+    """Events in three files, under names that a bucket must keep apart."""
+    name = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit('"q\\ü\n'), F.col("user_id"))).when(F.col("user_id") % 5 > 1, F.col("user_id").cast("string"))
+    named = events.select(name.alias("user_id"), "ts")
+    for low, high in (("2024-01-01", "2024-01-09"), ("2024-01-09", "2024-01-20"), ("2024-01-20", "2024-02-02")):
+        named.where((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(folder)
+    return [(repr(k), at) for k, at in pairs_of(named)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_many_boards_share_a_bucket_of_state(spark, events, tmp_path, buckets):
+    pairs = odd_keys(spark, events, str(tmp_path / "in"))
+    source = lambda: spans_of(spark, read_stream(spark, str(tmp_path / "in"), 1))
+    got, states = jobs.presence(source(), "user_id", 12 * 3600, buckets=buckets)
+    want, last = plain_presence(pairs, 12 * 3600 * 10**6)
+    assert sorted(((repr(k), *r) for k, *r in presence_rows(got)), key=repr) == want
+    assert sorted(((repr(k), *r) for k, *r in rows(states)), key=repr) == last
+    found = jobs.activity_sessions(source(), "user_id", 3600, buckets=buckets)
+    assert sorted(((repr(k), *r) for k, *r in session_rows(found)), key=repr) == plain_sessions(pairs, 3600 * 10**6)
+
+
+def test_numbers_beyond_a_double_stay_apart_in_a_bucket(spark, tmp_path):
+    big = 2**53
+    data = [(big, "2024-01-01 00:00:00"), (big + 1, "2024-01-01 00:30:00"), (None, "2024-01-01 00:40:00")]
+    spark.createDataFrame(data, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "in"))
+    got = jobs.activity_sessions(spans_of(spark, read_stream(spark, str(tmp_path / "in"))), "user_id", 3600, buckets=1)
+    assert sorted((r[0] or 0, r[3]) for r in session_rows(got)) == [(0, 1), (big, 1), (big + 1, 1)]
+
+
 def plain_sessions(events, gap):
     out, by = [], {}
     for key, at in sorted(events):
