@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime settings the operators count on. Timestamps in the tables carry no zone, so the session zone
 # is fixed; joins that follow other shuffles still get their hot partitions split; the sessions of a busy key are
 # merged in every task before they are shuffled; a stream's progress tells of all its batches how many rows came late.
+# What a task sorts or aggregates is about ten times as large as what it reads, so splits of files and merged partitions stay small.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",

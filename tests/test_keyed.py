@@ -109,3 +109,26 @@ def test_null_places_bursts_and_single_instants_give_the_same_when_cut(spark):
     # rows of one instant are cut along their tie
     of_one = parts.where("key = 'one'").groupBy("_slice").count()
     assert of_one.count() >= 10 and of_one.agg(F.max("count")).first()[0] <= 400
+
+
+def test_what_a_task_joins_does_not_grow_with_the_tables(spark):
+    """Merged partitions of a large join stay small, where there are enough tasks to fill all cores."""
+    from fleetlens.operators.matching import existence_check, request_results
+    from fleetlens.session import tune
+
+    tune(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    some = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in some.items():
+        spark.conf.set(key, value)
+    try:
+        requests = spark.range(3_000_000).select(F.col("id").alias("uuid"), F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+        joined = request_results(requests, requests.select(F.col("uuid").alias("request_uuid"), F.col("a").alias("part")))
+        assert joined.rdd.getNumPartitions() >= 6 and joined.count() == 3_000_000
+        asked = existence_check(requests.drop("uuid"), requests.select("a", "b"), ["a", "b"])
+        assert asked.rdd.getNumPartitions() >= 6
+    finally:
+        for key in some:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("m")) <= 32
