@@ -234,10 +234,14 @@ def merged_intervals(
         order = np.argsort(before, kind="stable")
         interleave = interleave[order]
         interleave[:ends] = end_shards
-        first, old = before[order], interval[order]
-        parted = np.concatenate(([True], (first[1:] != first[:-1]) | (old[1:] != old[:-1])))
+        old = interval[order]
+        parted = np.empty(n, bool)
+        np.not_equal(old[1:], old[:-1], out=parted[1:])
         parted[:ends + 1] = True
-        interval = np.cumsum(parted, dtype="i4") - 1
+        begins = np.cumsum(np.bincount(before))  # where the next symbol begins
+        parted[begins[begins < n]] = True
+        interval = np.cumsum(parted, dtype="i4")
+        interval -= 1
         place = np.argsort(interleave, kind="stable")
         if done % EVERY == 0 and done < rounds:
             apart = parted & np.append(parted[1:], True)
