@@ -32,6 +32,8 @@ TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 #: Sums that a task holds before it passes them on, their bytes, and bytes of text that it cuts at once: they only move work.
 HELD, HELD_BYTES, CUT = 400_000, 1 << 26, 1 << 22
 UNIT = 1_000_000_000
+#: Below so many occurrences a share is computed in longs.
+LONG = 9_000_000_000
 
 _SUMS = pa.schema([("of", pa.string()), ("chunk", pa.string()), *((c, pa.int64()) for c in ("n", "docs", "lo", "hi"))])
 _CHUNKS = "of string, chunk string, n long, docs long, lo long, hi long"
@@ -157,9 +159,17 @@ def _wide(column: str | Column) -> Column:
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10**9 * (n + 1) / (total + terms)), in whole numbers of any size."""
+    """1 + floor(10**9 * (n + 1) / (total + terms)), in whole numbers of any size; in plain longs where these hold it."""
     top = (_wide(n) + F.lit(1).cast("decimal(1,0)")) * F.lit(UNIT).cast("decimal(10,0)")
-    return F.lit(1) + F.call_function("div", top, _wide(total) + _wide(terms)).cast("long")
+    wide = F.call_function("div", top, _wide(total) + _wide(terms)).cast("long")
+    fits = (n < LONG) & (total < LONG * UNIT // 2) & (terms < LONG * UNIT // 2)
+    return F.lit(1) + F.when(fits, F.call_function("div", (n + 1) * UNIT, total + terms)).otherwise(wide)
+
+
+def _sum_of(value: Column) -> Column:
+    """The exact sum of longs, added up in two halves of 32 bits, which are longs themselves."""
+    high, low = F.sum(F.shiftright(value, 32)), F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -212,7 +222,7 @@ def source_divergence(
     right = per.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none").alias("item_none"))
     p, q, p0, q0 = (F.col(c) for c in ("p", "q", "none", "item_none"))
     both = left.join(right, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(
-        F.sum((_gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)).cast("decimal(20,0)")).alias("both"))
+        _sum_of(_gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)).alias("both"))
     keys = ["lang", "source", "item"]
     rest = (_wide("terms") - _wide("held") - _wide("item_held")) * _gap(p0, q0)
     zero = F.lit(0).cast("decimal(20,0)")

@@ -254,3 +254,13 @@ def test_divergence_edges(spark):
     assert diverged(spark, [long] * 3 + [("word", "en", "t")]) == plain_divergence([long] * 3 + [("word", "en", "t")])
     with pytest.raises(ValueError):
         diverged(spark, [("a", "b", "c")], min_docs=4)
+
+
+def test_shares_and_sums_are_exact_on_both_sides_of_a_long(spark):
+    counts = [0, 1, divergence.LONG - 1, divergence.LONG, divergence.LONG + 1, 2**40]
+    df = spark.createDataFrame([(n, t, v) for n in counts for t in (n + 1, 2**62) for v in (1, 10**6)], "n long, t long, v long")
+    for r in df.select("*", divergence._share(F.col("n"), F.col("t"), F.col("v")).alias("share")).collect():
+        assert r.share == 1 + 10**9 * (r.n + 1) // (r.t + r.v)
+    values = [2**63 - 1] * 40 + [-(2**63)] * 3 + [5, -7, 10**18, -(10**18) - 1]
+    one = spark.createDataFrame([(v,) for v in values], "v long").agg(divergence._sum_of(F.col("v")).alias("s")).first()
+    assert int(one.s) == sum(values)
