@@ -12,8 +12,8 @@ own, so no task gets more than a bounded share of a hot value. A cell gives no p
 spanning forest: as many rows as it holds at most, and connected just like all its links.
 
 Near copies by a similarity of sets (`near_deduplicated`) take those links for a first round only. What is complete
-there are the buckets of bands of smallest hashes: texts of one bucket are measured until all are in one group or every
-pair of two groups has been measured.
+there are the buckets of bands of smallest hashes: texts of one bucket are measured until all are in one group, or else
+against all open texts with which they share one of their rarest shingles, early enough to be alike.
 """
 
 from __future__ import annotations
@@ -44,10 +44,11 @@ BANDS, ROWS = 20, 4
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
 #: Rounds in which a bucket's texts are measured against some of them, and against how many.
 ROUNDS, HUBS = 2, 4
-#: Fine buckets of what is then in a bucket of several groups: so many choices of FINE_ROWS among the BANDS * ROWS
-#: smallest hashes. Sets of 0.8 share one with 0.998, of 0.6 with 0.49, of 0.4 with 0.02 (`fine_recall`).
-FINE, FINE_ROWS = 160, 10
-CHOICES = np.sort(np.random.default_rng(SEED + 1).permuted(np.tile(np.arange(BANDS * ROWS), (FINE, 1)), axis=1)[:, :FINE_ROWS], axis=1)
+#: Classes of sizes between a text and the smallest that can be alike; more give fewer pairs and more rows. It only moves work.
+CLASSES = 4
+#: For what rounding takes from a bound.
+SLACK = 1e-6
+
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -370,24 +371,6 @@ def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("u4").view("i4")
 
 
-def _combined(values: np.ndarray) -> np.ndarray:
-    """One number for every row of values along the last axis, and its place along the one before."""
-    out = np.broadcast_to(np.arange(1, values.shape[-2] + 1, dtype="u8"), values.shape[:-1])
-    for k in range(values.shape[-1]):
-        out = (out ^ values[..., k].view("u4").astype("u8")) * np.uint64(0x9E3779B97F4A7C15)
-        out = out ^ (out >> np.uint64(32))
-    return out.view("i8")
-
-
-def fine_recall(similarity: float) -> float:
-    """The probability that two sets share a fine bucket, from how many of their smallest hashes agree."""
-    total, n = 0.0, BANDS * ROWS
-    for same in range(n + 1):
-        none = (1 - math.comb(same, FINE_ROWS) / math.comb(n, FINE_ROWS)) ** FINE
-        total += math.comb(n, same) * similarity ** same * (1 - similarity) ** (n - same) * (1 - none)
-    return total
-
-
 def _signed(size: int):
     """A function of a text column: the fingerprint over its set of words, and size and smallest hashes of its set of shingles."""
 
@@ -417,15 +400,6 @@ def _bands(least: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[F.get(least, F.lit(b * ROWS + k)) for k in range(ROWS)]) for b in range(BANDS)])
 
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def _fine_bands(least: pd.Series) -> pd.Series:
-    """The fine buckets of each row's smallest hashes."""
-    if not len(least):
-        return pd.Series([], dtype="object")
-    values = np.stack(least.to_numpy()).astype("i4")
-    return pd.Series([x for at in range(0, len(values), 1000) for x in _combined(values[at:at + 1000][:, CHOICES])], dtype="object")
-
-
 def _bucketed(texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(cell, key, size) of every text (key, size, cells) in each of its buckets that another text shares."""
     every = texts.select("key", "size", F.explode("cells").alias("cell"))
@@ -435,16 +409,49 @@ def _bucketed(texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return every.where(may_be_in(shared, "cell")(F.col("cell"))).join(shared, "cell").select("cell", "key", "size").distinct()
 
 
-def _of_several_groups(members: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of buckets that hold more than one group: (cell, key, size, component, lead), `lead` the bucket's largest group."""
+def _grouped(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """`texts` with their component and how many texts it has."""
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("texts"))
-    placed = members.join(near.withColumnRenamed("node", "key"), "key", "left").join(sizes, "component", "left").withColumns(
+    return texts.join(near.withColumnRenamed("node", "key"), "key", "left").join(sizes, "component", "left").withColumns(
         {"component": F.coalesce("component", "key"), "texts": F.coalesce("texts", F.lit(1))})
+
+
+def _of_several_groups(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of cells that hold more than one group, and `lead`, the cell's largest group."""
     cells = placed.groupBy("cell").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("texts", "component")).alias("lead")).where("lo < hi")
     return scratch.written(placed.join(cells.select("cell", F.col("lead.component").alias("lead")), "cell").drop("texts"), "open")
 
 
+def _by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Texts (key, component, texts) by cells in which any two of two groups meet whose sets can be alike: (cell, key,
+    size, component, texts, at, own, other).
+
+    Shingles that one group alone holds come first, then the others, rarest first. Two sets of a similarity j have
+    j / (1 + j) of both sizes in common, none of it before the first shingle they share: so that one stands at a place
+    `at` after which each still has as many. A text is posted under the shingles at such places, for each class of sizes
+    (`other`) of the texts it can be alike with there; `own` is its class.
+    """
+    common = similarity / (1 + similarity)
+    steps = CLASSES / max(-math.log(similarity), 1e-3)
+    of_size = lambda n: F.floor(F.log(n) * steps).cast("int")
+    named = texts.join(sets.withColumnRenamed("_key", "key"), "key").withColumn("node", F.xxhash64("key"))
+    tokens = named.select("node", F.xxhash64("component").alias("group"), F.explode("set").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
+    held = tokens.join(shared.select("token", "n"), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    rows = named.select("node", "key", "component", "texts", F.size("set").alias("size")).join(held, "node")
+    size, at = F.col("size"), F.col("at")
+    least, before = F.ceil(size * similarity - SLACK), size - F.size("shared")
+    places = F.greatest(F.lit(0), (F.floor(size - common * (size + least) + SLACK) + 1 - before).cast("int"))
+    rows = rows.select("key", "component", "texts", "size", least.alias("least"), before.alias("before"), F.posexplode(F.slice("shared", 1, places)))
+    rows = rows.select("key", "component", "texts", "size", "least", (F.col("before") + F.col("pos")).alias("at"), F.col("col.token").alias("token"))
+    most = F.floor(F.least(size / similarity, (size - at) / common - size) + SLACK)
+    rows = rows.withColumns({"own": of_size(size), "most": most}).where("most >= least")
+    rows = rows.withColumn("other", F.explode(F.sequence(of_size(F.col("least")), of_size(F.col("most")))))
+    cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(cell.alias("cell"), "key", "size", "component", "texts", "at", "own", "other")
+
+
 def _against_hubs(placed: DataFrame, step: int) -> DataFrame:
     """(key, size, _key, _size): a bucket's texts with some of them, picked by a hash anew in every step."""
     text = F.struct("key", "size", "component")
@@ -454,12 +461,14 @@ def _against_hubs(placed: DataFrame, step: int) -> DataFrame:
     return placed.join(hubs, "cell").where("component <> _component")
 
 
-def _across_groups(placed: DataFrame) -> DataFrame:
-    """(key, size, _key, _size): each text of a bucket that is not of its largest group with those of other groups."""
+def _across_groups(placed: DataFrame, similarity: float) -> DataFrame:
+    """(key, size, _key, _size): each text of a cell that is not of its largest group with those of other groups."""
     few = placed.where("component <> lead").drop("lead")
-    every = placed.select("cell", *[F.col(c).alias(f"_{c}") for c in ("key", "size", "component", "lead")])
+    every = placed.select("cell", *[F.col(c).alias(f"_{c}") for c in ("key", "size", "component", "lead", "at", "own")])
+    left = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+    enough = left >= similarity / (1 + similarity) * (F.col("size") + F.col("_size")) - SLACK
     # two texts of small groups meet twice, once is enough
-    return few.join(every, "cell").where("component <> _component and (_component = _lead or key < _key)")
+    return few.join(every, "cell").where("component <> _component and (_component = _lead or key < _key) and other = _own").where(enough)
 
 
 def near_deduplicated(
@@ -472,9 +481,9 @@ def near_deduplicated(
     shortest forest of a search by a fingerprint over the sets of words, which scattered edits move by a few bits. It
     joins most copies, and what it leaves out costs nothing, for the rounds after it take the buckets of smallest hashes:
     each text against a few of its bucket, and at last, of the texts that are in a bucket with other groups, every pair
-    of two groups that shares a fine bucket. A pair of 0.8 is missed there with a probability of 0.002 at most, if no
-    round before has joined it; more alike ones hardly ever. Null and empty texts are equal texts. Of rows that are equal
-    in id and text one stays. An empty table stays empty; all columns are carried, whatever their names.
+    of two groups that can be alike by the rarest shingle it shares: none is missed there. Null and empty texts are equal
+    texts. Of rows that are equal in id and text one stays. An empty table stays empty; all columns are carried, whatever
+    their names.
     """
     raw = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     scratch = Scratch()
@@ -512,16 +521,13 @@ def near_deduplicated(
         near = components(links, scratch)
         if step > ROUNDS:
             break
-        placed = _of_several_groups(members, near, scratch)
+        placed = _of_several_groups(_grouped(members, near), scratch)
         if step < ROUNDS:
             met = _against_hubs(placed, step)
         else:
-            asked = scratch.written(placed.select("key").distinct(), "asked")
-            open_ = marked.join(asked, "key").groupBy("key").agg(F.any_value("size").alias("size"), F.any_value("least").alias("least"))
-            # written first: a task that filters buckets then needs one Python worker, not two
-            cells = scratch.written(open_.select("key", "size", _fine_bands("least").alias("cells")), "fine-cells")
-            fine = scratch.written(_bucketed(cells, scratch, "fine"), "fine")
-            met = _across_groups(_of_several_groups(fine, near, scratch))
+            asked = scratch.written(_grouped(placed.select("key").distinct(), near), "asked")
+            rare = scratch.written(_by_rare_shingles(asked, sets, similarity), "rare")
+            met = _across_groups(_of_several_groups(rare, scratch), similarity)
         # the smaller set's share of the larger one is the most that their similarity can be
         met = met.where(F.least("size", "_size") >= similarity * F.greatest("size", "_size"))
         asked = met.select(F.col("key").alias("a"), F.col("_key").alias("b")).select(*ordered).distinct()

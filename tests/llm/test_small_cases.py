@@ -305,6 +305,45 @@ def test_a_group_of_texts_that_are_nearly_alike_enough(spark):
     assert set(label) <= kept and len(kept) <= len(set(label)) + 1 and 280 < len(set(label)) < 320
 
 
+def test_texts_that_share_a_long_passage_are_not_all_measured(spark, monkeypatch):
+    """Texts 0.7 like each other by a passage they all have: what is measured grows with the texts, and all links are found."""
+    r, passage, texts = random.Random(78), prose(61, 300).split(" "), []
+    for i in range(200):
+        own = prose(3000 + i, 60).split(" ")
+        texts.append(passage + own if i % 2 else own + passage)
+    for i in range(20):
+        words = list(texts[r.randrange(200)])
+        for _ in range(3):
+            words[r.randrange(len(words))] = f"edit{r.randrange(10**6)}"
+        texts.append(words)
+    texts = [" ".join(t) for t in texts]
+    label, written, rows = groups_by_brute_force(texts), simhash.Scratch.written, []
+
+    def counted(self, df, name):
+        out = written(self, df, name)
+        if name == "pairs":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "written", counted)
+    kept = {x.doc_id for x in simhash.near_deduplicated(table(spark, texts)).collect()}
+    assert kept == set(label) and 190 < len(kept) < 215
+    assert rows[-1] < 2 * len(texts)
+
+
+def test_sizes_on_every_side_of_the_bound_are_found(spark):
+    """Sets whose sizes are exactly at the bound, one above and one below it, and the rest of the classes of sizes."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:n]) for n in (5, 9, 14, 54, 53, 404)] + [" ".join(words[k:k + n]) for k, n in ((0, 104), (25, 104), (11, 104), (12, 104), (0, 84), (0, 129))]
+    sets = spark.createDataFrame([(f"{i:02d}", simhash.np.unique(simhash.shingle_hashes(t, 5)).view("i8").tolist()) for i, t in enumerate(texts)], "_key string, set array<long>")
+    alone = sets.select(F.col("_key").alias("key"), F.col("_key").alias("component"), F.lit(1).cast("long").alias("texts"))
+    placed = simhash._by_rare_shingles(alone, sets, 0.8).withColumn("lead", F.lit("none"))
+    found = {tuple(sorted(x)) for x in simhash._across_groups(placed, 0.8).select("key", "_key").collect()}
+    own = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = {(f"{i:02d}", f"{j:02d}") for j in range(len(own)) for i in range(j) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    assert len(alike) > 5 and alike <= found
+
+
 def test_copies_cut_off_or_continued_leave_one(spark):
     texts = []
     for seed in range(40):
