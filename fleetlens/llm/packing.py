@@ -8,12 +8,13 @@ alike, so a group is a histogram of lengths while it is packed.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +24,14 @@ CAPACITY = 2048
 END = 0
 #: Pieces of one group; a group leaves a few sequences that are not full, so larger ones pack a little tighter.
 GROUP = 50_000
-#: Spellings whose ids a worker remembers; further ones are encoded anew.
-REMEMBERED = 400_000
+#: Parts of words whose ids a worker remembers; further ones are encoded anew.
+REMEMBERED = 600_000
+#: Characters of text that are encoded at once: they only move work.
+AT_ONCE = 4 << 20
 
-_SPLIT = re.compile("[ \t\n\x0b\f\r]+")
-#: White space of str.split() beyond those six: with one of these the text is split at the six only.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _MARKS = ".,;:!?"
 
+
 class Encoder:
     """Token ids of texts, by a tokenizer that lowers letters, drops white space and never joins across it.
 
@@ -46,8 +47,8 @@ class Encoder:
             tokenizer = tokenizers.Tokenizer.from_file(path)
             last = np.zeros(tokenizer.get_vocab_size(), bool)
             last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-            kept[path] = (tokenizer, last, {}, {})
-        self.tokenizer, self.last, self.words, self.parts = kept[path]
+            kept[path] = (tokenizer, last, {})
+        self.tokenizer, self.last, self.parts = kept[path]
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -66,40 +67,56 @@ class Encoder:
                 found[part] = self._encoded(part).tobytes()
         return found
 
-    def _new_words(self, words: set[str]) -> dict[str, bytes]:
-        split: dict[str, tuple[str, str]] = {}
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of different words, by those of its letters and of the marks at its end."""
+        cores, marks = [], []
         for word in words:
             core = word.rstrip(_MARKS)
-            core, marks = (core, word[len(core):]) if core[-1:].isalpha() else (word, "")
-            if core.isascii() and "<|" not in core:  # where special tokens are written
-                core = core.lower()
-            split[word] = core, marks
-        unseen = {p for pair in split.values() for p in pair if p}.difference(self.parts)
-        learnt = self._learn(sorted(unseen))
+            if not core[-1:].isalpha():
+                core = word
+            marks.append(word[len(core):])
+            # not where special tokens are written
+            cores.append(core.lower() if core.isascii() and "<|" not in core else core)
+        ids = {"": b""}
+        parts = {*cores, *marks} - ids.keys()
+        for part, known in zip(parts, map(self.parts.get, parts)):
+            ids[part] = known
+        learnt = self._learn([part for part, known in ids.items() if known is None])
+        ids.update(learnt)
         if len(self.parts) < REMEMBERED:
             self.parts.update(learnt)
-        of = lambda p: (self.parts.get(p) or learnt.get(p, b"")) if p else b""
-        return {word: of(core) + of(marks) for word, (core, marks) in split.items()}
+        return [ids[core] + ids[mark] if mark else ids[core] for core, mark in zip(cores, marks)]
+
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each whole text, and its end mark."""
-        end = np.array([END], "<u4").tobytes()
-        seen, unseen = [], set()
+        held, size = [], 0
         for text in texts:
             text = text or ""
-            words = _SPLIT.split(text) if _ODD_SPACE.search(text) else text.split()
-            found = list(map(self.words.get, words))
-            gaps = [i for i, ids in enumerate(found) if ids is None] if None in found else []
-            unseen.update(words[i] for i in gaps)
-            seen.append((words, found, gaps))
-        fresh = self._new_words(unseen)
-        if len(self.words) < REMEMBERED:
-            self.words.update(fresh)
-        for words, found, gaps in seen:
-            for i in gaps:
-                found[i] = fresh[words[i]]
-            found.append(end)
-            yield np.frombuffer(b"".join(found), "<u4")
+            if held and size + len(text) > AT_ONCE:
+                yield from self._ids(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        if held:
+            yield from self._ids(held)
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each spelling of all texts is looked up once; texts are put together from its ids."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = pc.dictionary_encode(pc.list_flatten(cut))
+        of, found = words.indices.to_numpy(), self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        every = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
+        begin, n = (np.cumsum(sizes) - sizes)[of], sizes[of]
+        stop = np.cumsum(n)
+        ids = every[np.repeat(begin - stop + n, n) + np.arange(int(n.sum()))]
+        words_to = np.cumsum(pc.list_value_length(cut).to_numpy())
+        ends = np.concatenate((np.zeros(1, "i8"), stop))[words_to].tolist()
+        at = 0
+        for end in ends:
+            yield np.append(ids[at:end], np.uint32(END))
+            at = end
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +162,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def pieced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
+            for at in range(0, len(batch), 2048):
+                part = batch.iloc[at:at + 2048]
                 rows = [(k, *cut) for k, ids in enumerate(encoder.ids(part["text"])) for cut in _cut(ids, capacity)]
                 out = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
                 yield part[["doc_id"]].iloc[out["k"].to_numpy()].reset_index(drop=True).join(out.drop(columns="k"))
