@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,6 +176,21 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, dept
     the other, and they are in one interval throughout. Keys hold a row's place in their low bits, so that sorting them
     sorts the rows.
     """
+    return _doubled(symbols, left, string, lambda width, apart: width > depth + 1 or apart)[0]
+
+
+def prefix_ranks(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """Ranks of all suffixes by their first symbols, at most `depth`, and by how many; equal where these agree, but for ends.
+
+    The first doubling tells the ends apart: where `depth` has no room for it, no symbols count.
+    """
+    widths: list[int] = []
+    _, rank, width = _doubled(symbols, left, string, lambda width, apart: widths.append(width) or 2 * width > depth)
+    return rank, width if len(widths) > 1 else 0
+
+
+def _doubled(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, done: Callable[[int, bool], bool]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order and ranks of suffixes by their first `width` symbols, which are doubled until `done(width, all apart)`."""
     n = len(symbols)
     bits = np.uint64(max(1, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -201,31 +216,37 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, dept
         return order
 
     order = ranked(key)
-    while width <= depth + 1 and rank.max(initial=0) < n - 1:
+    while not done(width, bool(rank.max(initial=0) >= n - 1)):
         ahead = np.where(left < width, string, 0).astype("u8")
         far = np.flatnonzero(left >= width)
         ahead[far] = rank[far + width]
         order = ranked((rank << bits) | ahead)
         width *= 2
-    return order
+    return order, rank, width
 
 
 def merged_intervals(
     transforms: list[np.ndarray], string: np.ndarray, window: np.ndarray, rounds: int,
+    ranks: np.ndarray | None = None, begun: int = 0,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(row, interval) of rows that may agree with others in their first `rounds` symbols.
 
     Rows are those of the transforms, one transform after the other; `string` is a row's string and `window` tells the
     rows that are asked for. `interval` numbers the runs of rows that agree. Rows of the end symbol 0 stand by transform
     and string, all apart. A string whose asked rows are all apart is finished: it is taken out of all transforms, in
-    which the rows of the others stand as before, and further rounds pass over what is left.
+    which the rows of the others stand as before, and further rounds pass over what is left. `ranks` of the rows by their
+    first `begun` symbols, with all ends apart, stand for as many rounds.
     """
     symbols = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(transforms), dtype="u1"), [len(t) for t in transforms])
     rows = np.arange(len(symbols))
     interleave, interval = shard.copy(), np.zeros(len(symbols), "i4")
     place = rows
-    for done in range(1, rounds + 1):
+    if begun:
+        order = np.argsort(ranks, kind="stable")
+        interleave, interval = shard[order], ranks[order].astype("i4")
+        place = np.argsort(interleave, kind="stable")
+    for done in range(begun + 1, rounds + 1):
         n = len(symbols)
         end_shards = shard[symbols == 0]
         ends = len(end_shards)
@@ -261,7 +282,7 @@ def merged_intervals(
 
 def smallest_holders(strings: list[bytes], docs: np.ndarray, source: np.ndarray, length: int) -> list[np.ndarray]:
     """For every window of every string the smallest document whose string has the same window; `source`: a string's shard."""
-    parts, transforms, rows_at = [], [], []
+    parts, transforms, rows_at, texts = [], [], [], []
     for shard in np.unique(source).tolist():
         own = np.flatnonzero(source == shard)
         sizes = np.array([len(strings[i]) for i in own])
@@ -274,10 +295,15 @@ def smallest_holders(strings: list[bytes], docs: np.ndarray, source: np.ndarray,
         transforms.append(np.where(begins, 0, text[order - 1]).astype("u1"))
         parts.append(own[string[order]])
         rows_at.append((sizes[string] - left)[order])
+        texts.append((text, left, string + (texts[-1][2][-1] + 1 if texts else 0), order))
+    # the first rounds at once, by ranks
+    firsts = np.cumsum([0, *(len(t[0]) for t in texts)])
+    ranks, begun = prefix_ranks(*(np.concatenate([t[i] for t in texts]) for i in range(3)), length)
+    ranks = ranks[np.concatenate([first + t[3] for first, t in zip(firsts, texts)])]
     string, offset = np.concatenate(parts), np.concatenate(rows_at)
     sizes = np.array([len(s) for s in strings])
     window = offset + length <= sizes[string]
-    rows, interval = merged_intervals(transforms, string, window, length)
+    rows, interval = merged_intervals(transforms, string, window, length, ranks, begun)
     asked = window[rows]
     rows, interval = rows[asked], interval[asked]
     string, offset = string[rows], offset[rows]

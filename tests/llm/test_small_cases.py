@@ -565,6 +565,28 @@ def test_finished_strings_leave_the_merge(monkeypatch, every):
             assert found.tolist() == [min(d for d, s in zip(docs.tolist(), strings) if string[k:k + length] in s) for k in range(len(string) - length + 1)]
 
 
+@pytest.mark.parametrize("length", [8, 20, 50])
+def test_a_merge_that_begins_from_ranks_is_the_whole_merge(monkeypatch, length):
+    r = random.Random(length)
+    words = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 30))) for _ in range(40)]
+    strings = list({b"".join(r.choice(words) for _ in range(12))[:r.randint(length, 120)].ljust(length, b"a") for _ in range(400)})
+    docs, source = np.array([r.randrange(50) for _ in strings]), np.array([r.randrange(8) for _ in strings])
+    merged, begun_at = suffixes.merged_intervals, []
+
+    def spied(transforms, string, window, rounds, ranks=None, begun=0):
+        begun_at.append(begun)
+        return merged(transforms, string, window, rounds, ranks, begun)
+
+    monkeypatch.setattr(suffixes, "merged_intervals", spied)
+    found = suffixes.smallest_holders(strings, docs, source, length)
+    least = {}
+    for s, d in zip(strings, docs.tolist()):
+        for i in range(len(s) - length + 1):
+            least[s[i:i + length]] = min(d, least.get(s[i:i + length], d))
+    assert [f.tolist() for f in found] == [[least[s[i:i + length]] for i in range(len(s) - length + 1)] for s in strings]
+    assert begun_at[0] <= length and (length < 20 or 2 * begun_at[0] > length)
+
+
 def test_one_anchor_in_many_contexts(spark):
     """A stock phrase of 60 bytes in 10,000 different contexts, every tenth of them once more."""
     phrase = "All rights reserved, no part of this may be reproduced here."
