@@ -176,21 +176,15 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, dept
     the other, and they are in one interval throughout. Keys hold a row's place in their low bits, so that sorting them
     sorts the rows.
     """
-    return _doubled(symbols, left, string, lambda width, apart: width > depth + 1 or apart)[0]
+    return ranked_order(symbols, left, string, depth)[0]
 
 
-def prefix_ranks(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
-    """Ranks of all suffixes by their first symbols, at most `depth`, and by how many; equal where these agree, but for ends.
+def ranked_order(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """As `suffix_order`, and the ranks of the suffixes by their first symbols, at most `depth`, and by how many.
 
-    The first doubling tells the ends apart: where `depth` has no room for it, no symbols count.
+    Ranks are equal where these symbols are, but ends, which the first doubling tells apart, have ranks of their own:
+    where `depth` has no room for it, no symbols count.
     """
-    widths: list[int] = []
-    _, rank, width = _doubled(symbols, left, string, lambda width, apart: widths.append(width) or 2 * width > depth)
-    return rank, width if len(widths) > 1 else 0
-
-
-def _doubled(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, done: Callable[[int, bool], bool]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Order and ranks of suffixes by their first `width` symbols, which are doubled until `done(width, all apart)`."""
     n = len(symbols)
     bits = np.uint64(max(1, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -216,13 +210,16 @@ def _doubled(symbols: np.ndarray, left: np.ndarray, string: np.ndarray, done: Ca
         return order
 
     order = ranked(key)
-    while not done(width, bool(rank.max(initial=0) >= n - 1)):
+    early, begun = rank, 0
+    while width <= depth + 1 and rank.max(initial=0) < n - 1:
         ahead = np.where(left < width, string, 0).astype("u8")
         far = np.flatnonzero(left >= width)
         ahead[far] = rank[far + width]
         order = ranked((rank << bits) | ahead)
         width *= 2
-    return order, rank, width
+        if width <= depth:
+            early, begun = rank.copy(), width
+    return order, early, begun
 
 
 def merged_intervals(
@@ -282,25 +279,20 @@ def merged_intervals(
 
 def smallest_holders(strings: list[bytes], docs: np.ndarray, source: np.ndarray, length: int) -> list[np.ndarray]:
     """For every window of every string the smallest document whose string has the same window; `source`: a string's shard."""
-    parts, transforms, rows_at, texts = [], [], [], []
-    for shard in np.unique(source).tolist():
-        own = np.flatnonzero(source == shard)
-        sizes = np.array([len(strings[i]) for i in own])
-        text = np.frombuffer(b"\xff".join([strings[i] for i in own]) + b"\xff", "u1") + np.uint8(1)  # \xff, in no UTF-8, becomes 0
-        stops = np.cumsum(sizes + 1) - 1
-        string = np.repeat(np.arange(len(own)), sizes + 1)
-        left = stops[string] - np.arange(len(text))
-        order = suffix_order(text, left, string, length)
-        begins = left[order] == sizes[string[order]]
-        transforms.append(np.where(begins, 0, text[order - 1]).astype("u1"))
-        parts.append(own[string[order]])
-        rows_at.append((sizes[string] - left)[order])
-        texts.append((text, left, string + (texts[-1][2][-1] + 1 if texts else 0), order))
-    # the first rounds at once, by ranks
-    firsts = np.cumsum([0, *(len(t[0]) for t in texts)])
-    ranks, begun = prefix_ranks(*(np.concatenate([t[i] for t in texts]) for i in range(3)), length)
-    ranks = ranks[np.concatenate([first + t[3] for first, t in zip(firsts, texts)])]
-    string, offset = np.concatenate(parts), np.concatenate(rows_at)
+    # the strings of a shard after those of the one before; all are ordered at once, and each shard has its part of the order
+    by_shard = np.argsort(source, kind="stable")
+    sizes = np.array([len(strings[i]) for i in by_shard])
+    text = np.frombuffer(b"\xff".join([strings[i] for i in by_shard]) + b"\xff", "u1") + np.uint8(1)  # \xff, in no UTF-8, becomes 0
+    stops = np.cumsum(sizes + 1) - 1
+    string = np.repeat(np.arange(len(by_shard)), sizes + 1)
+    left = stops[string] - np.arange(len(text))
+    order, ranks, begun = ranked_order(text, left, string, length)
+    of = source[by_shard][string]
+    order = order[np.argsort(of[order], kind="stable")]
+    begins = left[order] == sizes[string[order]]
+    before = np.where(begins, 0, text[order - 1]).astype("u1")
+    transforms = np.split(before, np.flatnonzero(of[1:] != of[:-1]) + 1)
+    ranks, string, offset = ranks[order], by_shard[string[order]], (sizes[string] - left)[order]
     sizes = np.array([len(s) for s in strings])
     window = offset + length <= sizes[string]
     rows, interval = merged_intervals(transforms, string, window, length, ranks, begun)
