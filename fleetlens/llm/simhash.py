@@ -13,7 +13,8 @@ spanning forest: as many rows as it holds at most, and connected just like all i
 
 Near copies by a similarity of sets (`near_deduplicated`) take those links for a first round only. What is complete
 there are the buckets of bands of smallest hashes: texts of one bucket are measured until all are in one group, or else
-against all open texts with which they share one of their rarest shingles, early enough to be alike.
+against all open texts with which they share one of their rarest shingles, early enough to be alike. Sets are read only
+for pairs whose sketches, bits that tell how far two sets are apart at least, leave it open whether they are alike.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dty
 ROUNDS, HUBS = 2, 4
 #: Classes of sizes between a text and the smallest that can be alike; more give fewer pairs and more rows. It only moves work.
 CLASSES = 4
+#: Longs of a sketch of a set. More rule out more pairs of large sets before these are measured. It only moves work.
+SKETCH = 16
 #: For what rounding takes from a bound.
 SLACK = 1e-6
 
@@ -371,18 +374,30 @@ def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("u4").view("i4")
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes, whether an odd number fall on each of 64 * SKETCH places.
+
+    A hash that only one of two sets has changes one bit, so two sketches differ in no more bits than there are such hashes.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype("i8"), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _signed(size: int):
-    """A function of a text column: the fingerprint over its set of words, and size and smallest hashes of its set of shingles."""
+    """A function of a text column: the fingerprint over its set of words, and size, smallest hashes and sketch of its set of shingles."""
 
-    @pandas_udf("fp long, size int, least array<int>")
+    @pandas_udf("fp long, size int, least array<int>, sketch array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        prints, sizes, least = [], [], []
+        prints, sizes, least, sketches = [], [], [], []
         for text in texts:
             hashes = np.unique(shingle_hashes(text, size))
             prints.append(fingerprint_of(np.unique(shingle_hashes(text, 1))))
             sizes.append(len(hashes))
             least.append(smallest_hashes(hashes))
-        return pd.DataFrame({"fp": np.array(prints, "i8"), "size": np.array(sizes, "i4"), "least": pd.Series(least, dtype="object")})
+            sketches.append(sketch_of(hashes))
+        return pd.DataFrame({
+            "fp": np.array(prints, "i8"), "size": np.array(sizes, "i4"), "least": pd.Series(least, dtype="object"),
+            "sketch": pd.Series(sketches, dtype="object")})
 
     return of
 
@@ -395,6 +410,14 @@ def _shingle_sets(size: int):
     return of
 
 
+def _may_be_alike(similarity: float) -> Column:
+    """False only for pairs (size, sketch, _size, _sketch) of sets whose similarity is below: two sets that are alike are
+    apart by (1 - j) / (1 + j) of both sizes at most, and the smaller one has a share j of the larger one."""
+    apart = sum(F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("_sketch", F.lit(i)))) for i in range(SKETCH))
+    near = apart <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("_size")) + SLACK
+    return near & (F.least("size", "_size") >= similarity * F.greatest("size", "_size") - SLACK)
+
+
 def _bands(least: Column) -> Column:
     """The buckets of a row's smallest hashes, without a Python worker."""
     return F.array(*[F.xxhash64(F.lit(b), *[F.get(least, F.lit(b * ROWS + k)) for k in range(ROWS)]) for b in range(BANDS)])
@@ -425,46 +448,46 @@ def _of_several_groups(placed: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Texts (key, component, texts) by cells in which any two of two groups meet whose sets can be alike: (cell, key,
-    size, component, texts, at, own, other).
+    size, component, texts, at, own, other). Other columns of `texts` are carried.
 
     Shingles that one group alone holds come first, then the others, rarest first. Two sets of a similarity j have
     j / (1 + j) of both sizes in common, none of it before the first shingle they share: so that one stands at a place
     `at` after which each still has as many. A text is posted under the shingles at such places, for each class of sizes
     (`other`) of the texts it can be alike with there; `own` is its class.
     """
-    common = similarity / (1 + similarity)
+    common, carried = similarity / (1 + similarity), texts.columns
     steps = CLASSES / max(-math.log(similarity), 1e-3)
     of_size = lambda n: F.floor(F.log(n) * steps).cast("int")
     named = texts.join(sets.withColumnRenamed("_key", "key"), "key").withColumn("node", F.xxhash64("key"))
     tokens = named.select("node", F.xxhash64("component").alias("group"), F.explode("set").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
     held = tokens.join(shared.select("token", "n"), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    rows = named.select("node", "key", "component", "texts", F.size("set").alias("size")).join(held, "node")
+    rows = named.select("node", *carried, F.size("set").alias("size")).join(held, "node")
     size, at = F.col("size"), F.col("at")
     least, before = F.ceil(size * similarity - SLACK), size - F.size("shared")
     places = F.greatest(F.lit(0), (F.floor(size - common * (size + least) + SLACK) + 1 - before).cast("int"))
-    rows = rows.select("key", "component", "texts", "size", least.alias("least"), before.alias("before"), F.posexplode(F.slice("shared", 1, places)))
-    rows = rows.select("key", "component", "texts", "size", "least", (F.col("before") + F.col("pos")).alias("at"), F.col("col.token").alias("token"))
+    rows = rows.select(*carried, "size", least.alias("least"), before.alias("before"), F.posexplode(F.slice("shared", 1, places)))
+    rows = rows.select(*carried, "size", "least", (F.col("before") + F.col("pos")).alias("at"), F.col("col.token").alias("token"))
     most = F.floor(F.least(size / similarity, (size - at) / common - size) + SLACK)
     rows = rows.withColumns({"own": of_size(size), "most": most}).where("most >= least")
     rows = rows.withColumn("other", F.explode(F.sequence(of_size(F.col("least")), of_size(F.col("most")))))
     cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(cell.alias("cell"), "key", "size", "component", "texts", "at", "own", "other")
+    return rows.select(cell.alias("cell"), "size", *carried, "at", "own", "other")
 
 
 def _against_hubs(placed: DataFrame, step: int) -> DataFrame:
-    """(key, size, _key, _size): a bucket's texts with some of them, picked by a hash anew in every step."""
-    text = F.struct("key", "size", "component")
+    """(key, size, sketch, _key, _size, _sketch): a bucket's texts with some of them, picked by a hash anew in every step."""
+    text = F.struct("key", "size", "sketch", "component")
     picks = [F.min_by(text, F.xxhash64(F.lit(step * HUBS + i), "key")) for i in range(HUBS)]
     hubs = placed.groupBy("cell").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select("cell", F.explode("hubs").alias("hub"))
-    hubs = hubs.select("cell", *[F.col(f"hub.{c}").alias(f"_{c}") for c in ("key", "size", "component")])
+    hubs = hubs.select("cell", *[F.col(f"hub.{c}").alias(f"_{c}") for c in ("key", "size", "sketch", "component")])
     return placed.join(hubs, "cell").where("component <> _component")
 
 
 def _across_groups(placed: DataFrame, similarity: float) -> DataFrame:
-    """(key, size, _key, _size): each text of a cell that is not of its largest group with those of other groups."""
+    """(key, size, …, _key, _size, …): each text of a cell that is not of its largest group with those of other groups."""
     few = placed.where("component <> lead").drop("lead")
-    every = placed.select("cell", *[F.col(c).alias(f"_{c}") for c in ("key", "size", "component", "lead", "at", "own")])
+    every = placed.select("cell", *[F.col(c).alias(f"_{c}") for c in placed.columns if c not in ("cell", "other")])
     left = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
     enough = left >= similarity / (1 + similarity) * (F.col("size") + F.col("_size")) - SLACK
     # two texts of small groups meet twice, once is enough
@@ -481,7 +504,8 @@ def near_deduplicated(
     shortest forest of a search by a fingerprint over the sets of words, which scattered edits move by a few bits. It
     joins most copies, and what it leaves out costs nothing, for the rounds after it take the buckets of smallest hashes:
     each text against a few of its bucket, and at last, of the texts that are in a bucket with other groups, every pair
-    of two groups that can be alike by the rarest shingle it shares: none is missed there. Null and empty texts are equal
+    of two groups that can be alike by the rarest shingle it shares: none is missed there. In every round pairs that are
+    too far apart by their sizes or sketches to be alike are left out before their sets are joined. Null and empty texts are equal
     texts. Of rows that are equal in id and text one stays. An empty table stays empty; all columns are carried, whatever
     their names.
     """
@@ -489,19 +513,23 @@ def near_deduplicated(
     scratch = Scratch()
     marked = scratch.written(docs.select(
         raw.alias("key"), F.col(doc_id).alias("id"), _signed(shingle)(F.col(text)).alias("s")).select("key", "id", "s.*"), "prints")
-    rows = marked.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"))
+    rows = marked.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("fp", "size", "sketch")])
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")
-    classes = scratch.written(rows.groupBy("key").agg(first, F.min("fp").alias("fp"), F.sum("n").alias("n")), "classes")
+    classes = scratch.written(rows.groupBy("key").agg(
+        first, F.sum("n").alias("n"), *[F.any_value(c).alias(c) for c in ("fp", "size", "sketch")]), "classes")
     if classes.isEmpty():
         return docs
-    prints = scratch.written(classes.groupBy("fp").agg(F.min("key").alias("lead")), "leads")
+    prints = scratch.written(classes.groupBy("fp").agg(F.min(F.struct("key", "size", "sketch")).alias("lead")), "leads")
     links = scratch.written(hamming_links(prints, most).select("a", "b").distinct(), "candidates")
-    lead = {x: prints.select(F.col("fp").alias(x), F.col("lead").alias(f"k{x}")) for x in "ab"}
-    far = links.join(lead["a"], "a").join(lead["b"], "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    same = classes.join(prints, "fp").where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b"))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.written(far.union(same).select(*ordered).distinct(), "pairs")
-    members = scratch.written(_bucketed(marked.select("key", "size", _bands(F.col("least")).alias("cells")), scratch, "coarse"), "members")
+    one, two = (prints.select(F.col("fp").alias(x), *[F.col(f"lead.{c}").alias(f"{u}{c}") for c in ("key", "size", "sketch")])
+                for x, u in (("a", ""), ("b", "_")))
+    both = ["key", "size", "sketch", "_key", "_size", "_sketch"]
+    far = links.join(one, "a").join(two, "b").select(both)
+    same = classes.join(two.withColumnRenamed("b", "fp"), "fp").where("key <> _key").select(both)
+    ordered = (F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b"))
+    pairs = scratch.written(far.union(same).where(_may_be_alike(similarity)).select(*ordered).distinct(), "pairs")
+    members = _bucketed(marked.select("key", "size", _bands(F.col("least")).alias("cells")), scratch, "coarse")
+    members = scratch.written(members.join(classes.select("key", "sketch"), "key"), "members")
     # the sets of shingles, once for each text of a candidate
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("key"))
     wanted = scratch.written(wanted.distinct(), "wanted")
@@ -525,12 +553,10 @@ def near_deduplicated(
         if step < ROUNDS:
             met = _against_hubs(placed, step)
         else:
-            asked = scratch.written(_grouped(placed.select("key").distinct(), near), "asked")
+            asked = scratch.written(_grouped(placed.select("key", "sketch").distinct(), near), "asked")
             rare = scratch.written(_by_rare_shingles(asked, sets, similarity), "rare")
             met = _across_groups(_of_several_groups(rare, scratch), similarity)
-        # the smaller set's share of the larger one is the most that their similarity can be
-        met = met.where(F.least("size", "_size") >= similarity * F.greatest("size", "_size"))
-        asked = met.select(F.col("key").alias("a"), F.col("_key").alias("b")).select(*ordered).distinct()
+        asked = met.where(_may_be_alike(similarity)).select(*ordered).distinct()
         pairs = scratch.written(asked.join(measured, ["a", "b"], "left_anti"), "pairs")
         measured, step = measured.union(pairs), step + 1
     grouped = scratch.written(near.join(classes, near["node"] == classes["key"]).select("component", "key", "first"), "groups")

@@ -331,6 +331,38 @@ def test_texts_that_share_a_long_passage_are_not_all_measured(spark, monkeypatch
     assert rows[-1] < 2 * len(texts)
 
 
+def test_pairs_that_are_too_far_apart_are_not_measured(spark, monkeypatch):
+    """Of a group of texts about 0.65 like each other, hardly more pairs are measured in all rounds than are links."""
+    r = random.Random(79)
+    original = prose(62, 400).split(" ")
+    texts = [edited(i, original, 17) for i in range(150)]
+    texts += [edited(1000 + i, texts[r.randrange(150)].split(" "), 7) for i in range(30)]
+    written, rows = simhash.Scratch.written, {"pairs": 0, "alike": 0}
+
+    def counted(self, df, name):
+        out = written(self, df, name)
+        if name in rows:
+            rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "written", counted)
+    label = groups_by_brute_force(texts)
+    kept = {x.doc_id for x in simhash.near_deduplicated(table(spark, texts)).collect()}
+    assert kept == set(label) and len(kept) < len(texts)
+    assert 0 < rows["alike"] <= rows["pairs"] <= 3 * rows["alike"]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_hashes():
+    r = simhash.np.random.default_rng(80)
+    for n in (0, 1, 30, 300, 3000):
+        for gone in (0, 1, n // 10, n):
+            one = simhash.np.unique(r.integers(0, 1 << 63, n).astype("u8"))
+            two = simhash.np.unique(simhash.np.concatenate((one[gone:], r.integers(0, 1 << 63, gone // 2).astype("u8"))))
+            bits = int(simhash.np.bitwise_count(simhash.sketch_of(one).view("u8") ^ simhash.sketch_of(two).view("u8")).sum())
+            assert bits <= len(simhash.np.setxor1d(one, two)) and len(simhash.sketch_of(one)) == simhash.SKETCH
+            assert bits or not len(simhash.np.setxor1d(one, two))
+
+
 def test_sizes_on_every_side_of_the_bound_are_found(spark):
     """Sets whose sizes are exactly at the bound, one above and one below it, and the rest of the classes of sizes."""
     words = [f"w{i}" for i in range(400)]
