@@ -1,10 +1,9 @@
-"""Operator 13: how the vocabulary of sources diverges, by chunk factorization.
+"""Operator 13: how the vocabulary of sources diverges.
 
-Every document counts its whitespace chunks; a task adds them up by (lang, source, chunk), so frequent chunks shrink
-before they travel. One shuffle brings equal chunks of all documents together: each distinct chunk is cut into terms
-once and its terms are joined back to the sums of every group that holds it. Sums by term give occurrences; documents
-are told apart as far as the rule asks (a row of up to two documents carries them, a row of more is enough by itself),
-which keeps "in at least three documents" exact without moving document lists.
+A task cuts whole batches of texts into terms at once: every byte that is in no term becomes a space. Terms are counted
+by document, then added up by (lang, source, term), so frequent terms shrink before they travel. A document is in one
+batch of one task, so the documents of a term are a plain sum, and which terms a language keeps comes from the same sums
+as the occurrences.
 
 Shares are integers, a billionth a unit, and the divergence of a group from another is a sum over *all* kept terms. A
 term that a group lacks has the same share there as any other that it lacks, so the sum is put together from the terms
@@ -14,8 +13,6 @@ both have, the histogram of counts of each and the number of the rest: no table
 from __future__ import annotations
 
 import json
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,60 +22,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.shared import Scratch, partitions_of, written
+from fleetlens.llm.shared import Scratch, written
 
-#: Runs of letters A-Z, a-z and everything that is not ASCII; chunks come lowered already.
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+#: Of each byte what it is in a term: A-Z lowered, a-z and all that is not ASCII as it is, the rest a space.
+IN_TERM = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 #: Sums that a task holds before it passes them on, their bytes, and bytes of text that it cuts at once: they only move work.
 HELD, HELD_BYTES, CUT = 400_000, 1 << 26, 1 << 22
 UNIT = 1_000_000_000
 #: Below so many occurrences a share is computed in longs.
 LONG = 9_000_000_000
 
-_SUMS = pa.schema([("of", pa.string()), ("chunk", pa.string()), *((c, pa.int64()) for c in ("n", "docs", "lo", "hi"))])
-_CHUNKS = "of string, chunk string, n long, docs long, lo long, hi long"
-_TERMS = "lang string, source string, term string, n long, docs long, lo long, hi long"
+_SUMS = pa.schema([("of", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+_TERMS = "lang string, source string, term string, n long, docs long"
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
-    """Chunk sums of several tables as one."""
-    sums = pa.concat_tables(tables).group_by(["of", "chunk"], use_threads=False).aggregate(
-        [("n", "sum"), ("docs", "sum"), ("lo", "min"), ("hi", "max")])
-    return sums.rename_columns({"n_sum": "n", "docs_sum": "docs", "lo_min": "lo", "hi_max": "hi"}).select(_SUMS.names).cast(_SUMS)
-
-
-def _chunk_sums(batch: pa.RecordBatch) -> pa.Table:
-    """Chunks of each document, then of each group: occurrences, documents, first and last document."""
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(batch["text"]))
-    every = pa.table({"at": pc.list_parent_indices(cut), "chunk": pc.list_flatten(cut)})
-    every = every.filter(pc.not_equal(every["chunk"], ""))
-    held = every.group_by(["at", "chunk"], use_threads=False).aggregate([([], "count_all")])
-    row = batch["row"].take(held["at"])
+    """Sums of several tables as one."""
+    sums = pa.concat_tables(tables).group_by(["of", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return sums.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select(_SUMS.names).cast(_SUMS)
+
+
+def _cut(texts: pa.Array) -> pa.Array:
+    """The terms of each text, with empty ones where it does not begin or end with a term."""
+    if not texts.nbytes or not pc.sum(pc.binary_length(texts)).as_py():
+        return pa.array([[]] * len(texts), pa.list_(pa.large_string()))
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, "i8")[texts.offset:texts.offset + len(texts) + 1]
+    plain = bytes(memoryview(data)[ends[0]:ends[-1]]).translate(IN_TERM)
+    return pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(plain)))
+
+
+def _term_sums(batch: pa.RecordBatch) -> pa.Table:
+    """Terms of each document, then of each group: occurrences and documents."""
+    cut = _cut(batch["text"])
+    every, groups = pc.list_flatten(cut).dictionary_encode(), batch["of"].dictionary_encode()
+    terms, of = every.dictionary, groups.indices.to_numpy().astype("i8")
+    code, at = every.indices.to_numpy(), pc.list_parent_indices(cut).to_numpy().astype("i8")
+    none = pc.index(terms, pa.scalar("", terms.type)).as_py()
+    real = code != none
+    held = pa.table({"k": at[real] * len(terms) + code[real]}).group_by("k", use_threads=False).aggregate([([], "count_all")])
+    k = held["k"].to_numpy()
+    k = of[k // max(1, len(terms))] * len(terms) + k % max(1, len(terms))
+    sums = pa.table({"k": k, "n": held["count_all"]}).group_by("k", use_threads=False).aggregate([("n", "sum"), ([], "count_all")])
+    k = sums["k"].to_numpy()
     return pa.table({
-        "of": batch["of"].take(held["at"]), "chunk": held["chunk"], "n": held["count_all"],
-        "docs": pa.repeat(pa.scalar(1, pa.int64()), len(held)), "lo": row, "hi": row})
+        "of": groups.dictionary.take(pa.array(k // max(1, len(terms)))), "term": terms.take(pa.array(k % max(1, len(terms)))),
+        "n": sums["n_sum"], "docs": sums["count_all"]}).cast(_SUMS)
 
 
 def _sent(sums: pa.Table) -> Iterator[pa.RecordBatch]:
     """Sums in small batches, so that neither side holds many of them twice; freed memory goes back."""
-    yield from sums.to_batches(max_chunksize=10_000)
+    for batch in sums.to_batches(max_chunksize=10_000):
+        names = batch["of"].dictionary_encode()
+        both = [json.loads(x) for x in names.dictionary.to_pylist()]
+        lang, source = (pa.array([b[i] for b in both], pa.string()).take(names.indices) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([lang, source, batch["term"], batch["n"], batch["docs"]], names=["lang", "source", "term", "n", "docs"])
     pa.default_memory_pool().release_unused()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk sums of a task's documents; every group also gives the chunk ''."""
+    """Sums of a task's documents by term; every group also gives the term ''."""
     held: list[pa.Table] = []
     first, size, weight = 0, 0, 0  # rows of the merged table in front, rows and bytes of all
 
     for batch in batches:
         groups = pc.unique(batch["of"])
         zero = pa.repeat(pa.scalar(0, pa.int64()), len(groups))
-        held.append(pa.table([groups, pa.repeat("", len(groups)), zero, zero, zero, zero], schema=_SUMS))
+        held.append(pa.table([groups, pa.repeat("", len(groups)), zero, zero], schema=_SUMS))
         bytes_of, at = pc.cumulative_sum(pc.binary_length(batch["text"]).cast(pa.int64())).to_numpy(), 0
         while at < len(batch):
             done = int(bytes_of[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(bytes_of, done + CUT, "right")))
-            held.append(_chunk_sums(batch.slice(at, to - at)))
+            held.append(_term_sums(batch.slice(at, to - at)))
             size, weight, at = size + len(held[-1]), weight + held[-1].nbytes, to
             if size > max(HELD, 2 * first) or weight > 2 * HELD_BYTES:
                 held = [_merged(held)]
@@ -91,67 +107,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sent(_merged(held))
 
 
-def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk to rows by term; a chunk is cut once, whatever many rows it has. Chunks '' stay."""
-    last, terms = None, {}
-    for batch in batches:
-        if not len(batch):
-            continue
-        chunks = batch["chunk"]
-        new = np.ones(len(batch), bool)
-        new[1:] = pc.not_equal(chunks[1:], chunks[:-1]).to_numpy(zero_copy_only=False)
-        cut = []
-        for chunk in chunks.filter(pa.array(new)).to_pylist():
-            if chunk != last:
-                last = chunk
-                terms = {chunk: 1} if chunk.isascii() and chunk.isalpha() or not chunk else Counter(TERM.findall(chunk))
-            cut.append(terms)
-        per = np.array([len(t) for t in cut])
-        which = np.cumsum(new) - 1
-        sizes = per[which]
-        rows = np.repeat(np.arange(len(batch)), sizes)
-        if not len(rows):
-            continue
-        # the k-th term of a row's chunk
-        begin = np.cumsum(per) - per
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[which[rows]]
-        flat = pa.array([t for c in cut for t in c], pa.string())
-        times = np.array([n for c in cut for n in c.values()], "i8")
-        picked = batch.take(pa.array(rows))
-        names = pc.dictionary_encode(picked["of"])
-        both = [json.loads(x) for x in names.dictionary.to_pylist()]
-        lang, source = (pa.array([b[i] for b in both], pa.string()).take(names.indices) for i in (0, 1))
-        n = pa.array(picked["n"].to_numpy() * times[place])
-        yield pa.RecordBatch.from_arrays(
-            [lang, source, flat.take(pa.array(place)), n, picked["docs"], picked["lo"], picked["hi"]],
-            names=["lang", "source", "term", "n", "docs", "lo", "hi"])
-
-
 def term_rows(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs, lo, hi): sums by chunk, given to its terms. Every group has a row of term ''."""
+    """(lang, source, term, n, docs): occurrences and documents of each term of a group. Every group has a row of term ''."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), plain(text).alias("text"),
-        F.to_json(F.array(plain(lang), plain(source))).alias("of"))
-    enough = F.sum("docs") > 2
-    sums = rows.mapInArrow(_counted, _CHUNKS).repartition(partitions_of(docs), "chunk").groupBy("of", "chunk").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.when(enough, 0).otherwise(F.min("lo")).alias("lo"),
-        F.when(enough, 0).otherwise(F.max("hi")).alias("hi"))
-    return sums.sortWithinPartitions("chunk").mapInArrow(_termed, _TERMS)
+    rows = docs.select(plain(text).alias("text"), F.to_json(F.array(plain(lang), plain(source))).alias("of"))
+    return rows.mapInArrow(_counted, _TERMS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(rows: DataFrame, min_docs: int = 3) -> DataFrame:
-    """(lang, term) of terms that at least `min_docs` documents of the language hold; from 1 to 3.
-
-    A row of up to two documents names both by `lo` and `hi`, so what no row settles alone is counted over them.
-    """
+    """(lang, term, lang_n): terms that at least `min_docs` documents of the language hold, from 1 to 3, and their occurrences there."""
     if not 1 <= min_docs <= 3:
         raise ValueError("min_docs is 1, 2 or 3")
-    rows = rows.where("term <> ''")
-    alone = rows.where(F.col("docs") > 2).select("lang", "term").distinct()
-    few = rows.where(F.col("docs") <= 2).select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
-    few = few.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("lang", "term")
-    return alone.union(few).distinct()
+    sums = rows.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
+    return sums.where(F.col("docs") >= min_docs).select("lang", "term", "lang_n")
 
 
 def _wide(column: str | Column) -> Column:
@@ -195,11 +163,9 @@ def source_divergence(
     """
     scratch = Scratch()
     rows = scratch.written(term_rows(docs, lang, source, text), "terms")
-    kept = kept_terms(rows, min_docs)
-    sums = rows.where("term <> ''").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    counts = scratch.written(sums.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "counts")
-    per_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    langs = per_term.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
+    kept = scratch.written(kept_terms(rows, min_docs), "kept")
+    counts = scratch.written(rows.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "counts")
+    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
     groups = rows.where("term = ''").select("lang", "source").distinct().join(langs, "lang", "left").join(
         totals, ["lang", "source"], "left").na.fill(0)
@@ -233,7 +199,7 @@ def source_divergence(
     pairs = pairs.withColumn("rank", F.row_number().over(order))
 
     whole = _share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    above = per.join(per_term, ["lang", "term"]).withColumn("q", whole).where("p > q")
+    above = per.withColumn("q", whole).where("p > q")
     above = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(p, q).alias("value"))
     # the best of each group are cut out before the shuffle, so no group is ordered whole
     above = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_terms)

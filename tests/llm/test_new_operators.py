@@ -256,6 +256,13 @@ def test_divergence_edges(spark):
         diverged(spark, [("a", "b", "c")], min_docs=4)
 
 
+def test_a_term_of_a_group_is_one_row_whatever_stands_beside_it(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "CUT", 40)
+    texts = ["Word, (word) word.word", "word", None, " ,.", "\u00e9Word\u00a0x\x00WORD\x1fword!", "word; \u4e00-\u4e00"]
+    rows = divergence.term_rows(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)).collect()
+    assert sorted((r.term, r.n, r.docs) for r in rows) == [("", 0, 0), ("word", 8, 4), ("\u00e9word\u00a0x", 1, 1), ("\u4e00", 2, 1)]
+
+
 def test_shares_and_sums_are_exact_on_both_sides_of_a_long(spark):
     counts = [0, 1, divergence.LONG - 1, divergence.LONG, divergence.LONG + 1, 2**40]
     df = spark.createDataFrame([(n, t, v) for n in counts for t in (n + 1, 2**62) for v in (1, 10**6)], "n long, t long, v long")
