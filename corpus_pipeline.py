@@ -14,8 +14,8 @@ from fleetlens.llm.packing import packed
 from fleetlens.llm.quality import kept
 from fleetlens.llm.shared import written
 from fleetlens.llm.simhash import near_deduplicated
-from fleetlens.llm.spans import span_deduplicated
-from fleetlens.session import tune
+from fleetlens.llm.spans import BATCH, span_deduplicated
+from fleetlens.session import settings, tune
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -50,7 +50,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2,048 tokens, packed into sequences."""
     tune(spark)
-    return packed(docs, public_tokenizers.path(TOKENIZER))
+    # the texts are cut into tokens in here; workers get them in small batches
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
+        return packed(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

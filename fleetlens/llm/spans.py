@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from fleetlens.llm.shared import WORD, Scratch, may_be_in, written
+from fleetlens.session import settings
 
 SENTENCES = 3
 #: A span takes further sentences until it has so many words, so that runs of one-word sentences are no passages.
@@ -32,10 +33,17 @@ CUT = 8
 ENDS = tuple(".!?…。！？")
 
 
+#: Arrow's batches of texts; a worker and the JVM each hold a few of them, whatever the length of the texts.
+BATCH = "4m"
+#: Splits of the table of hashes. Hardly any hash repeats inside a split, so its partial minima hold a row for each.
+HASHES_AT_ONCE = "16m"
+
+
 class _Cuts(dict):
     """Of a word: itself in lower case as bytes, and whether a piece ends after it. Remembers so many words at most."""
 
-    most = 250_000
+    #: about 15 MB; words that come first are the frequent ones, the others are worked out each time
+    most = 60_000
 
     def __missing__(self, word: str) -> tuple[bytes, bool]:
         low = word.lower().encode("utf-8", "surrogatepass")
@@ -137,14 +145,17 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]))
-def _cleaned(texts: pd.Series, everywhere: pd.Series, later: pd.Series) -> pd.DataFrame:
-    out, cuts = [], _Cuts()
-    for text, a, b in zip(texts, everywhere, later):
-        if text is None or a is None:
-            out.append((text, 0))
-        else:
-            out.append(without(text, {int(h) & (1 << 64) - 1 for h in a}, {int(h) & (1 << 64) - 1 for h in b}, cuts))
-    return pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype="object"), "n_removed": np.array([n for _, n in out], "i8")})
+def _cleaned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of each text and its two lists of hashes (null: nothing repeats) what `without` gives."""
+    cuts = _Cuts()
+    for texts, everywhere, later in batches:
+        out = []
+        for text, a, b in zip(texts, everywhere, later):
+            if text is None or a is None:
+                out.append((text, 0))
+            else:
+                out.append(without(text, {int(h) & (1 << 64) - 1 for h in a}, {int(h) & (1 << 64) - 1 for h in b}, cuts))
+        yield pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype="object"), "n_removed": np.array([n for _, n in out], "i8")})
 
 
 def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,8 +165,12 @@ def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     equal in id keep what they share with each other, unless a smaller id has it too; so repeated rows stay equal. Null
     texts stay null and texts under `WORDS` words stay as they are; a text of which everything is repeated becomes empty.
     An empty table stays empty. All columns are carried, whatever their names; one named `n_removed` is replaced.
+
+    The session's Arrow batches are held to `BATCH` from here on, until `tune` is called again.
     """
     docs = docs.drop("n_removed")
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     key = F.xxhash64(F.col(text))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), F.col(text).alias("text"))
@@ -168,8 +183,9 @@ def span_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     listed = met.groupBy("id", "key").agg(
         F.collect_set(F.when(F.col("across"), F.col("h"))).alias("everywhere"),
         F.collect_set(F.when(~F.col("across"), F.col("h"))).alias("later"))
-    told = written(listed.withColumnsRenamed({"id": "told_id", "key": "told_key"}), "spans")
-    scratch.clear(docs.sparkSession)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": HASHES_AT_ONCE}):
+        told = written(listed.withColumnsRenamed({"id": "told_id", "key": "told_key"}), "spans")
+    scratch.clear(spark)
     # most texts repeat nothing and stay where they are; the columns of `docs` are in a struct of their own
     other = [F.col(f"`{c}`") for c in docs.columns if c != text]
     keyed = docs.select(F.struct(*other).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"), key.alias("key"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 # is fixed; joins that follow other shuffles still get their hot partitions split; the sessions of a busy key are
 # merged in every task before they are shuffled; a stream's progress tells of all its batches how many rows came late.
 # What a task sorts or aggregates is about ten times as large as what it reads, so splits of files and merged partitions stay small.
+# Arrow's batches have the size that Spark itself gives them, also after an operator that asks for smaller ones.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -33,6 +37,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Runtime settings for what is run inside; then those from before hold again."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def build_session(app: str = "fleetlens", **overrides: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**RUNTIME, **overrides}.items():

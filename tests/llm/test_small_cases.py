@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -11,6 +12,7 @@ from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from fleetlens.llm import components, html_text, mixing, neighbours, packing, quality, simhash, spans, suffixes, toxicity, warc
+from fleetlens.session import tune
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -422,6 +424,36 @@ def test_pieces_hold_all_words():
         assert b" ".join(lines).decode().split() == text.lower().split() and sum(counts) == len(text.split())
 
 
+def test_spans_hold_little_at_once(spark):
+    """Batches of texts are bounded by their bytes, words that a worker remembers by their number; all of many batches is done."""
+    passage = prose(900, 80)
+    texts = [prose(901 + i, 14_000, 60_000) + ("\n" + passage if i % 20 == 0 else "") for i in range(150)]
+    docs = table(spark, texts).coalesce(1)
+    files = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cleaned = spans.span_deduplicated(docs)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == files
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(n=sum(map(len, batch["text"])))[["n"]].head(1)
+
+    try:
+        removed = {r.doc_id: r.n_removed for r in cleaned.collect()}
+        most = max(r.n for r in docs.select("text").mapInPandas(sizes, "n long").collect())
+    finally:
+        tune(spark)
+    assert sum(map(len, texts)) > 11_000_000 and most < 5_000_000
+    assert len(removed) == 150 and removed[0] == 0 and all(removed[i] >= 60 for i in range(20, 150, 20))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "64m"
+
+    tracemalloc.start()
+    cuts = spans._Cuts()
+    for i in range(400_000):
+        cuts[f"word{i}"]
+    assert tracemalloc.get_traced_memory()[0] < 30_000_000
+    tracemalloc.stop()
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------------
 
 
